@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tenura.config import VISIT_WINDOWS, Limits
 from tenura.errors import DataError
 from tenura.functions import as_ts, days_between, minus_days, round_dec, safe_div
+from tenura.functions.stats import two_sided_p
 
 
 def visit_windows(visits: DataFrame, ref, windows: Sequence[int] = VISIT_WINDOWS) -> DataFrame:
@@ -153,25 +153,14 @@ def compare_cohorts(m360: DataFrame, a: Column, b: Column, metrics: dict[str, Co
         for m in metrics])
     long = m360.agg(*aggs).select(F.inline(rows))
     se = F.sqrt(F.col("v_a") / F.col("n_a") + F.col("v_b") / F.col("n_b"))
-    out = long.withColumn("z", F.try_divide(F.col("m_a") - F.col("m_b"), se))
-    limit = normal_quantile(1 - alpha / 2)
+    # the p-value must be a column before "z" is renamed: inside a lambda a name means the new alias
+    out = long.withColumn("_z", F.try_divide(F.col("m_a") - F.col("m_b"), se)).withColumn("_p", two_sided_p(F.col("_z")))
+    p = F.col("_p")
     return out.select("metric", F.col("n_a").alias("n_members_a"), F.col("n_b").alias("n_members_b"),
                       round_dec(F.col("m_a"), 4).alias("mean_a"), round_dec(F.col("m_b"), 4).alias("mean_b"),
                       round_dec(F.col("m_a") - F.col("m_b"), 4).alias("difference"),
-                      round_dec(F.col("z"), 4).alias("z"),
-                      F.coalesce(F.abs("z") > limit, F.lit(False)).alias("significant"))
-
-
-def normal_quantile(p: float) -> float:
-    """Inverse of the standard normal distribution by bisection on ``erfc`` (a driver scalar)."""
-    low, high = -10.0, 10.0
-    for _ in range(200):
-        mid = (low + high) / 2
-        if 0.5 * math.erfc(-mid / math.sqrt(2)) < p:
-            low = mid
-        else:
-            high = mid
-    return (low + high) / 2
+                      round_dec(F.col("_z"), 4).alias("z"),
+                      round_dec(p, 6).alias("p_value"), F.coalesce(p < alpha, F.lit(False)).alias("significant"))
 
 
 def best_action(effects: DataFrame, segment: str, effect: str = "cate_mean") -> DataFrame:

@@ -129,10 +129,11 @@ def _(t):
     return eda.pre_action_rate(silver_actions(t), silver_visits(t))
 
 
-@query("eda13_tenure_histogram", f"""SELECT churned, b AS bin, {R("lo + b * ((hi - lo) / 30)", 6)} AS lower, COALESCE(n, 0) AS n, {R("COALESCE(n, 0) / (tot * ((hi - lo) / 30))", 8)} AS density FROM
-(SELECT churned, COUNT(*) AS tot FROM mt GROUP BY 1), (SELECT CAST(MIN(tenure_days) AS DOUBLE) AS lo, CAST(MAX(tenure_days) AS DOUBLE) AS hi FROM mt), (SELECT UNNEST(range(0, 30)) AS b)
+@query("eda13_tenure_histogram", f"""SELECT g.churned, g.b AS bin, {R("lo + g.b * ((hi - lo) / 30)", 6)} AS lower, COALESCE(n, 0) AS n, {R("COALESCE(n, 0) / (tot * ((hi - lo) / 30))", 8)} AS density
+FROM (SELECT churned, tot, b FROM (SELECT churned, COUNT(*) AS tot FROM mt GROUP BY 1), (SELECT UNNEST(range(0, 30)) AS b)) g
+JOIN (SELECT CAST(MIN(tenure_days) AS DOUBLE) AS lo, CAST(MAX(tenure_days) AS DOUBLE) AS hi FROM mt) r ON TRUE
 LEFT JOIN (SELECT churned, CAST(LEAST(FLOOR((tenure_days - lo) / (hi - lo) * 30), 29) AS BIGINT) AS b, COUNT(*) AS n FROM mt,
-  (SELECT CAST(MIN(tenure_days) AS DOUBLE) AS lo, CAST(MAX(tenure_days) AS DOUBLE) AS hi FROM mt) GROUP BY 1, 2) USING (churned, b)""", TEN)
+  (SELECT CAST(MIN(tenure_days) AS DOUBLE) AS lo, CAST(MAX(tenure_days) AS DOUBLE) AS hi FROM mt) GROUP BY 1, 2) c ON c.churned = g.churned AND c.b = g.b""", TEN)
 def _(t):
     h = eda.histogram(eda.with_tenure(t.members, REF), "tenure_days", 30, ["churned"])
     return h.withColumns({"lower": round_dec(F.col("lower"), 6), "density": round_dec(F.col("density"), 8)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenura.operators import features, gold
-from tenura.registry.base import (ACT, GOLD, KPI, M360, R, TREF, VIS, WINDOWS, location_kpis, member_360, query,
+from tenura.registry.base import (ACT, GOLD, KPI, M360, R, TREF, VIS, WINDOWS, location_kpis, member_360, normal_p, query,
                                   silver_actions, silver_visits)
 from tenura.registry.views import REF
 
@@ -96,7 +96,7 @@ COHORT_COLS = ("churned", "tenure_days", "visit_count_90d", "monthly_price")
 
 @query("gld9_compare_cohorts", " UNION ALL ".join(
     f"""SELECT metric, na AS n_members_a, nb AS n_members_b, {R("ma", 4)} AS mean_a, {R("mb", 4)} AS mean_b, {R("ma - mb", 4)} AS difference,
-{R("(ma - mb) / sqrt(va / na + vb / nb)", 4)} AS z, ABS((ma - mb) / sqrt(va / na + vb / nb)) > 1.959963984540054 AS significant FROM (SELECT '{c}' AS metric,
+{R("(ma - mb) / sqrt(va / na + vb / nb)", 4)} AS z, {R(normal_p("ABS((ma - mb) / sqrt(va / na + vb / nb))"), 6)} AS p_value, ABS((ma - mb) / sqrt(va / na + vb / nb)) > 1.959963984540054 AS significant FROM (SELECT '{c}' AS metric,
 COUNT(x) FILTER (WHERE s = 'regular') AS na, AVG(x) FILTER (WHERE s = 'regular') AS ma, VAR_SAMP(x) FILTER (WHERE s = 'regular') AS va,
 COUNT(x) FILTER (WHERE s = 'aggregator') AS nb, AVG(x) FILTER (WHERE s = 'aggregator') AS mb, VAR_SAMP(x) FILTER (WHERE s = 'aggregator') AS vb
 FROM (SELECT contract_source AS s, CAST({c} AS DOUBLE) AS x FROM m360))""" for c in COHORT_COLS), VIS, ACT, M360)
