@@ -1,3 +1,3 @@
 """Queries over the mapped tables, one module per area."""
 
-AREAS = ["tables", "gold_layer", "feature_layer", "exploration", "scores", "texts", "survival_ltv", "effects"]
+AREAS = ["tables", "gold_layer", "feature_layer", "exploration", "scores", "texts", "survival_ltv", "effects", "allocation"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REF = "2001-08-02 00:00:00"
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -92,4 +93,13 @@ class Tables:
     actions = cached_property(lambda self: self.view("actions"))
     transactions = cached_property(lambda self: self.view("transactions"))
     scored = cached_property(lambda self: self.view("scored"))
-    cate = cached_property(lambda self: self.view("cate"))
+
+    @cached_property
+    def cate(self) -> DataFrame:
+        """The same rows as the SQL view, unfolded from a constant array."""
+        names = ("sms_reengagement", "phone_call", "discount_offer", "pt_session")
+        acts = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(k).alias("k")) for k, a in enumerate(names, 1)])
+        c, k = F.col("c_custkey"), F.col("k")
+        return self.base("customer").select("c_custkey", F.inline(acts)).select(
+            c.alias("member_id"), "action", ((c * 31 + k * 17) % 150 / F.lit(1000.0)).alias("cate_mean"),
+            ((5 + (c * 13 + k * 7) % 36) / F.lit(1000.0)).alias("cate_std"))
