@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from tenura.config import ACTIONS, Action, Limits
 from tenura.errors import DataError, InfeasibleError
 from tenura.functions import hash_normal, round_dec, safe_div
 from tenura.functions.ordered import prefix_sums
+from tenura.session import checkpointed
 
 MAX_LOCATIONS = 200_000  # rows of prices the driver holds and joins back
 
@@ -96,7 +97,7 @@ class Solution:
     value: float
     cost: float
     bound: float               # no feasible allocation is worth more
-    prices: dict
+    prices: tuple[float, dict]  # of the common budget, and per location of cost and minutes
 
     @property
     def gap(self) -> float:
@@ -134,31 +135,42 @@ def _grid(low: float, high: float, n: int) -> list[float]:
     return [low + (high - low) * i / (n - 1) for i in range(n)] if high > low else [low]
 
 
-def location_prices(rows: DataFrame, locations: Sequence, ceiling: dict, limits: Limits, passes: int = 5, points: int = 6) -> dict:
+def location_prices(rows: DataFrame, ceiling: dict, limits: Limits, passes: int = 6, points: int = 7, common: float = 0.0,
+                    start: dict | None = None) -> dict:
     """Cost and minute prices per location that minimise the location's dual, all locations at once.
 
     A grid of prices is narrowed around the best point; the dual is convex, so the best point's
-    neighbours enclose the minimum. Every pass is one scan.
+    neighbours enclose the minimum. Every pass is one scan. Cost prices are at least the price of
+    the common budget; ``start`` (prices of a similar problem) narrows the first grid.
     """
     minutes = limits.staff_hours * 60
-    box = {k: ((0.0, ceiling[k][0]), (0.0, ceiling[k][1])) for k in locations}
-    best = {k: (math.inf, 0.0, 0.0) for k in locations}
+
+    def first(k, i: int, low: float) -> tuple[float, float]:
+        top = max(ceiling[k][i], low)
+        if start is None or k not in start:
+            return low, top
+        mid, half = max(start[k][i], low), 0.3 * start[k][i] + 0.02 * top
+        return max(low, mid - half), mid + half
+
+    box = {k: (first(k, 0, common), first(k, 1, 0.0)) for k in ceiling}
+    best = {k: (math.inf, common, 0.0) for k in ceiling}
     for _ in range(passes):
-        grid = {k: [(p, v) for p in _grid(*box[k][0], points) for v in _grid(*box[k][1], points)] for k in locations}
+        grid = {k: [(p, v) for p in _grid(*box[k][0], points) for v in _grid(*box[k][1], points)] for k in ceiling}
         got = _evaluate(rows, grid)
-        for k in locations:
+        for k in ceiling:
             for (p, v), (net, _, _) in zip(grid[k], got[k]):
-                dual = net + p * limits.max_per_location + v * minutes
+                dual = net + (p - common) * limits.max_per_location + v * minutes
                 if dual < best[k][0]:
                     best[k] = (dual, p, v)
-            wide = [(h - l) / (points - 1) for l, h in box[k]]
-            box[k] = tuple((max(0.0, c - 1.1 * w), c + 1.1 * w) for c, w in zip(best[k][1:], wide))
+            low = (common, 0.0)
+            wide = [1.1 * (h - l) / (points - 1) for l, h in box[k]]
+            box[k] = tuple((max(f, c - w), c + w) for f, c, w in zip(low, best[k][1:], wide))
     return {k: b[1:] for k, b in best.items()}
 
 
-def _global_price(rows: DataFrame, prices: dict, ceiling: float, limits: Limits, passes: int = 4, points: int = 9) -> float:
+def _global_price(rows: DataFrame, prices: dict, ceiling: float, limits: Limits, guess: float = 0.0, passes: int = 4, points: int = 9) -> float:
     """Price of the common budget: locations pay the larger of it and their own price."""
-    low, high = 0.0, ceiling
+    low, high = (0.8 * guess, 1.25 * guess) if guess > 0 else (0.0, ceiling)
     for _ in range(passes):
         levels = _grid(low, high, points)
         got = _evaluate(rows, {k: [(max(level, p), v) for level in levels] for k, (p, v) in prices.items()})
@@ -166,14 +178,30 @@ def _global_price(rows: DataFrame, prices: dict, ceiling: float, limits: Limits,
         fits = [i for i, s in enumerate(spend) if s <= limits.total_budget]
         if not fits:
             low, high = levels[-1], levels[-1] * 2 + 1e-6
-            continue
-        i = fits[0]
-        if i == 0:
-            return levels[0]
-        low, high = levels[i - 1], levels[i]
+        elif fits[0] > 0:
+            low, high = levels[fits[0] - 1], levels[fits[0]]
+        elif levels[0] > 0:
+            low, high = 0.0, levels[0]
+        else:
+            return 0.0
     return high
 
 
+def _prices(rows: DataFrame, ceiling: dict, limits: Limits, passes: int, points: int, start: tuple[float, dict] | None = None) -> tuple[float, dict]:
+    """The common price and the location prices, found in turn: each sees the other's last value."""
+    guess, near = start or (0.0, None)
+    own = location_prices(rows, ceiling, limits, passes, points, 0.0 if start is None else guess, near)
+    common = guess
+    if limits.max_per_location * len(ceiling) <= limits.total_budget:
+        return 0.0, own
+    top = max(c for c, _ in ceiling.values())
+    for _ in range(2 if start is None else 1):
+        common = _global_price(rows, {k: (p if p > common else 0.0, v) for k, (p, v) in own.items()}, top, limits, common,
+                               4 if common == 0 else 2)
+        own = location_prices(rows, ceiling, limits, max(2, passes // 2), points, common, own)
+    return common, own
+
+
 def check_feasible(rows: DataFrame, limits: Limits) -> dict:
     """Locations with the largest value per cost and per minute; an error when the floors cannot be met."""
     dearest = F.array_max(F.transform("options", lambda o: o["cost"]))
@@ -197,80 +225,70 @@ def check_feasible(rows: DataFrame, limits: Limits) -> dict:
 def _accept(rows: DataFrame, prices: dict, common: float, limits: Limits, floor: float, rounds: int) -> DataFrame:
     """A feasible allocation: members in the order of value per priced resource, cut at the limits.
 
-    The first round orders each member's best option at the prices; further rounds offer what is
-    left of every limit to the members not chosen yet. Running totals are distributed.
+    The first round offers each member the best option at the prices. Further rounds offer what is
+    left of every limit: a first action to members without one, or a better action in place of the
+    present one, ordered by added value per added resource. Running totals are distributed.
     """
     spark, minutes = rows.sparkSession, limits.staff_hours * 60
     kind = dict(rows.dtypes)["location_id"]
     left = {k: (limits.max_per_location, minutes) for k in prices}
-    budget, parts = limits.total_budget, []
-    taken: DataFrame | None = None
+    budget = limits.total_budget
+    none = F.struct(F.lit("").alias("action"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("minutes"), F.lit(0.0).alias("value"))
+    state = rows.withColumn("cur", none)
     for i in range(rounds):
-        table = spark.createDataFrame([(k, float(max(common, p)), float(v), float(left[k][0]), float(left[k][1])) for k, (p, v) in prices.items()],
+        table = spark.createDataFrame([(k, float(p), float(v), float(left[k][0]), float(left[k][1])) for k, (p, v) in prices.items()],
                                       f"location_id {kind}, _p double, _v double, _cap double, _min double")
-        open_rows = rows if taken is None else rows.join(taken.select("member_id"), "member_id", "left_anti")
-        priced = open_rows.join(table, "location_id")
-        price = lambda o: F.col("_p") * o["cost"] + F.col("_v") * o["minutes"]
-        fits = F.filter("options", lambda o: (o["cost"] <= F.col("_cap")) & (o["minutes"] <= F.col("_min")) & (o["value"] >= 0))
+        dc = lambda o: o["cost"] - F.col("cur")["cost"]
+        dm = lambda o: o["minutes"] - F.col("cur")["minutes"]
+        dv = lambda o: o["value"] - F.col("cur")["value"]
+        price = lambda o: F.col("_p") * dc(o) + F.col("_v") * dm(o)
+        least = F.lit(0.0) if floor > 0 and i == 0 else F.lit(1e-9)
+        fits = F.filter("options", lambda o: (dc(o) <= F.col("_cap")) & (dm(o) <= F.col("_min")) & (dv(o) >= least))
         scored = F.transform(fits, lambda o: F.struct(
-            F.round(F.when(o["value"] - price(o) > 0, o["value"] - price(o)).otherwise(F.lit(0.0)), 9).alias("net"),
-            F.round(o["value"] / F.greatest(price(o), F.lit(1e-9)), 9).alias("ratio"), o["action"].alias("action"), o["cost"].alias("cost"),
-            o["minutes"].alias("minutes"), o["value"].alias("value")))
-        pick = priced.select("member_id", "location_id", "_cap", "_min", F.array_max(scored).alias("_b")).filter("_b is not null").select(
-            "member_id", "location_id", "_cap", "_min", "_b.*")
-        if floor <= 0 or i > 0:
-            pick = pick.filter("value > 0")
+            F.round(F.greatest(dv(o) - price(o), F.lit(0.0)), 9).alias("net"), F.round(dv(o) / F.greatest(price(o), F.lit(1e-9)), 9).alias("ratio"),
+            dc(o).alias("cost"), dm(o).alias("minutes"), F.struct(o["action"].alias("action"), o["cost"].alias("cost"), o["minutes"].alias("minutes"), o["value"].alias("value")).alias("new")))
+        pick = state.join(table, "location_id").select("member_id", "location_id", "_cap", "_min", F.array_max(scored).alias("_b")).filter(
+            "_b is not null").select("member_id", "location_id", "_cap", "_min", "_b.*")
         run = prefix_sums(pick, -F.col("ratio"), ["cost", "minutes"], ["location_id"], tie=["member_id"])
         local = run.filter((F.col("cum_cost") <= F.col("_cap")) & (F.col("cum_minutes") <= F.col("_min"))).select(
-            "member_id", "location_id", "action", "cost", "minutes", "value", "ratio",
-            ((F.col("cum_cost") - F.col("cost") < F.lit(floor)) & F.lit(i == 0)).alias("_floor")).persist()
-        parts.append(local)
+            "member_id", "location_id", "cost", "minutes", "new", "ratio",
+            ((F.col("cum_cost") - F.col("cost") < F.lit(floor)) & F.lit(i == 0)).alias("_floor"))
+        local = checkpointed(local)
         spend = local.agg(F.sum("cost").alias("c"), F.sum(F.when(F.col("_floor"), F.col("cost"))).alias("f")).first()
         if (spend["c"] or 0.0) > budget + 1e-9:
             room = budget - (spend["f"] or 0.0)
             extra = prefix_sums(local.filter("not _floor"), -F.col("ratio"), ["cost"], tie=["member_id"])
-            local = local.filter("_floor").unionByName(extra.filter(F.col("cum_cost") <= F.lit(room)).drop("cum_cost", "total_cost")).persist()
-            parts.append(local)
+            local = checkpointed(local.filter("_floor").unionByName(extra.filter(F.col("cum_cost") <= F.lit(room)).drop("cum_cost", "total_cost")))
         used = {r["location_id"]: (r["c"], r["m"]) for r in local.groupBy("location_id").agg(F.sum("cost").alias("c"), F.sum("minutes").alias("m")).collect()}
-        got = local.select("member_id", "location_id", "action", "cost", "minutes", "value")
-        taken = got if taken is None else taken.unionByName(got)
+        if not used:
+            break
+        state = checkpointed(state.join(local.select("member_id", "new"), "member_id", "left").withColumn("cur", F.coalesce("new", "cur")).drop("new"))
         left = {k: (left[k][0] - used.get(k, (0, 0))[0], left[k][1] - used.get(k, (0, 0))[1]) for k in prices}
         budget -= sum(c for c, _ in used.values())
-        if not used or budget <= 0:
-            break
-    return taken
+    return state.filter("cur.action <> ''").select("member_id", "location_id", "cur.*")
 
 
-def solve(cands: DataFrame, limits: Limits = Limits(), use_floor: bool = False, passes: int = 5, points: int = 6, rounds: int = 2) -> Solution:
+def solve(cands: DataFrame, limits: Limits = Limits(), use_floor: bool = False, passes: int = 6, points: int = 7, rounds: int = 3) -> Solution:
     """Allocate actions to members under the total budget, the location caps and staff minutes.
 
     Prices minimise the Lagrangian dual, whose value bounds every allocation from above; a
     feasible allocation is then cut along the priced order. ``gap`` certifies the quality.
     """
-    rows = member_rows(cands).persist()
-    try:
-        return _solve_rows(rows, limits, use_floor, passes, points, rounds)
-    finally:
-        rows.unpersist()
+    return _solve_rows(checkpointed(member_rows(cands)), limits, use_floor, passes, points, rounds)
 
 
-def _solve_rows(rows: DataFrame, limits: Limits, use_floor: bool, passes: int, points: int, rounds: int) -> Solution:
+def _solve_rows(rows: DataFrame, limits: Limits, use_floor: bool, passes: int, points: int, rounds: int, start: tuple[float, dict] | None = None) -> Solution:
     floor = limits.min_per_location if use_floor else 0.0
-    ceiling = check_feasible(rows, limits if use_floor else Limits(limits.total_budget, 0.0, limits.max_per_location, limits.staff_hours))
+    ceiling = check_feasible(rows, limits if use_floor else replace(limits, min_per_location=0.0))
     if not ceiling:
         raise InfeasibleError("there are no candidates")
-    keys = list(ceiling)
-    prices = location_prices(rows, keys, ceiling, limits, passes, points)
-    common = 0.0
-    if limits.max_per_location * len(keys) > limits.total_budget:
-        common = _global_price(rows, prices, max(c for c, _ in ceiling.values()), limits)
-    final = {k: (max(common, p), v) for k, (p, v) in prices.items()}
-    at = _evaluate(rows, {k: [pv] for k, pv in final.items()})
+    common, prices = _prices(rows, ceiling, limits, passes, points, start)
+    at = _evaluate(rows, {k: [pv] for k, pv in prices.items()})
     bound = common * limits.total_budget + sum(
-        at[k][0][0] + (p - common) * limits.max_per_location + v * limits.staff_hours * 60 for k, (p, v) in final.items())
-    allocation = _accept(rows, prices, common, limits, floor, rounds).persist()
+        at[k][0][0] + (p - common) * limits.max_per_location + v * limits.staff_hours * 60 for k, (p, v) in prices.items())
+    allocation = _accept(rows, prices, common, limits, floor, rounds)
     total = allocation.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("v"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("c")).first()
-    return Solution(allocation, total["v"], total["c"], bound, {"common": common, "locations": final})
+    return Solution(allocation, total["v"], total["c"], bound, (common, prices))
 
 
 # ---- uncertainty -----------------------------------------------------------------------------
@@ -313,6 +331,7 @@ def compare_allocations(a: DataFrame, b: DataFrame, scenarios: DataFrame, ltv: D
 class StochasticSolution(Solution):
     objective: float = 0.0
     scenario_values: tuple[float, ...] = ()
+    weights: tuple[float, ...] = ()  # of the scenarios, for a next round
 
     @property
     def robust_gap(self) -> float:
@@ -331,18 +350,20 @@ def stochastic_rows(members: DataFrame, cate: DataFrame, n: int = 50, seed: int
     full = cands.drop("value").join(draws, ["member_id", "action"], "left").join(ltv, "member_id")
     zeros = F.array(*[F.lit(0.0) for _ in range(n)])
     values = F.transform(F.coalesce("draws", zeros), lambda d: d * F.col("ltv"))
-    return full.groupBy("member_id", "location_id").agg(F.collect_list(F.struct("action", "cost", "minutes", values.alias("values"))).alias("options"))
+    rows = full.groupBy("member_id", "location_id").agg(F.collect_list(F.struct("action", "cost", "minutes", values.alias("values"))).alias("options"))
+    return checkpointed(rows)
 
 
 def solve_stochastic(rows: DataFrame, n: int, risk: float = 0.3, limits: Limits = Limits(), use_floor: bool = True, rounds: int = 3,
-                     learning: float = 4.0, passes: int = 4, points: int = 5) -> StochasticSolution:
+                     learning: float = 4.0, passes: int = 6, points: int = 7, start: tuple[float, dict] | None = None,
+                     weights: Sequence[float] | None = None) -> StochasticSolution:
     """Maximise (1 - risk) * mean + risk * worst scenario under all limits and the location floor.
 
     Scenario weights are raised where the current allocation does badly; each round solves the
     priced problem with blended values. Every weighting's dual bounds the optimum, so the lowest
     one certifies the best allocation found. With no risk aversion one round suffices.
     """
-    weights = [1.0 / n] * n
+    weights = list(weights or [1.0 / n] * n)
     best: StochasticSolution | None = None
     bound = math.inf
     for _ in range(rounds if risk > 0 else 1):
@@ -350,9 +371,10 @@ def solve_stochastic(rows: DataFrame, n: int, risk: float = 0.3, limits: Limits
         coef = F.lit([float(b) for b in blend])
         mixed = rows.withColumn("options", F.transform("options", lambda o: F.struct(
             o["action"].alias("action"), o["cost"].alias("cost"), o["minutes"].alias("minutes"),
-            F.aggregate(F.zip_with(o["values"], coef, lambda v, c: v * c), F.lit(0.0), lambda s, x: s + x).alias("value")))).persist()
-        found = _solve_rows(mixed, limits, use_floor, passes, points, 2)
-        mixed.unpersist()
+            F.aggregate(F.zip_with(o["values"], coef, lambda v, c: v * c), F.lit(0.0), lambda s, x: s + x).alias("value"))))
+        mixed = checkpointed(mixed)
+        found = _solve_rows(mixed, limits, use_floor, passes if start is None else max(2, passes // 2), points, 3, start)
+        start = found.prices
         bound = min(bound, found.bound)
         chosen = found.allocation.select("member_id", "action").join(
             rows.select("member_id", F.explode("options").alias("_o")).select("member_id", "_o.action", "_o.values"), ["member_id", "action"])
@@ -364,18 +386,30 @@ def solve_stochastic(rows: DataFrame, n: int, risk: float = 0.3, limits: Limits
         spread = max(max(totals) - min(totals), 1e-9)
         raw = [w * math.exp(-learning * (t - min(totals)) / spread) for w, t in zip(weights, totals)]
         weights = [w / sum(raw) for w in raw]
-    best.bound = bound
+    best.bound, best.weights = bound, tuple(weights)
     return best
 
 
 def efficient_frontier(rows: DataFrame, n: int, risks: Sequence[float] = (0.0, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0), limits: Limits = Limits(),
-                       rounds: int = 2) -> DataFrame:
-    out = []
+                       rounds: int = 1) -> DataFrame:
+    """Expected against worst-case value over rising risk aversion.
+
+    Prices and scenario weights carry over from one level to the next, and every level takes the
+    best of all allocations found.
+    """
+    found, bounds = [], []
     for r in risks:
-        s = solve_stochastic(rows, n, r, limits, rounds=rounds, passes=3)
+        last = found[-1] if found else None
+        s = solve_stochastic(rows, n, r, limits, rounds=rounds, passes=4, points=6, start=last and last.prices, weights=last and last.weights)
+        found.append(s)
+        bounds.append(s.bound)
+    out = []
+    for r, bound in zip(risks, bounds):
+        worth = lambda s: (1 - r) * sum(s.scenario_values) / n + r * min(s.scenario_values)
+        s = max(found, key=worth)
         mean = sum(s.scenario_values) / n
         std = math.sqrt(sum((v - mean) ** 2 for v in s.scenario_values) / n)
-        out.append((float(r), mean, min(s.scenario_values), std, s.allocation.count(), s.cost, s.gap))
+        out.append((float(r), mean, min(s.scenario_values), std, s.allocation.count(), s.cost, (bound - worth(s)) / max(abs(bound), 1e-9)))
     return rows.sparkSession.createDataFrame(out, "risk_aversion double, expected_mrr double, worst_case_mrr double, mrr_std double, "
                                                   "members_targeted bigint, total_cost double, gap double")
 

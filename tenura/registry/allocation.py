@@ -83,7 +83,7 @@ def _(t):
 
 @query("opt6_stochastic")
 def _(t):
-    rows = allocate.stochastic_rows(valued(t), t.cate, 20).persist()
+    rows = allocate.stochastic_rows(valued(t), t.cate, 20)
     s = allocate.solve_stochastic(rows, 20, 0.3, LIMITS, rounds=2)
     return t.spark.createDataFrame([(s.objective, s.cost, s.bound, s.gap, s.robust_gap, s.allocation.count())],
                                    "objective double, cost double, bound double, gap double, robust_gap double, members_targeted bigint")
@@ -122,8 +122,8 @@ def _(t):
 
 @query("opt10_efficient_frontier")
 def _(t):
-    rows = allocate.stochastic_rows(valued(t), t.cate, 20, seed=99).persist()
-    return allocate.efficient_frontier(rows, 20, limits=LIMITS, rounds=2)
+    rows = allocate.stochastic_rows(valued(t), t.cate, 20, seed=99)
+    return allocate.efficient_frontier(rows, 20, limits=LIMITS)
 
 
 @query("opt11_location_plan", f"""SELECT location_id, SUM(n)::BIGINT AS n_members_targeted, string_agg(action || '(' || n || ')', ', ' ORDER BY n DESC, action) AS action_mix, {R("SUM(c)", 2)} AS budget_allocated,
