@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,7 +71,7 @@ def intent(text: Column) -> Column:
     low = F.lower(text)
     out = F.struct(F.lit(DEFAULT_INTENT[0]).alias("query_type"), F.lit(DEFAULT_INTENT[1]).alias("confidence"))
     for name, confidence, words in reversed(INTENTS):
-        hit = low.rlike("|".join(words))
+        hit = reduce(or_, [F.contains(low, F.lit(w)) for w in words])
         out = F.when(hit, F.struct(F.lit(name).alias("query_type"), F.lit(confidence).alias("confidence"))).otherwise(out)
     return out
 

@@ -11,6 +11,7 @@ from tenura.functions import text as tx
 from tenura.operators import text
 from tenura.registry.base import M360, VIS, ACT, R, member_360, query
 from tenura.session import scratch_folder
+from tenura.sources import catalog
 
 NAME_SQL = tx.NAME.replace("(?iu)", "(?i)")
 
@@ -25,9 +26,13 @@ def has(col: str, p: str) -> str:
     return f"regexp_matches({col}, '{p}')"
 
 
+def documents(t):
+    return catalog.spread(t.base("documents").select("doc_id", "text"))
+
+
 @query("txt1_mask_text", f"SELECT doc_id, {masked('text')} AS text FROM documents")
 def _(t):
-    return text.mask_column(t.base("documents").select("doc_id", "text"), "text")
+    return text.mask_column(documents(t), "text")
 
 
 @query("txt2_mask_columns", "SELECT member_id, location_id, plan_type, '[REDACTED]' AS name FROM members")
@@ -38,13 +43,13 @@ def _(t):
 @query("txt3_check_output", f"""SELECT doc_id, concat_ws(',', CASE WHEN {has('text', tx.NATIONAL_ID)} THEN 'cpf' END, CASE WHEN {has('text', tx.EMAIL)} THEN 'email' END,
 CASE WHEN {has('text', tx.PHONE)} THEN 'phone' END) AS leaks, {masked('text')} AS clean_text FROM documents""")
 def _(t):
-    out = text.check_output(t.base("documents"), "text")
+    out = text.check_output(documents(t), "text")
     return out.select("doc_id", F.array_join("leaks", ",").alias("leaks"), "clean_text")
 
 
 @query("txt4_leak_flag", f"SELECT doc_id, {has('text', tx.NATIONAL_ID)} OR {has('text', tx.EMAIL)} OR {has('text', tx.PHONE)} OR {has('text', NAME_SQL)} AS pii_leaked FROM documents")
 def _(t):
-    return text.flag_leaks(t.base("documents").select("doc_id", "text"), "text").drop("text")
+    return text.flag_leaks(documents(t), "text").drop("text")
 
 
 # A query log written from the event stream.
@@ -94,7 +99,7 @@ def _(t):
 
 @query("txt8_intent_documents", f"SELECT doc_id, {intent_sql('text')} FROM documents")
 def _(t):
-    return text.classify_intent(t.base("documents"), "text").select("doc_id", "query_type", "confidence")
+    return text.classify_intent(documents(t), "text").select("doc_id", "query_type", "confidence")
 
 
 MENTION = """mention AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Status of Member_ID: M-' || user_id || ' please' WHEN 'view' THEN 'see mem_' || user_id || '!'

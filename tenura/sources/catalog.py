@@ -85,3 +85,11 @@ def write_layer(df: DataFrame, path: str, partition_by: Sequence[str] = (), appe
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before work that is heavy per row, such as regular
+    expressions over long texts. A table with enough files or row groups is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
