@@ -51,11 +51,14 @@ def prefix_sums(
     keys: Sequence[str] = (),
     tie: Sequence[str] = (),
     ranges: int = RANGES,
+    null_keys: bool = True,
 ) -> DataFrame:
     """Add ``cum_<c>`` (running total up to and including the row) and ``total_<c>`` per key.
 
     Rows are ordered by ``order``, then by the MD5 of the ``tie`` columns, then by the columns.
-    Without ``tie`` the order value must be unique within a key.
+    Without ``tie`` the order value must be unique within a key. Without keys the offsets number
+    at most ``2 * ranges * 256`` rows and are broadcast; with keys the optimizer decides. Where
+    keys are never null, ``null_keys=False`` lets the join and the window share one shuffle.
     """
     keys, sums, tie = list(keys), list(sums), list(tie)
     valued = df.withColumn("_v", order.cast("double"))
@@ -71,7 +74,9 @@ def prefix_sums(
         *[F.sum(f"_sum_{c}").over(whole).alias(f"total_{c}") for c in sums],
     )
     cond = [F.col("_r") == F.col("_r2"), F.col("_s") == F.col("_s2")]
-    cond += [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    cond += [F.col(k).eqNullSafe(F.col(f"_k_{k}")) if null_keys else F.col(k) == F.col(f"_k_{k}") for k in keys]
+    if not keys:
+        offsets = F.broadcast(offsets)
     within = (Window.partitionBy(*keys, "_r", "_s").orderBy("_v", "_t", *tie)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = ranged.join(offsets, cond, "inner")

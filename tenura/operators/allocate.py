@@ -40,7 +40,8 @@ def candidates(members: DataFrame, cate: DataFrame, actions: Sequence[Action] =
     missing = [c for c in ("member_id", "location_id", "contract_source", "ltv") if c not in members.columns]
     if missing:
         raise DataError(f"members is missing columns {missing}")
-    long = members.select("member_id", "location_id", "contract_source", "ltv", F.inline(_actions(actions)))
+    located = members.filter(F.col("location_id").isNotNull())
+    long = located.select("member_id", "location_id", "contract_source", "ltv", F.inline(_actions(actions)))
     if check_eligible:
         long = long.filter(F.array_contains("_eligible", F.col("contract_source")))
     known = cate.select("member_id", "action", F.col(effect).alias("_e"))
@@ -83,7 +84,7 @@ def uniform_baseline(cands: DataFrame, total_budget: float, ratio_digits: int =
     share = best.select("location_id").distinct().agg(F.count("*").alias("n")).first()["n"]
     if not share:
         return best.drop("ratio")
-    run = prefix_sums(best, -F.col("ratio"), ["cost"], ["location_id"], tie=["member_id"])
+    run = prefix_sums(best, -F.col("ratio"), ["cost"], ["location_id"], tie=["member_id"], null_keys=False)
     return run.filter(F.col("cum_cost") <= F.lit(total_budget / share)).select(
         "member_id", "location_id", "action", "cost", "minutes", "value")
 
@@ -109,6 +110,11 @@ def member_rows(cands: DataFrame) -> DataFrame:
     return cands.groupBy("member_id", "location_id").agg(F.collect_list(F.struct("action", "cost", "minutes", "value")).alias("options"))
 
 
+def _small(table: DataFrame, pairs: int) -> DataFrame:
+    """Broadcast a price table while it stays below 32 MB; otherwise leave the join to the optimizer."""
+    return F.broadcast(table) if pairs * 16 <= 32 * 2**20 else table
+
+
 def _evaluate(rows: DataFrame, points: dict, value: str = "value") -> dict:
     """For several price points per location: dual value, cost and minutes of the members' best choices.
 
@@ -119,7 +125,7 @@ def _evaluate(rows: DataFrame, points: dict, value: str = "value") -> dict:
     spark = rows.sparkSession
     table = spark.createDataFrame([(k, [float(a) for a, _ in v], [float(b) for _, b in v]) for k, v in points.items()],
                                   f"location_id {dict(rows.dtypes)['location_id']}, _p array<double>, _v array<double>")
-    priced = rows.join(table, "location_id").select("location_id", "options", F.posexplode(F.arrays_zip("_p", "_v")).alias("_k", "_q"))
+    priced = rows.join(_small(table, sum(len(v) for v in points.values())), "location_id").select("location_id", "options", F.posexplode(F.arrays_zip("_p", "_v")).alias("_k", "_q"))
     net = F.transform("options", lambda o: F.struct((o[value] - F.col("_q")["_p"] * o["cost"] - F.col("_q")["_v"] * o["minutes"]).alias("net"),
                                                     o["cost"].alias("cost"), o["minutes"].alias("minutes")))
     best = F.array_max(net)
@@ -247,9 +253,9 @@ def _accept(rows: DataFrame, prices: dict, common: float, limits: Limits, floor:
         scored = F.transform(fits, lambda o: F.struct(
             F.round(F.greatest(dv(o) - price(o), F.lit(0.0)), 9).alias("net"), F.round(dv(o) / F.greatest(price(o), F.lit(1e-9)), 9).alias("ratio"),
             dc(o).alias("cost"), dm(o).alias("minutes"), F.struct(o["action"].alias("action"), o["cost"].alias("cost"), o["minutes"].alias("minutes"), o["value"].alias("value")).alias("new")))
-        pick = state.join(table, "location_id").select("member_id", "location_id", "_cap", "_min", F.array_max(scored).alias("_b")).filter(
+        pick = state.join(_small(table, 3 * len(prices)), "location_id").select("member_id", "location_id", "_cap", "_min", F.array_max(scored).alias("_b")).filter(
             "_b is not null").select("member_id", "location_id", "_cap", "_min", "_b.*")
-        run = prefix_sums(pick, -F.col("ratio"), ["cost", "minutes"], ["location_id"], tie=["member_id"])
+        run = prefix_sums(pick, -F.col("ratio"), ["cost", "minutes"], ["location_id"], tie=["member_id"], null_keys=False)
         local = run.filter((F.col("cum_cost") <= F.col("_cap")) & (F.col("cum_minutes") <= F.col("_min"))).select(
             "member_id", "location_id", "cost", "minutes", "new", "ratio",
             ((F.col("cum_cost") - F.col("cost") < F.lit(floor)) & F.lit(i == 0)).alias("_floor"))

@@ -100,12 +100,13 @@ def merge_reenrollments(spells: DataFrame, window_days: int = 30, tie: str = "lo
 
     The merged spell has the earliest join date, the latest cancel date (none while it is open)
     and the attributes of its first spell. Spells that start on the same day are combined before
-    the window, so a member's window holds at most one row per day however often it was loaded.
+    the window (open if one of them is), so a member's window holds at most one row per calendar
+    day however often it was loaded.
     """
     rest = [c for c in spells.columns if c not in ("member_id", "join_date", "cancel_date", "churned")]
     open_end = F.bool_or(F.col("cancel_date").isNull())
-    daily = spells.filter(F.col("join_date").isNotNull()).groupBy("member_id", "join_date").agg(
-        F.when(~open_end, F.max("cancel_date")).alias("cancel_date"),
+    daily = spells.filter(F.col("join_date").isNotNull()).groupBy("member_id", F.to_date("join_date").alias("_day")).agg(
+        F.min("join_date").alias("join_date"), F.when(~open_end, F.max("cancel_date")).alias("cancel_date"),
         F.min_by(F.struct(*rest), F.col(tie)).alias("_rest"))
     by_member = Window.partitionBy("member_id").orderBy("join_date")
     previous = F.lag("cancel_date").over(by_member)

@@ -42,7 +42,7 @@ def ks_test(reference: DataFrame, current: DataFrame, features: Sequence[str] =
     """
     counts = _both(reference, current, features).groupBy("feature", "value").agg(
         F.sum("is_cur").alias("cur"), F.sum(1 - F.col("is_cur")).alias("ref"))
-    run = prefix_sums(counts, F.col("value"), ["ref", "cur"], ["feature"])
+    run = prefix_sums(counts, F.col("value"), ["ref", "cur"], ["feature"], null_keys=False)
     gap = F.abs(F.col("cum_ref") / F.col("total_ref") - F.col("cum_cur") / F.col("total_cur"))
     stats = run.filter("total_ref > 0 and total_cur > 0").groupBy("feature").agg(
         F.max(gap).alias("d"), F.max("total_ref").alias("n_reference"), F.max("total_cur").alias("n_current"))

@@ -173,12 +173,17 @@ def freshness(features: DataFrame, ref, max_age_hours: float = 24.0, ts: str = "
                          F.coalesce(age <= max_age_hours, F.lit(False)).alias("passed"))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """Type, null count and share, distinct count and an example value for every column."""
+def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Type, null count and share, distinct count and an example value for every column.
+
+    Exact distinct counts repeat each row per column before they are combined; on very large
+    tables ``exact=False`` takes sketches in one plain pass instead.
+    """
+    distinct = F.count_distinct if exact else F.approx_count_distinct
     shown = {c: F.col(c).cast("string") for c in df.columns}
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(df.columns):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"_z{i}"), F.count_distinct(F.col(c)).alias(f"_d{i}"),
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"_z{i}"), distinct(F.col(c)).alias(f"_d{i}"),
                  F.min(shown[c]).alias(f"_e{i}")]
     kinds = dict(df.dtypes)
     rows = F.array(*[

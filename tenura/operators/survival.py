@@ -33,9 +33,14 @@ def survival_frame(members: DataFrame, ref, month_days: float = 30.44) -> DataFr
         "duration": round_dec(days / F.lit(month_days), 1)}).filter("duration > 0")
 
 
+def on_grid(frame: DataFrame, digits: int = 1) -> DataFrame:
+    """Durations on a fixed grid, which bounds the number of distinct times whatever was passed in."""
+    return frame.withColumn("duration", F.round("duration", digits))
+
+
 def time_table(frame: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
     """Events, censored and at-risk counts per distinct time (and stratum)."""
-    counts = frame.groupBy(*strata, "duration").agg(F.sum("event").alias("events"), F.count("*").alias("_n"))
+    counts = on_grid(frame).groupBy(*strata, "duration").agg(F.sum("event").alias("events"), F.count("*").alias("_n"))
     later = Window.partitionBy(*strata).orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
     return counts.select(*strata, "duration", "events", (F.col("_n") - F.col("events")).alias("censored"),
                          F.sum("_n").over(later).alias("at_risk"))
@@ -67,7 +72,7 @@ def median_survival(curves: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
 
 def log_rank(frame: DataFrame, in_a: Column) -> DataFrame:
     """Log-rank test of the rows where ``in_a`` holds against all others."""
-    counts = frame.groupBy("duration").agg(
+    counts = on_grid(frame).groupBy("duration").agg(
         F.sum("event").alias("d"), F.count("*").alias("c"),
         F.sum(F.when(in_a, F.col("event")).otherwise(0)).alias("d1"), F.count_if(in_a).alias("c1"))
     later = Window.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
@@ -160,7 +165,10 @@ def _tie_weights(d: int, singular: bool) -> tuple[np.ndarray, np.ndarray]:
     """
     if d <= 2_000 or singular:
         return np.arange(d) / d, np.ones(d)
-    return np.concatenate([(_NODES + 1) / 2, [0.0, 1.0]]), np.concatenate([_WEIGHTS * d / 2, [0.5, -0.5]])
+    h = 0.01  # step of the one-sided differences for the end-point slopes
+    k = 1 / (24 * d * h)
+    ends = [0.0, h, 2 * h, 1 - 2 * h, 1 - h, 1.0]
+    return np.concatenate([(_NODES + 1) / 2, ends]), np.concatenate([_WEIGHTS * d / 2, [0.5 + 3 * k, -4 * k, k, k, -4 * k, -0.5 + 3 * k]])
 
 
 def _likelihood(times, sums, beta: np.ndarray):
@@ -192,6 +200,7 @@ def _baseline(times, sums) -> tuple[np.ndarray, np.ndarray]:
 def cox_with_coefficients(frame: DataFrame, features: Sequence[str], coef: Sequence[float]) -> CoxModel:
     """A model with given coefficients; only the Breslow baseline is estimated (two aggregations)."""
     beta = np.asarray(coef, dtype=float)
+    frame = on_grid(frame)
     center = _means(frame, features)
     times, sums = _sums_by_time(frame, features, beta, center, second=False)
     t, h = _baseline(times, sums)
@@ -215,7 +224,7 @@ def fit_cox(frame: DataFrame, features: Sequence[str], penalizer: float = 0.01,
     them first. Rows with a null covariate must be dropped or filled before.
     """
     features = list(features)
-    rows = frame.select("duration", "event", *features).dropna().persist()
+    rows = on_grid(frame.select("duration", "event", *features)).dropna().persist()
     try:
         center = _means(rows, features)
         p, beta = len(features), np.zeros(len(features))
@@ -269,8 +278,10 @@ def concordance(frame: DataFrame, risk: Column, bins: int = 256) -> DataFrame:
     inside one range, which bounds the error by half of it. Work on the pairs is a grid of
     distinct times by ranges, filled by two running totals.
     """
-    rows = frame.select("duration", "event", risk.cast("double").alias("_r")).dropna()
-    few = [r["_r"] for r in rows.select("_r").distinct().limit(bins + 1).collect()]
+    rows = on_grid(frame.select("duration", "event", risk.cast("double").alias("_r"))).dropna()
+    few = [0.0] * (bins + 1)
+    if rows.agg(F.approx_count_distinct("_r")).first()[0] <= 1.2 * bins:  # only then is a distinct worth its shuffle
+        few = [r["_r"] for r in rows.select("_r").distinct().limit(bins + 1).collect()]
     edges = sorted(few) if len(few) <= bins else range_edges(rows, "_r", bins)
     splits = [float("-inf"), *[e for e in edges[1:]], float("inf")] if len(few) <= bins else [float("-inf"), *edges, float("inf")]
     if len(splits) < 3:
@@ -313,7 +324,7 @@ def schoenfeld_residuals(model: CoxModel, frame: DataFrame) -> DataFrame:
     names = [f"_mean_{i}" for i in range(len(model.features))]
     rows = [(float(t), *map(float, m)) for t, m, d in zip(model.tables["times"], model.tables["means"], model.tables["events"]) if d]
     means = spark.createDataFrame(rows, "duration double, " + ", ".join(f"{n} double" for n in names))
-    events = frame.filter("event = 1").dropna(subset=model.features)
+    events = on_grid(frame.filter("event = 1").dropna(subset=model.features))
     out = [(F.col(f).cast("double") - F.lit(float(c)) - F.col(n)).alias(f"resid_{f}") for f, c, n in zip(model.features, model.center, names)]
     keep = [c for c in ("member_id",) if c in frame.columns]
     return events.join(means, "duration").select(*keep, "duration", *out)

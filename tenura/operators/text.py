@@ -118,10 +118,13 @@ def _scan(corpus, rows, k, id_col, vec, query_id, type_col, digits) -> DataFrame
             ids = np.asarray(batch.column(id_col).to_pylist(), dtype=object)[valid]
             x = column.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             length = np.linalg.norm(x, axis=1)
-            sims = np.round((x / np.where(length == 0, 1.0, length)[:, None]) @ q.T, digits)
+            x = x / np.where(length == 0, 1.0, length)[:, None]
             types = np.asarray(batch.column(type_col).to_pylist())[valid] if type_col else None
+            sims, first = None, 0
             for j in range(len(q_ids)):
-                s, i = sims[:, j], ids
+                if j % 256 == 0:  # a slice of the queries at a time bounds the product's memory
+                    sims, first = np.round(x @ q[j:j + 256].T, digits), j
+                s, i = sims[:, j - first], ids
                 if types is not None:
                     mask = types == q_types[j]
                     s, i = s[mask], i[mask]
