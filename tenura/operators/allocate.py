@@ -20,7 +20,7 @@ from tenura.functions import hash_normal, round_dec, safe_div
 from tenura.functions.ordered import prefix_sums
 from tenura.session import checkpointed
 
-MAX_LOCATIONS = 200_000  # rows of prices the driver holds and joins back
+MAX_LOCATIONS = 50_000  # physical sites; the driver holds a grid of prices for each
 
 # ---- candidates and scenarios ----------------------------------------------------------------
 

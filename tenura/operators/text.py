@@ -95,7 +95,8 @@ def top_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     for p in parts[1:]:
         out = out.unionByName(p)
     best = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col)
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _scan(corpus, rows, k, id_col, vec, query_id, type_col, digits) -> DataFrame:

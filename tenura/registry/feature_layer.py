@@ -71,7 +71,7 @@ def _(t):
     return features.location_context(t.members, t.locations, "2000-08-02 00:00:00")
 
 
-@query("fea10_seasonal", f"SELECT member_id, month(join_date) AS enrollment_month, CAST(month(join_date) = 1 AS BIGINT) AS enrollment_is_january, month({TREF}) AS current_month, 0 AS is_summer FROM members")
+@query("fea10_seasonal", f"SELECT member_id, month(join_date) AS enrollment_month, CAST(month(join_date) = 1 AS BIGINT) AS enrollment_is_january, month({TREF}) AS current_month, CAST(0 AS BIGINT) AS is_summer FROM members")
 def _(t):
     return features.seasonal_features(t.members, REF)
 

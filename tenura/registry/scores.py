@@ -103,12 +103,12 @@ def _(t):
     return t.scored.select("member_id", churn.fixed_tier(p).alias("risk_tier"), churn.fixed_tier(p, (0.25, 0.5, 0.75), True).alias("quarter_tier"))
 
 
-@query("chn16_precision_at_k", "SELECT SUM(CAST(y AS DOUBLE)) / 100 AS precision_at_k, 100 AS k FROM (SELECT y FROM mem ORDER BY p DESC, member_id LIMIT 100)", MEM)
+@query("chn16_precision_at_k", "SELECT SUM(CAST(y AS DOUBLE)) / 100 AS precision_at_k, CAST(100 AS BIGINT) AS k FROM (SELECT y FROM mem ORDER BY p DESC, member_id LIMIT 100)", MEM)
 def _(t):
     return churn.precision_at_k(scored_members(t), "y", "p", "member_id", 100)
 
 
-@query("chn17_latest_scores", """SELECT user_id AS member_id, ts AS predicted_at, ((event_id * 31) % 1000) / 1000.0::DOUBLE AS churn_probability, 30 AS horizon_days, event_type AS model_version,
+@query("chn17_latest_scores", """SELECT user_id AS member_id, ts AS predicted_at, ((event_id * 31) % 1000) / 1000.0::DOUBLE AS churn_probability, CAST(30 AS BIGINT) AS horizon_days, event_type AS model_version,
 CASE WHEN ((event_id * 31) % 1000) < 200 THEN 'low' WHEN ((event_id * 31) % 1000) < 500 THEN 'medium' WHEN ((event_id * 31) % 1000) < 800 THEN 'high' ELSE 'critical' END AS risk_tier
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, (event_id * 31) % 1000 DESC) AS rn FROM events) WHERE rn = 1""")
 def _(t):

@@ -120,7 +120,7 @@ def _(t):
     return text.last_messages(t.base("conversations"), "conv_id", "turn", 3)
 
 
-CENT = """cent AS (SELECT label AS query_id, list(m ORDER BY i) AS c FROM (SELECT label, i, AVG(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, (SELECT UNNEST(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY 1),
+CENT = """cent AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY i) AS c FROM (SELECT label, i, AVG(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, (SELECT UNNEST(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY 1),
 sims AS (SELECT query_id, vec_id, label, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 9) AS s FROM embeddings JOIN cent ON TRUE)"""
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tenura.functions import ordered
 from tenura.functions.ordered import exact_percentiles, prefix_sums
 
 
@@ -42,3 +43,15 @@ def test_percentiles_equal_numpy(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert exact_percentiles(df, "v", {"m": 0.5}, ["k"]).count() == 0
+
+
+def test_no_task_gets_a_hot_key_or_a_hot_value(spark):
+    """A third of the rows share one key, and a third of those share one value."""
+    n = 30_000
+    i = F.col("id")
+    df = spark.range(n).select(F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (i % 50).cast("string"))).alias("k"), "id",
+                               F.when(i % 9 == 0, 5.0).otherwise(F.xxhash64("id") % 1000 / 100.0).alias("x"))
+    valued = df.withColumn("_v", F.col("x"))
+    ranged = ordered._with_range(valued, ordered.range_edges(valued, "_v", 64), ["id"])
+    largest = ranged.groupBy("k", "_r", "_s").count().agg(F.max("count")).first()[0]
+    assert largest < 0.02 * n
