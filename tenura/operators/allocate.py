@@ -1,16 +1,18 @@
 """Budget allocation over members, actions and locations.
 
 Each member is one row with an array of candidate actions, so the choice of an action at given
-prices is an expression inside the row, and one evaluation of prices is one scan with sums per
-location. Prices of locations live on the driver (a few numbers per location); members never do.
+prices needs no shuffle, and one evaluation of prices is one scan with sums per location. Prices
+of locations live on the driver (a few numbers per location); members never do.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,25 +117,54 @@ def _small(table: DataFrame, pairs: int) -> DataFrame:
     return F.broadcast(table) if pairs * 16 <= 32 * 2**20 else table
 
 
-def _evaluate(rows: DataFrame, points: dict, value: str = "value") -> dict:
+def _evaluate(rows: DataFrame, points: dict) -> dict:
     """For several price points per location: dual value, cost and minutes of the members' best choices.
 
     ``points`` maps a location to a list of (cost price, minute price). All points are evaluated
-    in one scan: each member's row yields one best option per point and the sums are combined on
-    the map side.
+    in one scan: a task scores a block of members at once and returns one sum per location and
+    point; the sums of the tasks are then added.
     """
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(k, [float(a) for a, _ in v], [float(b) for _, b in v]) for k, v in points.items()],
-                                  f"location_id {dict(rows.dtypes)['location_id']}, _p array<double>, _v array<double>")
-    priced = rows.join(_small(table, sum(len(v) for v in points.values())), "location_id").select("location_id", "options", F.posexplode(F.arrays_zip("_p", "_v")).alias("_k", "_q"))
-    net = F.transform("options", lambda o: F.struct((o[value] - F.col("_q")["_p"] * o["cost"] - F.col("_q")["_v"] * o["minutes"]).alias("net"),
-                                                    o["cost"].alias("cost"), o["minutes"].alias("minutes")))
-    best = F.array_max(net)
-    chosen = priced.select("location_id", "_k", best.alias("_b")).filter("_b.net > 0")
-    sums = chosen.groupBy("location_id", "_k").agg(F.sum("_b.net").alias("net"), F.sum("_b.cost").alias("cost"), F.sum("_b.minutes").alias("minutes"))
+    keys, width = list(points), max(len(v) for v in points.values())
+    place = {k: i for i, k in enumerate(keys)}
+    grid = np.zeros((len(keys), width, 2))
+    for k, v in points.items():
+        grid[place[k], :len(v)] = v
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, len(keys), width))
+        for batch in batches:
+            codes = batch.column("location_id").dictionary_encode()
+            loc = np.array([place.get(k, -1) for k in codes.dictionary.to_pylist()], dtype=int)[codes.indices.to_numpy()]
+            options = batch.column("options")
+            lens, flat = options.value_lengths().to_numpy(), options.flatten()
+            row = np.repeat(np.arange(len(lens)), lens)
+            slot = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+            most = int(lens.max(initial=0))
+            value, cost, minutes = np.full((len(lens), most), -np.inf), np.zeros((len(lens), most)), np.zeros((len(lens), most))
+            for target, name in ((value, "value"), (cost, "cost"), (minutes, "minutes")):
+                target[row, slot] = flat.field(name).to_numpy(zero_copy_only=False)
+            step = max(1, 1_000_000 // max(1, most * width))
+            for i in range(0, len(lens) if most else 0, step):
+                at = np.flatnonzero(loc[i:i + step] >= 0) + i
+                if not len(at):
+                    continue
+                g = grid[loc[at]]
+                net = value[at][:, :, None] - cost[at][:, :, None] * g[:, None, :, 0] - minutes[at][:, :, None] * g[:, None, :, 1]
+                pick = net.argmax(axis=1)
+                best = np.take_along_axis(net, pick[:, None, :], axis=1)[:, 0, :]
+                take = best > 0
+                for k, part in enumerate((best, np.take_along_axis(cost[at], pick, axis=1), np.take_along_axis(minutes[at], pick, axis=1))):
+                    np.add.at(sums[k], loc[at], np.where(take, part, 0.0))
+        i, k = np.nonzero(sums[0])
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), *[pa.array(x[i, k]) for x in sums]], ["i", "k", "net", "cost", "minutes"])
+
+    parts = rows.select("location_id", "options").mapInArrow(partial, "i bigint, k bigint, net double, cost double, minutes double")
     out = {k: [(0.0, 0.0, 0.0)] * len(v) for k, v in points.items()}
-    for r in sums.collect():
-        out[r["location_id"]][r["_k"]] = (r["net"], r["cost"], r["minutes"])
+    for r in parts.groupBy("i", "k").agg(*[F.sum(c).alias(c) for c in ("net", "cost", "minutes")]).collect():
+        mine = out[keys[r["i"]]]
+        if r["k"] < len(mine):
+            mine[r["k"]] = (r["net"], r["cost"], r["minutes"])
     return out
 
 
