@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
@@ -93,9 +93,25 @@ def exact_percentiles(
     Values are collapsed to counts before any row moves, and the ranks come from
     :func:`prefix_sums`; memory per task does not grow with the group as in ``percentile``.
     """
-    keys = list(keys)
-    counts = (df.filter(F.col(value).isNotNull())
-              .groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("n")))
+    return _percentiles_of(value_counts(df, value, keys), probs, list(keys))
+
+
+def percentile_rows(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> list[Row]:
+    """The same as rows on the driver, for few keys. The input is computed once: its value counts
+    are kept while the range edges and the ranks are found."""
+    counts = value_counts(df, value, keys).persist()
+    try:
+        return _percentiles_of(counts, probs, list(keys)).collect()
+    finally:
+        counts.unpersist()
+
+
+def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    return (df.filter(F.col(value).isNotNull())
+            .groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("n")))
+
+
+def _percentiles_of(counts: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
     ranked = prefix_sums(counts, F.col("_x"), ["n"], keys)
     first_rank = F.col("cum_n") - F.col("n")
 

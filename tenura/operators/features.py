@@ -11,7 +11,7 @@ from tenura.config import (AGE_BINS, AGE_LABELS, CONTRACT_SOURCES, GENDERS, MODE
                            VISIT_WINDOWS)
 from tenura.errors import DataError
 from tenura.functions import as_ts, days_between, flag, micros, minus_days, round_dec, safe_div
-from tenura.functions.ordered import exact_percentiles
+from tenura.functions.ordered import percentile_rows
 
 
 def need(df: DataFrame, cols: Sequence[str], name: str = "input") -> None:
@@ -246,7 +246,7 @@ def category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def fit_percentiles(df: DataFrame, cols: Sequence[str], p: float) -> dict[str, float]:
     """Exact percentile of each column (one long-form job; one number per column returns)."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
-    return {r["column"]: r["p"] for r in exact_percentiles(long, "value", {"p": p}, ["column"]).collect()}
+    return {r["column"]: r["p"] for r in percentile_rows(long, "value", {"p": p}, ["column"])}
 
 
 def impute(df: DataFrame, fills: Mapping[str, float]) -> DataFrame:

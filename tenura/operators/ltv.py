@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenura.errors import DataError
 from tenura.functions import round_dec
-from tenura.functions.ordered import exact_percentiles
+from tenura.functions.ordered import exact_percentiles, percentile_rows
 from tenura.operators.features import fit_percentiles
 from tenura.operators.survival import CoxModel, predict_survival
 
@@ -47,8 +47,8 @@ def segment_ltv(ltv: DataFrame, col: str = "ltv") -> DataFrame:
     """``high`` from the 75th percentile, ``medium`` from the 25th, else ``low`` (both exact)."""
     if col not in ltv.columns:
         raise DataError(f"no column {col!r}")
-    q = exact_percentiles(ltv, col, {"p25": 0.25, "p75": 0.75}).first()
-    v = F.col(col)
+    rows = percentile_rows(ltv, col, {"p25": 0.25, "p75": 0.75})
+    q, v = (rows[0] if rows else None), F.col(col)
     if q is None or q["p25"] is None:
         return ltv.withColumn("ltv_segment", F.lit(None).cast("string"))
     return ltv.withColumn("ltv_segment", F.when(v >= q["p75"], "high").when(v >= q["p25"], "medium").otherwise("low"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenura.config import DRIFT_FEATURES
 from tenura.functions import as_ts, flag, minus_days, round_dec, safe_div
-from tenura.functions.ordered import exact_percentiles, prefix_sums
+from tenura.functions.ordered import percentile_rows, prefix_sums
 from tenura.operators import churn
 
 
@@ -54,8 +54,8 @@ def ks_test(reference: DataFrame, current: DataFrame, features: Sequence[str] =
 
 def psi_edges(reference: DataFrame, col: str, bins: int = 10) -> list[float]:
     """Distinct percentile edges of the expected values (at most ``bins + 1`` numbers)."""
-    row = exact_percentiles(reference, col, {f"p{i}": i / bins for i in range(bins + 1)}).first()
-    return sorted({v for v in row if v is not None}) if row else []
+    rows = percentile_rows(reference, col, {f"p{i}": i / bins for i in range(bins + 1)})
+    return sorted({v for v in rows[0] if v is not None}) if rows else []
 
 
 def psi(reference: DataFrame, current: DataFrame, col: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
