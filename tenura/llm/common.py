@@ -83,15 +83,18 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes with A-Z lower-cased: their 64-bit hashes, first bytes and ends.
+def word_hashes(data: np.ndarray, apart: np.ndarray = SPACE, heads: tuple[int, ...] = ()) -> tuple:
+    """Words of UTF-8 bytes with A-Z lower-cased: their 64-bit hashes, first bytes and ends, and hashes of their ``heads``.
+
+    ``apart`` marks the bytes between words (white space, so that words are ``[^\\x20\\x09-\\x0D]+``). For each number of
+    bytes in ``heads`` a fourth result has one array of the hash of each word's first bytes, 0 for shorter words.
 
     A word's hash is a polynomial of its bytes modulo 2^64, evaluated for all words at once, position by position.
     """
     if not len(data):
         e = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), e, e
-    white = SPACE[data]
+        return np.empty(0, np.uint64), e, e, [np.empty(0, np.uint64) for _ in heads]
+    white = apart[data]
     edge = np.flatnonzero(np.diff(white.view(np.int8)))
     starts = edge[white[edge]] + 1
     ends = edge[~white[edge]] + 1
@@ -102,7 +105,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = ends - starts
     out = np.zeros(len(starts), np.uint64)
     if not len(starts):
-        return out, starts, ends
+        return out, starts, ends, [out for _ in heads]
     code = LOWERED[data].astype(np.uint64) + np.uint64(1)
     # bytes of a word in steps of its position, for all words that are long enough
     base, order = np.uint64(BASE), np.argsort(-length, kind="stable")
@@ -110,7 +113,11 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     acc = np.zeros(len(starts), np.uint64)
     live = len(starts)
     short = min(int(sorted_len[0]), 64)
+    firsts = {n: np.zeros(len(starts), np.uint64) for n in heads}
     for k in range(short):
+        if k in firsts:
+            live = int(np.searchsorted(-sorted_len, -k, side="right"))
+            firsts[k][order[:live]] = mix(acc[:live] + np.uint64(k))
         live = int(np.searchsorted(-sorted_len, -k, side="left"))
         acc[:live] = acc[:live] * base + code[s[:live] + k]
     for i in np.flatnonzero(sorted_len > 64):  # few and long: Horner over blocks of 64 bytes
@@ -122,7 +129,11 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = h * powers[len(part)] + (part * powers[len(part) - 1 :: -1][: len(part)]).sum(dtype=np.uint64)
         acc[i] = h
     out[order] = mix(acc ^ (sorted_len.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    return out, starts, ends
+    for k in firsts:
+        if k >= short:
+            live = int(np.searchsorted(-sorted_len, -k, side="right"))
+            firsts[k][order[:live]] = mix(acc[:live] + np.uint64(k))
+    return out, starts, ends, list(firsts.values())
 
 
 POWERS = np.array([pow(BASE, k, 1 << 64) for k in range(65)], np.uint64)
