@@ -173,19 +173,22 @@ def learn(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", tra
 
 
 def weight(key: str, words: int, weights: Weights) -> float:
-    """Words count 1 each where main text is as likely as not or more, and less than 0 in regions known or named otherwise; tags always cost."""
+    """Words count 1 each where main text is as likely as not or more, and less than 0 in regions learned to be other; tags always cost.
+
+    What is named as boilerplate is left out wherever it stands, so it costs little: an advert does not end an article.
+    """
     kind, region, name = key.split(" ", 2)
     b = bucket(key)
     known, odds = weights.seen[b], weights.odds[b]
     other = region in BOILERPLATE or region.startswith("!") or region == "header" or name in BOILERPLATE
     if kind == "w":
         if other:
-            return -1.0 * words
+            return -0.1 * words
         if known:
             return words * (1.0 if odds > -0.7 else max(-1.0, odds))
         return words * 1.0
     if other:
-        return -3.0
+        return -0.2
     return -0.05 if known and odds > -0.7 else -0.5
 
 

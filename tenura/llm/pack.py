@@ -78,8 +78,8 @@ def plan_best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int
     """Best fit, longest first, over counts: (length, first rank, ranks, first sequence, offset).
 
     Sequences that look alike are one run of numbers with the same room. Of a length, as many pieces as there are
-    take the run with the least room that holds them; the rest of the run keeps its room. New sequences open in bulk.
-    The work follows the number of lengths and runs, not of pieces.
+    take the run with the least room that holds them, and the rest of the run keeps its room. The work follows the number of
+    lengths and runs, not of pieces.
     """
     room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> runs (first sequence, sequences)
     rooms: list[int] = []
@@ -95,29 +95,28 @@ def plan_best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int
         left, rank = counts[length], 0
         while left:
             i = bisect_left(rooms, length)
-            if i == len(rooms):
-                each = size // length
-                n = -(-left // each)
-                first, opened = opened, opened + n
-                for k in range(each):  # the k-th piece of every new sequence
-                    m = min(n, left)
-                    if m:
-                        plan.append((length, rank, m, first, k * length))
-                    if m < n:  # these sequences hold k pieces only
-                        add(size - k * length, first + m, n - m)
-                    rank, left, n = rank + m, left - m, m
-                add(size - each * length, first, n)
-                continue
-            r = rooms[i]
-            first, n = heapq.heappop(room[r])
-            if not room[r]:
-                del rooms[i]
-            m = min(n, left)
-            plan.append((length, rank, m, first, size - r))
-            add(r - length, first, m)
-            if m < n:
-                add(r, first + m, n - m)
-            rank, left = rank + m, left - m
+            if i == len(rooms):  # no room: open as many sequences as the rest needs
+                r, have = size, -(-left // (size // length))
+                first, opened = opened, opened + have
+            else:
+                r = rooms[i]
+                first, have = heapq.heappop(room[r])
+                if not room[r]:
+                    del rooms[i]
+            # a sequence that took a piece has the least room of all, so it takes what it can before the next one does
+            each = r // length
+            full = min(have, left // each)
+            rest = left - full * each if have > full else 0  # pieces of one more sequence, fewer than it could take
+            for k in range(each if full else 0):  # the k-th piece of each full sequence
+                plan.append((length, rank + k * full, full, first, size - r + k * length))
+            rank += each * full
+            for k in range(rest):
+                plan.append((length, rank + k, 1, first + full, size - r + k * length))
+            add(r - each * length, first, full)
+            if rest:
+                add(r - rest * length, first + full, 1)
+            add(r, first + full + bool(rest), have - full - bool(rest))
+            rank, left = rank + rest, left - each * full - rest
     return plan
 
 

@@ -15,7 +15,7 @@ from tenura.llm.common import by_value, flat_bytes, rows_within, slices, texts_o
 by_value(__name__)
 
 #: Hashed terms, and bytes of the word beginnings that are terms beside the words.
-TERMS, HEADS = 1 << 20, (4, 6)
+TERMS, HEADS = 1 << 20, (4, 5, 6, 7, 8)
 APART = np.ones(256, bool)
 APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -56,7 +56,7 @@ def margins(term: np.ndarray, count: np.ndarray, m: Model) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", train_rows: int = 8_000, factors: int = 4, epochs: int = 20, evidence: float = 12.0, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", train_rows: int = 8_000, factors: int = 4, epochs: int = 20, evidence: float = 10.0, seed: int = 7) -> Model:
     """Learn from the documents of at most about ``train_rows`` rows of ``labels`` (id, label), taken by a hash of the id.
 
     Tasks turn whole texts into hashed terms; the driver gets only the terms of that bounded number of rows and fits by
