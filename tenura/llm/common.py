@@ -15,7 +15,7 @@ from tenura.session import scratch_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text a worker takes on at a time, unless one text alone is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def by_value(name: str) -> None:

@@ -21,7 +21,7 @@ by_value(__name__)
 #: Bytes of training text that one shard of the word table, and of the pair table, is planned for.
 WORD_SHARD, PAIR_SHARD = 64 << 20, 16 << 20
 #: Entries a task holds before it passes them on.
-HELD = 4 << 20
+HELD = 2 << 20
 #: The end of a text as a token.
 END = np.uint64(0x452821E638D01377)
 

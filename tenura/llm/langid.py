@@ -49,43 +49,55 @@ def script_of() -> np.ndarray:
     return out
 
 
+#: Characters whose n-grams are held at a time, and bytes of text whose word scores are.
+PART_CHARS, GROUP_BYTES = 1 << 19, 8 << 20
+
+
 def words(texts: list[str], scripts: np.ndarray, buckets: int):
-    """All words (runs of letters) of the texts and their n-grams.
+    """All words (runs of letters) of the texts, and their n-grams order by order.
 
-    Returns per word: its text's number, first and last character (within the text), letters, script; and per
-    n-gram: word and bucket. The n-grams of a word are those of its characters between two border marks.
+    Returns per word: its text's number, first and last character (within the text), letters, script; and an iterator
+    of (word, bucket) arrays. The n-grams of a word are those of its characters between two border marks.
     """
     flat = [low if len(low := t.lower()) == len(t) else t for t in texts]
     cp = np.frombuffer("\n".join([*flat, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter((len(t) + 1 for t in flat), np.int64, len(flat))
     begin = np.concatenate(([0], np.cumsum(size)))
-    kind = scripts[np.minimum(cp, 0x10FFFF)]
+    kind = scripts[cp]
     letter = kind > 0
-    if not letter.any():
-        e = np.empty(0, np.int64)
-        return e, e, e, e, e, e, e
     # every text ends with a line feed, so no run goes from one text to the next and each run has a place after it
-    start = np.flatnonzero(letter & ~np.concatenate(([False], letter[:-1])))
-    stop = np.flatnonzero(~letter & np.concatenate(([False], letter[:-1])))
+    lag = np.concatenate(([False], letter[:-1]))
+    start, stop = np.flatnonzero(letter & ~lag), np.flatnonzero(~letter & lag)
     n = stop - start
-    # all positions of words and the one after each, which stands for the closing mark
-    first = np.concatenate(([0], np.cumsum(n + 1)))
-    word = np.repeat(np.arange(len(start)), n + 1)
-    within = np.arange(first[-1]) - first[word]
-    char = np.where(within < n[word], cp[np.minimum(start[word] + within, len(cp) - 1)], 1).astype(np.uint64)
-    owner, grams = [], []
-    mul = np.uint64(0x9E3779B97F4A7C15)
-    h = char + np.uint64(7)
-    for order in ORDERS:
-        if order > 1:
-            before = np.concatenate((np.zeros(1, np.uint64), h[:-1]))
-            before[within == 0] = 3  # the opening mark
-            h = before * mul + char
-        ok = (within + 2 >= order) if order > 1 else within < n[word]
-        owner.append(word[ok])
-        grams.append((mix(h[ok] + np.uint64(order)) % np.uint64(buckets)).astype(np.int64))
+
+    def grams() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # the letters of the words and the place after each word, which stands for the closing mark
+        use = letter | lag
+        char = np.where(letter[use], cp[use], np.uint32(1)).astype(np.uint64)
+        word = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
+        first = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
+        within = (np.arange(len(word)) - np.repeat(first, n + 1)).astype(np.int32)
+        mul, h = np.uint64(0x9E3779B97F4A7C15), char + np.uint64(7)
+        for order in ORDERS:
+            if order > 1:
+                h = np.concatenate((np.zeros(1, np.uint64), h[:-1]))
+                h[within == 0] = 3  # the opening mark
+                h = h * mul + char
+            ok = (within + 2 >= order) if order > 1 else letter[use]
+            yield word[ok], (mix(h[ok] + np.uint64(order)) % np.uint64(buckets)).astype(np.int32)
+
     text = np.searchsorted(begin, start, side="right") - 1
-    return text, start - begin[text], stop - begin[text], n, kind[start].astype(np.int64) - 1, np.concatenate(owner), np.concatenate(grams)
+    return text, start - begin[text], stop - begin[text], n, kind[start].astype(np.int64) - 1, grams() if len(n) else iter(())
+
+
+def parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) of about PART_CHARS characters each."""
+    at, chars = 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t)
+        if chars >= PART_CHARS or i == len(texts) - 1:
+            yield at, texts[at : i + 1]
+            at, chars = i + 1, 0
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000, buckets: int = 1 << 16, penalty: float = 12.0) -> Model:
@@ -99,12 +111,17 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         scripts, total, seen = script_of(), {}, {}
         for whole in batches:
             for batch in slices(whole, "text"):
-                langs = np.array(batch.column("lang").to_pylist(), object)
-                text, _, _, n, script, owner, gram = words(texts_of(batch, "text"), scripts, buckets)
-                for lang in set(langs):
-                    mine = langs[text] == lang if len(text) else np.zeros(0, bool)
-                    total[lang] = total.get(lang, 0) + np.bincount(gram[mine[owner]], minlength=buckets)
-                    seen[lang] = seen.get(lang, 0) + np.bincount(script[mine], n[mine], minlength=len(NAMES))
+                all_langs = np.array(batch.column("lang").to_pylist(), object)
+                for first, some in parts(texts_of(batch, "text")):
+                    langs = all_langs[first : first + len(some)]
+                    text, _, _, n, script, grams = words(some, scripts, buckets)
+                    own = {lang: langs[text] == lang for lang in set(langs)}
+                    for lang, mine in own.items():
+                        seen[lang] = seen.get(lang, 0) + np.bincount(script[mine], n[mine], minlength=len(NAMES))
+                        total.setdefault(lang, np.zeros(buckets, np.int64))
+                    for owner, gram in grams:
+                        for lang, mine in own.items():
+                            total[lang] += np.bincount(gram[mine[owner]], minlength=buckets)
         if total:
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "grams": pa.array([total[k].astype("<i8").tobytes() for k in total], pa.binary()), "scripts": pa.array([seen[k].astype("<i8").tobytes() for k in total], pa.binary())})
 
@@ -163,19 +180,19 @@ def viterbi(text: np.ndarray, score: np.ndarray, texts: int, prior: np.ndarray,
 
 def label_texts(texts: list[str], model: Model, scripts: np.ndarray):
     """lang and score per text, and the spans (text, start, end, language number) of all texts."""
-    text, start, stop, n, script, owner, gram = words(texts, scripts, model.logp.shape[0])
-    k = len(model.langs)
-    score = np.zeros((len(text), k))
-    at = 0
-    while at < len(owner):  # in parts, so that the gathered rows stay small
-        to = min(len(owner), at + (1 << 20))
-        g = model.logp[gram[at:to]]
-        for j in range(k):
-            score[:, j] += np.bincount(owner[at:to], g[:, j], minlength=len(text))
-        at = to
-    score /= len(ORDERS)
-    fits = model.uses.T[script] if len(script) else np.zeros((0, k), bool)
-    score = np.where(fits.any(1, keepdims=True), np.where(fits, score, score.min(initial=0.0) - 100), 0.0)
+    k, got = len(model.langs), []
+    for first, some in parts(texts):
+        text, start, stop, n, script, grams = words(some, scripts, model.logp.shape[0])
+        score = np.zeros((len(text), k), np.float32)
+        for owner, gram in grams:
+            g = model.logp[gram]
+            for j in range(k):
+                score[:, j] += np.bincount(owner, g[:, j], minlength=len(text))
+        score /= len(ORDERS)
+        fits = model.uses.T[script]
+        score = np.where(fits.any(1, keepdims=True), np.where(fits, score, score.min(initial=0.0) - 100), 0).astype(np.float32)
+        got.append((text + first, start, stop, n, score))
+    text, start, stop, n, score = (np.concatenate(x) for x in zip(*got))
     path = viterbi(text, score, len(texts), model.prior, model.penalty)
     letters = np.zeros((len(texts), k))
     np.add.at(letters, (text, path), n)
@@ -206,7 +223,7 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lan
         for column in columns:
             done = []
             whole = pa.RecordBatch.from_arrays([column], ["text"])
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", GROUP_BYTES):
                 texts = texts_of(batch, "text")
                 if not model.langs:
                     lang, share, spans = ["und"] * len(texts), np.zeros(len(texts)), (np.empty(0, np.int64),) * 4
