@@ -14,12 +14,13 @@ from tenura.config import BLOCKED_SQL, MASK_TOKEN
 # Patterns of the personal data to find. Digits and spaces are meant in the Unicode
 # sense, so they are written as character properties.
 _D = r"\p{Nd}"
-_S = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_SPACES = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+_S = rf"[{_SPACES}]"
 NATIONAL_ID = rf"{_D}{{3}}\.?{_D}{{3}}\.?{_D}{{3}}-?{_D}{{2}}"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE = rf"\(?{_D}{{2}}\)?{_S}?{_D}{{4,5}}-?{_D}{{4}}"
-NAME = r"(?iu)(?:name|nome)[:\s]+[A-Z][a-z]+ [A-Z][a-z]+"
-MEMBER_ID = (r"(?i)member[_\s]?(?:id)?[:\s]+([A-Za-z0-9_-]+)", r"(?i)(MEM_\d+)")
+NAME = rf"(?iu)(?:name|nome)[:{_SPACES}]+[A-Z][a-z]+ [A-Z][a-z]+"
+MEMBER_ID = (rf"(?i)member[_{_SPACES}]?(?:id)?[:{_SPACES}]+([A-Za-z0-9_-]+)", rf"(?i)(MEM_{_D}+)")
 NUMBER = r"\d+(?:\.\d+)?"
 
 # Words that decide the intent of a question, in order of precedence.

@@ -7,11 +7,13 @@ and only the summed matrix (columns squared, times replicates) reaches the drive
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,11 +24,13 @@ from pyspark.sql import functions as F
 from tenura.config import TENURE_BINS, TENURE_LABELS, CausalSpec
 from tenura.errors import DataError
 from tenura.functions import as_ts, days_between, flag, hash_normal, hash_unit, round_dec, safe_div
-from tenura.functions.ordered import exact_percentiles
+from tenura.functions.ordered import exact_percentiles, percentile_rows
 from tenura.functions.stats import normal_quantile, p_of_z
 from tenura.operators.features import right_closed_bin, visits_before_end
 from tenura.session import checkpointed
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
+
 # ---- specification and data ------------------------------------------------------------------
 
 
@@ -348,7 +352,7 @@ def refute(df: DataFrame, key: str, spec: CausalSpec, placebo_limit: float = 0.0
         try:
             passed, e, p, text = known[name]()
             rows.append((name, bool(passed), e0, float(e), p, text))
-        except Exception as error:  # the report must show the failed test
+        except (DataError, np.linalg.LinAlgError) as error:  # the report must show the failed test; Spark's errors end it
             rows.append((name, False, e0, None, None, f"failed with {type(error).__name__}: {error}"))
     used.unpersist()
     return df.sparkSession.createDataFrame(
@@ -360,7 +364,7 @@ def sensitivity(df: DataFrame, key: str, spec: CausalSpec, strengths: Sequence[f
     """Effect after adjusting for a simulated confounder of growing strength; flags sign changes.
 
     All strengths are extra columns of one sum of products. The simulated variable is split at its
-    approximate median.
+    median.
     """
     t, y, x = spec.treatment, spec.outcome, list(spec.confounders)
     rows = df.select(key, *dict.fromkeys([t, y, *x])).dropna().persist()
@@ -370,7 +374,7 @@ def sensitivity(df: DataFrame, key: str, spec: CausalSpec, strengths: Sequence[f
     rows = rows.withColumns({f"_u{i}": F.lit(s) * F.col(t) + F.lit(s) * F.col(y) + F.lit(1 - 2 * s) * noise for i, s in enumerate(live)})
     names = [f"_u{i}" for i in range(len(live))]
     if names:
-        cuts = rows.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in names]).first()
+        cuts = {c: percentile_rows(rows, c, {"median": 0.5})[0]["median"] for c in names}
         rows = rows.withColumns({c: (F.col(c) > F.lit(float(cuts[c]))).cast("double") for c in names})
     cols = list(dict.fromkeys([t, *x, y])) + names
     g = gram(centered(rows, cols), cols)[0]

@@ -98,6 +98,8 @@ def keep_known_actions(df: DataFrame, aliases: Mapping[str, str] = ACTION_ALIASE
 def merge_reenrollments(spells: DataFrame, window_days: int = 30, tie: str = "load_id") -> DataFrame:
     """Join membership spells of a member when the next starts at most ``window_days`` after a cancel.
 
+    The cancel that counts is the latest of all earlier spells, so a short spell inside a long one does not end it.
+    An open spell does: the next one starts anew.
     The merged spell has the earliest join date, the latest cancel date (none while it is open)
     and the attributes of its first spell. Spells that start on the same day are combined before
     the window (open if one of them is), so a member's window holds at most one row per calendar
@@ -109,8 +111,9 @@ def merge_reenrollments(spells: DataFrame, window_days: int = 30, tie: str = "lo
         F.min("join_date").alias("join_date"), F.when(~open_end, F.max("cancel_date")).alias("cancel_date"),
         F.min_by(F.struct(*rest), F.col(tie)).alias("_rest"))
     by_member = Window.partitionBy("member_id").orderBy("join_date")
-    previous = F.lag("cancel_date").over(by_member)
-    starts = ~F.coalesce(days_between(F.col("join_date"), previous) <= window_days, F.lit(False))
+    latest = F.max("cancel_date").over(by_member.rowsBetween(Window.unboundedPreceding, -1))
+    was_open = F.lag("cancel_date").over(by_member).isNull()
+    starts = was_open | ~F.coalesce(days_between(F.col("join_date"), latest) <= window_days, F.lit(False))
     merged = (daily.withColumn("_start", starts.cast("int"))
               .withColumn("_island", F.sum("_start").over(
                   by_member.rowsBetween(Window.unboundedPreceding, 0)))

@@ -1,18 +1,20 @@
 """Kaplan-Meier curves, log-rank tests, Cox and accelerated-failure-time models.
 
-Durations are rounded to a tenth of a month, so the number of distinct times is bounded by the
-calendar (1,200 per century), however many members there are. Every estimator first reduces
+Durations count as they are given. Those of ``survival_frame`` are tenths of a month, so their number is
+bounded by the calendar (1,200 per century), however many members there are. Every estimator first reduces
 members to sums per distinct time; only those tables are ordered, or reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from tenura.functions import as_ts, days_between, round_dec, safe_div
 from tenura.functions.ordered import range_edges
 from tenura.functions.stats import chi2_1_p, normal_quantile, p_of_z
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
+
 MAX_TIMES = 100_000
 
 
@@ -33,14 +37,9 @@ def survival_frame(members: DataFrame, ref, month_days: float = 30.44) -> DataFr
         "duration": round_dec(days / F.lit(month_days), 1)}).filter("duration > 0")
 
 
-def on_grid(frame: DataFrame, digits: int = 1) -> DataFrame:
-    """Durations on a fixed grid, which bounds the number of distinct times whatever was passed in."""
-    return frame.withColumn("duration", F.round("duration", digits))
-
-
 def time_table(frame: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
     """Events, censored and at-risk counts per distinct time (and stratum)."""
-    counts = on_grid(frame).groupBy(*strata, "duration").agg(F.sum("event").alias("events"), F.count("*").alias("_n"))
+    counts = frame.groupBy(*strata, "duration").agg(F.sum("event").alias("events"), F.count("*").alias("_n"))
     later = Window.partitionBy(*strata).orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
     return counts.select(*strata, "duration", "events", (F.col("_n") - F.col("events")).alias("censored"),
                          F.sum("_n").over(later).alias("at_risk"))
@@ -72,7 +71,7 @@ def median_survival(curves: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
 
 def log_rank(frame: DataFrame, in_a: Column) -> DataFrame:
     """Log-rank test of the rows where ``in_a`` holds against all others."""
-    counts = on_grid(frame).groupBy("duration").agg(
+    counts = frame.groupBy("duration").agg(
         F.sum("event").alias("d"), F.count("*").alias("c"),
         F.sum(F.when(in_a, F.col("event")).otherwise(0)).alias("d1"), F.count_if(in_a).alias("c1"))
     later = Window.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
@@ -200,7 +199,7 @@ def _baseline(times, sums) -> tuple[np.ndarray, np.ndarray]:
 def cox_with_coefficients(frame: DataFrame, features: Sequence[str], coef: Sequence[float]) -> CoxModel:
     """A model with given coefficients; only the Breslow baseline is estimated (two aggregations)."""
     beta = np.asarray(coef, dtype=float)
-    frame = on_grid(frame)
+    frame = frame
     center = _means(frame, features)
     times, sums = _sums_by_time(frame, features, beta, center, second=False)
     t, h = _baseline(times, sums)
@@ -224,7 +223,7 @@ def fit_cox(frame: DataFrame, features: Sequence[str], penalizer: float = 0.01,
     them first. Rows with a null covariate must be dropped or filled before.
     """
     features = list(features)
-    rows = on_grid(frame.select("duration", "event", *features)).dropna().persist()
+    rows = frame.select("duration", "event", *features).dropna().persist()
     try:
         center = _means(rows, features)
         p, beta = len(features), np.zeros(len(features))
@@ -278,7 +277,7 @@ def concordance(frame: DataFrame, risk: Column, bins: int = 256) -> DataFrame:
     inside one range, which bounds the error by half of it. Work on the pairs is a grid of
     distinct times by ranges, filled by two running totals.
     """
-    rows = on_grid(frame.select("duration", "event", risk.cast("double").alias("_r"))).dropna()
+    rows = frame.select("duration", "event", risk.cast("double").alias("_r")).dropna()
     few = [0.0] * (bins + 1)
     if rows.agg(F.approx_count_distinct("_r")).first()[0] <= 1.2 * bins:  # only then is a distinct worth its shuffle
         few = [r["_r"] for r in rows.select("_r").distinct().limit(bins + 1).collect()]
@@ -324,7 +323,7 @@ def schoenfeld_residuals(model: CoxModel, frame: DataFrame) -> DataFrame:
     names = [f"_mean_{i}" for i in range(len(model.features))]
     rows = [(float(t), *map(float, m)) for t, m, d in zip(model.tables["times"], model.tables["means"], model.tables["events"]) if d]
     means = spark.createDataFrame(rows, "duration double, " + ", ".join(f"{n} double" for n in names))
-    events = on_grid(frame.filter("event = 1").dropna(subset=model.features))
+    events = frame.filter("event = 1").dropna(subset=model.features)
     out = [(F.col(f).cast("double") - F.lit(float(c)) - F.col(n)).alias(f"resid_{f}") for f, c, n in zip(model.features, model.center, names)]
     keep = [c for c in ("member_id",) if c in frame.columns]
     return events.join(means, "duration").select(*keep, "duration", *out)
@@ -429,7 +428,7 @@ def _aft_sums(rows: DataFrame, features: list[str], family: str, beta: np.ndarra
 
 
 def fit_aft(frame: DataFrame, features: Sequence[str], family: str, max_iter: int = 60, tol: float = 1e-7) -> AftModel:
-    """Accelerated-failure-time regression by Newton's method; rows stay in the tasks."""
+    """Accelerated-failure-time regression by Newton's method; rows stay in the tasks. A fit that does not converge is an error."""
     if family not in AFT_FAMILIES:
         raise DataError(f"unknown family {family!r}")
     features = list(features)
@@ -441,10 +440,14 @@ def fit_aft(frame: DataFrame, features: Sequence[str], family: str, max_iter: in
         theta = np.zeros(len(features) + 2)
         theta[0], theta[-1] = start["m"], math.log(max(start["s"], 1e-3))
         ll, grad, hess = _aft_sums(rows, features, family, theta[:-1], theta[-1])
+        converged = False
         for _ in range(max_iter):
             h = -hess
             low = np.linalg.eigvalsh(h)[0]
             step = np.linalg.solve(h + (max(0.0, 1e-6 - low) + (abs(low) if low < 0 else 0.0)) * np.eye(len(theta)), grad)
+            if low > 0 and abs(grad @ step) <= 1e-10 * max(1.0, abs(ll)):
+                converged = True  # what a full step could still gain
+                break
             for _ in range(25):
                 new = theta + step
                 trial = _aft_sums(rows, features, family, new[:-1], new[-1])
@@ -455,7 +458,10 @@ def fit_aft(frame: DataFrame, features: Sequence[str], family: str, max_iter: in
                 break
             theta, (ll, grad, hess) = new, trial
             if np.max(np.abs(step)) < tol:
+                converged = True
                 break
+        if not converged:
+            raise DataError(f"the {family} fit did not converge in {max_iter} steps")
     finally:
         rows.unpersist()
     return AftModel(family, features, theta[:-1], float(theta[-1]), float(ll), int(start["n"]))

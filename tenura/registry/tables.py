@@ -154,9 +154,10 @@ LAST = """lastrow AS (SELECT * EXCLUDE rn FROM (SELECT *, ROW_NUMBER() OVER (PAR
   FROM parsed) WHERE rn = 1)"""
 REPAIRED = """repaired AS (SELECT * REPLACE (CASE WHEN contract_source IN ('regular','aggregator') THEN contract_source ELSE 'regular' END AS contract_source,
   CASE WHEN plan_type IS NOT NULL AND plan_type NOT IN ('basic','standard','premium','aggregator_standard') THEN 'basic' ELSE plan_type END AS plan_type) FROM lastrow)"""
-SPELLS = f"""daily AS (SELECT member_id, o_orderdate AS join_date, CASE WHEN NOT BOOL_OR(o_orderstatus = 'O') THEN MAX(o_orderdate + INTERVAL 60 DAY) END AS cancel_date,
+SPELLS = f"""daily AS (SELECT member_id, o_orderdate AS join_date, CASE WHEN NOT BOOL_OR(o_orderstatus = 'O') THEN MAX(o_orderdate + to_days(CAST(5 + load_id % 400 AS INT))) END AS cancel_date,
   ARG_MIN(load_id, load_id) AS load_id FROM (SELECT o_custkey AS member_id, o_orderdate, o_orderstatus, o_orderkey AS load_id FROM orders) GROUP BY 1, 2),
-marked AS (SELECT *, CASE WHEN date_diff('day', LAG(cancel_date) OVER w, join_date) <= 30 THEN 0 ELSE 1 END AS st FROM daily WINDOW w AS (PARTITION BY member_id ORDER BY join_date)),
+marked AS (SELECT *, CASE WHEN NOT EXISTS (SELECT 1 FROM daily e WHERE e.member_id = d.member_id AND e.join_date < d.join_date AND e.cancel_date >= d.join_date - INTERVAL 30 DAY)
+    OR (SELECT ARG_MAX(e.cancel_date IS NULL, e.join_date) FROM daily e WHERE e.member_id = d.member_id AND e.join_date < d.join_date) THEN 1 ELSE 0 END AS st FROM daily d),
 isl AS (SELECT *, SUM(st) OVER (PARTITION BY member_id ORDER BY join_date) AS island FROM marked)"""
 
 
@@ -220,7 +221,7 @@ NOT BOOL_OR(cancel_date IS NULL) AS churned, COUNT(*) AS n_spells, ARG_MIN(load_
 def _(t):
     spells = t.base("orders").select(
         F.col("o_custkey").alias("member_id"), F.col("o_orderdate").alias("join_date"),
-        F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.expr("interval 60 days")).alias("cancel_date"),
+        F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.expr("make_dt_interval(cast(5 + o_orderkey % 400 as int))")).alias("cancel_date"),
         F.col("o_orderkey").alias("load_id"))
     return clean.merge_reenrollments(spells)
 

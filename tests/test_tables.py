@@ -81,6 +81,11 @@ def test_reenrollment_boundary_and_open_spell(spark):
     assert clean.merge_reenrollments(spells(spark, (100, None), (30, 10))).count() == 2  # still open
 
 
+def test_reenrollment_of_nested_spells(spark):
+    got = clean.merge_reenrollments(spells(spark, (300, 150), (270, 260), (141, None))).collect()
+    assert [(r["join_date"], r["cancel_date"], r["n_spells"]) for r in got] == [(day(300), None, 3)]
+
+
 def test_keep_last_and_unknown_mode(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, None), (2, 1, "x")], "k int, seq int, v string")
     assert {tuple(r) for r in clean.keep_last(df, ["k"], ["seq"]).collect()} == {(1, 3, "c"), (2, 1, "x")}
