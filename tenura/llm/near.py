@@ -16,11 +16,14 @@ by_value(__name__)
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, LEAST = 5, 75
-#: Coordinates of a signature. Documents are posted under the first POSTED of them; of these, similar documents share
-#: SHARED at least (a binomial with 0.75 falls below once in 10^9), so the rest of the posts, POSTED - SHARED + 1, must hold one.
-COORDINATES, POSTED, SHARED = 128, 64, 26
-#: Coordinates of the whole signature that must agree for a pair to be verified (missed once in 10^9).
-MATCHES = 64
+#: Coordinates that documents are posted under. Of these, similar documents share SHARED at least (a binomial with 0.75
+#: falls below once in 10^9), so POSTED - SHARED + 1 of them, whichever all agree on, must hold a shared one.
+POSTED, SHARED = 64, 26
+#: Coordinates of the longer signature by which members of a list are compared, and how many of them must agree for a
+#: pair to be verified (similar ones have fewer once in 10^9).
+COORDINATES, MATCHES = 384, 237
+#: Parts of the hash range in which the shared shingles of two sets are compared by number.
+PARTS = 128
 #: Members of a list that one task compares with each other.
 BLOCK = 2048
 #: Bits of the filter that picks the documents whose sets are needed, at most.
@@ -38,7 +41,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     A text of fewer than WORDS words has its whole sequence as its only shingle.
     """
     data, ends = flat_bytes(texts)
-    h, starts, _ = word_hashes(data)
+    h, starts, _, _ = word_hashes(data)
     bounds = np.concatenate(([0], np.searchsorted(starts, ends)))
     base = np.uint64(BASE)
     n = len(h)
@@ -78,7 +81,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, id, sequence digest, n_shingles and signature of each row; nothing of the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = multipliers(COORDINATES)
+        odd = multipliers(POSTED)
         for whole in batches:
             for batch in slices(whole, "text"):
                 digests, sets = shingles(texts_of(batch, "text"))
@@ -103,7 +106,7 @@ def posts(classes: DataFrame) -> DataFrame:
         mark = np.arange(POSTED, dtype=np.uint64) << np.uint64(32)
         for b in batches:
             if b.num_rows:
-                sig = np.frombuffer(b"".join(x[: 4 * POSTED] for x in b.column("sig").to_pylist()), "<u4").reshape(-1, POSTED)
+                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(-1, POSTED)
                 yield pa.RecordBatch.from_arrays([pa.array((sig | mark).astype(np.int64).ravel()), pa.array(np.repeat(b.column("id").to_numpy(), POSTED))], ["token", "id"])
 
     tokens = classes.select("id", "sig").mapInArrow(run, "token bigint, id bigint")
@@ -112,23 +115,26 @@ def posts(classes: DataFrame) -> DataFrame:
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
-    """id, and the tokens it is posted under."""
-    of = posts(classes).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    """id, the tokens it is posted under, and its weight: how many classes share its tokens, all told."""
+    of = posts(classes).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"), F.sum("df").alias("weight"))
     most = F.lit(POSTED - SHARED + 1) - (F.lit(POSTED) - F.size("t"))  # the tokens of its own come first
-    return of.where(most > 0).select("id", F.slice("t", F.lit(1), most)["token"].alias("tokens"))
+    return of.where(most > 0).select("id", F.slice("t", F.lit(1), most)["token"].alias("tokens"), "weight")
+
 
+def leaders(posted: DataFrame) -> DataFrame:
+    """(a, b): each posted class with the one that leads most of its lists.
 
-def leaders(lists: DataFrame) -> DataFrame:
-    """(a, b): each posted class with the class of least id that it shares most posts with as that list's leader."""
-    first = lists.groupBy("token").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1").drop("df")
-    pairs = lists.join(first, "token").where("a < id").groupBy("id", "a").count()
-    return pairs.groupBy("id").agg(F.max(F.struct("count", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m")["minus"]).alias("a"), F.col("id").alias("b"))
+    A list is led by its member of the greatest weight: the text that most copies were made from, not one of the edited ones.
+    """
+    lists = posted.select("id", "weight", F.explode("tokens").alias("token"))
+    best = F.max(F.struct("weight", (-F.col("id")).alias("minus")))
+    first = lists.groupBy("token").agg(best.alias("m"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", (-F.col("m")["minus"]).alias("a"), F.col("m")["weight"].alias("w"))
+    pairs = lists.join(first, "token").where("a != id").groupBy("id", "a").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
+    return pairs.groupBy("id").agg(F.max(F.struct("n", "w", "a")).alias("m")).select(F.col("m")["a"].alias("a"), F.col("id").alias("b"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar: 100 * intersection >= LEAST * union."""
-    ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
-    sets = shingle_sets(docs, ids, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,40 +193,96 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         label = new.drop("was")
 
 
-def remaining(lists: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes in one list, still in different components, with MATCHES equal coordinates and sizes that fit.
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(id, shared): for each of PARTS parts of the hash range, how many shingles of the set are also in a set of another component (root).
+
+    The intersection with any of those is at most the sum of the smaller numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "set"):
+                each = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column("set")]
+                size = [len(x) for x in each]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in ("id", "root")] + [pa.array(np.concatenate(each))], ["id", "root", "shingle"])
+
+    each = sets.mapInArrow(run, "id bigint, root bigint, shingle bigint")
+    apart = saved(each.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("shingle"), "apart")
+    part = F.shiftrightunsigned("shingle", 5).bitwiseAND(F.lit(PARTS - 1)).cast("smallint")
+    found = each.join(apart, "shingle").groupBy("id").agg(F.collect_list(part).alias("parts"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = [np.bincount(x.values.to_numpy(), minlength=PARTS).astype("<u2").tobytes() for x in b.column("parts")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pc.list_value_length(b.column("parts")).cast(pa.int64()), pa.array(size, pa.binary())], ["id", "all", "shared"])
+
+    return found.mapInArrow(counted, "id bigint, all bigint, shared binary")
+
+
+def long_signatures(sets: DataFrame) -> DataFrame:
+    """(id, sig): the lowest bytes of COORDINATES least values; equal values have equal bytes, so none that agree are missed."""
 
-    Lists whose members are all in one component need nothing more. In the others, blocks of members are compared by their
-    signatures inside a task; a list longer than a block is spread over pairs of blocks. Only pairs that agree come out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = multipliers(COORDINATES)
+        for b in batches:
+            sig = [signature(np.frombuffer(x.as_buffer(), "<u8"), odd).astype(np.uint8).tobytes() for x in b.column("set")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sig, pa.binary())], ["id", "sig"])
+
+    return sets.mapInArrow(run, "id bigint, sig binary")
+
+
+def remaining(posted: DataFrame, classes: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes in one list, still in different components, that may be similar.
+
+    Lists whose members are all in one component need nothing more. In the others, blocks of members are compared inside a
+    task; a list longer than a block is spread over pairs of blocks. A pair comes out if its sizes fit, if their
+    shingles that are in sets of other components are many enough in each part of the hash range, and if MATCHES coordinates
+    agree; of the lists that a pair has in common, the one with the least token gives it.
     """
+    lists = posted.select("id", F.explode("tokens").alias("token"))
     open_lists = lists.join(roots, "id").groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 != r1")
     few = open_lists.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = lists.join(few, "token").join(roots, "id").withColumn("part", part)
+    members = saved(lists.join(few, "token").join(roots, "id").select("token", "id", "root", "blocks", part.alias("part")), "members")
+    sets = sets.join(members.select("id", "root").distinct(), "id")
+    able = shared_sizes(sets)
+    able = able.join(classes.select("id", "n"), "id").where(F.col("all") * 100 >= F.col("n") * LEAST).drop("all")
+    facts = saved(long_signatures(sets).join(able, "id").join(posted.select("id", "tokens"), "id"), "facts")
     # block i meets every block j >= i once; a member of block p goes to (p, j) for j >= p and to (i, p) for i < p
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = members.select("token", "id", "root", "part", other.alias("o")).select("token", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "id", "root")
-    ready = cells.join(classes.select("id", "n", "sig"), "id")
-    schema = "a bigint, b bigint"
+    cells = members.join(facts.select("id"), "id").select("token", "id", "root", "part", other.alias("o"))
+    ready = cells.select("token", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "id", "root").join(facts, "id")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         ids, root, part, n = (table.column(c).to_numpy() for c in ("id", "root", "part", "n"))
-        sig = np.frombuffer(b"".join(x[::4] for x in table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        shared = np.frombuffer(b"".join(table.column("shared").to_pylist()), "<u2").reshape(len(ids), -1)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        token, tokens = key[0].as_py(), table.column("tokens").combine_chunks()
+        size = np.diff(tokens.offsets.to_numpy())
+        grid = np.full((len(ids), size.max(initial=1)), np.iinfo(np.int64).min)  # a number that is no token
+        grid[np.arange(grid.shape[1]) < size[:, None]] = tokens.flatten().to_numpy()
         a, b = [], []
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        if (root == root[0]).all():
+            left = left[:0]
         for x in left:
             y = right[(root[right] != root[x]) & (100 * np.minimum(n[right], n[x]) >= LEAST * np.maximum(n[right], n[x]))]
             if i == j:
                 y = y[y > x]
+            if len(y):
+                most = np.minimum(shared[y], shared[x]).sum(1, dtype=np.int64)
+                y = y[100 * most >= LEAST * (n[y] + n[x] - most)]
             if len(y):
                 y = y[(sig[y] == sig[x]).sum(1) >= MATCHES]
+                common = np.isin(grid[y], grid[x, : size[x]])
+                y = y[np.where(common, grid[y], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == token]
                 a.extend([ids[x]] * len(y))
                 b.extend(ids[y])
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return ready.groupBy("token", "i", "j").applyInArrow(run, schema).distinct()
+    return ready.groupBy("token", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,14 +305,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = saved(known.groupBy("words").agg(F.min("id").alias("rep")), "reps")
     first = known.join(reps, "words").where("id = rep").groupBy("id").agg(F.max(F.struct("words", "n", "sig")).alias("c"))
     classes = saved(first.select("id", "c.n", "c.sig"), "classes")
-    lists = saved(prefixes(classes).select("id", F.explode("tokens").alias("token")), "lists")
-    links = saved(confirmed(leaders(lists), docs, id_col, text_col), "links")
-    nodes = saved(lists.select("id").distinct(), "nodes")
+    posted = saved(prefixes(classes), "posted")
+    nodes = posted.select("id")
+    sets = shingle_sets(docs, nodes, id_col, text_col)
+    links = saved(confirmed(leaders(posted), sets), "links")
     roots = saved(components(nodes, links), "roots")
-    more = saved(remaining(lists, classes, roots), "more")
+    more = saved(remaining(posted, classes, roots, sets), "more")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, docs, id_col, text_col))
-        roots = saved(components(nodes, links), "roots")
+        roots = saved(components(nodes, links.unionByName(confirmed(more, sets))), "roots")
     words = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("words", F.coalesce("root", "rep").alias("component_id"))
     out = rows.join(words, "words", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
