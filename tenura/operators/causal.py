@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tenura.config import TENURE_BINS, TENURE_LABELS, CausalSpec
 from tenura.errors import DataError
 from tenura.functions import as_ts, days_between, flag, hash_normal, hash_unit, round_dec, safe_div
-from tenura.functions.ordered import exact_percentiles, percentile_rows
+from tenura.functions.ordered import exact_percentiles, percentile_rows, range_edges
 from tenura.functions.stats import normal_quantile, p_of_z
 from tenura.operators.features import right_closed_bin, visits_before_end
 from tenura.session import checkpointed
@@ -231,34 +231,73 @@ def weighted_ate(scored: DataFrame, treatment: str, outcome: str, score: str = "
     return Effect(m["1"] - m["0"], math.sqrt(max(var, 0.0)), r["n"], "propensity_score_weighting")
 
 
-def matched_ate(scored: DataFrame, treatment: str, outcome: str, score: str = "propensity", digits: int = 4) -> DataFrame:
-    """Nearest-neighbour matching with replacement on the propensity score, both directions.
+def _nearest(points: DataFrame, ranges: int | None) -> DataFrame:
+    """Add for both arms the nearest score with members of it, this score included (``m1``, ``m0``) or not (``o1``, ``o0``).
 
-    Scores are matched on a grid of ``10**-digits``; all members of the nearest grid point are
-    averaged, the lower point on equal distance. Members collapse to one row per grid point (at
-    most ``10**digits + 1``), and only those rows are ordered.
+    Only ranges of scores meet in one task; what lies beyond a range's ends is carried from the other ranges, whose
+    number follows the square root of the scores.
     """
-    if digits > 5:
-        raise DataError("the score grid may have at most 5 digits")
-    y, t = F.col(outcome).cast("double"), F.col(treatment) == 1
-    pts = scored.groupBy(F.round(F.col(score) * 10**digits).cast("int").alias("g")).agg(
-        F.count_if(t).alias("nt"), F.count_if(~t).alias("nc"), F.avg(F.when(t, y)).alias("yt"), F.avg(F.when(~t, y)).alias("yc"))
-    up = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy("g").rowsBetween(0, Window.unboundedFollowing)
-
-    def nearest(n: str, v: str) -> Column:
-        point = F.when(F.col(n) > 0, F.struct("g", F.col(v).alias("y")))
-        a, b = F.last(point, ignorenulls=True).over(up), F.first(point, ignorenulls=True).over(down)
-        closer = F.when(b.isNull() | (F.col("g") - a["g"] <= b["g"] - F.col("g")), a["y"]).otherwise(b["y"])
-        return F.when(a.isNull(), b["y"]).otherwise(closer)
-
-    m = pts.withColumns({"mt": nearest("nt", "yt"), "mc": nearest("nc", "yc")})
-    gain = F.when(F.col("nt") > 0, F.col("nt") * (F.col("yt") - F.col("mc"))).otherwise(0.0) + \
-        F.when(F.col("nc") > 0, F.col("nc") * (F.col("mt") - F.col("yc"))).otherwise(0.0)
-    treated_gain = F.when(F.col("nt") > 0, F.col("nt") * (F.col("yt") - F.col("mc"))).otherwise(0.0)
-    return m.agg(round_dec(F.sum(gain) / F.sum(F.col("nt") + F.col("nc")), 8).alias("effect"),
-                 round_dec(safe_div(F.sum(treated_gain), F.sum("nt")), 8).alias("effect_on_treated"),
-                 F.sum(F.col("nt") + F.col("nc")).alias("n"))
+    k = ranges or 1 + math.isqrt(points.count()) // 16
+    edges = range_edges(points, "g", k)
+    cut = points.withColumn("_b", F.lit(0.0)) if not edges else Bucketizer(
+        splits=[float("-inf"), *edges, float("inf")], inputCol="g", outputCol="_b").transform(points)
+    point = lambda arm: F.when(F.col(f"n{arm}") > 0, F.struct("g", F.col(f"y{arm}").alias("y"), F.col(f"n{arm}").alias("n")))
+    ends = cut.groupBy("_b").agg(*[f(point(arm)).alias(f"_{name}{arm}") for arm in "10" for name, f in (("last", F.max), ("first", F.min))])
+    before, after = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select("_b", *[F.last(f"_last{arm}", ignorenulls=True).over(before).alias(f"_below{arm}") for arm in "10"],
+                          *[F.first(f"_first{arm}", ignorenulls=True).over(after).alias(f"_above{arm}") for arm in "10"])
+    own = Window.partitionBy("_b").orderBy("g")
+    out = cut.join(F.broadcast(carried), "_b")  # at most one row per range
+
+    def closest(arm: str, strict: int) -> Column:
+        a = F.coalesce(F.last(point(arm), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -strict)), F.col(f"_below{arm}"))
+        b = F.coalesce(F.first(point(arm), ignorenulls=True).over(own.rowsBetween(strict, Window.unboundedFollowing)), F.col(f"_above{arm}"))
+        return F.when(a.isNull() | (b["g"] - F.col("g") < F.col("g") - a["g"]), b).otherwise(a)
+
+    return out.select(*points.columns, *[closest(arm, strict).alias(f"{name}{arm}") for arm in "10" for name, strict in (("m", 0), ("o", 1))])
+
+
+def matched_ate(scored: DataFrame, treatment: str, outcome: str, score: str = "propensity", ranges: int | None = None) -> DataFrame:
+    """Nearest-neighbour matching with replacement on the propensity score, both directions, with its standard error.
+
+    All members of the other arm at the nearest score are averaged, the lower score on equal distance. The error is
+    Abadie and Imbens' for matching: the spread of the single effects, and the variance of each outcome (among members of its arm
+    at its score, or against the nearest such score) by how often the member was used. It is null where an arm has
+    only one member. Members collapse to one row per score, and ``ranges`` of scores only balance the work. Members
+    without treatment, outcome or score are left out.
+    """
+    y, t = F.col(outcome).cast("double"), F.col(treatment).cast("double")
+    rows = scored.select(F.col(score).cast("double").alias("g"), t.alias("t"), y.alias("y")).dropna()
+    arms = (("1", F.col("t") == 1), ("0", F.col("t") != 1))
+    points = rows.groupBy("g").agg(*[a for arm, of in arms for a in (
+        F.count_if(of).alias(f"n{arm}"), F.avg(F.when(of, F.col("y"))).alias(f"y{arm}"),
+        F.coalesce(F.var_pop(F.when(of, F.col("y"))), F.lit(0.0)).alias(f"v{arm}"))]).persist()
+    try:
+        near = _nearest(points, ranges).persist()
+        used = [near.filter(f"n{other} > 0").groupBy(F.col(f"m{arm}")["g"].alias("g")).agg(F.sum(f"n{other}").alias(f"u{arm}"))
+                for arm, other in ("10", "01")]
+        both = near.join(used[0], "g", "left").join(used[1], "g", "left").fillna(0, ["u1", "u0"])
+        aggs = []
+        for arm, other, sign in (("1", "0", 1), ("0", "1", -1)):
+            n, v, u, o = F.col(f"n{arm}"), F.col(f"v{arm}"), F.col(f"u{arm}"), F.col(f"o{arm}")
+            gain = F.lit(sign) * (F.col(f"y{arm}") - F.col(f"m{other}")["y"])
+            var = F.when(n > 1, v * n / (n - 1)).otherwise(F.pow(F.col(f"y{arm}") - o["y"], 2) * o["n"] / (o["n"] + 1))
+            weight = u * u / n + 2 * u - u / n  # of the n members at the score together
+            here = lambda e: F.sum(F.when(n > 0, e))
+            aggs += [F.sum(n).alias(f"n{arm}"), here(n * gain).alias(f"s{arm}"), here(n * (gain * gain + v)).alias(f"ss{arm}"),
+                     here(F.when(u > 0, weight * var).otherwise(0.0)).alias(f"w{arm}"), F.count_if((n > 0) & (u > 0) & var.isNull()).alias(f"x{arm}")]
+        r = both.agg(*aggs).first()
+        near.unpersist()
+    finally:
+        points.unpersist()
+    if not r["n1"] or not r["n0"]:
+        raise DataError("one treatment arm is empty")
+    n = r["n1"] + r["n0"]
+    effect = (r["s1"] + r["s0"]) / n
+    var = (r["ss1"] + r["ss0"] - n * effect * effect + r["w1"] + r["w0"]) / n**2
+    se = None if r["x1"] or r["x0"] else round(math.sqrt(max(var, 0.0)), 8)
+    return scored.sparkSession.createDataFrame([(round(effect, 8), round(r["s1"] / r["n1"], 8), se, n)],
+                                               "effect double, effect_on_treated double, std_error double, n bigint")
 
 
 def estimate_ate(df: DataFrame, spec: CausalSpec, method: str = "propensity_score_weighting") -> Effect:
@@ -280,8 +319,7 @@ def _score_ate(df: DataFrame, spec: CausalSpec, method: str) -> Effect:
         return weighted_ate(scored, *args)
     if method == "propensity_score_matching":
         r = matched_ate(scored, *args).first()
-        spread = bootstrap_effects(df, "member_id", *args, spec.confounders, 100).std(ddof=1)
-        return Effect(r["effect"], float(spread), r["n"], method)
+        return Effect(r["effect"], float("nan") if r["std_error"] is None else r["std_error"], r["n"], method)
     raise DataError(f"unknown method {method!r}")
 
 

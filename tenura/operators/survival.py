@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tenura.errors import DataError
 from tenura.functions import as_ts, days_between, round_dec, safe_div
-from tenura.functions.ordered import range_edges
+from tenura.functions.ordered import prefix_sums, range_edges
 from tenura.functions.stats import chi2_1_p, normal_quantile, p_of_z
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
@@ -153,21 +153,8 @@ def _after(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a[::-1], axis=0)[::-1]
 
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(48)
-
-
-def _tie_weights(d: int, singular: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Fractions l/d and weights of Efron's sum over d tied events.
-
-    Long sums of a smooth function are taken by the Euler-Maclaurin rule, so millions of ties
-    at one time cost no more than a few dozen.
-    """
-    if d <= 2_000 or singular:
-        return np.arange(d) / d, np.ones(d)
-    h = 0.01  # step of the one-sided differences for the end-point slopes
-    k = 1 / (24 * d * h)
-    ends = [0.0, h, 2 * h, 1 - 2 * h, 1 - h, 1.0]
-    return np.concatenate([(_NODES + 1) / 2, ends]), np.concatenate([_WEIGHTS * d / 2, [0.5 + 3 * k, -4 * k, k, k, -4 * k, -0.5 + 3 * k]])
+#: Tied events whose terms of Efron's sum are held at once.
+TIES_AT_ONCE = 100_000
 
 
 def _likelihood(times, sums, beta: np.ndarray):
@@ -179,14 +166,17 @@ def _likelihood(times, sums, beta: np.ndarray):
     means = np.zeros((len(times), p))
     for k in np.flatnonzero(ev["n"]):
         d = int(ev["n"][k])
-        f, wt = _tie_weights(d, ev["w"][k] >= r0[k] * (1 - 1e-9))
-        phi = r0[k] - f * ev["w"][k]
-        m = (r1[k] - f[:, None] * ev["w1"][k]) / phi[:, None]
-        ll += float(ev["s1"][k] @ beta) - float(wt @ np.log(phi))
-        total = wt @ m
+        ll += float(ev["s1"][k] @ beta)
+        total = np.zeros(p)
+        for lo in range(0, d, TIES_AT_ONCE):
+            f = np.arange(lo, min(d, lo + TIES_AT_ONCE)) / d
+            phi = r0[k] - f * ev["w"][k]
+            m = (r1[k] - f[:, None] * ev["w1"][k]) / phi[:, None]
+            ll -= float(np.log(phi).sum())
+            total += m.sum(axis=0)
+            info += (1 / phi).sum() * r2[k] - (f / phi).sum() * ev["w2"][k] - m.T @ m
         grad += ev["s1"][k] - total
-        info += ((wt / phi).sum() * r2[k] - (wt * f / phi).sum() * ev["w2"][k]) - (m * wt[:, None]).T @ m
-        means[k] = total / wt.sum()
+        means[k] = total / d
     return ll, grad, info, means
 
 
@@ -268,35 +258,83 @@ def cox_summary(spark, model: CoxModel, alpha: float = 0.05) -> DataFrame:
                                        "ci_lower double, ci_upper double, log_likelihood double, partial_aic double")
 
 
-def concordance(frame: DataFrame, risk: Column, bins: int = 256) -> DataFrame:
-    """Concordance index from counts per (time, event, risk range).
+def _dominated(time: np.ndarray, risk: np.ndarray, n: np.ndarray, d: np.ndarray) -> float:
+    """Sum over rows of d times the n of all rows with a later time and a lower risk.
 
-    A pair counts when one member churned and the other was observed longer (or was censored at
-    the same time). Members of the same risk range count one half; with at most ``bins`` distinct
-    risks every range is one value and the result is exact. ``undecided`` is the share of pairs
-    inside one range, which bounds the error by half of it. Work on the pairs is a grid of
-    distinct times by ranges, filled by two running totals.
+    Two ranks differ first at one bit; for each bit, rows that agree above it are laid out latest first, and a
+    running total of those without the bit is read at the rows with it.
     """
-    rows = frame.select("duration", "event", risk.cast("double").alias("_r")).dropna()
-    few = [0.0] * (bins + 1)
-    if rows.agg(F.approx_count_distinct("_r")).first()[0] <= 1.2 * bins:  # only then is a distinct worth its shuffle
-        few = [r["_r"] for r in rows.select("_r").distinct().limit(bins + 1).collect()]
-    edges = sorted(few) if len(few) <= bins else range_edges(rows, "_r", bins)
-    splits = [float("-inf"), *[e for e in edges[1:]], float("inf")] if len(few) <= bins else [float("-inf"), *edges, float("inf")]
-    if len(splits) < 3:
-        rows = rows.withColumn("_b", F.lit(0))
-    else:
-        rows = Bucketizer(splits=splits, inputCol="_r", outputCol="_b").transform(rows).withColumn("_b", F.col("_b").cast("int"))
-    cells = rows.groupBy("duration", "_b").agg(F.count("*").alias("n"), F.sum("event").alias("d"))
-    grid = cells.select("duration").distinct().select("duration", F.explode(F.sequence(F.lit(0), F.lit(len(splits) - 2))).alias("_b"))
-    full = grid.join(cells, ["duration", "_b"], "left").fillna(0, ["n", "d"])
-    later = Window.partitionBy("_b").orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, -1)
-    longer = F.coalesce(F.sum("n").over(later), F.lit(0)) + F.col("n") - F.col("d")
-    lower = Window.partitionBy("duration").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    by_time = full.withColumn("_o", longer)
-    c = by_time.withColumns({"_lo": F.coalesce(F.sum("_o").over(lower), F.lit(0)), "_all": F.sum("_o").over(Window.partitionBy("duration"))})
-    one = c.agg(F.sum(F.col("d") * F.col("_lo").cast("double")).alias("c"), F.sum(F.col("d") * F.col("_o").cast("double")).alias("t"),
-                F.sum(F.col("d") * F.col("_all").cast("double")).alias("p"))
+    order = np.argsort(-time, kind="stable")
+    time, n, d = time[order], n[order].astype(float), d[order].astype(float)
+    rank = np.unique(risk[order], return_inverse=True)[1].astype(np.int64)
+    total = 0.0
+    for bit in range(int(rank.max()).bit_length() if len(rank) else 0):
+        by = np.argsort(rank >> (bit + 1), kind="stable")
+        group, t, high = rank[by] >> (bit + 1), time[by], (rank[by] >> bit) & 1
+        run = np.concatenate(([0.0], np.cumsum(np.where(high == 0, n[by], 0.0))))
+        new_group = np.concatenate(([True], group[1:] != group[:-1]))
+        new_time = new_group | np.concatenate(([True], t[1:] != t[:-1]))
+        at = np.arange(len(by))
+        before = run[np.maximum.accumulate(np.where(new_time, at, 0))] - run[np.maximum.accumulate(np.where(new_group, at, 0))]
+        total += float((np.where(high == 1, d[by], 0.0) * before).sum())
+    return total
+
+
+def _dominated_in(rows: pa.Table) -> pa.Table:
+    cols = [rows[c].to_numpy() for c in ("time", "risk", "n", "d")]
+    return pa.table({"c": pa.array([_dominated(*cols)], pa.float64())})
+
+
+def _blocks(df: DataFrame, col: str, ranges: int, out: str) -> DataFrame:
+    """Number of the value's range, below 2 * ranges and increasing with the value; an edge is a range of its own, with an even number."""
+    edges = range_edges(df, col, ranges)
+    if not edges:
+        return df.withColumn(out, F.lit(1))
+    df = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=col, outputCol=out).transform(df)
+    i = F.col(out).cast("int")
+    return df.withColumn(out, 2 * i + F.when(F.coalesce(F.get(F.lit(edges), i - 1) == F.col(col), F.lit(False)), 0).otherwise(1))
+
+
+def concordance(frame: DataFrame, risk: Column, ranges: int | None = None) -> DataFrame:
+    """Concordance index, exact for any number of distinct times and risks.
+
+    A pair counts when one member churned and the other was observed longer (or was censored at the same time); equal
+    risks count one half, and ``undecided`` is their share. Members collapse to one row per time and risk. Pairs of one
+    time, or of one risk, are running totals. The others lie in two ranges of time and two of risk (counted on the grid of
+    ranges), or share a range: those are counted inside one task each. The number of ranges follows the square root of the rows, so
+    both the ranges and the grid stay small; results do not depend on it. Rows with a null are left out; without
+    a pair the index is null.
+    """
+    spark = frame.sparkSession
+    rows = frame.select(F.col("duration").cast("double").alias("time"), "event", risk.cast("double").alias("risk")).dropna()
+    cells = rows.groupBy("time", "risk").agg(F.count("*").alias("n"), F.sum("event").cast("bigint").alias("d")).persist()
+    try:
+        k = ranges or 1 + math.isqrt(cells.count()) // 16
+        real = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+        d, n, free = F.col("d").cast("double"), F.col("n"), F.col("n") - F.col("d")
+        by_time = prefix_sums(cells.groupBy("time").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), F.col("time"), ["n"], ranges=k)
+        pairs = by_time.agg(real(d * (F.col("total_n") - F.col("cum_n") + free))).first()[0]
+        tied = prefix_sums(cells, F.col("time"), ["n"], ["risk"], ranges=k, null_keys=False).agg(
+            real(d * (F.col("total_n") - F.col("cum_n") + free))).first()[0]
+        good = prefix_sums(cells.withColumn("free", free), F.col("risk"), ["free"], ["time"], ranges=k, null_keys=False).agg(
+            real(d * (F.col("cum_free") - F.col("free")))).first()[0]
+        cut = _blocks(_blocks(cells, "time", k, "tb"), "risk", k, "rb")
+        # A range of one time or one risk holds no such pair, so only ranges of about equal size reach a task.
+        inside = lambda block, value: cut.filter(F.col(block) % 2 == 1).select(
+            block, "time", value.cast("double").alias("risk"), "n", "d").groupBy(block).applyInArrow(
+            _dominated_in, "c double").agg(real("c")).first()[0]
+        good += inside("rb", F.col("risk")) + inside("tb", F.col("rb"))
+        # Pairs of one range of risk were counted whole; of the grid only those of other ranges on both axes are left.
+        grid = cut.groupBy("tb", "rb").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+        ranged = F.explode(F.sequence(F.lit(0), F.lit(2 * k - 1)))
+        full = grid.select("tb").distinct().select("tb", ranged.alias("rb")).join(grid, ["tb", "rb"], "left").fillna(0, ["n", "d"])
+        later = Window.partitionBy("rb").orderBy(F.desc("tb")).rowsBetween(Window.unboundedPreceding, -1)
+        lower = Window.partitionBy("tb").orderBy("rb").rowsBetween(Window.unboundedPreceding, -1)
+        good += full.withColumn("_o", F.coalesce(F.sum("n").over(later), F.lit(0))).withColumn(
+            "_c", F.coalesce(F.sum("_o").over(lower), F.lit(0))).agg(real(d * F.col("_c"))).first()[0]
+    finally:
+        cells.unpersist()
+    one = spark.createDataFrame([(good, tied, pairs)], "c double, t double, p double")
     return one.select(round_dec(safe_div(F.col("c") + F.col("t") / 2, F.col("p")), 6).alias("concordance"),
                       F.col("p").cast("bigint").alias("pairs"), round_dec(safe_div(F.col("t"), F.col("p")), 6).alias("undecided"))
 

@@ -128,6 +128,13 @@ def _(t):
     return survival.concordance(frame(t), F.col("age"))
 
 
+@query("srv9_concordance_many_risks", f"""SELECT {R("SUM(CASE WHEN a.r > b.r THEN 1.0 WHEN a.r = b.r THEN 0.5 ELSE 0 END) / COUNT(*)", 6)} AS concordance, COUNT(*) AS pairs,
+{R("AVG(CAST(a.r = b.r AS DOUBLE))", 6)} AS undecided FROM rf a JOIN rf b ON a.event = 1 AND (b.duration > a.duration OR (b.duration = a.duration AND b.event = 0))""",
+       FRAME, "rf AS (SELECT duration, event, (member_id * 7919) % 997 AS r FROM sf)")
+def _(t):
+    return survival.concordance(frame(t), (F.col("member_id") * 7919) % 997)
+
+
 # A model with fixed coefficients, so that predictions can be stated in SQL.
 FIXED = {"is_aggregator": 0.4, "price50": -0.6}
 

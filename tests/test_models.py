@@ -64,10 +64,28 @@ def test_concordance_equals_all_pairs(frame):
         if a["event"] and (b["duration"] > a["duration"] or (b["duration"] == a["duration"] and not b["event"])):
             total += 1
             good += 1.0 if a["x"] > b["x"] else 0.5 if a["x"] == b["x"] else 0.0
-    exact = survival.concordance(frame, F.col("x"), bins=1_000).first()
-    assert exact["concordance"] == pytest.approx(good / total, abs=1e-6) and exact["pairs"] == total
-    rough = survival.concordance(frame, F.col("x"), bins=64).first()
-    assert abs(rough["concordance"] - good / total) <= rough["undecided"] / 2 + 1e-6
+    for ranges in (1, 9, None):
+        got = survival.concordance(frame, F.col("x"), ranges=ranges).first()
+        assert got["concordance"] == pytest.approx(good / total, abs=1e-6) and got["pairs"] == total
+
+
+@pytest.mark.parametrize("ranges", [1, 6, 40])
+def test_concordance_with_common_times_and_risks(spark, ranges):
+    rng = np.random.default_rng(5)
+    n = 400
+    time = np.where(rng.random(n) < 0.35, 7.25, np.round(rng.exponential(10, n), 2))
+    risk = np.where(rng.random(n) < 0.35, 0.5, np.round(rng.normal(size=n), 2))
+    event = (rng.random(n) < 0.5).astype(int)
+    rows = [(float(t), int(e), float(x)) for t, e, x in zip(time, event, risk)] + [(None, 1, 0.1), (3.0, 1, None)]
+    pair = (event[:, None] == 1) & ((time[None] > time[:, None]) | ((time[None] == time[:, None]) & (event[None] == 0)))
+    good = (pair & (risk[:, None] > risk[None])).sum() + (pair & (risk[:, None] == risk[None])).sum() / 2
+    got = survival.concordance(spark.createDataFrame(rows, "duration double, event int, x double"), F.col("x"), ranges=ranges).first()
+    assert got["pairs"] == pair.sum() and got["concordance"] == pytest.approx(good / pair.sum(), abs=1e-6)
+
+
+def test_concordance_without_pairs(spark):
+    got = survival.concordance(spark.createDataFrame([], "duration double, event int, x double"), F.col("x")).first()
+    assert got["pairs"] == 0 and got["concordance"] is None
 
 
 @pytest.mark.parametrize("family", survival.AFT_FAMILIES)
@@ -305,3 +323,30 @@ def test_stochastic_values_are_consistent(spark):
     got = allocate.evaluate_scenarios(s.allocation, allocate.sample_scenarios(cate, 6, 3), members).first()
     assert got["expected_mrr"] == pytest.approx(sum(s.scenario_values) / 6, abs=1e-3)
     assert got["robust_gap"] == pytest.approx(s.robust_gap, abs=1e-3)
+
+
+@pytest.mark.parametrize("ranges", [1, 5, None])
+def test_matching_equals_brute_force(spark, ranges):
+    rng = np.random.default_rng(11)
+    n = 120
+    p = np.where(rng.random(n) < 0.3, 0.375, rng.random(n).round(2))
+    t, y = (rng.random(n) < p).astype(int), rng.normal(size=n)
+    nearest = lambda i, arm: (lambda c: p == c)(min(set(p[t == arm]), key=lambda v: (abs(v - p[i]), v))) & (t == arm)
+    gain, k, k2, var = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in range(n):
+        m = nearest(i, 1 - t[i])
+        gain[i] = (y[i] - y[m].mean()) * (1 if t[i] else -1)
+        k += m / m.sum()
+        k2 += m / m.sum() ** 2
+        same = (t == t[i]) & (p == p[i])
+        if same.sum() > 1:
+            var[i] = y[same].var(ddof=1)
+        else:
+            other = (t == t[i]) & (p != p[i])
+            c = (t == t[i]) & (p == min(set(p[other]), key=lambda v: (abs(v - p[i]), v)))
+            var[i] = (y[i] - y[c].mean()) ** 2 * c.sum() / (c.sum() + 1)
+    se = math.sqrt(((gain - gain.mean()) ** 2).sum() + ((k**2 + 2 * k - k2) * var).sum()) / n
+    df = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(t, y, p)], "t int, y double, propensity double")
+    got = causal.matched_ate(df, "t", "y", ranges=ranges).first()
+    assert got["n"] == n and got["effect"] == pytest.approx(gain.mean(), abs=1e-7)
+    assert got["effect_on_treated"] == pytest.approx(gain[t == 1].mean(), abs=1e-7) and got["std_error"] == pytest.approx(se, abs=1e-7)
