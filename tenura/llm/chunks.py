@@ -1,8 +1,7 @@
-"""Repeated passages: content-defined chunks cut by a gear hash, found again by their digests."""
+"""Repeated passages: stretches of words found again by their digests, dealt out only where a sign in them repeats. ``cuts`` are content-defined chunks."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,19 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenura.llm.common import BASE, SPACE, by_value, mix, saved, slices, texts_of
+from tenura.llm.common import BASE, SPACE, by_value, flat_bytes, mix, saved, slices, texts_of
 
 by_value(__name__)
 
 #: A chunk has LEAST bytes or more, and about GAP more until a place where the hash cuts.
 LEAST, GAP = 12, 24
-#: Words of whole repeated chunks in a row that make a passage. The chunks at a passage's ends reach beyond it and
-#: do not repeat, so a passage of 50 words has about 37 in whole chunks.
+#: Words in a row that make a passage when they repeat.
 WORDS = 20
-#: Bits of the filter by which chunks without a copy are left out before the second exchange, at most.
+#: Bits of a filter by which stretches without a copy are left out before an exchange, at most.
 FILTER_BITS = 1 << 26
 
-CHUNK = "h1 bigint, h2 bigint, id bigint, row bigint, start bigint, end bigint, words bigint"
+GRAM = "h1 bigint, h2 bigint, id bigint, row bigint, word bigint, start bigint, end bigint"
 GEAR = mix(np.arange(256, dtype=np.uint64) * np.uint64(BASE) + np.uint64(1)).astype(np.uint32)
 
 
@@ -59,48 +57,143 @@ def cuts(data: np.ndarray) -> list[int]:
     return out
 
 
-def chunk_rows(ids: list, rows: np.ndarray, texts: list[str]) -> pa.RecordBatch:
-    """All chunks of the texts: digest, id, row, first and end character, words that begin in it."""
-    cols: list[list] = [[] for _ in range(5)]
-    heads = []
-    for i, text in enumerate(texts):
-        raw = text.encode("utf-8", "surrogatepass")
-        data = np.frombuffer(raw, np.uint8)
-        ends = np.array(cuts(data), np.int64)
-        if not len(ends):
-            continue
-        starts = np.concatenate(([0], ends[:-1]))
-        heads.append(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())))
-        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        white = SPACE[data]
-        begins = np.concatenate(([0], np.cumsum(~white & np.concatenate(([True], white[:-1])))))
-        for c, v in zip(cols, (np.full(len(ends), i), chars[starts], chars[ends], begins[ends] - begins[starts])):
-            c.append(v)
-    if not heads:
-        return pa.RecordBatch.from_pylist([], pa.schema([(c.split()[0], pa.int64()) for c in CHUNK.split(", ")]))
-    h = np.frombuffer(b"".join(heads), "<i8").reshape(-1, 2)
-    which, start, end, words = (np.concatenate(c) for c in cols[:4])
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(ids, pa.int64()).take(pa.array(which)), *(pa.array(np.asarray(x, np.int64)) for x in (rows[which], start, end, words))], [c.split()[0] for c in CHUNK.split(", ")])
-
-
-def chunks(docs: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
-    """CHUNK rows of ``docs`` (id, text); with ``keep`` only those whose digest passes that filter."""
-    shared = None if keep is None else docs.sparkSession.sparkContext.broadcast(keep)
+class Hashes:
+    """64-bit hashes of any byte ranges of one array, equal ranges alike wherever they stand (from sums of the bytes before each place)."""
+
+    def __init__(self, data: np.ndarray, seed: int):
+        base = (BASE + 2 * seed) | 1
+        table = mix(np.arange(256, dtype=np.uint64) + np.uint64(256 * seed + 1))
+        self.back = powers(pow(base, -1, 1 << 64), len(data) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * powers(base, len(data)), dtype=np.uint64)))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ... modulo 2^64: n of them."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def sliding(x: np.ndarray, width: int, take) -> np.ndarray:
+    """``take`` (np.minimum or np.maximum) over every ``width`` neighbours."""
+    n = len(x) - width + 1
+    out = x[:n].copy()
+    for i in range(1, width):
+        take(out, x[i : i + n], out=out)
+    return out
+
+
+class Grams:
+    """All stretches of ``n`` words of some texts, and for each its sign: the least hash among the stretches of about n / 2 words in it.
+
+    The sign depends on nothing but the stretch, so equal stretches have equal signs, whatever stands around them and however often their words
+    repeat. Words are split at white space; stretches are equal if their bytes are, white space between the words included.
+    """
+
+    def __init__(self, texts: list[str], n: int):
+        self.data, edges = flat_bytes(texts)
+        white = SPACE[self.data]
+        turn = np.flatnonzero(np.diff(np.concatenate(([True], white, [True])).view(np.int8)))
+        self.starts, self.ends = turn[0::2], turn[1::2]
+        self.text = np.searchsorted(edges, self.starts, side="right")
+        self.first_word = np.searchsorted(self.text, np.arange(len(texts)))
+        self.from_byte, self.n, short = np.concatenate(([0], edges)), n, max(1, n // 2)
+        self.least = np.empty(0, np.uint64)
+        if len(self.starts) >= n:
+            self.one = Hashes(self.data, 0)
+            self.short = self.one(self.starts[: len(self.starts) - short + 1], self.ends[short - 1 :])
+            self.wide = n - short + 1
+            self.least = sliding(self.short, self.wide, np.minimum)
+        m = len(self.least)
+        self.whole = self.text[:m] == self.text[n - 1 : n - 1 + m]  # within one text
+
+    def signs(self) -> np.ndarray:
+        """The hash at every place that is the least of some whole stretch, one for each place."""
+        if not self.whole.any():
+            return np.empty(0, np.uint64)
+        pad = np.zeros(self.wide - 1, np.uint64)
+        most = sliding(np.concatenate((pad, np.where(self.whole, self.least, np.uint64(0)), pad)), self.wide, np.maximum)
+        return self.short[most == self.short]
+
+    def anchors(self) -> np.ndarray:
+        """Stretches whose sign is at their first or last place: one of any n / 2 + 1 neighbours is, and equal stretches are so alike."""
+        m = len(self.least)
+        return (self.short[:m] == self.least) | (self.short[len(self.short) - m :] == self.least) if m else self.whole
+
+    def edges(self, own: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Stretches that are no anchors, and whose neighbouring anchor before or after them is not ``good`` or not there."""
+        m = len(self.least)
+        i = np.arange(m)
+        before = np.maximum.accumulate(np.where(own, i, -1))
+        after = np.minimum.accumulate(np.where(own, i, m)[::-1])[::-1]
+        fine = np.append(good, False)  # place m and -1: no anchor
+        text = np.append(self.text[:m], -1)
+        between = fine[before] & fine[after] & (text[before] == text[:m]) & (text[after] == text[:m])
+        return ~own & ~between
+
+    def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.starts[at], self.ends[at + self.n - 1]
+        return self.one(a, b), Hashes(self.data, 1)(a, b)
+
+
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a packed bitmap."""
+    i = h % np.uint64(8 * len(bits))
+    return (bits[(i >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (i & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def signs(docs: DataFrame, n: int) -> DataFrame:
+    """h1: the signs of all stretches of ``n`` words, one row for each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(Grams(texts_of(batch, "text"), n).signs().view(np.int64))], ["h1"])
+
+    return docs.select("text").mapInArrow(run, "h1 bigint")
+
+
+def grams(docs: DataFrame, n: int, kind: str, common: np.ndarray, also: np.ndarray | None = None) -> DataFrame:
+    """GRAM rows of stretches of ``n`` words whose sign passes the filter ``common``.
+
+    Of kind ``anchors``, of kind ``edges`` (beside anchors that do not repeat: their sign is single or they pass ``also``, a filter of single
+    ones), of kind ``others`` (no anchors, and pass ``also``) or of kind ``all`` (pass ``also``).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((common, also))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bits = None if shared is None else np.unpackbits(shared.value).astype(bool)
+        signed, bits = shared.value
         seen = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole, "text"):
-                out = chunk_rows(batch.column("id").to_pylist(), seen + np.arange(batch.num_rows), texts_of(batch, "text"))
-                seen += batch.num_rows
+                g = Grams(texts_of(batch, "text"), n)
+                own = g.anchors() & g.whole
+                at = np.flatnonzero(g.whole)
+                at = at[marked(signed, g.least[at])]
+                if kind in ("anchors", "others"):
+                    at = at[own[at] == (kind == "anchors")]
+                h1, h2 = g.digests(at) if len(at) else (np.empty(0, np.uint64), np.empty(0, np.uint64))
                 if bits is not None:
-                    out = out.filter(pa.array(bits[out.column("h1").to_numpy().astype(np.uint64) % np.uint64(len(bits))], pa.bool_()))
-                yield out
+                    has = marked(bits, h1)
+                    if kind == "edges":
+                        good = np.zeros(len(g.least), bool)
+                        good[at[~has]] = own[at[~has]]
+                        has = g.edges(own, good)[at]
+                    at, h1, h2 = at[has], h1[has], h2[has]
+                chars = np.concatenate(([0], np.cumsum((g.data & 0xC0) != 0x80)))
+                text = g.text[at]
+                base = chars[g.from_byte[text]]
+                cols = (h1.view(np.int64), h2.view(np.int64), seen + text, at - g.first_word[text], chars[g.starts[at]] - base, chars[g.ends[at + n - 1]] - base)
+                h1, h2, row, word, start, end = (pa.array(np.ascontiguousarray(c, np.int64)) for c in cols)
+                yield pa.RecordBatch.from_arrays([h1, h2, batch.column("id").take(pa.array(text)), row, word, start, end], [c.split()[0] for c in GRAM.split(", ")])
+                seen += batch.num_rows
 
-    return docs.mapInArrow(run, CHUNK)
+    return docs.mapInArrow(run, GRAM)
 
 
 def digest_filter(repeats: DataFrame) -> np.ndarray:
@@ -122,29 +215,42 @@ def digest_filter(repeats: DataFrame) -> np.ndarray:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = WORDS) -> DataFrame:
     """One row per passage that occurs more than once: doc_id, start, end (characters), words, first_id, first.
 
-    Chunks are equal if their digests are. The first occurrence (least id, then place) of a chunk stays; a row is a longest
-    run of repeated chunks that are all first occurrences (``first``: true) or all later ones, with ``least_words`` words
-    or more; ``first_id`` is the document of the first occurrence of its first chunk. Texts without a repeated passage have no row. Null and
-    empty texts have no chunks. A null id comes before all others. Repeated rows are copies of each other like any texts; other columns
-    are not read.
+    Every word of every passage of ``least_words`` words or more that stands at two places is found, whatever the words are. Such a passage
+    consists of stretches of ``least_words`` words whose digest occurs twice; a row is the union of stretches that overlap and are all first
+    occurrences (least id, then place; ``first``: true) or all later ones. A stretch that overlaps its own first occurrence (as in a word
+    said over and over) counts as first. ``first_id`` is the document of the first occurrence of the row's first stretch. Texts without a
+    repeated passage have no row; those of fewer words, null and empty ones have no stretches. A null id comes before all others. Repeated rows
+    are copies of each other like any texts; other columns are not read.
+
+    Only stretches whose sign occurs twice are looked at, so single text costs one hash for about six words. Of them the anchors are counted,
+    about one in six, and then those that have a neighbouring anchor without a copy; between two repeated anchors all words are repeated, and
+    count as first or later as the anchors do. So a passage of 1.5 times ``least_words`` is always marked by its own copies; a shorter one
+    inside longer repeated text may have the mark of that text.
 
-    Copies are counted by partial sums, so a chunk that a third of all texts share is one row per task; the join back leaves out
-    what the filter knows to be single, and adaptive execution splits the partitions of common chunks.
+    Copies are counted by partial sums, so a stretch that a third of all texts share is one row per task; the join back leaves out what the
+    filter knows to be single, and adaptive execution splits the partitions of common stretches.
     """
+    n = max(1, least_words)
     lean = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    place = F.struct("id", "start")
-    counted = chunks(lean).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    repeats = saved(counted.where("n > 1").drop("n"), "repeats")
-    copies = chunks(lean, digest_filter(repeats)).join(repeats, ["h1", "h2"])
-    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start")))
-    marked = copies.select("id", "row", "start", "end", "words", later.alias("later"), F.col("first.id").alias("first_id"))
-    w = Window.partitionBy("row").orderBy("start")
-    starts = F.when((F.lag("end").over(w) == F.col("start")) & (F.lag("later").over(w) == F.col("later")), 0).otherwise(1)
-    runs = marked.withColumn("new", starts).withColumn("run", F.sum("new").over(w)).groupBy("row", "run").agg(
-        F.min("id").alias(id_col), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
-        F.min_by("first_id", "start").alias("first_id"), (~F.max("later")).alias("first"),
+    common = digest_filter(saved(signs(lean, n).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "signs"))
+
+    def counted(rows: DataFrame, label: str) -> DataFrame:
+        return saved(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "word")).alias("first")), label)
+
+    anchors = counted(grams(lean, n, "anchors", common), "anchors")
+    edges = saved(grams(lean, n, "edges", common, digest_filter(anchors.where("n = 1"))).select("h1").distinct(), "edges")
+    others = counted(grams(lean, n, "others", common, digest_filter(edges)), "others")
+    repeats = anchors.unionByName(others).where("n > 1").drop("n")
+    copies = grams(lean, n, "all", common, digest_filter(repeats)).join(repeats, ["h1", "h2"])
+    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & F.col("word").between(F.col("first.word"), F.col("first.word") + (n - 1)))
+    marks = copies.select("id", "row", "word", "start", "end", later.alias("later"), F.col("first.id").alias("first_id"))
+    w = Window.partitionBy("row", "later").orderBy("word")
+    starts = F.when(F.lag("word").over(w) + n > F.col("word"), 0).otherwise(1)
+    runs = marks.withColumn("new", starts).withColumn("run", F.sum("new").over(w)).groupBy("row", "later", "run").agg(
+        F.min("id").alias(id_col), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + n).alias("words"),
+        F.min_by("first_id", "start").alias("first_id"),
     )
-    return runs.where(F.col("words") >= least_words).select(id_col, "start", "end", "words", "first_id", "first")
+    return runs.select(id_col, "start", "end", "words", "first_id", (~F.col("later")).alias("first"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = WORDS) -> DataFrame:

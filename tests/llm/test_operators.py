@@ -258,6 +258,39 @@ def test_chunks_resist_insertions_and_odd_texts(odd, none):
     assert chunks.without_repeats(odd.where("doc_id is not null").dropDuplicates(["doc_id"])).columns == odd.columns
 
 
+def test_passages_of_51_words_and_periodic_ones_are_all_found(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghilmnoprstuéö", k=rng.randint(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    passages = [words(51) for _ in range(60)] + [" ".join(["sh,"] * 60), " ".join(["thndhe"] * 51), " ".join(["la li lu"] * 25), "A b  C\n" * 20]
+    texts = [f"{words(rng.randint(0, 40))} {p} {words(rng.randint(0, 40))}" for p in passages for _ in range(2)]
+    got = collections.defaultdict(list)
+    for r in chunks.repeated_passages(spark.createDataFrame(list(enumerate(texts)), DOC)).collect():
+        got[r.doc_id].append(texts[r.doc_id][r.start : r.end])
+    for i, text in enumerate(texts):
+        p = passages[i // 2].strip()
+        if i % 2 or i < 120:
+            assert any(p in g and len(g) < len(p) + 12 for g in got[i]), (p, got[i])
+        else:
+            assert any(p.startswith(g) for g in got[i])
+
+
+def test_passages_equal_all_stretches_of_twenty_words(spark):
+    rng = random.Random(15)
+    pool = [" ".join(rng.choices(["a", "bb", "ccc", "é"], k=rng.randint(1, 30))) for _ in range(40)]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", "  ", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(120)] + [None, "", "a " * 19, "a " * 300]
+    n, places = 20, collections.defaultdict(list)
+    for d, t in enumerate(texts):
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        for k in range(len(at) - n + 1):
+            places[t[at[k][0] : at[k + n - 1][1]]].append((d, k, at[k][0], at[k + n - 1][1]))
+    want = {(d, x) for found in places.values() if len(found) > 1 for d, _, a, b in found for x in range(a, b)}
+    got = chunks.repeated_passages(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()
+    assert {(r.doc_id, x) for r in got for x in range(r.start, r.end)} == want
+    assert {r.doc_id for r in got if r.first} >= {found[0][0] for found in places.values() if len(found) > 1 and found[0][1] == 0}
+    assert all(r.words == len((texts[r.doc_id][r.start : r.end]).split()) >= n for r in got)
+
+
 # language model
 
 
