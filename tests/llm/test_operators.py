@@ -166,6 +166,13 @@ def test_tokens_are_the_libraries_own():
         assert t.encode(s, add_special_tokens=False).ids == list(encode(s)), ascii(s)
 
 
+def test_tokens_of_long_white_space_are_the_librarys():
+    t, encode = vocabulary(), pack.tokenizer(queries.vocabulary())
+    for run in (" " * 1_000_000, "\n" * 1_000_000, " \n\t\u00a0" * 250_000, " " * 9_999, " " * 10_000):
+        s = f"a<|endoftext|>{run}b c"
+        assert t.encode(s, add_special_tokens=False).ids == list(encode(s))
+
+
 # languages
 
 
