@@ -49,23 +49,68 @@ class Page:
     labelled: bool = False
 
 
-def marks_of(attributes: str) -> str:
-    """The first mark among the words of class, id and role, or the class itself if there is none."""
-    first = ""
+def marks_of(attributes: str) -> tuple[str, bool]:
+    """The first mark among the words of class, id and role, or the class itself if there is none; and whether a mark is a whole class, id or role."""
+    first, mark, exact = "", "", False
     for name, value in MARKED.findall(attributes):
         value = value.strip("\"'").lower()
+        role = ROLES if name.lower() == "role" else frozenset()
+        exact = exact or any(t in MARKS or t in role for t in value.split())
         for word in re.split(r"[^a-z]+", value):
-            if word in MARKS or (name.lower() == "role" and word in ROLES):
-                return "!" + word
+            if word in MARKS or word in role:
+                mark = mark or "!" + word
         first = first or value
-    return "." + first if first else ""
+    return mark or ("." + first if first else ""), exact
 
 
 def read(page: str) -> Page:
-    """Split a page into tags and texts. A key names the nearest element that stands for a region, and the element itself."""
+    """Split a page into tags and texts. A key names the nearest element that stands for a region, and the element itself.
+
+    A marked element or form that turns out to be a wrapper of the main text (see ``Held``) counts as unmarked, in a second reading.
+    """
+    held = Held()
+    out = parse(page, held, frozenset())
+    free = held.wrappers()
+    return parse(page, Held(), free) if free else out
+
+
+@dataclass
+class Held:
+    """What marked elements and forms of a page hold, by their number, to tell wrappers of the main text from boilerplate.
+
+    An element marked by a part of a class or id ("has-sidebar"), or a form, is a wrapper if it holds more than half of the page's words outside
+    of boilerplate elements, or more words of article and main elements than stand outside of marked ones. One marked by a whole class, id or
+    role ("comments") is a wrapper only if it holds nine in ten of the words, or if all words of article and main elements are in marked ones.
+    """
+
+    words: dict[int, int] = field(default_factory=dict)
+    labelled: dict[int, int] = field(default_factory=dict)
+    exact: dict[int, bool] = field(default_factory=dict)
+    total: int = 0
+    outside: int = 0
+
+    def add(self, words: int, around: tuple, around_labelled: tuple | None) -> None:
+        self.total += words
+        for k in around:
+            self.words[k] += words
+        if around_labelled == ():
+            self.outside += words
+        for k in around_labelled or ():
+            self.labelled[k] += words
+
+    def wrappers(self) -> frozenset:
+        return frozenset(
+            k for k, exact in self.exact.items()
+            if (self.words[k] > 0.9 * self.total or (self.labelled[k] and not self.outside) if exact else 2 * self.words[k] > self.total or self.labelled[k] > self.outside)
+        )
+
+
+def parse(page: str, held: Held, free: frozenset) -> Page:
+    """``read`` with the elements numbered in ``free`` taken as unmarked; what marked elements hold is added to ``held``."""
     out = Page()
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, region, inside a labelled element, dropped
-    at, raw = 0, ""
+    # name, region, inside a labelled element, dropped, in a boilerplate element, marked elements around, marked elements around the labelled one
+    stack: list[tuple] = [("", "", False, False, False, (), None)]
+    at, raw, number = 0, "", 0
 
     def event(key: str, words: int, text: str, top: tuple) -> None:
         out.keys.append(key)
@@ -78,7 +123,10 @@ def read(page: str) -> Page:
         if piece:
             top = stack[-1]
             decoded = piece if top[0] in ("script", "style") else entities.unescape(piece)
-            event(f"w {top[1]} {top[0]}", len(decoded.split()), decoded, top)
+            words = len(decoded.split())
+            event(f"w {top[1]} {top[0]}", words, decoded, top)
+            if words and not top[4]:
+                held.add(words, top[5], top[6])
 
     for m in LEXER.finditer(page):
         closing, name = m[1], (m[2] or "").lower()
@@ -117,13 +165,28 @@ def read(page: str) -> Page:
                 if stack[i][0] not in INLINE and stack[i][0] != "p":
                     break
         top = stack[-1]
-        mark = marks_of(m[3]) if m[3] else ""
+        mark, exact = marks_of(m[3]) if m[3] else ("", False)
         site_header = name == "header" and not top[2]
-        region = name if name in BOILERPLATE or site_header else mark or top[1]
+        hard = top[4] or site_header or (name in BOILERPLATE and name != "form")
+        around = top[5]
+        if mark.startswith("!") and name in ("html", "body", *LABELLED):
+            mark = ""  # said of the page
+        suspect = (mark.startswith("!") or name == "form") and not hard
+        freed = False
+        if suspect:
+            number += 1
+            freed = number in free
+            held.exact[number], held.words[number], held.labelled[number] = exact and mark.startswith("!"), 0, 0
+            around = (*around, number)
+        if freed and mark.startswith("!"):
+            mark = ""
+        named = (name in BOILERPLATE and not freed) or site_header
+        region = name if named else mark or top[1]
         inside = top[2] or name in LABELLED
         out.labelled |= name in LABELLED
-        dropped = top[3] or name in BOILERPLATE or site_header or (mark.startswith("!") and name not in ("html", "body", *LABELLED))
-        entry = (name, region, inside, dropped)
+        dropped = top[3] or named or mark.startswith("!")
+        around_labelled = around if name in LABELLED and top[6] is None else top[6]
+        entry = (name, region, inside, dropped, hard, around, around_labelled)
         event(f"< {region} {name}", 0, "" if name in INLINE else " ", entry)
         if name not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(entry)
@@ -180,7 +243,7 @@ def weight(key: str, words: int, weights: Weights) -> float:
     kind, region, name = key.split(" ", 2)
     b = bucket(key)
     known, odds = weights.seen[b], weights.odds[b]
-    other = region in BOILERPLATE or region.startswith("!") or region == "header" or name in BOILERPLATE
+    other = region in BOILERPLATE or region.startswith("!") or region == "header" or (name in BOILERPLATE and name != "form")
     if kind == "w":
         if other:
             return -0.1 * words

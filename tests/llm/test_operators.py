@@ -382,6 +382,21 @@ def test_main_text_with_and_without_an_article_element(spark):
     assert html.extract(pages.limit(0), html.learn(pages.limit(0)), out="html").columns == ["page_id", "html"]
 
 
+def test_main_text_inside_marked_wrappers_and_forms(spark):
+    wraps = ['<div class="layout has-sidebar">', '<div id="menu-open">', '<section class="social-science">', '<div class="ad-free"><div class="with-banner">', '<form action="x">', '<div class="banner">']
+    close = lambda w: "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", w)))
+    inner = re.search(r"<body[^>]*>(.*?)(</body>|$)", PAGE, re.S)[1] if "<body" in PAGE else PAGE
+    pages, tail = [], '<div class="site-sidebar"><p>Buy shoes now</p></div><div class="comments"><article>I like it</article></div>'
+    for tag in ("article", "div"):
+        for w in wraps:
+            pages.append(f"<html><body>{w}{inner.replace('{tag}', tag)}{tail}{close(w)}</body></html>")
+    pages.append(f'<html><body class="has-sidebar">{inner.replace("{tag}", "div")}{tail}</body></html>')
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string")
+    w = html.learn(spark.createDataFrame([(1, PAGE.replace("{tag}", "article"))], "page_id bigint, html string"))
+    got = {r.page_id: r.main_text for r in html.extract(df, w).collect()}
+    assert got == {i: STORY for i in range(len(pages))}
+
+
 def test_best_region_is_the_greatest_sum():
     rng = random.Random(6)
     for _ in range(300):
