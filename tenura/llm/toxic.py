@@ -56,12 +56,59 @@ def margins(term: np.ndarray, count: np.ndarray, m: Model) -> np.ndarray:
     return out
 
 
+def divergence(n: np.ndarray, hits: np.ndarray, base: float) -> np.ndarray:
+    """Nats by which ``hits`` of ``n`` rows differ from the share ``base``."""
+    share = hits / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return n * (np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0))
+
+
+def joint_pairs(each: list[np.ndarray], y: np.ndarray, open_: np.ndarray, evidence: float, block: int = 2048) -> np.ndarray:
+    """Pairs of terms in ``open_`` that are toxic together though neither says so alone: two columns of terms.
+
+    The nats of a pair's common rows must pass ``evidence`` and the logarithm of how many more pairs than terms there are to try. Terms
+    in too few toxic rows for that are left out, and terms that stand in the same rows count as one.
+    """
+    base, rows = float(y.mean()), len(each)
+    toxic = np.flatnonzero(y > 0)
+    flat, text = np.concatenate(each), np.repeat(np.arange(rows), [len(t) for t in each])
+    hits = np.bincount(flat[y[text] > 0], minlength=TERMS)
+    cand = np.flatnonzero(open_ & (hits >= evidence / -np.log(base)))
+    if len(cand) < 2:
+        return np.empty((0, 2), np.int64)
+    need = evidence + np.log(len(cand) / 2)
+    least = max(1, int(np.ceil(need / -np.log(base))))
+    cand = cand[hits[cand] >= least]
+    place = np.full(TERMS, -1)
+    place[cand] = np.arange(len(cand))
+    has = place[flat] >= 0
+    bits = np.zeros((len(cand), -(-rows // 8)), np.uint8)
+    np.bitwise_or.at(bits, (place[flat[has]], text[has] >> 3), (128 >> (text[has] & 7)).astype(np.uint8))
+    bits, kept = np.unique(bits, axis=0, return_index=True)
+    cand = cand[kept]
+    found = [np.empty((0, 2), np.int64)]
+    dense = lambda at: np.unpackbits(bits[at : at + block], axis=1)[:, toxic].astype(np.float32)
+    for a in range(0, len(cand), block):
+        left = dense(a)
+        for b in range(a, len(cand), block):
+            both = left @ dense(b).T
+            i, j = np.nonzero(both >= least)
+            i, j, k = i[i + a < j + b] + a, j[i + a < j + b] + b, both[i, j][i + a < j + b]
+            for at in range(0, len(i), 20_000):
+                p, q = i[at : at + 20_000], j[at : at + 20_000]
+                n = np.bitwise_count(bits[p] & bits[q]).sum(1, dtype=np.int64)
+                yes = (k[at : at + 20_000] > base * n) & (divergence(n, k[at : at + 20_000], base) >= need)
+                found.append(np.stack([cand[p[yes]], cand[q[yes]]], 1))
+    return np.concatenate(found)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", train_rows: int = 8_000, factors: int = 4, epochs: int = 20, evidence: float = 10.0, seed: int = 7) -> Model:
     """Learn from the documents of at most about ``train_rows`` rows of ``labels`` (id, label), taken by a hash of the id.
 
     Tasks turn whole texts into hashed terms; the driver gets only the terms of that bounded number of rows and fits by
     mini-batch AdaGrad on the logistic loss with weight decay. A term takes part if the share of label 1 among its rows
-    differs from that of all rows by ``evidence`` nats (rows times divergence), so that long clean texts do not add up noise. Rows with a null label or id are left out; where an id has
+    differs from that of all rows by ``evidence`` nats (rows times divergence), so that long clean texts do not add up noise, or if
+    it has a pair with another such term whose rows together say so (``joint_pairs``). Rows with a null label or id are left out; where an id has
     several labels, the highest counts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -86,14 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
         return m
     df = np.bincount(np.concatenate(each), minlength=TERMS)
     hits = np.bincount(np.concatenate([t for t, l in zip(each, y) if l]), minlength=TERMS)
-    share, all_rows = hits / np.maximum(df, 1), y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        nats = df * (np.where(share > 0, share * np.log(share / all_rows), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - all_rows)), 0))
-    used = np.flatnonzero(nats >= evidence)
+    nats = divergence(df, hits, y.mean())
+    single = nats >= evidence
+    pairs = joint_pairs(each, y, ~single & (df > 0), evidence)
+    used = np.flatnonzero(single | (np.bincount(pairs.ravel(), minlength=TERMS) > 0))
     known = np.zeros(TERMS, bool)
     known[used] = True
     each = [t[known[t]] for t in each]
     m.v[used] = rng.normal(0, 0.01, (len(used), factors))
+    m.v[pairs] += rng.choice([-0.5, 0.5], (len(pairs), 1, factors))  # a start from which the product of a pair's factors can grow
     m.bias = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     gw, gv, gb, decay = np.full(TERMS, 1e-4), np.full((TERMS, factors), 1e-4), 1e-4, 1e-4
     for epoch in range(epochs):

@@ -431,6 +431,24 @@ def test_factorization_learns_pairs(spark):
     assert said[None] == said[""]
 
 
+def test_toxic_pairs_are_learned_where_each_word_alone_is_at_the_base_rate(spark):
+    """As fit does it by default; a pair's words are in as many toxic rows as any, as other rows are toxic by a word of their own."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(3_000):
+        a, b = i % 5 == 0, i // 5 % 5 == 0
+        c = i // 25 % 4 == 0 and not (a or b)
+        rows.append((i, " ".join(rng.choices(["tree", "house", "river", "cloud", "stone", "wall", "field"], k=6) + ["group"] * a + ["insult"] * b + ["slur"] * c)))
+        labels.append((i, int(a and b or c)))
+    m = toxic.fit(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    base = sum(y for _, y in labels) / len(labels)
+    for word in ("group", "insult"):
+        mine = [y for (_, t), (_, y) in zip(rows, labels) if word in t]
+        assert abs(sum(mine) / len(mine) - base) < 0.01
+    said = {r.text: r.toxicity for r in toxic.score(spark.createDataFrame([(1, "tree group"), (2, "tree insult"), (3, "tree group insult"), (4, "tree slur"), (5, "tree")], DOC), m).collect()}
+    assert min(said["tree group insult"], said["tree slur"]) > 0.6 > 0.3 > max(said["tree group"], said["tree insult"], said["tree"])
+
+
 def test_toxicity_margin_is_that_of_all_pairs():
     import numpy as np
 
