@@ -200,8 +200,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact deduplication keeps, with all their columns.
 
-    Ids that differ tell the rows apart. Only where ids repeat, rows are told apart by id and text, and of rows
-    that repeat both, one is taken.
+    Ids that differ tell the rows apart. Only where ids repeat, rows are told apart by id and text (as
+    the digest has it), and of rows that repeat both, one is taken.
     """
     out = saved(exact_dedup(docs, id_col, text_col), "exact").withColumnRenamed(id_col, "_id").withColumnRenamed("text_sha256", "_sha")
     gone = saved(out.where(~F.col("kept")).select("_id", "_sha"), "gone")
@@ -211,4 +211,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same &= F.sha2(lower_az(docs[text_col]).cast("binary"), 256) == F.col("_sha")
     stays = saved(out.where("kept").select("_id", "_sha"), "stays")
     twins = saved(stays.alias("s").join(gone.distinct().alias("g"), F.col("s._id").eqNullSafe(F.col("g._id")) & (F.col("s._sha") == F.col("g._sha")), "left_semi"), "twins")
-    return docs.join(gone.unionByName(twins).distinct(), same, "left_anti").unionByName(docs.join(twins, same, "left_semi").dropDuplicates([id_col, text_col]))
+    alike = docs.join(twins, same, "left_semi").withColumn("_as_id", F.col(id_col).cast("long")).withColumn("_as_text", F.sha2(lower_az(F.col(text_col)).cast("binary"), 256))
+    return docs.join(gone.unionByName(twins).distinct(), same, "left_anti").unionByName(alike.dropDuplicates(["_as_id", "_as_text"]).drop("_as_id", "_as_text"))

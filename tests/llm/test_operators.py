@@ -643,3 +643,8 @@ def test_exact_dedup_odd_texts(spark, odd, none):
     kept = exact.keep_one(odd)
     assert kept.columns == odd.columns and sorted(low(r.text) for r in kept.collect()) == sorted({low(t) for t in [*ODD, "no id"]})
     assert exact.exact_dedup(none).count() == 0 and exact.keep_one(none).count() == 0
+
+
+def test_keep_one_takes_one_of_rows_that_repeat_id_and_normalised_text(spark):
+    docs = spark.createDataFrame([(1, "Abc"), (1, "aBC"), (2, None), (2, ""), (3, "abc d"), (3, "other"), (None, "n"), (None, "N")], DOC)
+    assert sorted((r.doc_id or 0, low(r.text)) for r in exact.keep_one(docs).collect()) == [(0, "n"), (1, "abc"), (2, ""), (3, "abc d"), (3, "other")]
