@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenura.llm import chat, chunks, decontam, exact, html, kneser, langid, near, pack, toxic
+from tenura.llm import chat, chunks, decontam, exact, fim, html, kneser, langid, metric, near, pack, toxic, whiten
 from tenura.llm.common import fold
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -126,6 +126,45 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM t WINDOW g AS (PARTITION BY text_sha256)"""
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({NORM}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+c AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.to_id)
+SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(to_id) AS component_id
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id"""
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    # the exact sum grows with n^2 and may pass 64 bits: its digits are always there
+    return out.withColumns({"deviation_digits": F.col("deviation").cast("string"), "deviation": F.col("deviation").try_cast("bigint")})
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fim.restore(F.col("form"), F.col("output"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+OP13_SQL = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM t),
+k AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS k FROM u),
+c AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 50 THEN 'plain' WHEN k[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS pre, array_to_string(u[a+1:b], '') AS mid, array_to_string(u[b+1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -137,5 +176,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op8_minhash_near_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op8_minhash_near_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_jaccard_join": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
