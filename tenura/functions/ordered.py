@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tenura.session import checkpointed
+
 RANGES = 256
 
 
@@ -93,7 +95,7 @@ def exact_percentiles(
     Values are collapsed to counts before any row moves, and the ranks come from
     :func:`prefix_sums`; memory per task does not grow with the group as in ``percentile``.
     """
-    return _percentiles_of(value_counts(df, value, keys), probs, list(keys))
+    return count_percentiles(value_counts(df, value, keys), probs, list(keys))
 
 
 def percentile_rows(df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = ()) -> list[Row]:
@@ -101,7 +103,7 @@ def percentile_rows(df: DataFrame, value: str, probs: dict[str, float], keys: Se
     are kept while the range edges and the ranks are found."""
     counts = value_counts(df, value, keys).persist()
     try:
-        return _percentiles_of(counts, probs, list(keys)).collect()
+        return count_percentiles(counts, probs, list(keys)).collect()
     finally:
         counts.unpersist()
 
@@ -111,7 +113,8 @@ def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
             .groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("n")))
 
 
-def _percentiles_of(counts: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
+def count_percentiles(counts: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
+    """Exact percentiles of values given as (keys, _x, n): a value and how often it occurs."""
     ranked = prefix_sums(counts, F.col("_x"), ["n"], keys)
     first_rank = F.col("cum_n") - F.col("n")
 
@@ -126,3 +129,17 @@ def _percentiles_of(counts: DataFrame, probs: dict[str, float], keys: list[str])
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         outs.append((lo + (hi - lo) * F.col(f"_f_{name}")).alias(name))
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+
+
+def ranked_values(values: DataFrame, col: str) -> DataFrame:
+    """Distinct non-null values of any sortable type with ``rank`` from 0 in sorted order.
+
+    Values are dealt to ranges and ranked inside them; the sizes of earlier ranges are added. Where the ranges are cut depends on
+    a sample, so the cut is written before it is used; ranks do not depend on it.
+    """
+    distinct = values.select(col).where(F.col(col).isNotNull()).distinct()
+    ranged = checkpointed(distinct.repartitionByRange(col).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row per range
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(col)) - 1
+    return ranged.join(F.broadcast(before), "_p").select(col, (F.col("_before") + inside).cast("bigint").alias("rank"))

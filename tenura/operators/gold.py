@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tenura.config import VISIT_WINDOWS, Limits
 from tenura.errors import DataError
-from tenura.functions import as_ts, days_between, minus_days, round_dec, safe_div
+from tenura.functions import as_ts, days_between, flag, hash_unit, minus_days, round_dec, safe_div
+from tenura.functions.ordered import prefix_sums
 from tenura.functions.stats import two_sided_p
 
 
@@ -94,22 +95,50 @@ def cohort_retention(members: DataFrame, ref, min_size: int = 50) -> DataFrame:
 GRAINS = {"daily": "day", "weekly": "week", "monthly": "month"}
 
 
-def location_activity(visits: DataFrame, grains: Sequence[str] = tuple(GRAINS)) -> DataFrame:
-    """Visits and visiting members per location by day, ISO week and month.
+def member_numbers(members: DataFrame, key: str = "member_id", location: str = "location_id") -> DataFrame:
+    """(key, number): members numbered from 0, those of a location next to each other, so that bitmaps of a location's members are dense."""
+    one = members.select(key, location).dropDuplicates([key]).withColumn("_one", F.lit(1))
+    inside = prefix_sums(one, hash_unit(key, seed=0), ["_one"], [location], tie=[key])
+    sizes = one.groupBy(location).agg(F.sum("_one").alias("_one"))
+    starts = prefix_sums(sizes, hash_unit(location, seed=0), ["_one"], tie=[location]).select(F.col(location).alias("_at"), (F.col("cum__one") - F.col("_one")).alias("_start"))
+    return inside.join(starts, F.col(location).eqNullSafe(F.col("_at"))).select(key, (F.col("_start") + F.col("cum__one") - 1).cast("bigint").alias("number"))
+
 
-    Rows are reduced to one per (location, member, day) before they are repeated per grain.
+def daily_activity(visits: DataFrame, member: Column, sketch: bool = False) -> DataFrame:
+    """State per location, day and block of members: visits, minutes and who came, as a bitmap (exact) or a sketch.
+
+    ``member`` is a number per member (see ``member_numbers``). States of later days are added without reading earlier visits again, and
+    states merge: those of a week or month are the union of its days'. One scan, one shuffle, partial states where rows are read.
     """
-    day = F.date_trunc("day", F.col("visit_date"))
-    daily = (visits.filter(F.col("location_id").isNotNull() & F.col("visit_date").isNotNull())
-             .groupBy("location_id", "member_id", day.alias("_day")).agg(
-                 F.count("*").alias("_n"), F.sum("visit_duration_minutes").alias("_min")))
+    day = F.date_trunc("day", F.col("visit_date")).alias("day")
+    rows = visits.filter(F.col("location_id").isNotNull() & F.col("visit_date").isNotNull())
+    block = F.lit(0).cast("bigint") if sketch else F.coalesce(F.bitmap_bucket_number(member), F.lit(0).cast("bigint"))
+    who = F.hll_sketch_agg(member, 14) if sketch else F.bitmap_construct_agg(F.bitmap_bit_position(member))
+    return rows.groupBy("location_id", day, block.alias("block")).agg(F.count("*").alias("visits"), F.sum("visit_duration_minutes").alias("minutes"), who.alias("who"))
+
+
+def merge_activity(states: DataFrame, grains: Sequence[str] = tuple(GRAINS), sketch: bool = False) -> DataFrame:
+    """Visits, visiting members and minutes per location by day, ISO week and month, from daily states; with sketches members are off by about 1 %."""
     periods = F.explode(F.array(*[
-        F.struct(F.lit(g).alias("grain"), F.date_trunc(GRAINS[g], F.col("_day")).cast("timestamp_ntz").alias("period_start"))
-        for g in grains]))
-    return (daily.select("*", periods.alias("_p")).select("*", "_p.*")
-            .groupBy("grain", "location_id", "period_start")
-            .agg(F.sum("_n").alias("visits"), F.count_distinct("member_id").alias("visiting_members"),
-                 F.sum("_min").cast("bigint").alias("total_minutes")))
+        F.struct(F.lit(g).alias("grain"), F.date_trunc(GRAINS[g], F.col("day")).cast("timestamp_ntz").alias("period_start")) for g in grains]))
+    union = F.hll_union_agg("who") if sketch else F.bitmap_or_agg("who")
+    merged = states.select("*", periods.alias("_p")).select("*", "_p.*").groupBy("grain", "location_id", "period_start", "block").agg(
+        F.sum("visits").alias("visits"), F.sum("minutes").alias("minutes"), union.alias("who"))
+    size = F.hll_sketch_estimate("who") if sketch else F.bitmap_count("who")
+    return merged.groupBy("grain", "location_id", "period_start").agg(
+        F.sum("visits").alias("visits"), F.sum(size).cast("bigint").alias("visiting_members"), F.sum("minutes").cast("bigint").alias("total_minutes"))
+
+
+def location_activity(visits: DataFrame, grains: Sequence[str] = tuple(GRAINS), numbers: DataFrame | None = None) -> DataFrame:
+    """Visits and visiting members per location by day, ISO week and month.
+
+    Members count through bitmaps of their numbers: the integer ``member_id`` itself, or ``numbers`` (member_id, number) for
+    ids of another kind.
+    """
+    member = F.col("member_id")
+    if numbers is not None:
+        visits, member = visits.join(numbers, "member_id", "left"), F.col("number")
+    return merge_activity(daily_activity(visits, member.cast("bigint")), grains)
 
 
 def location_metrics(m360: DataFrame, scores: DataFrame, visits: DataFrame, ref, last_days: int = 30,
@@ -163,6 +192,31 @@ def compare_cohorts(m360: DataFrame, a: Column, b: Column, metrics: dict[str, Co
                       round_dec(p, 6).alias("p_value"), F.coalesce(p < alpha, F.lit(False)).alias("significant"))
 
 
+def cohort_report(members: DataFrame, a: Column, b: Column, price: str = "monthly_price", value: str = "ltv", alpha: float = 0.05) -> DataFrame:
+    """One row for two filtered groups: size, churn rate, mean tenure, visits and lifetime value, recurring revenue of the active, differences, and the names of the metrics that differ.
+
+    ``members`` is the wide member view with a lifetime value. Everything comes from one pass of sums; a metric differs when
+    Welch's test says so at ``alpha`` (rates and means, not the totals).
+    """
+    means = {"churn_rate": flag(F.col("churned")), "avg_tenure_days": F.col("tenure_days"), "avg_visits_30d": F.col("visit_count_30d"), "avg_ltv": F.col(value)}
+    aggs = []
+    for tag, cond in (("a", a), ("b", b)):
+        aggs += [F.count_if(cond).alias(f"n_members_{tag}"), F.coalesce(F.sum(F.when(cond & ~F.coalesce("churned", F.lit(False)), F.col(price))), F.lit(0.0)).alias(f"mrr_{tag}")]
+        for name, col in means.items():
+            v = F.when(cond, col.cast("double"))
+            aggs += [F.avg(v).alias(f"{name}_{tag}"), F.try_divide(F.var_samp(v), F.count(v)).alias(f"_v_{name}_{tag}")]
+    one = members.agg(*aggs)
+    gap = {n: F.col(f"{n}_a") - F.col(f"{n}_b") for n in (*means, "mrr")}
+    ps = {f"_p_{n}": two_sided_p(F.try_divide(gap[n], F.sqrt(F.col(f"_v_{n}_a") + F.col(f"_v_{n}_b")))) for n in means}
+    one = one.withColumns(ps)
+    named = F.array_compact(F.array(*[F.when(F.col(f"_p_{n}") < alpha, F.lit(n)) for n in means]))
+    out = ["n_members_a", "n_members_b"]
+    for n in (*means, "mrr"):
+        digits = 2 if n == "mrr" else 4
+        out += [round_dec(F.col(f"{n}_{t}"), digits).alias(f"{n}_{t}") for t in "ab"] + [round_dec(gap[n], digits).alias(f"{n}_difference")]
+    return one.select(*out, F.array_join(named, ",").alias("significant_metrics"))
+
+
 def best_action(effects: DataFrame, segment: str, effect: str = "cate_mean") -> DataFrame:
     """Action with the largest effect per segment; ties go to the first name."""
     per_value = effects.filter(F.col(effect).isNotNull()).groupBy(segment, effect).agg(F.min("action").alias("action"))

@@ -1,8 +1,7 @@
-"""Kaplan-Meier curves, log-rank tests, Cox and accelerated-failure-time models.
+"""Kaplan-Meier curves, log-rank tests, concordance and accelerated-failure-time models; the Cox model is in ``cox``.
 
-Durations count as they are given. Those of ``survival_frame`` are tenths of a month, so their number is
-bounded by the calendar (1,200 per century), however many members there are. Every estimator first reduces
-members to sums per distinct time; only those tables are ordered, or reach the driver.
+Durations count as they are given, however many distinct ones there are. Members first collapse to sums per distinct time; running
+totals over these come from ranges of time, so that no task holds all times of a stratum.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +21,13 @@ from pyspark.sql import functions as F
 from tenura.errors import DataError
 from tenura.functions import as_ts, days_between, round_dec, safe_div
 from tenura.functions.ordered import prefix_sums, range_edges
-from tenura.functions.stats import chi2_1_p, normal_quantile, p_of_z
+from tenura.functions.stats import chi2_1_p, normal_quantile
+from tenura.operators.cox import (  # noqa: F401
+    CoxModel, cox_summary, cox_with_coefficients, fit_cox, predict_median, predict_survival, proportional_hazards_test, schoenfeld_residuals,
+)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
-MAX_TIMES = 100_000
-
 
 def survival_frame(members: DataFrame, ref, month_days: float = 30.44) -> DataFrame:
     """Add ``event`` and ``duration`` (months to cancel or to ``ref``); rows without duration drop out."""
@@ -40,24 +40,24 @@ def survival_frame(members: DataFrame, ref, month_days: float = 30.44) -> DataFr
 def time_table(frame: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
     """Events, censored and at-risk counts per distinct time (and stratum)."""
     counts = frame.groupBy(*strata, "duration").agg(F.sum("event").alias("events"), F.count("*").alias("_n"))
-    later = Window.partitionBy(*strata).orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*strata, "duration", "events", (F.col("_n") - F.col("events")).alias("censored"),
-                         F.sum("_n").over(later).alias("at_risk"))
+    at = prefix_sums(counts, F.col("duration"), ["_n"], strata)
+    return at.select(*strata, "duration", "events", (F.col("_n") - F.col("events")).alias("censored"), (F.col("total__n") - F.col("cum__n") + F.col("_n")).alias("at_risk"))
 
 
 def kaplan_meier(frame: DataFrame, strata: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Survival curve per stratum with its log-log confidence band."""
-    table = time_table(frame, strata)
-    run = Window.partitionBy(*strata).orderBy("duration").rowsBetween(Window.unboundedPreceding, 0)
+    """Survival curve per stratum with its log-log confidence band.
+
+    Products over earlier times are sums of logarithms, added up range of times by range of times.
+    """
     d, n = F.col("events"), F.col("at_risk")
-    logs = F.sum(F.when(d < n, F.ln(1 - d / n)).otherwise(0.0)).over(run)
-    dead = F.max((d == n).cast("int")).over(run) == 1
-    var = F.sum(F.when(d < n, d / (n * (n - d))).otherwise(0.0)).over(run)
-    out = table.withColumns({"_l": logs, "_v": var, "_dead": dead})
-    s = F.when(F.col("_dead"), 0.0).otherwise(F.exp("_l"))
+    terms = time_table(frame, strata).withColumns({
+        "l": F.when(d < n, F.ln(1 - d / n)).otherwise(0.0), "v": F.when(d < n, d / (n * (n - d))).otherwise(0.0), "dead": (d == n).cast("int")})
+    out = prefix_sums(terms, F.col("duration"), ["l", "v", "dead"], strata)
+    log_s, var, dead = F.col("cum_l"), F.col("cum_v"), F.col("cum_dead") > 0
+    s = F.when(dead, 0.0).otherwise(F.exp(log_s))
     z = normal_quantile(1 - alpha / 2)
-    band = lambda sign: F.when(F.col("_dead"), 0.0).when(F.col("_l") == 0, 1.0).otherwise(
-        F.exp(-F.exp(F.ln(-F.col("_l")) + F.lit(sign * z) * F.sqrt("_v") / F.col("_l"))))
+    band = lambda sign: F.when(dead, 0.0).when(log_s == 0, 1.0).otherwise(
+        F.exp(-F.exp(F.ln(-log_s) + F.lit(sign * z) * F.sqrt(var) / log_s)))
     return out.select(*strata, "duration", "at_risk", "events", "censored", round_dec(s, 6).alias("survival"),
                       round_dec(band(-1.0), 6).alias("ci_lower"), round_dec(band(1.0), 6).alias("ci_upper"))
 
@@ -74,8 +74,9 @@ def log_rank(frame: DataFrame, in_a: Column) -> DataFrame:
     counts = frame.groupBy("duration").agg(
         F.sum("event").alias("d"), F.count("*").alias("c"),
         F.sum(F.when(in_a, F.col("event")).otherwise(0)).alias("d1"), F.count_if(in_a).alias("c1"))
-    later = Window.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)
-    t = counts.select("d", "d1", F.sum("c").over(later).cast("double").alias("n"), F.sum("c1").over(later).cast("double").alias("n1"))
+    at = prefix_sums(counts, F.col("duration"), ["c", "c1"])
+    later = lambda c: (F.col(f"total_{c}") - F.col(f"cum_{c}") + F.col(c)).cast("double")
+    t = at.select("d", "d1", later("c").alias("n"), later("c1").alias("n1"))
     n, n1, d = F.col("n"), F.col("n1"), F.col("d")
     var = F.when(n > 1, n1 * (n - n1) * d * (n - d) / (n * n * (n - 1))).otherwise(0.0)
     one = t.agg(F.sum("d1").alias("observed"), F.sum(d * n1 / n).alias("expected"), F.sum(var).alias("v"))
@@ -85,177 +86,7 @@ def log_rank(frame: DataFrame, in_a: Column) -> DataFrame:
                          round_dec(F.col("_x"), 6).alias("test_statistic"), round_dec(F.col("_p"), 6).alias("p_value"))
 
 
-# ---- Cox model -------------------------------------------------------------------------------
-
-
-@dataclass
-class CoxModel:
-    features: list[str]
-    coef: np.ndarray
-    center: np.ndarray
-    times: np.ndarray            # distinct event times
-    cumulative_hazard: np.ndarray  # baseline at those times, for a member at ``center``
-    covariance: np.ndarray | None = None
-    log_likelihood: float = math.nan
-    n: int = 0
-    iterations: int = 0
-    tables: dict = field(default_factory=dict, repr=False)
-
-    @property
-    def aic(self) -> float:
-        return 2 * len(self.features) - 2 * self.log_likelihood
-
-    def log_hazard(self) -> Column:
-        terms = [F.lit(float(b)) * (F.col(f).cast("double") - F.lit(float(c)))
-                 for f, b, c in zip(self.features, self.coef, self.center)]
-        return sum(terms[1:], terms[0])
-
-    def baseline_at(self, times: Sequence[float]) -> list[float]:
-        """Baseline survival at the given times; the curve is a step function."""
-        i = np.searchsorted(self.times, np.asarray(times, dtype=float), side="right") - 1
-        return [float(math.exp(-self.cumulative_hazard[k])) if k >= 0 else 1.0 for k in i]
-
-
-def _pairs(p: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(p) for j in range(i, p)]
-
-
-def _sums_by_time(frame: DataFrame, features: Sequence[str], coef: np.ndarray, center: np.ndarray, second: bool = True):
-    """Sums of w, w*x and w*x*x per (time, event), w = exp(risk): one native aggregation."""
-    p = len(features)
-    x = [F.col(f).cast("double") - F.lit(float(c)) for f, c in zip(features, center)]
-    eta = sum((F.lit(float(b)) * v for b, v in zip(coef[1:], x[1:])), F.lit(float(coef[0])) * x[0])
-    rows = frame.select("duration", "event", F.exp(eta).alias("_w"), *[v.alias(f"_x{i}") for i, v in enumerate(x)])
-    w, xs = F.col("_w"), [F.col(f"_x{i}") for i in range(p)]
-    aggs = [F.count("*").alias("n"), F.sum(w).alias("w")]
-    aggs += [F.sum(w * v).alias(f"w{i}") for i, v in enumerate(xs)] + [F.sum(v).alias(f"s{i}") for i, v in enumerate(xs)]
-    if second:
-        aggs += [F.sum(w * xs[i] * xs[j]).alias(f"q{i}_{j}") for i, j in _pairs(p)]
-    got = rows.groupBy("duration", "event").agg(*aggs).limit(2 * MAX_TIMES + 1).collect()
-    if len(got) > 2 * MAX_TIMES:
-        raise DataError(f"more than {MAX_TIMES} distinct durations; round them to a coarser unit first")
-    times = np.array(sorted({r["duration"] for r in got}))
-    at = {t: k for k, t in enumerate(times)}
-    t_n = len(times)
-    out = {e: dict(n=np.zeros(t_n), w=np.zeros(t_n), w1=np.zeros((t_n, p)), s1=np.zeros((t_n, p)), w2=np.zeros((t_n, p, p))) for e in (0, 1)}
-    for r in got:
-        o, k = out[int(r["event"])], at[r["duration"]]
-        o["n"][k], o["w"][k] = r["n"], r["w"]
-        o["w1"][k] = [r[f"w{i}"] for i in range(p)]
-        o["s1"][k] = [r[f"s{i}"] for i in range(p)]
-        if second:
-            for i, j in _pairs(p):
-                o["w2"][k, i, j] = o["w2"][k, j, i] = r[f"q{i}_{j}"]
-    return times, out
-
-
-def _after(a: np.ndarray) -> np.ndarray:
-    return np.cumsum(a[::-1], axis=0)[::-1]
-
-
-#: Tied events whose terms of Efron's sum are held at once.
-TIES_AT_ONCE = 100_000
-
-
-def _likelihood(times, sums, beta: np.ndarray):
-    """Efron log-likelihood, gradient, information and risk-set means from the per-time sums."""
-    p = len(beta)
-    ev, all_ = sums[1], {k: sums[0][k] + sums[1][k] for k in ("w", "w1", "w2")}
-    r0, r1, r2 = _after(all_["w"]), _after(all_["w1"]), _after(all_["w2"])
-    ll, grad, info = 0.0, np.zeros(p), np.zeros((p, p))
-    means = np.zeros((len(times), p))
-    for k in np.flatnonzero(ev["n"]):
-        d = int(ev["n"][k])
-        ll += float(ev["s1"][k] @ beta)
-        total = np.zeros(p)
-        for lo in range(0, d, TIES_AT_ONCE):
-            f = np.arange(lo, min(d, lo + TIES_AT_ONCE)) / d
-            phi = r0[k] - f * ev["w"][k]
-            m = (r1[k] - f[:, None] * ev["w1"][k]) / phi[:, None]
-            ll -= float(np.log(phi).sum())
-            total += m.sum(axis=0)
-            info += (1 / phi).sum() * r2[k] - (f / phi).sum() * ev["w2"][k] - m.T @ m
-        grad += ev["s1"][k] - total
-        means[k] = total / d
-    return ll, grad, info, means
-
-
-def _baseline(times, sums) -> tuple[np.ndarray, np.ndarray]:
-    at_risk = _after(sums[0]["w"] + sums[1]["w"])
-    hit = sums[1]["n"] > 0
-    return times[hit], np.cumsum(sums[1]["n"][hit] / at_risk[hit])
-
-
-def cox_with_coefficients(frame: DataFrame, features: Sequence[str], coef: Sequence[float]) -> CoxModel:
-    """A model with given coefficients; only the Breslow baseline is estimated (two aggregations)."""
-    beta = np.asarray(coef, dtype=float)
-    frame = frame
-    center = _means(frame, features)
-    times, sums = _sums_by_time(frame, features, beta, center, second=False)
-    t, h = _baseline(times, sums)
-    return CoxModel(list(features), beta, center, t, h, n=int(sums[0]["n"].sum() + sums[1]["n"].sum()))
-
-
-def _means(frame: DataFrame, features: Sequence[str]) -> np.ndarray:
-    row = frame.agg(F.count("*").alias("n"), *[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)]).first()
-    if not row["n"]:
-        raise DataError("no rows to fit")
-    if any(row[f"m{i}"] is None for i in range(len(features))):
-        raise DataError("a covariate has no values")
-    return np.array([row[f"m{i}"] for i in range(len(features))])
-
-
-def fit_cox(frame: DataFrame, features: Sequence[str], penalizer: float = 0.01, max_iter: int = 50, tol: float = 1e-8) -> CoxModel:
-    """Cox proportional hazards by Newton's method with Efron ties and a Breslow baseline.
-
-    Each iteration is one aggregation of members to per-time sums; the driver only sees those.
-    The L2 penalty is ``n * penalizer / 2 * |coef|^2`` on the columns as given, so standardise
-    them first. Rows with a null covariate must be dropped or filled before.
-    """
-    features = list(features)
-    rows = frame.select("duration", "event", *features).dropna().persist()
-    try:
-        center = _means(rows, features)
-        p, beta = len(features), np.zeros(len(features))
-        times, sums = _sums_by_time(rows, features, beta, center)
-        if not sums[1]["n"].sum():
-            raise DataError("no events in the data")
-        n = float(sums[0]["n"].sum() + sums[1]["n"].sum())
-        score = lambda l, b: l - 0.5 * n * penalizer * float(b @ b)
-        ll, grad, info, means = _likelihood(times, sums, beta)
-        done = 0
-        for done in range(1, max_iter + 1):
-            full = info + n * penalizer * np.eye(p)
-            step = np.linalg.solve(full, grad - n * penalizer * beta)
-            for _ in range(12):
-                new = beta + step
-                times, new_sums = _sums_by_time(rows, features, new, center)
-                trial = _likelihood(times, new_sums, new)
-                if math.isfinite(trial[0]) and score(trial[0], new) >= score(ll, beta) - 1e-9 * abs(ll):
-                    break
-                step = step / 2
-            else:
-                raise DataError("the Cox fit did not improve; check for collinear or constant covariates")
-            beta, sums, (ll, grad, info, means) = new, new_sums, trial
-            if np.max(np.abs(step)) < tol:
-                break
-        else:
-            raise DataError(f"the Cox fit did not converge in {max_iter} iterations")
-    finally:
-        rows.unpersist()
-    t, h = _baseline(times, sums)
-    cov = np.linalg.inv(info + n * penalizer * np.eye(p))
-    return CoxModel(features, beta, center, t, h, cov, ll, int(n), done,
-                    dict(times=times, events=sums[1]["n"], event_x=sums[1]["s1"], means=means))
-
-
-def cox_summary(spark, model: CoxModel, alpha: float = 0.05) -> DataFrame:
-    z = normal_quantile(1 - alpha / 2)
-    se = np.sqrt(np.diag(model.covariance))
-    rows = [(f, float(b), float(math.exp(b)), float(s), float(b / s), p_of_z(b / s), float(b - z * s), float(b + z * s),
-             float(model.log_likelihood), float(model.aic)) for f, b, s in zip(model.features, model.coef, se)]
-    return spark.createDataFrame(rows, "covariate string, coef double, hazard_ratio double, se double, z double, p double, "
-                                       "ci_lower double, ci_upper double, log_likelihood double, partial_aic double")
+# ---- concordance -----------------------------------------------------------------------------
 
 
 def _dominated(time: np.ndarray, risk: np.ndarray, n: np.ndarray, d: np.ndarray) -> float:
@@ -339,53 +170,6 @@ def concordance(frame: DataFrame, risk: Column, ranges: int | None = None) -> Da
                       F.col("p").cast("bigint").alias("pairs"), round_dec(safe_div(F.col("t"), F.col("p")), 6).alias("undecided"))
 
 
-def predict_survival(model: CoxModel, df: DataFrame, times: Sequence[float], out: str = "survival") -> DataFrame:
-    """Add the survival probabilities at ``times`` as an array; no shuffle."""
-    base = F.lit(model.baseline_at(times))
-    return df.withColumn("_hr", F.exp(model.log_hazard())).withColumn(
-        out, F.transform(base, lambda s: F.pow(s, F.col("_hr")))).drop("_hr")
-
-
-def predict_median(model: CoxModel, df: DataFrame, cap: float = 120.0, out: str = "median_survival") -> DataFrame:
-    """First event time with survival at most one half, at most ``cap``; a binary search per row."""
-    limits = [float(np.nextafter(h, np.inf)) for h in model.cumulative_hazard]
-    rows = df.withColumn("_need", F.lit(math.log(2.0)) / F.exp(model.log_hazard()))
-    rows = Bucketizer(splits=[float("-inf"), *limits, float("inf")], inputCol="_need", outputCol="_i", handleInvalid="keep").transform(rows)
-    times = F.lit([float(t) for t in model.times] + [float("inf")])
-    return rows.withColumn(out, F.least(F.get(times, F.col("_i").cast("int")), F.lit(float(cap)))).drop("_need", "_i")
-
-
-def schoenfeld_residuals(model: CoxModel, frame: DataFrame) -> DataFrame:
-    """Covariates of each churned member minus the risk-set mean at that time."""
-    spark = frame.sparkSession
-    names = [f"_mean_{i}" for i in range(len(model.features))]
-    rows = [(float(t), *map(float, m)) for t, m, d in zip(model.tables["times"], model.tables["means"], model.tables["events"]) if d]
-    means = spark.createDataFrame(rows, "duration double, " + ", ".join(f"{n} double" for n in names))
-    events = frame.filter("event = 1").dropna(subset=model.features)
-    out = [(F.col(f).cast("double") - F.lit(float(c)) - F.col(n)).alias(f"resid_{f}") for f, c, n in zip(model.features, model.center, names)]
-    keep = [c for c in ("member_id",) if c in frame.columns]
-    return events.join(means, "duration").select(*keep, "duration", *out)
-
-
-def proportional_hazards_test(spark, model: CoxModel) -> DataFrame:
-    """Score test of each covariate's scaled residuals against the rank of time.
-
-    Everything needed is linear in the per-time sums of the fit, so no further job runs.
-    """
-    d, hit = model.tables["events"], model.tables["events"] > 0
-    resid = (model.tables["event_x"] - d[:, None] * model.tables["means"])[hit]
-    d = d[hit]
-    rank = np.cumsum(d) - (d - 1) / 2
-    g = rank - (rank * d).sum() / d.sum()
-    u, v = g @ resid, model.covariance
-    total, spread = d.sum(), (d * g * g).sum()
-    rows = []
-    for j, f in enumerate(model.features):
-        stat = float((total * (v @ u)[j]) ** 2 / (total * v[j, j] * spread)) if spread else 0.0
-        rows.append((f, stat, p_of_z(math.sqrt(stat)), bool(p_of_z(math.sqrt(stat)) < 0.05)))
-    return spark.createDataFrame(rows, "covariate string, test_statistic double, p_value double, violated boolean")
-
-
 # ---- accelerated failure time ----------------------------------------------------------------
 
 AFT_FAMILIES = ("weibull", "log_normal", "log_logistic")
@@ -465,6 +249,17 @@ def _aft_sums(rows: DataFrame, features: list[str], family: str, beta: np.ndarra
     return v[0], v[1:p + 2], v[p + 2:].reshape(p + 1, p + 1)
 
 
+def aft_score(frame: DataFrame, features: Sequence[str], family: str, coef: Sequence[float], log_scale: float) -> DataFrame:
+    """One row: family, n, log-likelihood and its derivatives at given coefficients (intercept first) and log scale."""
+    if family not in AFT_FAMILIES:
+        raise DataError(f"unknown family {family!r}")
+    features = list(features)
+    rows = frame.select("duration", "event", *[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    ll, grad, _ = _aft_sums(rows, features, family, np.asarray(coef, float), float(log_scale))
+    names = ["d_intercept", *[f"d_{f}" for f in features], "d_log_scale"]
+    return frame.sparkSession.createDataFrame([(family, rows.count(), float(ll), *map(float, grad))], "family string, n bigint, log_likelihood double, " + ", ".join(f"{n} double" for n in names))
+
+
 def fit_aft(frame: DataFrame, features: Sequence[str], family: str, max_iter: int = 60, tol: float = 1e-7) -> AftModel:
     """Accelerated-failure-time regression by Newton's method; rows stay in the tasks. A fit that does not converge is an error."""
     if family not in AFT_FAMILIES:
