@@ -14,20 +14,18 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenura.config import TENURE_BINS, TENURE_LABELS, CausalSpec
 from tenura.errors import DataError
-from tenura.functions import as_ts, days_between, flag, hash_normal, hash_unit, round_dec, safe_div
-from tenura.functions.ordered import exact_percentiles, percentile_rows, range_edges
+from tenura.functions import as_ts, days_between, flag, hash_normal, round_dec, safe_div
+from tenura.functions.ordered import exact_percentiles, range_edges
 from tenura.functions.stats import normal_quantile, p_of_z
-from tenura.operators.features import right_closed_bin, visits_before_end
-from tenura.session import checkpointed
+from tenura.operators.features import fit_percentiles, right_closed_bin, visits_before_end
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
@@ -109,6 +107,19 @@ def _uniforms(hashes: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def row_hash(key: str) -> Column:
+    """60 bits of the MD5 of the key's text: what a row's weights in all replicates follow from."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit("row"))), 1, 15), 16, 10).cast("bigint")
+
+
+def replicate_weights(hashes: np.ndarray, replicates: int, kind: str, fraction: float, seed: int) -> np.ndarray:
+    """Weights (row, replicate): 1 for ``all``, 0 or 1 for a ``subset``, Poisson counts for a ``bootstrap``."""
+    if kind == "all":
+        return np.ones((len(hashes), replicates))
+    u = _uniforms(hashes, replicates, seed)
+    return (u < fraction).astype(float) if kind == "subset" else np.searchsorted(_POISSON_CDF, u, side="right").astype(float)
+
+
 _POISSON_CDF = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(13)])
 
 
@@ -123,7 +134,7 @@ def gram(df: DataFrame, cols: Sequence[str], key: str | None = None, replicates:
     m = len(cols) + 1
     up = np.triu_indices(m)
     rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)],
-                     (F.xxhash64(key) if key else F.lit(0).cast("bigint")).alias("_h")).dropna()
+                     (row_hash(key) if key else F.lit(0).cast("bigint")).alias("_h")).dropna()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((replicates, len(up[0])))
@@ -134,8 +145,7 @@ def gram(df: DataFrame, cols: Sequence[str], key: str | None = None, replicates:
             if kind == "all":
                 acc[0] += (z.T @ z)[up]
                 continue
-            u = _uniforms(b.column("_h").to_numpy(zero_copy_only=False), replicates, seed)
-            w = (u < fraction).astype(float) if kind == "subset" else np.searchsorted(_POISSON_CDF, u, side="right").astype(float)
+            w = replicate_weights(b.column("_h").to_numpy(zero_copy_only=False), replicates, kind, fraction, seed)
             acc += w.T @ (z[:, up[0]] * z[:, up[1]])
         yield pa.RecordBatch.from_pydict({"v": [acc.ravel().tolist()]})
 
@@ -231,23 +241,25 @@ def weighted_ate(scored: DataFrame, treatment: str, outcome: str, score: str = "
     return Effect(m["1"] - m["0"], math.sqrt(max(var, 0.0)), r["n"], "propensity_score_weighting")
 
 
-def _nearest(points: DataFrame, ranges: int | None) -> DataFrame:
-    """Add for both arms the nearest score with members of it, this score included (``m1``, ``m0``) or not (``o1``, ``o0``).
+def _nearest(points: DataFrame, ranges: int | None, by: Sequence[str] = ()) -> DataFrame:
+    """Add for both arms the nearest score with members of it, this score included (``m1``, ``m0``) or not (``o1``, ``o0``), inside each group of ``by``.
 
     Only ranges of scores meet in one task; what lies beyond a range's ends is carried from the other ranges, whose
     number follows the square root of the scores.
     """
+    by = list(by)
     k = ranges or 1 + math.isqrt(points.count()) // 16
     edges = range_edges(points, "g", k)
     cut = points.withColumn("_b", F.lit(0.0)) if not edges else Bucketizer(
         splits=[float("-inf"), *edges, float("inf")], inputCol="g", outputCol="_b").transform(points)
     point = lambda arm: F.when(F.col(f"n{arm}") > 0, F.struct("g", F.col(f"y{arm}").alias("y"), F.col(f"n{arm}").alias("n")))
-    ends = cut.groupBy("_b").agg(*[f(point(arm)).alias(f"_{name}{arm}") for arm in "10" for name, f in (("last", F.max), ("first", F.min))])
-    before, after = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select("_b", *[F.last(f"_last{arm}", ignorenulls=True).over(before).alias(f"_below{arm}") for arm in "10"],
+    ends = cut.groupBy(*by, "_b").agg(*[f(point(arm)).alias(f"_{name}{arm}") for arm in "10" for name, f in (("last", F.max), ("first", F.min))])
+    whole = Window.partitionBy(*by).orderBy("_b")
+    before, after = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select(*by, "_b", *[F.last(f"_last{arm}", ignorenulls=True).over(before).alias(f"_below{arm}") for arm in "10"],
                           *[F.first(f"_first{arm}", ignorenulls=True).over(after).alias(f"_above{arm}") for arm in "10"])
-    own = Window.partitionBy("_b").orderBy("g")
-    out = cut.join(F.broadcast(carried), "_b")  # at most one row per range
+    own = Window.partitionBy(*by, "_b").orderBy("g")
+    out = cut.join(carried if by else F.broadcast(carried), [*by, "_b"])  # at most one row per range (and group)
 
     def closest(arm: str, strict: int) -> Column:
         a = F.coalesce(F.last(point(arm), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -strict)), F.col(f"_below{arm}"))
@@ -323,78 +335,7 @@ def _score_ate(df: DataFrame, spec: CausalSpec, method: str) -> Effect:
     raise DataError(f"unknown method {method!r}")
 
 
-# ---- refutation ------------------------------------------------------------------------------
-
-
-def _replicate_effects(df, key, treatment, outcome, confounders, replicates, kind, seed=42) -> np.ndarray:
-    cols = list(dict.fromkeys([treatment, *confounders, outcome]))
-    g = gram(centered(df.dropna(subset=cols), cols), cols, key, replicates, kind, seed=seed)
-    return np.array([_ols(m, range(len(cols)), len(cols))[0][1] for m in g])
-
-
-def bootstrap_effects(df, key, treatment, outcome, confounders, replicates: int = 200, seed: int = 42) -> np.ndarray:
-    """Linear-adjustment effects under Poisson weights, all replicates from one scan."""
-    return _replicate_effects(df, key, treatment, outcome, confounders, replicates, "bootstrap", seed)
-
-
-def permuted(df: DataFrame, key: str, col: str, seed: int = 42, bucket_rows: int = 50_000) -> DataFrame:
-    """The table with one column permuted among rows of the same hash bucket.
-
-    Buckets are of bounded size (their number follows the row count), so ranking by two
-    independent hashes and joining the ranks needs no global order.
-    """
-    n = df.count()
-    buckets = max(1, -(-n // bucket_rows))
-    b = df.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)))
-    rank = lambda s: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(s)), key))
-    left = b.drop(col).withColumn("_r", rank(seed + 1))
-    right = b.select("_b", F.col(col), rank(seed + 2).alias("_r"))
-    return left.join(right, ["_b", "_r"]).drop("_b", "_r")
-
-
-def refute(df: DataFrame, key: str, spec: CausalSpec, placebo_limit: float = 0.01, common_cause_limit: float = 0.1,
-           subset_cv_limit: float = 0.3, bootstrap_limit: float = 0.15, subsets: int = 5, replicates: int = 200, seed: int = 42,
-           tests: Sequence[str] = ("placebo_treatment", "random_common_cause", "data_subset", "bootstrap")) -> DataFrame:
-    """Report rows ``(test_name, passed, original_effect, refuted_effect, p_value, details)``.
-
-    A test that fails to run gives a failed row with the error text.
-    """
-    check_spec(spec, df)
-    t, y, x = spec.treatment, spec.outcome, list(spec.confounders)
-    used = df.select(key, *dict.fromkeys([t, y, *x])).dropna().persist()
-    base = linear_ate(used, t, y, x)
-    e0 = base.effect
-    change = lambda e: abs(e - e0) / max(abs(e0), 1e-6)
-
-    def placebo():
-        e = linear_ate(permuted(used, key, t, seed), t, y, x)
-        return abs(e.effect) < placebo_limit, e.effect, e.p_value, f"placebo effect {e.effect:.4f}, limit {placebo_limit}"
-
-    def common_cause():
-        e = linear_ate(used.withColumn("_u", hash_normal(key, seed=seed)), t, y, [*x, "_u"]).effect
-        return change(e) < common_cause_limit, e, None, f"effect change {change(e):.2%} with a random confounder"
-
-    def data_subset():
-        es = _replicate_effects(used, key, t, y, x, subsets, "subset", seed)
-        cv = float(es.std() / max(abs(es.mean()), 1e-6))
-        return cv < subset_cv_limit, float(es.mean()), None, f"variation {cv:.3f} over {subsets} subsets, limit {subset_cv_limit}"
-
-    def bootstrap():
-        es = bootstrap_effects(used, key, t, y, x, replicates, seed)
-        e = float(es.mean())
-        return change(e) < bootstrap_limit, e, None, f"effect change {change(e):.2%}, bootstrap deviation {es.std(ddof=1):.4f}"
-
-    known = {"placebo_treatment": placebo, "random_common_cause": common_cause, "data_subset": data_subset, "bootstrap": bootstrap}
-    rows = []
-    for name in (n for n in tests if n in known):
-        try:
-            passed, e, p, text = known[name]()
-            rows.append((name, bool(passed), e0, float(e), p, text))
-        except (DataError, np.linalg.LinAlgError) as error:  # the report must show the failed test; Spark's errors end it
-            rows.append((name, False, e0, None, None, f"failed with {type(error).__name__}: {error}"))
-    used.unpersist()
-    return df.sparkSession.createDataFrame(
-        rows, "test_name string, passed boolean, original_effect double, refuted_effect double, p_value double, details string")
+# ---- sensitivity -----------------------------------------------------------------------------
 
 
 def sensitivity(df: DataFrame, key: str, spec: CausalSpec, strengths: Sequence[float] = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5),
@@ -412,7 +353,7 @@ def sensitivity(df: DataFrame, key: str, spec: CausalSpec, strengths: Sequence[f
     rows = rows.withColumns({f"_u{i}": F.lit(s) * F.col(t) + F.lit(s) * F.col(y) + F.lit(1 - 2 * s) * noise for i, s in enumerate(live)})
     names = [f"_u{i}" for i in range(len(live))]
     if names:
-        cuts = {c: percentile_rows(rows, c, {"median": 0.5})[0]["median"] for c in names}
+        cuts = fit_percentiles(rows, names, 0.5)  # of all strengths, from one job
         rows = rows.withColumns({c: (F.col(c) > F.lit(float(cuts[c]))).cast("double") for c in names})
     cols = list(dict.fromkeys([t, *x, y])) + names
     g = gram(centered(rows, cols), cols)[0]
@@ -439,113 +380,6 @@ def partial_correlation(df: DataFrame, x: str, y: str, covariates: Sequence[str]
                                            "x string, y string, partial_r double, t double, p_value double, n bigint")
 
 
-# ---- per-member effects ----------------------------------------------------------------------
-
-
-@dataclass
-class EffectForest:
-    forest: RandomForestRegressionModel
-    features: list[str]
-    effects: np.ndarray    # (tree, leaf): effect re-estimated on the held-out half
-    variances: np.ndarray  # (tree, leaf): its sampling variance
-    average: float
-
-    def predict(self, df: DataFrame, key: str = "member_id") -> DataFrame:
-        """Effect per member with a 95 % interval; rows stay in place.
-
-        Trees share the estimation rows, so the variance of their mean is bounded by the mean of
-        the leaf variances, which is used.
-        """
-        rows = VectorAssembler(inputCols=self.features, outputCol="_x").transform(df)
-        model = self.forest.copy()
-        model.setFeaturesCol("_x").setLeafCol("_leaf").setPredictionCol("_p")
-        leaves = model.transform(rows).select(key, vector_to_array("_leaf").alias("_leaf"))
-        effects, variances = self.effects, self.variances
-        kind = dict(df.dtypes)[key]
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trees = np.arange(len(effects))
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                leaf = b.column("_leaf").flatten().to_numpy(zero_copy_only=False).astype(int).reshape(b.num_rows, -1)
-                mean, std = effects[trees, leaf].mean(axis=1), np.sqrt(variances[trees, leaf].mean(axis=1))
-                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(mean), pa.array(std)], [key, "cate_mean", "cate_std"])
-
-        out = leaves.mapInArrow(look_up, f"{key} {kind}, cate_mean double, cate_std double")
-        return out.withColumns({"cate_lower": F.col("cate_mean") - 1.96 * F.col("cate_std"),
-                                "cate_upper": F.col("cate_mean") + 1.96 * F.col("cate_std")})
-
-    def importance(self, spark) -> DataFrame:
-        pairs = sorted(zip(self.features, self.forest.featureImportances.toArray()), key=lambda p: (-p[1], p[0]))
-        return spark.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(pairs)], "feature string, importance double, rank bigint")
-
-
-def residuals(df: DataFrame, key: str, treatment: str, outcome: str, features: Sequence[str], folds: int = 5, rounds: int = 100,
-              depth: int = 4, min_leaf: int = 20, seed: int = 42) -> DataFrame:
-    """Outcome and treatment minus cross-fitted boosted-tree predictions (``_ry``, ``_rt``).
-
-    Folds follow the key's hash, so a row is always predicted by models that never saw it.
-    """
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.dropna(subset=[treatment, outcome, *features]))
-    rows = rows.select(key, *features, F.col(outcome).cast("double").alias("_y"), F.col(treatment).cast("double").alias("_t"), "_x",
-                       F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int").alias("_fold")).persist()
-    try:
-        parts = []
-        shared = dict(featuresCol="_x", maxIter=rounds, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
-        for k in range(folds):
-            fit, held = rows.filter(F.col("_fold") != k), rows.filter(F.col("_fold") == k)
-            my = GBTRegressor(labelCol="_y", predictionCol="_py", **shared).fit(fit)
-            mt = GBTClassifier(labelCol="_t", **shared).fit(fit)
-            mt.setProbabilityCol("_pt").setRawPredictionCol("").setPredictionCol("")
-            scored = mt.transform(my.transform(held))
-            parts.append(scored.select(key, *features, "_x", (F.col("_y") - F.col("_py")).alias("_ry"),
-                                       (F.col("_t") - vector_to_array("_pt")[1]).alias("_rt")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return checkpointed(out)
-    finally:
-        rows.unpersist()
-
-
-def fit_effect_forest(df: DataFrame, key: str, spec: CausalSpec, features: Sequence[str], trees: int = 200, depth: int = 8,
-                      min_leaf: int = 50, folds: int = 5, rounds: int = 100, honest: bool = True, seed: int = 42) -> EffectForest:
-    """Heterogeneous effects: residualise, grow trees on one half, estimate leaves on the other.
-
-    The trees split on the residual ratio weighted by the squared treatment residual. With
-    ``honest`` the halves are disjoint by key hash. Leaf sums of the second half are partial sums
-    of (tree, leaf), at most ``trees * 2**depth`` rows.
-    """
-    check_spec(spec, df)
-    res = residuals(df, key, spec.treatment, spec.outcome, features, folds, rounds, seed=seed)
-    tt = F.col("_rt") * F.col("_rt")
-    half = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(2)) == 0
-    grow = (res.filter(half) if honest else res).filter(tt > 1e-6).select("_x", (F.col("_ry") / F.col("_rt")).alias("_target"), tt.alias("_w"))
-    forest = RandomForestRegressor(featuresCol="_x", labelCol="_target", weightCol="_w", numTrees=trees, maxDepth=depth,
-                                   minInstancesPerNode=min_leaf, leafCol="_leaf", predictionCol="_p", seed=seed).fit(grow)
-    rest = res.filter(~half) if honest else res
-    ty = F.col("_rt") * F.col("_ry")
-    stats = forest.transform(rest).select(tt.alias("tt"), ty.alias("ty"), (ty * ty).alias("a"), (ty * tt).alias("b"), (tt * tt).alias("c"),
-                                          F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    sums = stats.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(*[F.sum(c).alias(c) for c in ("tt", "ty", "a", "b", "c")]).collect()
-    total = rest.agg(F.sum(ty).alias("ty"), F.sum(tt).alias("tt"), F.sum(ty * ty).alias("a"), F.sum(ty * tt).alias("b"), F.sum(tt * tt).alias("c")).first()
-    if not total["tt"]:
-        raise DataError("the treatment does not vary beyond the confounders")
-
-    def effect(r) -> tuple[float, float]:
-        e = r["ty"] / r["tt"]
-        return e, max(r["a"] - 2 * e * r["b"] + e * e * r["c"], 0.0) / r["tt"] ** 2
-
-    average, average_var = effect(total)
-    width = max(t.numNodes for t in forest.trees) + 1
-    effects, variances = np.full((len(forest.trees), width), average), np.full((len(forest.trees), width), average_var)
-    for r in sums:
-        if r["tt"] > 1e-3:
-            effects[r["tree"], r["leaf"]], variances[r["tree"], r["leaf"]] = effect(r)
-    return EffectForest(forest, list(features), effects, variances, average)
-
-
 # ---- effect tables ---------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tenura.config import TENURE_LABELS, CausalSpec
 from tenura.functions import round_dec
 from tenura.operators import causal, features
+from tenura.operators.forest import fit_effect_forest, leaf_effects
 from tenura.registry.base import ACT, R, TREF, VIS, query, silver_actions, silver_visits
 from tenura.registry.views import REF
 
@@ -130,36 +131,52 @@ def _(t):
     return rounded(e.to_df(t.spark).select("effect", "ci_lower", "ci_upper"), ["effect", "ci_lower", "ci_upper"])
 
 
-def one_test(name):
-    def run(t):
-        return causal.refute(cframe(t), "member_id", SPEC, tests=[name])
-    return run
+FOREST = ["visit_frequency", "tenure_months", "plan_price", "location_churn_rate", "enrollment_month", "payment_delay_flag",
+          "contract_source_code", "plan_type_code"]
 
 
-query("cau10_placebo_treatment")(one_test("placebo_treatment"))
-query("cau11_random_common_cause")(one_test("random_common_cause"))
-query("cau12_data_subset")(one_test("data_subset"))
-query("cau13_bootstrap")(one_test("bootstrap"))
+FITTED: dict = {}
 
 
-@query("cau14_refutation_report")
-def _(t):
-    return causal.refute(cframe(t), "member_id", SPEC)
+def forest(t):
+    """The forest at its default settings, fitted once for each application and folder, as three queries read it."""
+    df = features.category_codes(cframe(t), ["contract_source", "plan_type"])
+    at = (t.spark.sparkContext.applicationId, t.dir)
+    if at not in FITTED:
+        FITTED[at] = fit_effect_forest(df, "member_id", SPEC, FOREST)
+    return df, FITTED[at]
 
 
-FOREST = ["visit_frequency", "tenure_months", "plan_price", "location_churn_rate", "enrollment_month", "payment_delay_flag",
-          "contract_source_code", "plan_type_code"]
+@query("cau15_effect_forest")
+def _(t):
+    _, m = forest(t)
+    return t.spark.createDataFrame([(m.average, len(m.shape.feature), len(m.features), m.leaves.count())], "average_effect double, trees bigint, features bigint, leaves bigint")
 
 
-def forest(t):
-    df = features.category_codes(cframe(t).dropna(subset=["plan_price"]), ["contract_source", "plan_type"])
-    return df, causal.fit_effect_forest(df, "member_id", SPEC, FOREST, trees=20, depth=5, min_leaf=20, folds=2, rounds=10)
+# Leaf effects from given residuals in two given trees: a root split by source and then by tenure, and one by plan and price.
+LEAF_ROWS = 150
+GIVEN_NODES = """gn AS (SELECT churned_30d - 0.3::DOUBLE AS ry, retention_action_taken - (CASE WHEN contract_source = 'regular' THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END) AS rt, 0 AS tree,
+  CASE WHEN contract_source = 'regular' THEN CASE WHEN tenure_months <= 30 THEN 3 ELSE 4 END ELSE CASE WHEN tenure_months <= 50 THEN 5 ELSE 6 END END AS node FROM cf
+UNION ALL SELECT churned_30d - 0.3::DOUBLE, retention_action_taken - (CASE WHEN contract_source = 'regular' THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END), 1,
+  CASE WHEN plan_type = 'standard' THEN 1 ELSE CASE WHEN COALESCE(plan_price, 0) <= 60 THEN 5 ELSE 6 END END FROM cf),
+gl AS (SELECT tree, node, COUNT(*) AS n, SUM(rt * rt) AS tt, SUM(rt * ry) AS ty, SUM(rt * ry * rt * ry) AS yy, SUM(rt * ry * rt * rt) AS yt, SUM(rt * rt * rt * rt) AS t4 FROM gn GROUP BY 1, 2),
+ga AS (SELECT l.tree, l.node AS leaf, a.anc FROM (SELECT * FROM (VALUES (0, 3), (0, 4), (0, 5), (0, 6), (1, 1), (1, 5), (1, 6)) v(tree, node)) l JOIN (VALUES (0, 0), (1, 0), (1, 1), (2, 0), (2, 2), (3, 0), (3, 1), (3, 3),
+  (4, 0), (4, 1), (4, 4), (5, 0), (5, 2), (5, 5), (6, 0), (6, 2), (6, 6)) a(node, anc) ON a.node = l.node),
+gs AS (SELECT ga.tree, anc, SUM(n) AS n, SUM(tt) AS tt, SUM(ty) AS ty, SUM(yy) AS yy, SUM(yt) AS yt, SUM(t4) AS t4 FROM ga JOIN gl ON gl.tree = ga.tree AND gl.node = ga.leaf GROUP BY 1, 2),
+gf AS (SELECT ga.tree, ga.leaf, gs.*EXCLUDE (tree), ROW_NUMBER() OVER (PARTITION BY ga.tree, ga.leaf ORDER BY gs.anc DESC) AS rn FROM ga JOIN gs ON gs.tree = ga.tree AND gs.anc = ga.anc WHERE tt > 0 AND (n >= 150 OR gs.anc = 0))"""
 
 
-@query("cau15_effect_forest")
+@query("cau15_leaf_effects", f"SELECT tree, leaf, anc AS node, {R('ty / tt', 6)} AS effect, {R('(yy - 2 * ty / tt * yt + ty / tt * ty / tt * t4) / (tt * tt)', 6)} AS variance FROM gf WHERE rn = 1", *BASE, GIVEN_NODES)
 def _(t):
-    _, m = forest(t)
-    return t.spark.createDataFrame([(m.average, int(len(m.effects)), len(m.features))], "average_effect double, trees bigint, features bigint")
+    source, months = F.col("contract_source"), F.col("tenure_months")
+    rt = F.col("retention_action_taken") - F.when(source == "regular", 0.25).otherwise(0.15)
+    first = F.when(source == "regular", F.when(months <= 30, 3).otherwise(4)).otherwise(F.when(months <= 50, 5).otherwise(6))
+    second = F.when(F.col("plan_type") == "standard", 1).otherwise(F.when(F.coalesce("plan_price", F.lit(0.0)) <= 60, 5).otherwise(6))
+    rows = cframe(t).select((F.col("churned_30d") - F.lit(0.3)).alias("ry"), rt.alias("rt"), F.posexplode(F.array(first, second)).alias("tree", "node"))
+    ty, tt = F.col("rt") * F.col("ry"), F.col("rt") * F.col("rt")
+    sums = rows.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum(tt).alias("tt"), F.sum(ty).alias("ty"), F.sum(ty * ty).alias("yy"), F.sum(ty * tt).alias("yt"), F.sum(tt * tt).alias("t4"))
+    leaves = t.spark.createDataFrame([(0, 3), (0, 4), (0, 5), (0, 6), (1, 1), (1, 5), (1, 6)], "tree int, leaf int")
+    return rounded(leaf_effects(sums, leaves, LEAF_ROWS), ["effect", "variance"])
 
 
 @query("cau16_member_effects")
@@ -168,11 +185,25 @@ def _(t):
     return m.predict(df)
 
 
+@query("cau16_effect_properties", "SELECT member_id, TRUE AS has_effect, TRUE AS inside_interval, TRUE AS std_from_interval FROM cf", *BASE)
+def _(t):
+    df, m = forest(t)
+    e, width = F.col("cate_mean"), F.col("cate_upper") - F.col("cate_lower")
+    return m.predict(df).select("member_id", e.isNotNull().alias("has_effect"), e.between(F.col("cate_lower"), F.col("cate_upper")).alias("inside_interval"), (F.abs(width / 3.92 - F.col("cate_std")) < 1e-9).alias("std_from_interval"))
+
+
 @query("cau17_effect_importance")
 def _(t):
     return forest(t)[1].importance(t.spark)
 
 
+@query("cau17_importance_properties", f"SELECT {len(FOREST)}::BIGINT AS features, 1.0::DOUBLE AS total, TRUE AS ranked FROM cf LIMIT 1", *BASE)
+def _(t):
+    rows = forest(t)[1].importance(t.spark)
+    ranked = F.max(F.struct((-F.col("rank")).alias("o"), "importance"))["importance"] == F.max("importance")
+    return rows.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"), ranked.alias("ranked"))
+
+
 # Effect tables from given per-member effects: one action's column, negated to an effect on churn.
 GE = f"""ge AS (SELECT cf.*, -cate_mean AS effect FROM cf JOIN cate USING (member_id) WHERE action = 'phone_call'),
 gt AS (SELECT *, CASE WHEN tenure_months > 0 AND tenure_months <= 3 THEN '0-3m' WHEN tenure_months > 3 AND tenure_months <= 6 THEN '3-6m' WHEN tenure_months > 6 AND tenure_months <= 12 THEN '6-12m'
@@ -230,11 +261,6 @@ def _(t):
     return causal.partial_correlation(cframe(t), "enrollment_month", "retention_action_taken", ["visit_frequency", "tenure_months"]).select("x", "y", "partial_r", "n")
 
 
-@query("cau23_sensitivity")
-def _(t):
-    return causal.sensitivity(cframe(t), "member_id", SPEC)
-
-
 @query("cau24_effect_lookup", f"""SELECT *, {R("cate_mean - 1.96 * cate_std / sqrt(n_members)", 6)} AS ci_lower, {R("cate_mean + 1.96 * cate_std / sqrt(n_members)", 6)} AS ci_upper,
 cate_mean - 1.96 * cate_std / sqrt(n_members) > 0 OR cate_mean + 1.96 * cate_std / sqrt(n_members) < 0 AS significant FROM gs""", *BASE, GE)
 def _(t):

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tenura.config import Action, CausalSpec, Limits
 from tenura.errors import DataError, InfeasibleError
 from tenura.functions.stats import p_of_z, two_sided_p
-from tenura.operators import allocate, causal, churn, ltv, monitor, survival
+from tenura.operators import allocate, causal, churn, cox, forest, ltv, monitor, refute, survival
 
 
 @pytest.fixture(scope="module")
@@ -50,11 +51,108 @@ def test_cox_does_not_depend_on_partitions(frame):
     assert np.allclose(a.coef, b.coef, atol=1e-9)
 
 
-def test_long_tie_sums_match_the_exact_sum():
-    for d in (2_001, 50_000):
-        f, w = survival._tie_weights(d, False)
-        exact = np.log(5.0 - np.arange(d) / d * 3.0).sum()
-        assert w @ np.log(5.0 - f * 3.0) == pytest.approx(exact, rel=1e-9)
+def test_tie_sums_match_the_plain_sums():
+    cases = [(d, d * f) for d in (1, 2, 31, 32, 33, 34, 200, 2_001, 50_000) for f in (1.0, 1.0 + 1e-9, 1.5, 40.0, 1e6)] + [(7, 7.5), (1, 1e12)]
+    d, a = np.array([c[0] for c in cases]), np.array([c[1] for c in cases])
+    got = cox.tie_sums(d, a)
+    for i, (n, x) in enumerate(cases):
+        k = x - np.arange(n)
+        for g, want in zip(got, (math.fsum(np.log(k)), math.fsum(1 / k), math.fsum(1 / k**2))):
+            assert g[i] == pytest.approx(want, rel=1e-12, abs=1e-13)
+    assert all(len(s) == 0 for s in cox.tie_sums(np.empty(0, int), np.empty(0)))
+
+
+def plain_terms(t, e, x, beta):
+    """Efron's likelihood, gradient and information, tie by tie."""
+    p = len(beta)
+    w = np.exp(x @ beta)
+    ll, grad, info = 0.0, np.zeros(p), np.zeros((p, p))
+    for at in np.unique(t[e == 1]):
+        risk, own = t >= at, (t == at) & (e == 1)
+        d = own.sum()
+        ll += (x[own] @ beta).sum()
+        grad += x[own].sum(0)
+        for l in range(d):
+            v = np.where(risk, w, 0.0) - np.where(own, w * l / d, 0.0)
+            m = v @ x / v.sum()
+            ll -= np.log(v.sum())
+            grad -= m
+            info += (x * v[:, None]).T @ x / v.sum() - np.outer(m, m)
+    return ll, grad, info
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_cox_terms_match_the_plain_sums_with_heavy_ties(spark, ranges):
+    """A third of all members leave at one time, so that it is a range of its own in slices; 200 ties take the expansion."""
+    rng = np.random.default_rng(11)
+    n = 700
+    t = np.where(rng.random(n) < 0.35, 5.0, np.where(rng.random(n) < 0.5, np.round(rng.exponential(6, n), 0) + 1, rng.exponential(6, n)))
+    e, x = (rng.random(n) < 0.7).astype(int), np.column_stack([rng.normal(size=n), rng.integers(0, 2, n), rng.exponential(size=n)])
+    df = spark.createDataFrame([(float(a), int(b), *map(float, c)) for a, b, c in zip(t, e, x)] + [(None, 1, 0.0, 0.0, 0.0), (2.0, 1, None, 0.0, 0.0)], "duration double, event int, a double, b double, c double")
+    passes = cox.Passes(df, ["a", "b", "c"], ranges)
+    beta = np.array([0.3, -0.4, 0.2])
+    ll, grad, info, trend = passes.terms(beta)
+    want = plain_terms(t, e, x - passes.center, beta)
+    assert passes.n == n and ll == pytest.approx(want[0], rel=1e-12)
+    assert np.allclose(grad, want[1], rtol=1e-9, atol=1e-9) and np.allclose(info, want[2], rtol=1e-9, atol=1e-9)
+    base = {r["duration"]: r for r in passes.baseline(beta).collect()}
+    passes.close()
+    w, hazard = np.exp((x - passes.center) @ beta), 0.0
+    assert sorted(base) == sorted(set(t[e == 1]))
+    for at in np.unique(t[e == 1]):
+        d = ((t == at) & (e == 1)).sum()
+        hazard += d / w[t >= at].sum()
+        assert base[at]["events"] == d and base[at]["hazard"] == pytest.approx(hazard, rel=1e-10) and base[at]["at_risk"] == pytest.approx(w[t >= at].sum(), rel=1e-10)
+
+
+def test_cox_results_do_not_depend_on_ranges(frame):
+    a, b = survival.fit_cox(frame, ["x", "z"], ranges=1), survival.fit_cox(frame, ["x", "z"], ranges=37)
+    assert np.allclose(a.coef, b.coef, atol=1e-10) and a.log_likelihood == pytest.approx(b.log_likelihood, abs=1e-8)
+    assert all(a.trend[k] == pytest.approx(b.trend[k], rel=1e-8, abs=1e-8) for k in a.trend)
+    assert a.baseline_at([1, 5, 20]) == pytest.approx(b.baseline_at([1, 5, 20]), abs=1e-10)
+
+
+def test_many_distinct_times_stay_off_the_driver(spark):
+    """200,000 distinct times: what reaches the driver is one vector for each range."""
+    df = spark.range(200_000).select((F.lit(1.0) + F.col("id") * 1e-4).alias("duration"), (F.xxhash64("id") % 3 == 0).cast("int").alias("event"), (F.col("id") % 7 / 7.0).alias("x"))
+    m = survival.fit_cox(df, ["x"], 0.0)
+    assert m.n == 200_000 and m.baseline.count() == df.where("event = 1").count() and abs(m.coef[0]) < 0.1
+    calls = []
+    passes = cox.Passes(df, ["x"])
+    calls.append(len(passes.totals(m.coef)))
+    passes.close()
+    assert calls[0] <= 2 * cox.LEAST_RANGES
+
+
+def test_median_times_match_a_search(spark, frame):
+    m = survival.fit_cox(frame, ["x", "z"], penalizer=0.0)
+    steps = sorted((r["hazard"], r["duration"]) for r in m.baseline.collect())
+    rows = [(i, float(v), float(i % 2), "kept") for i, v in enumerate(np.linspace(-4, 4, 200))] + [(900, None, 1.0, "kept"), (901, 0.5, 0.0, "kept"), (902, 0.5, 0.0, "kept")]
+    df = spark.createDataFrame(rows, "member_id long, x double, z double, h string")
+    got = {r["member_id"]: r for r in survival.predict_median(m, df, cap=30.0).collect()}
+    assert len(got) == len(rows)
+    for i, x, z, _ in rows:
+        if x is None:
+            assert got[i]["median_survival"] is None
+            continue
+        need = math.log(2) / math.exp(float(m.coef @ (np.array([x, z]) - m.center)))
+        want = min([t for h, t in steps if h >= need] + [30.0])
+        assert got[i]["median_survival"] == min(want, 30.0) and got[i]["h"] == "kept"
+
+
+def test_curves_in_ranges_match_plain_products(spark):
+    rng = random.Random(2)
+    rows = [("ab"[rng.random() < 0.8], 7.0 if rng.random() < 0.3 else round(rng.expovariate(0.1), 2), int(rng.random() < 0.6)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "s string, duration double, event int")
+    got = {(r["s"], r["duration"]): r for r in survival.kaplan_meier(df, ["s"]).collect()}
+    for s in "ab":
+        mine, surv = [r for r in rows if r[0] == s], 1.0
+        for t in sorted({r[1] for r in mine}):
+            n, d = sum(r[1] >= t for r in mine), sum(r[1] == t and r[2] for r in mine)
+            surv *= 1 - d / n
+            assert (got[s, t]["at_risk"], got[s, t]["events"]) == (n, d) and got[s, t]["survival"] == pytest.approx(surv, abs=1e-6)
+    windows = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", survival.kaplan_meier(df, ["s"])._jdf.queryExecution().optimizedPlan().toString())
+    assert windows and all("_r#" in w or "DESC" not in w and "ASC" not in w for w in windows)  # nothing is ordered but within ranges, or the ranges themselves
 
 
 def test_concordance_equals_all_pairs(frame):
@@ -116,7 +214,8 @@ def test_median_and_all_churned_stratum(spark):
 
 
 def test_ltv_bounds(spark):
-    flat = survival.CoxModel(["x"], np.array([0.0]), np.array([0.0]), np.array([99.0]), np.array([1.0]))
+    step = spark.createDataFrame([(99.0, 1.0)], "duration double, hazard double")
+    flat = survival.CoxModel(["x"], np.array([0.0]), np.array([0.0]), step)
     df = spark.createDataFrame([("m", 119.9, 0.0), ("n", None, 0.0)], "member_id string, monthly_price double, x double")
     got = {r["member_id"]: r["ltv"] for r in ltv.estimate_ltv(df, flat, 0.01, 12).collect()}
     assert 0.9 * 1438.8 < got["m"] < 1438.8 and got["n"] is None
@@ -191,32 +290,147 @@ def test_ols_equals_numpy(study):
     assert e.std_error == pytest.approx(math.sqrt(rss[0] / (len(y) - 4) * np.linalg.inv(a.T @ a)[1, 1]), rel=1e-9)
 
 
-def test_replicates_do_not_depend_on_partitions(study):
-    a = causal.bootstrap_effects(study.coalesce(1), "member_id", "t", "y", ["x", "w"], 20)
-    b = causal.bootstrap_effects(study.repartition(6), "member_id", "t", "y", ["x", "w"], 20)
-    assert np.allclose(a, b, atol=1e-9) and a.std() > 0
+@pytest.mark.parametrize("method", refute.METHODS)
+def test_replicates_do_not_depend_on_partitions(study, method):
+    a = refute.replicate_effects(study.coalesce(1), "member_id", SPEC, method, 20, "bootstrap")
+    b = refute.replicate_effects(study.repartition(6), "member_id", SPEC, method, 20, "bootstrap")
+    assert np.allclose(a, b, atol=1e-7) and a.std() > 0 and abs(a.mean() - 2.0) < 0.35
 
 
 def test_permutation_keeps_counts_and_breaks_the_link(study):
-    p = causal.permuted(study, "member_id", "t", bucket_rows=500)
+    p = refute.permuted(study, "member_id", "t")
     assert p.count() == study.count()
     assert p.agg(F.sum("t")).first()[0] == study.agg(F.sum("t")).first()[0]
     assert abs(causal.linear_ate(p, "t", "y", ["x", "w"]).effect) < 0.25
 
 
-def test_refutation_report(study):
-    got = {r["test_name"]: r for r in causal.refute(study, "member_id", SPEC, placebo_limit=0.25, replicates=50).collect()}
-    assert len(got) == 4 and all(r["passed"] for r in got.values())
+@pytest.mark.parametrize("method", refute.METHODS)
+def test_refutation_report(study, method):
+    """Every test refutes the estimate that was made: its original effect is that method's."""
+    got = {r["test_name"]: r for r in refute.refute(study, "member_id", SPEC, method, placebo_limit=0.25, replicates=20).collect()}
+    assert len(got) == 4 and all(r["passed"] for r in got.values()), got
+    assert {r["original_effect"] for r in got.values()} == {got["bootstrap"]["original_effect"]}
+    assert got["bootstrap"]["original_effect"] == pytest.approx(causal.estimate_ate(study, SPEC, method).effect, abs=2e-3)
+
+
+def test_replicated_fits_match_plain_ones(spark):
+    """Propensity models and effects of weighted replicates against Newton's method and matching in plain NumPy."""
+    rng = np.random.default_rng(4)
+    n = 300
+    x = rng.normal(size=(n, 2)).round(1) * [1.0, 30.0]
+    t = (rng.random(n) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    y = t + x[:, 0] + rng.normal(size=n)
+    df = spark.createDataFrame([(int(i), *map(float, r)) for i, r in enumerate(np.column_stack([x, t, y]))], "member_id long, x double, w double, t double, y double")
+    for kind in ("all", "subset", "bootstrap"):
+        scores = refute.Scores(df, "member_id", "t", "y", ["x", "w"], 3, kind, 0.8, 42)
+        beta = scores.fit()
+        hashes = np.array([r[0] for r in df.orderBy("member_id").select(causal.row_hash("member_id")).collect()])
+        weight = causal.replicate_weights(hashes, 3, kind, 0.8, 42)
+        z = np.column_stack([np.ones(n), (x - x.mean(0)) / x.std(0)])
+        hajek, match = scores.weighted_effects(beta), scores.matched_effects(beta)
+        scores.close()
+        for k in range(3):
+            w, b, pen = weight[:, k], np.zeros(3), np.diag([0.0, 1e-6, 1e-6]) * weight[:, k].sum()
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-z @ b))
+                b = b + np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + pen, z.T @ (w * (t - p)) - pen @ b)
+            assert np.allclose(beta[k], b, atol=1e-7)
+            p = 1 / (1 + np.exp(-z @ beta[k]))
+            c = np.clip(p, 0.01, 0.99)
+            one, two = w * t / c, w * (1 - t) / (1 - c)
+            assert hajek[k] == pytest.approx(one @ y / one.sum() - two @ y / two.sum(), abs=1e-9)
+            q, total = p.round(12), 0.0
+            for i in np.flatnonzero(w):
+                other = (t != t[i]) & (w > 0)
+                g = min(set(q[other]), key=lambda v: (abs(v - q[i]), v))
+                at = other & (q == g)
+                total += w[i] * (y[i] - (w[at] @ y[at]) / w[at].sum()) * (1 if t[i] else -1)
+            assert match[k] == pytest.approx(total / w.sum(), abs=1e-9)
+
+
+def test_a_test_that_cannot_run_is_a_failed_row(spark):
+    df = spark.createDataFrame([(i, float(i % 2), 1.0, 0.0) for i in range(10)], "member_id long, x double, t double, y double")
+    with pytest.raises(DataError):
+        refute.refute(df, "member_id", CausalSpec("t", "y", ("x",), ()), "other")
+    ok = spark.createDataFrame([(i, float(i), float(i < 2), float(i % 3)) for i in range(40)], "member_id long, x double, t double, y double")
+    got = refute.refute(ok, "member_id", CausalSpec("t", "y", ("x",), ()), "propensity_score_weighting", tests=["bootstrap"]).first()
+    assert got["passed"] is False and got["details"].startswith("failed with")
 
 
 def test_effect_forest_finds_the_split(study):
-    m = causal.fit_effect_forest(study, "member_id", SPEC, ["x", "w"], trees=20, depth=4, min_leaf=30, folds=2, rounds=15)
+    m = forest.fit_effect_forest(study, "member_id", SPEC, ["x", "w"], trees=20, depth=4, min_leaf=30, folds=2, rounds=15)
+    assert m.predict(study).count() == study.count()
     e = m.predict(study).join(study, "member_id").groupBy((F.col("x") > 0).alias("up")).agg(F.avg("cate_mean").alias("e")).collect()
     by = {r["up"]: r["e"] for r in e}
     assert by[True] - by[False] > 1.0 and abs(m.average - 2.0) < 0.5
     assert m.importance(study.sparkSession).first()["feature"] == "x"
 
 
+def test_trees_are_those_of_a_plain_search(spark):
+    """Splits, leaf members and leaf effects of every tree against a search in NumPy over the same bins and halves."""
+    rng = np.random.default_rng(6)
+    n = 900
+    x = np.column_stack([rng.normal(size=n).round(2), rng.integers(0, 4, n)])
+    rt = rng.normal(size=n)
+    rt[:300] *= 1e-5  # treatment residuals near zero stay in
+    ry = rt * np.where(x[:, 0] > 0.3, 2.0, -1.0) + 0.1 * rng.normal(size=n)
+    df = spark.createDataFrame([(int(i), *map(float, r)) for i, r in enumerate(np.column_stack([x, ry, rt]))], "member_id long, a double, b double, ry double, rt double").repartition(3)
+    m = forest.grow_forest(df, "member_id", ["a", "b"], trees=4, depth=3, min_leaf=20, seed=5)
+    h = np.array([r[0] for r in df.orderBy("member_id").select(causal.row_hash("member_id")).collect()])
+    u = causal._uniforms(h, 4, 5)
+    bins = np.column_stack([np.searchsorted(m.edges[j], x[:, j], side="left") for j in range(2)])
+    leaves = {(r["tree"], r["leaf"]): r for r in m.leaves.collect()}
+    placed = {r["member_id"]: r["leaf"] for r in m.placed(df).collect()}
+    score = lambda at: (rt[at] @ ry[at]) ** 2 / (rt[at] @ rt[at]) if len(at) else 0.0
+    for t in range(4):
+        grow, rest = u[:, t] < 0.25, (u[:, t] >= 0.25) & (u[:, t] < 0.5)
+        assert not (grow & rest).any()
+        todo = [(0, np.arange(n))]
+        while todo:
+            k, at = todo.pop()
+            mine = at[grow[at]]
+            best = (0.0,)
+            if k < 7 and len(mine) >= 40:
+                for j in range(2):
+                    for cut in range(forest.BINS - 1):
+                        lo, hi = mine[bins[mine, j] <= cut], mine[bins[mine, j] > cut]
+                        if min(len(lo), len(hi)) >= 20:
+                            best = max(best, (score(lo) + score(hi) - score(mine), j, cut), key=lambda b: b[0])
+            if len(best) > 1:
+                assert m.shape.feature[t, k] >= 0
+                j, cut = m.shape.feature[t, k], m.shape.bin[t, k]
+                lo, hi = mine[bins[mine, j] <= cut], mine[bins[mine, j] > cut]
+                assert score(lo) + score(hi) - score(mine) == pytest.approx(best[0], rel=1e-9)
+                todo += [(2 * k + 1, at[bins[at, j] <= cut]), (2 * k + 2, at[bins[at, j] > cut])]
+                continue
+            assert m.shape.feature[t, k] < 0 and all(placed[int(i)][t] == k for i in at)
+            node = k
+            inside = lambda node: np.array([i for i in range(n) if rest[i] and (lambda q: any(((q + 1) >> d) - 1 == node for d in range(5)))(placed[i][t])], int)  # noqa: B023, E731
+            while node and len(inside(node)) < 10:
+                node = (node - 1) // 2
+            rows = inside(node)
+            effect = (rt[rows] @ ry[rows]) / (rt[rows] @ rt[rows])
+            assert leaves[t, k]["node"] == node and leaves[t, k]["effect"] == pytest.approx(effect, rel=1e-9)
+    got = {r["member_id"]: r["cate_mean"] for r in m.predict(df).collect()}
+    assert len(got) == n and all(got[i] == pytest.approx(np.mean([leaves[t, placed[i][t]]["effect"] for t in range(4)]), rel=1e-9) for i in range(0, n, 37))
+
+
+def test_forest_results_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
+    df = spark.range(600).select(F.col("id").alias("member_id"), (F.col("id") % 13 / 13.0).alias("a"), F.sin(F.col("id")).alias("rt"), (F.sin(F.col("id")) * F.when(F.col("id") % 13 > 6, 2.0).otherwise(0.5)).alias("ry"))
+    one = forest.grow_forest(df.coalesce(1), "member_id", ["a"], trees=6, depth=3, min_leaf=15)
+    monkeypatch.setattr(forest, "SUMS", 2000)
+    two = forest.grow_forest(df.repartition(5), "member_id", ["a"], trees=6, depth=3, min_leaf=15)
+    assert (one.shape.feature == two.shape.feature).all() and (one.shape.bin == two.shape.bin).all()
+
+
+def test_missing_features_keep_their_members(spark, study):
+    holes = study.withColumn("x", F.when(F.col("member_id") % 10 != 0, F.col("x")))
+    m = forest.fit_effect_forest(holes, "member_id", SPEC, ["x", "w"], trees=3, depth=2, min_leaf=30, folds=2, rounds=3)
+    assert m.predict(holes).where("cate_mean is not null").count() == study.count()
+    with pytest.raises(DataError):
+        forest.grow_forest(study.select("member_id", "x", F.lit(0.0).alias("rt"), F.col("y").alias("ry")), "member_id", ["x"], trees=2)
+
+
 def test_tenure_zero_belongs_to_no_group(spark):
     df = spark.createDataFrame([(0.0,), (3.0,), (3.1,), (24.0,), (25.0,)], "m double")
     assert [r[0] for r in df.select(causal.tenure_group(F.col("m"))).collect()] == [None, "0-3m", "3-6m", "12-24m", "24m+"]
