@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,8 @@ from tenura.config import MASK_TOKEN, PII_FIELDS
 from tenura.errors import DataError
 from tenura.functions import as_ts, minus_days, round_dec, safe_div
 from tenura.functions import text as tx
+from tenura.operators.similar import top_similar  # noqa: F401
+from tenura.session import checkpointed
 
 
 def mask_column(df: DataFrame, col: str, token: str = MASK_TOKEN) -> DataFrame:
@@ -67,79 +68,7 @@ def last_messages(log: DataFrame, session: str, order: str, n: int = 10) -> Data
     return kept.withColumn("position", (F.max("_r").over(size) - F.col("_r") + 1).cast("bigint")).drop("_r")
 
 
-# ---- similarity ------------------------------------------------------------------------------
-
-QUERY_FLOATS = 4_000_000  # query values one scan may carry to every task (32 MB as doubles)
-
-
-def top_similar(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec: str = "embedding",
-                query_id: str = "query_id", type_col: str | None = None, digits: int = 9) -> DataFrame:
-    """The ``k`` most similar corpus rows per query by cosine, as 1 minus the cosine distance.
-
-    Queries go to the tasks in blocks of a checked size; every block is one scan of the corpus in
-    which a task keeps ``k`` rows per query, so pairs are neither joined nor shuffled. With
-    ``type_col`` (in both tables) a query only sees rows of its own type.
-    """
-    n, dim = queries.agg(F.count("*"), F.max(F.size(vec))).first()
-    if not n:
-        raise DataError("no queries given")
-    blocks = max(1, -(-n * (dim or 1) // QUERY_FLOATS))
-    cols = [query_id, vec] + ([type_col] if type_col else [])
-    parts = []
-    for b in range(blocks):
-        block = queries.select(*cols).filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        rows = block.collect()
-        if rows:
-            parts.append(_scan(corpus, rows, k, id_col, vec, query_id, type_col, digits))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    best = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col)
-    ranked = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
-
-
-def _scan(corpus, rows, k, id_col, vec, query_id, type_col, digits) -> DataFrame:
-    q = np.array([r[vec] for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(q, axis=1)
-    q = q / np.where(norms == 0, 1.0, norms)[:, None]
-    q_ids = [r[query_id] for r in rows]
-    q_types = np.array([r[type_col] for r in rows]) if type_col else None
-    kinds = {f.name: f for f in corpus.schema.fields}
-    id_type, q_type = kinds[id_col].dataType.simpleString(), "bigint" if isinstance(q_ids[0], int) else "string"
-    schema = f"{query_id} {q_type}, {id_col} {id_type}, similarity double"
-
-    def best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep: list[tuple[list, np.ndarray]] = [([], np.empty(0)) for _ in q_ids]
-        for batch in batches:
-            column = batch.column(vec)
-            valid = np.asarray(column.is_valid())
-            if not valid.any():
-                continue
-            ids = np.asarray(batch.column(id_col).to_pylist(), dtype=object)[valid]
-            x = column.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            length = np.linalg.norm(x, axis=1)
-            x = x / np.where(length == 0, 1.0, length)[:, None]
-            types = np.asarray(batch.column(type_col).to_pylist())[valid] if type_col else None
-            sims, first = None, 0
-            for j in range(len(q_ids)):
-                if j % 256 == 0:  # a slice of the queries at a time bounds the product's memory
-                    sims, first = np.round(x @ q[j:j + 256].T, digits), j
-                s, i = sims[:, j - first], ids
-                if types is not None:
-                    mask = types == q_types[j]
-                    s, i = s[mask], i[mask]
-                if len(s) > k:  # keep ties with the k-th value, they are cut by id below
-                    cut = s >= np.partition(s, -k)[-k]
-                    s, i = s[cut], i[cut]
-                all_ids, all_s = keep[j][0] + list(i), np.concatenate([keep[j][1], s])
-                order = sorted(range(len(all_ids)), key=lambda a: (-all_s[a], all_ids[a]))[:k]
-                keep[j] = ([all_ids[a] for a in order], all_s[order])
-        out = [(q_ids[j], i, float(s)) for j, (ids, sims) in enumerate(keep) for i, s in zip(ids, sims)]
-        if out:
-            yield pa.RecordBatch.from_pydict({query_id: [o[0] for o in out], id_col: [o[1] for o in out], "similarity": [o[2] for o in out]})
-
-    return corpus.select(id_col, vec, *([type_col] if type_col else [])).mapInArrow(best_rows, schema)
+# ---- similarity (top_similar is in ``similar``) ---------------------------------------------
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -165,8 +94,38 @@ def memory_rows(messages: DataFrame, session: str, content: str, metadata: Seque
                            F.to_json(F.struct(*metadata)).alias("metadata"), F.lit(kind).alias("memory_type"), created.alias("created_at"))
 
 
-def store_memory(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("memory_type").parquet(path)
+def store_memory(rows: DataFrame, path: str, buckets: int = 16) -> None:
+    """Append rows in partitions by type and by a hash of the session, so that all rows of a session of one type lie in one partition."""
+    bucket = F.pmod(F.crc32(F.col("session_id").cast("string").cast("binary")), F.lit(buckets)).cast("int")
+    rows.withColumn("session_bucket", bucket).write.mode("append").partitionBy("memory_type", "session_bucket").parquet(path)
+
+
+def erase_in_store(spark, path: str, sessions: DataFrame, buckets: int = 16) -> DataFrame:
+    """Delete all rows of the listed sessions from a stored memory table; gives (session_id, deleted) of those that had any.
+
+    Only partitions that hold a listed session are read and written again (dynamic partition overwrite); all others keep their
+    files. The rows that stay are written to the shared folder first, as a table cannot be replaced while it is read. A
+    partition left without rows is removed.
+    """
+    parts = ["memory_type", "session_bucket"]
+    listed = checkpointed(sessions.select(F.col("session_id").cast("string").alias("_s")).where("_s is not null").distinct())
+    bucket = F.pmod(F.crc32(F.col("_s").cast("binary")), F.lit(buckets)).cast("int")
+    places = [r[0] for r in listed.select(bucket).distinct().collect()]  # at most ``buckets`` numbers, so that whole folders drop out of the scan
+    memory = spark.read.parquet(path)
+    touched = memory.where(F.col("session_bucket").isin(places))
+    own = F.col("session_id").cast("string") == F.col("_s")
+    deleted = checkpointed(touched.join(listed, own, "left_semi").groupBy("session_id", *parts).agg(F.count("*").alias("n")))
+    hit = deleted.select(*parts).distinct().collect()  # partitions, at most types times buckets
+    if hit:
+        where = reduce(lambda a, b: a | b, [F.col(parts[0]).eqNullSafe(F.lit(r[0])) & F.col(parts[1]).eqNullSafe(F.lit(r[1])) for r in hit])
+        stay = checkpointed(memory.where(where).join(listed, own, "left_anti"))
+        left = {tuple(r) for r in stay.select(*parts).distinct().collect()}
+        stay.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+        for r in hit:
+            if tuple(r) not in left:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{parts[0]}={r[0]}/{parts[1]}={r[1]}")
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return deleted.groupBy("session_id").agg(F.sum("n").alias("deleted"))
 
 
 def erase_sessions(memory: DataFrame, sessions: DataFrame, key: str = "session_id") -> tuple[DataFrame, DataFrame]:
@@ -204,17 +163,25 @@ def score_responses(log: DataFrame) -> DataFrame:
 
 
 def evaluate_responses(scored: DataFrame, success: float = 0.7, leak: float = 0.0, latency_s: float = 15.0) -> DataFrame:
-    """Rates overall (category null) and per category, with the verdict against the limits."""
+    """Rates overall (category null) and per category, with the verdict against the limits.
+
+    With columns ``grounding`` (see ``grounding``) and ``tokens`` also the mean grounding of the responses that state numbers, and the mean tokens.
+    """
     one = lambda c: round_dec(F.avg(F.col(c).cast("double")), 6)
     agg = scored.groupingSets([[], ["category"]], "category").agg(
         F.grouping("category").alias("_g"), F.count("*").alias("n_scenarios"),
         round_dec(F.avg(F.col("task_success").cast("int").cast("double")), 6).alias("task_success_rate"),
         one("tool_accuracy").alias("tool_selection_accuracy"), one("latency_ms").alias("avg_latency"),
         round_dec(F.avg(F.col("pii_leaked").cast("int").cast("double")), 6).alias("pii_leak_rate"))
+    more = {"grounding": "factual_grounding_rate", "tokens": "avg_tokens_per_query"}
+    extra = [c for c in more if c in scored.columns]
+    if extra:
+        also = scored.groupingSets([[], ["category"]], "category").agg(F.grouping("category").alias("_g"), *[one(c).alias(more[c]) for c in extra])
+        agg = agg.join(also.withColumnRenamed("category", "_c").withColumnRenamed("_g", "_h"), (F.col("_g") == F.col("_h")) & F.col("category").eqNullSafe(F.col("_c"))).drop("_c", "_h")
     ok = (F.col("task_success_rate") >= success) & (F.col("pii_leak_rate") <= leak) & (F.col("avg_latency") <= latency_s * 1000)
     scope = F.when(F.col("_g") == 1, F.lit("overall")).otherwise(F.lit("category"))
     return agg.select(scope.alias("scope"), "category", "n_scenarios", "task_success_rate", "tool_selection_accuracy",
-                      "avg_latency", "pii_leak_rate", ok.alias("passed"))
+                      "avg_latency", "pii_leak_rate", *[more[c] for c in extra], ok.alias("passed"))
 
 
 def member_profiles(df: DataFrame, fields: Sequence[str] = tuple(PII_FIELDS), token: str = MASK_TOKEN) -> DataFrame:

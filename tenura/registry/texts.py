@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tenura.config import BLOCKED_SQL
 from tenura.functions import text as tx
-from tenura.operators import text
+from tenura.operators import similar, text
 from tenura.registry.base import M360, VIS, ACT, R, member_360, query
-from tenura.session import scratch_folder
+from tenura.session import checkpointed, scratch_folder
 from tenura.sources import catalog
 
 NAME_SQL = tx.NAME.replace("(?iu)", "(?i)")
@@ -138,6 +138,30 @@ def _(t):
     return text.top_similar(t.base("embeddings"), label_queries(t), 5, type_col="label")
 
 
+HUNDREDTH = """nb AS (SELECT a.vec_id AS query_id, b.vec_id, ROUND(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+top AS (SELECT query_id, vec_id, s AS similarity, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM nb) WHERE rank <= 10)"""
+
+
+def every_hundredth(t):
+    """The stated query set: every row whose id is divisible by 100, against all rows."""
+    e = t.base("embeddings")
+    return e, e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("txt11_neighbours", "SELECT * FROM top", HUNDREDTH)
+def _(t):
+    return similar.top_similar(*every_hundredth(t), 10)
+
+
+@query("txt11_index_recall", "SELECT COUNT(DISTINCT query_id) AS queries, 10::BIGINT AS k, TRUE AS recall_reached, TRUE AS similarities_exact FROM top", HUNDREDTH)
+def _(t):
+    exact = similar.top_similar(*every_hundredth(t), 10)
+    found = checkpointed(similar.top_similar(*every_hundredth(t), 10, index=similar.Hyperplanes()))
+    wrong = found.join(exact.select("query_id", "vec_id", F.col("similarity").alias("_s")), ["query_id", "vec_id"]).agg(F.count_if(F.col("similarity") != F.col("_s")).alias("wrong"))
+    return similar.recall(exact, found).join(wrong, F.lit(True)).select("queries", F.lit(10).cast("bigint").alias("k"), (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("wrong") == 0).alias("similarities_exact"))
+
+
 @query("txt12_similarity_threshold", f"SELECT vec_id, label, {R('s', 6)} AS similarity FROM sims WHERE label = query_id AND s >= 0.3", CENT)
 def _(t):
     cents = label_queries(t).select("label", F.col("embedding").alias("c"))
@@ -174,6 +198,16 @@ def _(t):
     return erased(t)[1]
 
 
+@query("txt14_erase_in_store", "SELECT conv_id AS session_id, text AS content, role AS memory_type FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM gone)", ERASED)
+def _(t):
+    """The stored table after an erasure that replaced only the partitions it had to."""
+    path, conv = scratch_folder(t.spark, "memory"), t.base("conversations")
+    text.store_memory(conv.select(F.col("conv_id").alias("session_id"), F.col("text").alias("content"), F.col("role").alias("memory_type")), path)
+    listed = conv.groupBy("conv_id").agg(F.max(F.length("text")).alias("n")).filter("n > 1500").select(F.col("conv_id").alias("session_id"))
+    text.erase_in_store(t.spark, path, listed)
+    return t.spark.read.parquet(path).select("session_id", "content", F.col("memory_type").cast("string").alias("memory_type"))
+
+
 @query("txt15_retention", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-21 00:00:00'")
 def _(t):
     return text.retain(t.base("events").select("event_id", "ts"), "ts", "2024-01-31 00:00:00", 10)
@@ -219,6 +253,23 @@ def _(t):
     return text.evaluate_responses(text.score_responses(responses(t)))
 
 
+MORE = RESP.replace("rs AS (SELECT *,", "rs AS (SELECT *, len(regexp_extract_all(answer, '[^ ]+')) AS tokens, CAST(len(list_intersect(list_distinct(regexp_extract_all(answer, '[0-9]+(?:\\.[0-9]+)?')), "
+                    "list_distinct(regexp_extract_all(asked, '[0-9]+(?:\\.[0-9]+)?')))) AS DOUBLE) / NULLIF(len(list_distinct(regexp_extract_all(answer, '[0-9]+(?:\\.[0-9]+)?'))), 0) AS grounding,", 1).replace(
+                    "a.text AS answer,", "a.text AS answer, u.text AS asked,", 1)
+MORE_RATES = RATES + f""", {R("AVG(grounding)", 6)} AS factual_grounding_rate, {R("AVG(tokens)", 6)} AS avg_tokens_per_query"""
+
+
+@query("txt17_evaluation_summary", f"""SELECT *, task_success_rate >= 0.7 AND pii_leak_rate <= 0 AND avg_latency <= 15000 AS passed FROM (SELECT 'category' AS scope, category, {MORE_RATES} FROM rs GROUP BY category
+UNION ALL SELECT 'overall', NULL, {MORE_RATES} FROM rs)""", MORE)
+def _(t):
+    """With grounding (numbers of the answer that the question states) and tokens."""
+    conv = t.base("conversations")
+    asked = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
+    scored = text.score_responses(responses(t)).drop("asked").join(asked, ["conv_id", "turn"])
+    known = text.grounding(scored, "answer", "asked").withColumn("tokens", F.size(F.regexp_extract_all("answer", F.lit("[^ ]+"), F.lit(0))))
+    return text.evaluate_responses(known)
+
+
 @query("txt18_member_profiles", f"SELECT member_id, location_id, plan_type, tenure_days, '[REDACTED]' AS member_name, {masked('note')} AS note FROM (SELECT *, 'call ' || CAST(11900000000 + member_id AS VARCHAR) || ' about ' || plan_type AS note FROM m360)", VIS, ACT, M360)
 def _(t):
     df = member_360(t).select("member_id", "location_id", "plan_type", "tenure_days", F.col("name").alias("member_name"),
