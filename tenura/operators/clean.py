@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tenura.config import ACTION_ALIASES, ACTION_TYPES, MemberRules
@@ -128,8 +128,20 @@ def merge_reenrollments(spells: DataFrame, window_days: int = 30, tie: str = "lo
 
 def clean_members(raw: DataFrame, order_by: Sequence[str], rules: MemberRules = MemberRules(),
                   gate: bool = False) -> DataFrame:
-    """Parse dates, keep the last row per member, check null shares, repair categories."""
-    df = keep_last(parse_dates(raw, ["join_date", "cancel_date"]), ["member_id"], order_by)
+    """Parse dates, merge re-enrolments, keep one row per member, check null shares, repair categories.
+
+    Spells are merged before a member's rows are reduced to the last one, which would leave nothing to merge. The row that stays has
+    the attributes of the member's last row in the given order, and the join date, cancel date and ``churned`` of the latest
+    membership after merging: a return within ``reenrollment_window_days`` of a cancel carries the first join date on.
+    Members without any readable join date keep their last row as it is.
+    """
+    parsed = parse_dates(raw, ["join_date", "cancel_date"])
+    last = keep_last(parsed, ["member_id"], order_by)
+    spells = parsed.select("member_id", "join_date", "cancel_date", F.struct(*order_by).alias("_order"))
+    merged = merge_reenrollments(spells, rules.reenrollment_window_days, "_order")
+    tenure = merged.groupBy("member_id").agg(F.max(F.struct("join_date", "cancel_date", "churned")).alias("_t"))
+    own = {c: F.when(F.col("_t").isNotNull(), F.col("_t")[c]).otherwise(F.col(c)) for c in ("join_date", "cancel_date", "churned") if c in raw.columns}
+    df = last.join(tenure, "member_id", "left").withColumns(own).select(*raw.columns)
     if gate:
         enforce_null_limits(df, rules.null_limits)
     return repair_domains(df, rules)
@@ -164,6 +176,24 @@ def visit_rejects(raw: DataFrame, rules: MemberRules = MemberRules()) -> DataFra
         for s in ("read", "duplicate", "duration", "undated", "kept")])))
 
 
+def write_clean_visits(raw: DataFrame, path: str, rules: MemberRules = MemberRules()) -> DataFrame:
+    """Clean the visits, write them, and give the reject counts ``(step, n)`` that the write itself observed.
+
+    Counters sit on the rows that pass by: what was read, and after the copies are gone what each filter is about to drop. No row is
+    read a second time. Counts are those of the job that wrote (a lost executor's repeated tasks may be counted again).
+    """
+    seen, kept = Observation(), Observation()
+    minutes = F.col("visit_duration_minutes")
+    in_range = F.coalesce(minutes.between(rules.min_minutes, rules.max_minutes), F.lit(False))
+    distinct = drop_exact_duplicates(parse_dates(raw, ["visit_date"]).observe(seen, F.count(F.lit(1)).alias("read")))
+    counted = distinct.observe(kept, F.count(F.lit(1)).alias("distinct"), F.count_if(~in_range).alias("duration"),
+                               F.count_if(in_range & F.col("visit_date").isNull()).alias("undated"), F.count_if(in_range & F.col("visit_date").isNotNull()).alias("kept"))
+    drop_undated(limit_durations(counted, rules), ["visit_date"]).write.mode("overwrite").parquet(path)
+    got = {**seen.get, **kept.get}
+    rows = [("read", got["read"]), ("duplicate", got["read"] - got["distinct"]), *[(s, got[s]) for s in ("duration", "undated", "kept")]]
+    return raw.sparkSession.createDataFrame(rows, "step string, n bigint")
+
+
 def to_utc(df: DataFrame, ts: str, zone: str, out: str) -> DataFrame:
     """Local event times to UTC, with the zone name taken from a column."""
     local = F.to_utc_timestamp(F.col(ts).cast("timestamp"), F.col(zone))

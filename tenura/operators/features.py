@@ -11,7 +11,7 @@ from tenura.config import (AGE_BINS, AGE_LABELS, CONTRACT_SOURCES, GENDERS, MODE
                            VISIT_WINDOWS)
 from tenura.errors import DataError
 from tenura.functions import as_ts, days_between, flag, micros, minus_days, round_dec, safe_div
-from tenura.functions.ordered import percentile_rows
+from tenura.functions.ordered import percentile_rows, ranked_values
 
 
 def need(df: DataFrame, cols: Sequence[str], name: str = "input") -> None:
@@ -233,13 +233,13 @@ def visits_before_end(members: DataFrame, visits: DataFrame, ref, days: int = 30
 def category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``<col>_code``: position of the value among the sorted distinct values, -1 for null.
 
-    Only the distinct values of a category column are ranked; rows get their code by a join.
+    Only the distinct values are ranked, in ranges. Rows get their code by a join that leaves rows without a value out and is
+    split where one value has many rows; where the codes are few, Spark sends them to the rows instead.
     """
     for c in cols:
-        values = df.select(F.col(c).alias("_v")).filter("_v is not null").distinct()
-        codes = values.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("bigint").alias("_code"))
-        df = df.join(codes, F.col(c) == F.col("_v"), "left").withColumn(
-            f"{c}_code", F.coalesce("_code", F.lit(-1).cast("bigint"))).drop("_v", "_code")
+        codes = ranked_values(df.select(F.col(c).alias("_v")), "_v").withColumnRenamed("rank", "_code")
+        known = df.where(F.col(c).isNotNull()).join(codes, F.col(c) == F.col("_v")).withColumnRenamed("_code", f"{c}_code").drop("_v")
+        df = known.unionByName(df.where(F.col(c).isNull()).withColumn(f"{c}_code", F.lit(-1).cast("bigint")))
     return df
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tenura.config import DRIFT_FEATURES
 from tenura.functions import as_ts, flag, minus_days, round_dec, safe_div
-from tenura.functions.ordered import percentile_rows, prefix_sums
+from tenura.functions.ordered import count_percentiles, prefix_sums
 from tenura.operators import churn
+from tenura.session import checkpointed
 
 
 def split_windows(df: DataFrame, ts: str, ref, reference_days: int = 90, current_days: int = 7) -> DataFrame:
@@ -40,8 +41,10 @@ def ks_test(reference: DataFrame, current: DataFrame, features: Sequence[str] =
     Values collapse to counts per feature, and the two distribution functions are running totals
     split by value ranges, so one feature is never sorted in one task.
     """
-    counts = _both(reference, current, features).groupBy("feature", "value").agg(
-        F.sum("is_cur").alias("cur"), F.sum(1 - F.col("is_cur")).alias("ref"))
+    return _ks(value_table(reference, current, features), alpha)
+
+
+def _ks(counts: DataFrame, alpha: float) -> DataFrame:
     run = prefix_sums(counts, F.col("value"), ["ref", "cur"], ["feature"], null_keys=False)
     gap = F.abs(F.col("cum_ref") / F.col("total_ref") - F.col("cum_cur") / F.col("total_cur"))
     stats = run.filter("total_ref > 0 and total_cur > 0").groupBy("feature").agg(
@@ -52,40 +55,49 @@ def ks_test(reference: DataFrame, current: DataFrame, features: Sequence[str] =
                         round_dec(p, 6).alias("p_value"), (p < alpha).alias("drifted"))
 
 
-def psi_edges(reference: DataFrame, col: str, bins: int = 10) -> list[float]:
-    """Distinct percentile edges of the expected values (at most ``bins + 1`` numbers)."""
-    rows = percentile_rows(reference, col, {f"p{i}": i / bins for i in range(bins + 1)})
-    return sorted({v for v in rows[0] if v is not None}) if rows else []
+def value_table(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows (feature, value, ref, cur): how often each value occurs in either table. One scan of each, whatever the number of features."""
+    return _both(reference, current, features).groupBy("feature", "value").agg(F.sum(1 - F.col("is_cur")).alias("ref"), F.sum("is_cur").alias("cur"))
 
 
-def psi(reference: DataFrame, current: DataFrame, col: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
-    """Population stability index over percentile bins of the reference.
+def psi_edges(values: DataFrame, bins: int = 10) -> DataFrame:
+    """(feature, edges): the distinct percentiles of the reference's values, at most ``bins + 1``, in order."""
+    probs = {f"p{i}": i / bins for i in range(bins + 1)}
+    counts = values.filter("ref > 0").select("feature", F.col("value").alias("_x"), F.col("ref").alias("n"))
+    return count_percentiles(counts, probs, ["feature"]).select("feature", F.array_sort(F.array_distinct(F.array(*probs))).alias("edges"))
 
-    Values outside the reference range are left out before normalising, and counted.
+
+def psi_table(values: DataFrame, bins: int = 10, eps: float = 1e-6) -> DataFrame:
+    """Rows (feature, psi, n_bins, n_out_of_range) from a ``value_table``, for all features at once.
+
+    Edges are one row per feature; values are placed between them where they lie, and only counts per feature and bin move.
+    Values outside the reference's range are left out before normalising, and counted. Bins are half open, the last one
+    is closed. Fewer than two distinct edges give 0.
     """
-    edges = psi_edges(reference, col, bins)
-    k = len(edges) - 1
-    if k < 1:
-        return current.agg(F.lit(0.0).alias("psi"), F.lit(0).cast("bigint").alias("n_bins"), F.lit(0).cast("bigint").alias("n_out_of_range"))
-    x = F.col(col).cast("double")
-    rows = reference.select(x.alias("x"), F.lit(0).alias("c")).unionByName(current.select(x.alias("x"), F.lit(1).alias("c")))
-    index = F.lit(None).cast("int")
-    for i in range(k - 1, -1, -1):
-        below = F.col("x") <= edges[i + 1] if i == k - 1 else F.col("x") < edges[i + 1]
-        index = F.when((F.col("x") >= edges[i]) & below, i).otherwise(index)
-    counts = rows.filter("x is not null").groupBy(index.alias("bin")).agg(
-        F.count_if(F.col("c") == 0).alias("e"), F.count_if(F.col("c") == 1).alias("a"))
-    one = counts.agg(*[F.coalesce(F.sum(F.when(F.col("bin") == i, F.col(s))), F.lit(0)).alias(f"{s}{i}") for s in "ea" for i in range(k)],
-                     F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("a"))), F.lit(0)).alias("out"))
-    total = {s: F.greatest(sum((F.col(f"{s}{i}") for i in range(1, k)), F.col(f"{s}0")), F.lit(1)) for s in "ea"}
-
-    def share(s: str, i: int) -> Column:
-        part = F.col(f"{s}{i}") / total[s]
+    k = F.size("edges") - 1
+    at = F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1  # -1 below the range
+    last = F.when(F.col("value") == F.element_at("edges", -1), k - 1).when(F.col("value") > F.element_at("edges", -1), F.lit(-1)).otherwise(at)
+    placed = values.join(psi_edges(values, bins), "feature").select("feature", k.alias("k"), last.alias("bin"), "ref", "cur")
+    counts = placed.groupBy("feature", "k", "bin").agg(F.sum("ref").alias("e"), F.sum("cur").alias("a"))
+    inside = F.col("bin") >= 0
+    total = lambda c: F.greatest(F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)), F.lit(1))
+    one = counts.groupBy("feature", "k").agg(F.map_from_entries(F.collect_list(F.when(inside, F.struct("bin", F.struct("e", "a"))))).alias("_c"), total("e").alias("_te"), total("a").alias("_ta"),
+                                             F.coalesce(F.sum(F.when(~inside, F.col("a"))), F.lit(0)).alias("out"))
+
+    def share(i: Column, c: str, t: str) -> Column:
+        part = F.coalesce(F.try_element_at("_c", i)[c], F.lit(0)) / F.col(t)
         return F.when(part == 0, eps).otherwise(part)
 
-    terms = [(share("a", i) - share("e", i)) * F.ln(share("a", i) / share("e", i)) for i in range(k)]
-    return one.select(round_dec(sum(terms[1:], terms[0]), 6).alias("psi"), F.lit(k).cast("bigint").alias("n_bins"),
-                      F.col("out").alias("n_out_of_range"))
+    term = lambda acc, i: acc + (share(i, "a", "_ta") - share(i, "e", "_te")) * F.ln(share(i, "a", "_ta") / share(i, "e", "_te"))
+    value = F.when(F.col("k") < 1, 0.0).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0))), F.lit(0.0), term))
+    return one.select("feature", round_dec(value, 6).alias("psi"), F.greatest(F.col("k"), F.lit(0)).cast("bigint").alias("n_bins"), F.when(F.col("k") < 1, 0).otherwise(F.col("out")).cast("bigint").alias("n_out_of_range"))
+
+
+def psi(reference: DataFrame, current: DataFrame, col: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
+    """Population stability index of one column; see ``psi_table``. A reference without values gives 0."""
+    found = psi_table(value_table(reference, current, [col]), bins, eps).drop("feature")
+    return found.agg(F.coalesce(F.max("psi"), F.lit(0.0)).alias("psi"), F.coalesce(F.max("n_bins"), F.lit(0).cast("bigint")).alias("n_bins"),
+                     F.coalesce(F.max("n_out_of_range"), F.lit(0).cast("bigint")).alias("n_out_of_range"))
 
 
 def prediction_drift(reference: DataFrame, current: DataFrame, col: str, threshold: float = 0.2) -> DataFrame:
@@ -93,20 +105,25 @@ def prediction_drift(reference: DataFrame, current: DataFrame, col: str, thresho
 
 
 def drift_report(reference: DataFrame, current: DataFrame, features: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """KS test, PSI and summary statistics per feature, as rows to store."""
-    shared = [f for f in features if f in reference.columns and f in current.columns]
-    long = _both(reference, current, shared)
-    stat = []
-    for tag, c in (("reference", 0), ("current", 1)):
-        v = F.when(F.col("is_cur") == c, F.col("value"))
-        stat += [round_dec(F.avg(v), 6).alias(f"mean_{tag}"), round_dec(F.stddev_samp(v), 6).alias(f"std_{tag}"),
-                 F.min(v).alias(f"min_{tag}"), F.max(v).alias(f"max_{tag}")]
-    summary = long.groupBy("feature").agg(*stat)
-    shift = None
-    for f in shared:
-        part = psi(reference, current, f).select(F.lit(f).alias("feature"), "psi", "n_out_of_range")
-        shift = part if shift is None else shift.unionByName(part)
-    return ks_test(reference, current, shared, alpha).join(summary, "feature").join(shift, "feature")
+    """KS test, PSI and summary statistics per feature, as rows to store.
+
+    The tables are read once, into counts of the values of all features; everything else comes from these.
+    """
+    values = checkpointed(value_table(reference, current, features))
+    stat, spread = [], []
+    for tag, c in (("reference", "ref"), ("current", "cur")):
+        v, n = F.when(F.col(c) > 0, F.col("value")), F.col(c)
+        stat += [F.sum(n).alias(f"_n_{tag}"), F.try_divide(F.sum(v * n), F.sum(n)).alias(f"_m_{tag}"), F.min(v).alias(f"min_{tag}"), F.max(v).alias(f"max_{tag}")]
+        off = F.col("value") - F.col(f"_m_{tag}")
+        spread += [F.sum(F.when(n > 0, n * off * off)).alias(f"_q_{tag}")]
+    means = values.groupBy("feature").agg(*stat)
+    squares = values.join(means.select("feature", "_m_reference", "_m_current"), "feature").groupBy("feature").agg(*spread)
+    cols = []
+    for tag in ("reference", "current"):
+        n = F.col(f"_n_{tag}")
+        cols += [round_dec(F.col(f"_m_{tag}"), 6).alias(f"mean_{tag}"), round_dec(F.sqrt(F.when(n > 1, F.col(f"_q_{tag}") / (n - 1))), 6).alias(f"std_{tag}"), f"min_{tag}", f"max_{tag}"]
+    summary = means.join(squares, "feature").select("feature", *cols)
+    return _ks(values, alpha).join(summary, "feature").join(psi_table(values).select("feature", "psi", "n_out_of_range"), "feature")
 
 
 def drift_histograms(reference: DataFrame, current: DataFrame, feature: str, bins: int = 10) -> DataFrame:

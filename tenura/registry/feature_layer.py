@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tenura.operators import features
 from tenura.registry.base import ACT, M360, R, TREF, VIS, member_360, query, silver_visits
 from tenura.registry.tables import FEAT_VIS, FIN, TENURE
+from tenura.session import checkpointed
 from tenura.registry.views import REF
 
 
@@ -135,6 +136,6 @@ WINS = """w AS (SELECT member_id, LEAST(a, qa) AS a, LEAST(b, qb) AS b FROM (SEL
 def _(t):
     from tenura.functions import round_dec
     cols = ["days_since_last_visit", "tenure_days"]
-    df = member_360(t).select("member_id", *cols)
+    df = checkpointed(member_360(t).select("member_id", *cols))  # three columns, read by each statistic
     out = features.standardise(features.winsorise(df, features.fit_percentiles(df, cols, 0.99)), cols)
     return out.select("member_id", *[round_dec(F.col(c), 6).alias(c) for c in cols])

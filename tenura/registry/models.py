@@ -1,4 +1,7 @@
-"""Fitted churn models. Their rows depend on the trees, so only shape and properties are checked."""
+"""Fitted churn models at their default settings: 500 rounds with early stopping, depth 6, step 0.05, split by time.
+
+Rows of a fitted model depend on its trees, so SQL checks what must hold for any.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +10,27 @@ from pyspark.sql import functions as F
 from tenura.functions import flag
 from tenura.operators import churn, features
 from tenura.registry.base import member_360, query
+from tenura.session import checkpointed
 
 # Attributes known while a member is active; the label is the churn flag.
 INPUTS = ["monthly_price", "age", "retention_action_count", "contract_source_aggregator", "plan_type_basic", "plan_type_premium", "join_month"]
 
 
 def table(t):
+    """All members, and the training and validation rows of the time split; medians come from the training rows alone."""
     df = member_360(t).withColumns({"y": flag(F.col("churned")), "join_month": F.month("join_date").cast("bigint")})
     hot = features.contract_features(t.members).drop("contract_source_regular", "plan_type_standard", "plan_type_aggregator_standard")
-    wide = df.join(hot, "member_id")
-    medians = features.fit_percentiles(wide, ["monthly_price"], 0.5)
-    filled = features.impute(wide, medians)
-    held = F.pmod(F.xxhash64("member_id"), F.lit(5)) == 0
-    return filled, filled.filter(~held), filled.filter(held)
-
-
-PARAMS = dict(max_depth=3, rounds=10, step=0.2, subsample=0.8)
+    wide = checkpointed(df.join(hot, "member_id"))
+    split = features.temporal_split(wide, "join_date", 12, 3, 3)
+    medians = features.fit_percentiles(split.filter("split = 'train'"), ["monthly_price"], 0.5)
+    part = lambda s: features.impute(split.filter(F.col("split") == s), medians).drop("split")
+    return features.impute(wide, medians), part("train"), part("val")
 
 
 @query("chn3_boosted_model")
 def _(t):
     full, train, val = table(t)
-    model = churn.train(train, val, INPUTS, "y", **PARAMS)
+    model = churn.train(train, val, INPUTS, "y")
     return churn.score_table(model.predict(full))
 
 
@@ -36,7 +38,7 @@ def _(t):
 def _(t):
     full, train, val = table(t)
     inputs = [c for c in INPUTS if c != "contract_source_aggregator"]
-    models = churn.train_per_segment(train, val, inputs, "y", "contract_source", ["regular", "aggregator"], **PARAMS)
+    models = churn.train_per_segment(train, val, inputs, "y", "contract_source", ["regular", "aggregator"])
     parts = [m.predict(full.filter(F.col("contract_source") == s)).select("member_id", "contract_source", "churn_probability") for s, m in models.items()]
     return parts[0].unionByName(parts[1])
 
@@ -44,11 +46,11 @@ def _(t):
 @query("chn15_risk_factors")
 def _(t):
     full, train, val = table(t)
-    model = churn.train(train, val, INPUTS, "y", **PARAMS)
+    model = churn.train(train, val, INPUTS, "y")
     return churn.risk_factors(model, full, features.fit_percentiles(full, INPUTS, 0.5))
 
 
 @query("chn15_global_importance")
 def _(t):
     _, train, val = table(t)
-    return churn.train(train, val, INPUTS, "y", **PARAMS).importance()
+    return churn.train(train, val, INPUTS, "y").importance()

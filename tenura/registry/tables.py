@@ -52,15 +52,29 @@ def _(t):
     return catalog.validate_schema(t.members, declared).select("member_id", *declared)
 
 
-@query("src3_bronze_tables", """SELECT 'nation' AS tbl, COUNT(*) AS n FROM nation UNION ALL SELECT 'customer', COUNT(*) FROM customer
-UNION ALL SELECT 'orders', COUNT(*) FROM orders UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem""")
-def _(t):
-    schemas = {"nation": {"n_nationkey": "int64", "n_name": "string"},
-               "customer": {"c_custkey": "int64", "c_acctbal": "float64"},
-               "orders": {"o_orderkey": "int64", "o_totalprice": "float64"},
-               "lineitem": {"l_orderkey": "int64", "l_quantity": "float64"}}
-    parts = [catalog.load_bronze(t.spark, n, paths(t), schemas).agg(F.lit(n).alias("tbl"), F.count("*").alias("n"))
-             for n in schemas]
+# The raw tables with every declared column, as they would arrive: text ids and dates.
+VIEWS["raw_locations"] = f"""
+SELECT 'L' || CAST(location_id AS STRING) AS location_id, region, is_urban, CAST(capacity AS BIGINT) AS capacity, CAST(capacity * 90 AS BIGINT) AS monthly_operating_cost,
+       CAST(20 AS BIGINT) AS staff_retention_hours FROM ({VIEWS["locations"]}) x"""
+VIEWS["raw_members"] = f"""
+SELECT 'M' || CAST(member_id AS STRING) AS member_id, 'L' || CAST(location_id AS STRING) AS location_id, CAST(join_date AS STRING) AS join_date, CAST(cancel_date AS STRING) AS cancel_date,
+       churned, contract_source, COALESCE(aggregator_platform, 'none') AS aggregator_platform, plan_type, monthly_price, CAST(age AS BIGINT) AS age, gender, name,
+       'm' || CAST(member_id AS STRING) || '@example.org' AS email, '000.000.000-' || CAST(member_id % 100 AS STRING) AS cpf FROM ({VIEWS["members"]}) x"""
+VIEWS["raw_visits"] = f"""
+SELECT 'M' || CAST(member_id AS STRING) AS member_id, 'L' || CAST(location_id AS STRING) AS location_id, CAST(visit_date AS STRING) AS visit_date, CAST(visit_duration_minutes AS BIGINT) AS visit_duration_minutes FROM ({VIEWS["visits"]}) x"""
+VIEWS["raw_retention_actions"] = f"""
+SELECT 'M' || CAST(member_id AS STRING) AS member_id, 'L' || CAST(location_id AS STRING) AS location_id, CAST(action_date AS STRING) AS action_date, action_type, cost FROM ({VIEWS["actions"]}) x"""
+RAW_KEYS = {"locations": ("location_id", "region", "capacity", "monthly_operating_cost"), "members": ("member_id", "location_id", "join_date", "contract_source", "aggregator_platform", "age", "email", "cpf"),
+            "visits": ("member_id", "location_id", "visit_date", "visit_duration_minutes"), "retention_actions": ("member_id", "location_id", "action_date", "action_type")}
+
+
+@query("src3_bronze_tables", " UNION ALL ".join(f"SELECT '{n}' AS tbl, concat_ws('|', {', '.join(cols)}) AS row_text, {len(SCHEMAS[n])}::BIGINT AS declared_columns FROM raw_{n}" for n, cols in RAW_KEYS.items()))
+def _(t):
+    root = scratch_folder(t.spark, "bronze")
+    where = {n: f"{root}/{n}" for n in RAW_KEYS}
+    for n, path in where.items():
+        catalog.write_layer(t.view(f"raw_{n}"), path, append=True)
+    parts = [catalog.load_bronze(t.spark, n, where).select(F.lit(n).alias("tbl"), F.concat_ws("|", *cols).alias("row_text"), F.lit(len(SCHEMAS[n])).cast("bigint").alias("declared_columns")) for n, cols in RAW_KEYS.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -211,9 +225,27 @@ def _(t):
     return clean.keep_known_actions(t.actions)
 
 
-@query("cln9_clean_members", "SELECT * FROM repaired", PARSED, LAST, REPAIRED)
+MERGED = ("""pday AS (SELECT member_id, CAST(join_date AS DATE) AS day, MIN(join_date) AS join_date, CASE WHEN NOT BOOL_OR(cancel_date IS NULL) THEN MAX(cancel_date) END AS cancel_date FROM parsed WHERE join_date IS NOT NULL GROUP BY 1, 2)""",
+          """pmark AS (SELECT *, CASE WHEN NOT EXISTS (SELECT 1 FROM pday e WHERE e.member_id = d.member_id AND e.join_date < d.join_date AND date_diff('day', e.cancel_date, d.join_date) <= 30)
+    OR (SELECT ARG_MAX(e.cancel_date IS NULL, e.join_date) FROM pday e WHERE e.member_id = d.member_id AND e.join_date < d.join_date) THEN 1 ELSE 0 END AS st FROM pday d)""",
+          """pisl AS (SELECT member_id, island, MIN(join_date) AS join_date, CASE WHEN NOT BOOL_OR(cancel_date IS NULL) THEN MAX(cancel_date) END AS cancel_date
+  FROM (SELECT *, SUM(st) OVER (PARTITION BY member_id ORDER BY join_date) AS island FROM pmark) GROUP BY 1, 2)""",
+          """tenure AS (SELECT * EXCLUDE rn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY member_id ORDER BY join_date DESC) AS rn FROM pisl) WHERE rn = 1)""")
+
+
+@query("cln9_clean_members", """SELECT r.* REPLACE (COALESCE(t.join_date, r.join_date) AS join_date, CASE WHEN t.member_id IS NULL THEN r.cancel_date ELSE t.cancel_date END AS cancel_date,
+CASE WHEN t.member_id IS NULL THEN r.churned ELSE t.cancel_date IS NOT NULL END AS churned) FROM repaired r LEFT JOIN tenure t USING (member_id)""", PARSED, LAST, REPAIRED, *MERGED)
+def _(t):
+    return clean.clean_members(log(t), ["loaded_at", "load_id"], gate=False)
+
+
+@query("cln9_gated_members", """SELECT r.member_id, COALESCE(t.join_date, r.join_date) AS join_date, t.cancel_date FROM repaired r JOIN tenure t USING (member_id)""",
+       PARSED.replace("parsed AS", "parsed0 AS"), "parsed AS (SELECT * REPLACE (COALESCE(contract_source, 'regular') AS contract_source, COALESCE(monthly_price, 50) AS monthly_price) FROM parsed0 WHERE join_date IS NOT NULL)",
+       LAST, REPAIRED, *MERGED)
 def _(t):
-    return clean.clean_members(log(t), ["loaded_at", "load_id"])
+    """With the gate on: rows that would break the limits are filled or dropped first."""
+    whole = log(t).where(F.col("join_date").try_cast("timestamp_ntz").isNotNull()).fillna({"contract_source": "regular", "monthly_price": 50.0})
+    return clean.clean_members(whole, ["loaded_at", "load_id"], gate=True).select("member_id", "join_date", "cancel_date")
 
 
 @query("cln10_merge_reenrollments", """SELECT member_id, MIN(join_date) AS join_date, CASE WHEN NOT BOOL_OR(cancel_date IS NULL) THEN MAX(cancel_date) END AS cancel_date,
@@ -245,6 +277,18 @@ def _(t):
     return clean.visit_rejects(t.visits)
 
 
+@query("cln12_observed_rejects", """SELECT * FROM (SELECT 'read' AS step, COUNT(*) AS n FROM dirty
+UNION ALL SELECT 'duplicate', (SELECT COUNT(*) FROM dirty) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM dirty))
+UNION ALL SELECT 'duration', COUNT(*) FROM (SELECT DISTINCT * FROM dirty) WHERE NOT COALESCE(visit_duration_minutes BETWEEN 5 AND 300, FALSE)
+UNION ALL SELECT 'undated', COUNT(*) FROM (SELECT DISTINCT * FROM dirty) WHERE visit_duration_minutes BETWEEN 5 AND 300 AND visit_date IS NULL
+UNION ALL SELECT 'kept', COUNT(*) FROM (SELECT DISTINCT * FROM dirty) WHERE visit_duration_minutes BETWEEN 5 AND 300 AND visit_date IS NOT NULL)""",
+       """dirty AS (SELECT member_id, location_id, CASE WHEN member_id % 7 = 3 THEN NULL ELSE visit_date END AS visit_date, CASE WHEN member_id % 11 = 5 THEN NULL ELSE visit_duration_minutes END AS visit_duration_minutes FROM visits)""")
+def _(t):
+    m = F.col("member_id")
+    dirty = t.visits.withColumns({"visit_date": F.when(m % 7 != 3, F.col("visit_date")), "visit_duration_minutes": F.when(m % 11 != 5, F.col("visit_duration_minutes"))})
+    return clean.write_clean_visits(dirty, scratch_folder(t.spark, "visits"))
+
+
 @query("cln13_to_utc", """SELECT a.action_id, a.action_date - CASE l.region WHEN 'AFRICA' THEN INTERVAL 3 HOUR WHEN 'AMERICA' THEN INTERVAL (-5) HOUR
 WHEN 'ASIA' THEN INTERVAL 9 HOUR WHEN 'EUROPE' THEN INTERVAL 1 HOUR ELSE INTERVAL 4 HOUR END AS action_utc
 FROM actions a JOIN locations l USING (location_id)""")

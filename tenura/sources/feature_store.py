@@ -57,7 +57,8 @@ def online_features(keys: DataFrame, refs: Sequence[str], views: dict[str, DataF
             raise DataError(f"unknown feature reference {ref!r}")
         wanted.setdefault(view, []).append(feature)
     ids = keys.select("member_id").distinct()
-    parts = [latest(views[v].join(ids, "member_id", "left_semi"), cols) for v, cols in wanted.items()]
+    # the history is reduced to one row per member where it is read, before it meets the keys: a member with a long one costs no more
+    parts = [latest(views[v], cols).join(ids, "member_id", "left_semi") for v, cols in wanted.items()]
     return reduce(lambda left, right: left.join(right, "member_id", "left"), parts, ids)
 
 
