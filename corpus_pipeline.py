@@ -11,22 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura.llm import decontam, exact, langid, near, pack
-from tenura.llm.common import saved
+from tenura.llm.common import free, saved
 from tenura.llm.queries import language_model, table, vocabulary
 
 
-def _column(docs: DataFrame, name: str) -> str:
-    """A name that ``docs`` does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows; texts that are null or have no letter go. Learned from the given documents' labels."""
-    found = _column(docs, "language")
-    return langid.label(docs, language_model(spark, sf_dir), out=found).where(F.col(found)["lang"] != "und").drop(found)
+    """Documents in a language the model knows: at least half of their letters are in scripts of learned languages. Texts that are null or have no letter go.
+
+    Learned from the labels of the table ``documents``.
+    """
+    found = free(docs, "language")
+    return langid.label(docs, language_model(spark, sf_dir), out=found).where((F.col(found)["lang"] != "und") & (F.col(found)["known"] >= 0.5)).drop(found)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +36,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    found = _column(docs, "contaminated")
+    found = free(docs, "contaminated")
     return decontam.find_items(docs, table(spark, sf_dir, "benchmark"), out=found).where(F.size(found) == 0).drop(found)
 
 

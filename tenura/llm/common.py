@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,25 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``saved``, and the shuffle files go with the write that they were made for, so that steps do not add up on disk."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return saved(df, label)
+    finally:
+        conf.set(name, before)
+
+
+def free(df: DataFrame, name: str, *more: str) -> str:
+    """A column name that ``df`` does not have, nor one of ``more``, whatever the case."""
+    taken = {c.lower() for c in [*df.columns, *more]}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lower_az(col: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(col.cast("string"), F.lit("")), UPPER, LOWER)
@@ -144,3 +164,43 @@ def flat_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
     return np.frombuffer(b"\n".join([*raw, b""]), np.uint8), ends
+
+
+def bitmap(hashes: DataFrame, per: int = 16, most: int = 1 << 30) -> np.ndarray:
+    """The bits of the 64-bit ``hashes`` (one column) set in a packed bitmap of ``per`` bits for each, up to ``most``: more would let more pass, no less.
+
+    Tasks set the bits, the driver joins eight bitmaps of bounded size.
+    """
+    name = hashes.columns[0]
+    bits = min(most, max(1 << 16, 1 << (per * hashes.count() - 1).bit_length()))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            i = b.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
+            np.bitwise_or.at(hit, (i >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (i & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([hit.tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in hashes.select(F.col(name).cast("long")).coalesce(8).mapInArrow(marks, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes have their bit set in a packed bitmap."""
+    i = h.astype(np.uint64) % np.uint64(8 * len(bits))
+    return (bits[(i >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (i & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def may_be_in(hashes: DataFrame, column: Column) -> Column:
+    """Whether a 64-bit hash may be among ``hashes``: false is certain. Costs one bitmap of bounded size per worker and no exchange."""
+    from pyspark.sql.functions import arrow_udf
+
+    shared = hashes.sparkSession.sparkContext.broadcast(bitmap(hashes))
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            yield pa.array(marked(shared.value, c.to_numpy(zero_copy_only=False)), pa.bool_())
+
+    return arrow_udf(run, "boolean").asNondeterministic()(column)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import by_value, mix, rows_within, slices, texts_of
+from tenura.llm.common import by_value, mix, slices, texts_of
 
 by_value(__name__)
 
@@ -100,12 +100,16 @@ def parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
             at, chars = i + 1, 0
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000, buckets: int = 1 << 16, penalty: float = 12.0) -> Model:
-    """Learn from at most about ``train_rows`` rows with a language, taken by a hash of the id.
+def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 3_000, buckets: int = 1 << 16, penalty: float = 12.0) -> Model:
+    """Learn from at most about ``train_rows`` rows of each language, taken by a hash of the id, so that a rare language is learned at any size.
 
     Tasks reduce their rows to one array of ``buckets`` counts per language; the driver gets the sums, one row per language.
+    How common a language is counts over all its rows.
     """
-    rows = rows_within(docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), "id", train_rows)
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    size = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one number per language
+    bound = docs.sparkSession.createDataFrame([(k, int((1 << 30) * min(1.0, train_rows / n))) for k, n in size.items()], "lang string, below bigint")
+    rows = known.join(F.broadcast(bound), "lang").where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(17)), F.lit(1 << 30)) < F.col("below")).select("id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scripts, total, seen = script_of(), {}, {}
@@ -140,7 +144,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     counts = np.array([np.frombuffer(r["grams"], "<i8") for r in got], float).reshape(len(langs), buckets)
     scripts = np.array([np.frombuffer(r["scripts"], "<i8") for r in got], float).reshape(len(langs), len(NAMES))
     logp = np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 0.1 * buckets)) if langs else counts
-    share = counts.sum(1) + 1
+    share = np.array([max(1.0, size[k] / train_rows) for k in langs]) * counts.sum(1) + 1
     uses = scripts > 0.01 * scripts.sum(1, keepdims=True)
     return Model(langs, np.ascontiguousarray(logp.T, np.float32), np.log(share / share.sum()) if langs else share, uses, penalty)
 
@@ -155,7 +159,7 @@ def viterbi(text: np.ndarray, score: np.ndarray, texts: int, prior: np.ndarray,
     path = np.empty(len(text), np.int64)
     if not len(text):
         return path
-    best = np.empty(len(text), np.int8)  # the best language of the word before
+    best = np.empty(len(text), np.int16 if score.shape[1] <= 1 << 15 else np.int32)  # the best language of the word before
     switched = np.empty(score.shape, bool)
     v = score[first[: live[0]]] + prior
     for t in range(1, len(live)):
@@ -179,8 +183,8 @@ def viterbi(text: np.ndarray, score: np.ndarray, texts: int, prior: np.ndarray,
 
 
 def label_texts(texts: list[str], model: Model, scripts: np.ndarray):
-    """lang and score per text, and the spans (text, start, end, language number) of all texts."""
-    k, got = len(model.langs), []
+    """lang, score and known share per text, and the spans (text, start, end, language number) of all texts."""
+    k, got, used = len(model.langs), [], []
     for first, some in parts(texts):
         text, start, stop, n, script, grams = words(some, scripts, model.logp.shape[0])
         score = np.zeros((len(text), k), np.float32)
@@ -190,33 +194,38 @@ def label_texts(texts: list[str], model: Model, scripts: np.ndarray):
                 score[:, j] += np.bincount(owner, g[:, j], minlength=len(text))
         score /= len(ORDERS)
         fits = model.uses.T[script]
+        used.append(fits)
         score = np.where(fits.any(1, keepdims=True), np.where(fits, score, score.min(initial=0.0) - 100), 0).astype(np.float32)
         got.append((text + first, start, stop, n, score))
     text, start, stop, n, score = (np.concatenate(x) for x in zip(*got))
     path = viterbi(text, score, len(texts), model.prior, model.penalty)
-    letters = np.zeros((len(texts), k))
+    fits = np.concatenate(used)
+    letters, own = np.zeros((len(texts), k)), np.zeros((len(texts), k))
     np.add.at(letters, (text, path), n)
+    np.add.at(own, (text, path), n * fits[np.arange(len(path)), path])
     total = letters.sum(1)
     pick = letters.argmax(1) if k else np.zeros(len(texts), int)
     lang = ["und" if not s else model.langs[p] for s, p in zip(total, pick)]
-    share = np.where(total > 0, letters[np.arange(len(texts)), pick] / np.maximum(total, 1), 0.0) if k else total
+    share = np.where(total > 0, own[np.arange(len(texts)), pick] / np.maximum(total, 1), 0.0) if k else total
+    known = np.bincount(text, n * fits.any(1), minlength=len(texts)) / np.maximum(total, 1)
     new = np.concatenate(([True], (text[1:] != text[:-1]) | (path[1:] != path[:-1]))) if len(text) else np.zeros(0, bool)
     head = np.flatnonzero(new)
     tail = np.concatenate((head[1:], [len(text)])) - 1 if len(head) else head
-    return lang, share, (text[head], start[head], stop[tail] if len(head) else head, path[head])
+    return lang, share, known, (text[head], start[head], stop[tail] if len(head) else head, path[head])
 
 
 def label(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
-    """``docs`` with a struct ``out``: lang, score, spans (start, end, lang).
+    """``docs`` with a struct ``out``: lang, score, known, spans (start, end, lang).
 
-    ``lang`` has the most letters in the spans; score is its share of the letters. Null or letterless texts are ``und``
-    with score 0 and no spans. Words in a script that no learned language uses score alike and follow their neighbours;
-    ties go to the first language by name. A column named ``out`` is replaced; others stay; repeated rows stay.
+    ``lang`` has the most letters in the spans; score is the share of all letters that are in its spans and in a script it uses;
+    ``known`` is the share of letters in scripts that any learned language uses. Null or letterless texts are ``und``
+    with score 0 and no spans. Words in a script that no learned language uses follow their neighbours, but add nothing to
+    score and known: a text wholly in such scripts has both at 0. Ties go to the first language by name. A column named ``out`` is replaced; others stay; repeated rows stay.
     A model of no language calls every text ``und``.
     """
     from pyspark.sql.functions import arrow_udf
 
-    kind = "struct<lang:string,score:double,spans:array<struct<start:bigint,end:bigint,lang:string>>>"
+    kind = "struct<lang:string,score:double,known:double,spans:array<struct<start:bigint,end:bigint,lang:string>>>"
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scripts = script_of()
@@ -226,16 +235,16 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lan
             for batch in slices(whole, "text", GROUP_BYTES):
                 texts = texts_of(batch, "text")
                 if not model.langs:
-                    lang, share, spans = ["und"] * len(texts), np.zeros(len(texts)), (np.empty(0, np.int64),) * 4
+                    lang, share, known, spans = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), (np.empty(0, np.int64),) * 4
                 else:
-                    lang, share, spans = label_texts(texts, model, scripts)
+                    lang, share, known, spans = label_texts(texts, model, scripts)
                 names = pa.array([model.langs[p] for p in spans[3]], pa.string())
                 items = pa.StructArray.from_arrays([pa.array(spans[1], pa.int64()), pa.array(spans[2], pa.int64()), names], ["start", "end", "lang"])
                 borders = np.searchsorted(spans[0], np.arange(len(texts) + 1)).astype(np.int32)
-                done.append(pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.ListArray.from_arrays(borders, items)], ["lang", "score", "spans"]))
+                done.append(pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(known, pa.float64()), pa.ListArray.from_arrays(borders, items)], ["lang", "score", "known", "spans"]))
             yield pa.concat_arrays(done) if done else pa.array([], KIND)
 
     return docs.withColumn(out, arrow_udf(run, kind).asNondeterministic()(F.col(text_col).cast("string")))
 
 
-KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))])
+KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("known", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))])
