@@ -1,4 +1,8 @@
-"""Repeated passages: stretches of words found again by their digests, dealt out only where a sign in them repeats. ``cuts`` are content-defined chunks."""
+"""Repeated passages: content-defined chunks of words, deduplicated by digest; where the chunks of a stretch all repeat, its words are compared exactly.
+
+A gear hash rolls over the words of a text, and a chunk ends where the hash is least among its neighbours. Where chunks end depends on the words
+around that place only, so an insertion moves the borders next to it and no others, and a run of equal words is cut as well.
+"""
 
 from __future__ import annotations
 
@@ -11,50 +15,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenura.llm.common import BASE, SPACE, by_value, flat_bytes, mix, saved, slices, texts_of
+from tenura.llm.common import BASE, SPACE, bitmap, by_value, flat_bytes, free, marked, mix, slices, texts_of
+from tenura.llm.common import written as saved
 
 by_value(__name__)
 
-#: A chunk has LEAST bytes or more, and about GAP more until a place where the hash cuts.
-LEAST, GAP = 12, 24
 #: Words in a row that make a passage when they repeat.
 WORDS = 20
-#: Bits of a filter by which stretches without a copy are left out before an exchange, at most.
-FILTER_BITS = 1 << 26
-
 GRAM = "h1 bigint, h2 bigint, id bigint, row bigint, word bigint, start bigint, end bigint"
-GEAR = mix(np.arange(256, dtype=np.uint64) * np.uint64(BASE) + np.uint64(1)).astype(np.uint32)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The gear hash after each byte: the sum of the last 32 bytes' numbers, each shifted left by its age, by doubling."""
-    h = GEAR[data]
-    for step in (1, 2, 4, 8, 16):
-        if len(h) > step:
-            h[step:] += h[:-step] << np.uint32(step)
-    return h
+def window(n: int) -> tuple[int, int]:
+    """(words that the gear hash remembers, places among which a cut has the least hash), so that any ``n`` words in a row hold two cuts that are
+    theirs whatever stands around them. No cuts (0, 0) for fewer than three words."""
+    if n < 3:
+        return 0, 0
+    k = max(1, min(4, n // 5))
+    return k, (n - k) // 2
 
 
-def cuts(data: np.ndarray) -> list[int]:
-    """Where chunks end. A cut depends on the 32 bytes before it and the cut before it, and never divides a character.
+def gear(h: np.ndarray, k: int) -> np.ndarray:
+    """The gear hash after each word: h[i] + h[i - 1] << s + h[i - 2] << 2 s ..., where the shift s drives a word out after ``k`` steps."""
+    shift = np.uint64(64 // k)
+    out = h.copy()
+    for j in range(1, k):
+        out[j:] += h[:-j] << (shift * np.uint64(j))
+    return mix(out)
 
-    Chunks have no greatest size: a run in which the hash never cuts stays whole.
-    """
-    n = len(data)
-    if not n:
-        return []
-    places = np.flatnonzero(gear(data) < np.uint32((1 << 32) // GAP)) + 1
-    whole = np.flatnonzero((data & 0xC0) != 0x80)
-    at = np.searchsorted(whole, places)
-    places = whole[at[at < len(whole)]].tolist()
-    out, last = [], 0
-    for p in places:
-        if p - last >= LEAST:
-            out.append(p)
-            last = p
-    if not out or out[-1] != n:
-        out.append(n)
-    return out
+
+def least_places(v: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` places, the last of its least ones."""
+    m = max(0, len(v) - width + 1)
+    best = np.arange(m)
+    for j in range(1, width):
+        at = np.arange(j, m + j)
+        best = np.where(v[at] <= v[best], at, best)
+    return best
 
 
 class Hashes:
@@ -87,9 +83,9 @@ def sliding(x: np.ndarray, width: int, take) -> np.ndarray:
 
 
 class Grams:
-    """All stretches of ``n`` words of some texts, and for each its sign: the least hash among the stretches of about n / 2 words in it.
+    """All stretches of ``n`` words of some texts, the chunks the texts are cut into, and a sign of each stretch: the least hash among the stretches of about n / 2 words in it.
 
-    The sign depends on nothing but the stretch, so equal stretches have equal signs, whatever stands around them and however often their words
+    Signs depend on nothing but the stretch, so equal stretches have equal signs, whatever stands around them and however often their words
     repeat. Words are split at white space; stretches are equal if their bytes are, white space between the words included.
     """
 
@@ -110,13 +106,41 @@ class Grams:
         m = len(self.least)
         self.whole = self.text[:m] == self.text[n - 1 : n - 1 + m]  # within one text
 
-    def signs(self) -> np.ndarray:
-        """The hash at every place that is the least of some whole stretch, one for each place."""
-        if not self.whole.any():
-            return np.empty(0, np.uint64)
-        pad = np.zeros(self.wide - 1, np.uint64)
-        most = sliding(np.concatenate((pad, np.where(self.whole, self.least, np.uint64(0)), pad)), self.wide, np.maximum)
-        return self.short[most == self.short]
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Last words of the chunks that lie between two cuts of a text, their digests, and the cut of each window of places.
+
+        A cut is the word after which the gear hash is least in some window of places inside one text. Each word counts with
+        the white space before it.
+        """
+        k, width = window(self.n)
+        count = len(self.starts)
+        none = np.empty(0, np.int64)
+        if not k or count < k + width:
+            return none, none.astype(np.uint64), none
+        before = np.concatenate((self.starts[:1], np.where(self.text[1:] == self.text[:-1], self.ends[:-1], self.starts[1:])))
+        v = gear(self.one(before, self.ends), k)
+        best = least_places(v, width)  # window j: places j .. j + width - 1
+        first = np.maximum(np.arange(len(best)) - (k - 1), 0)
+        inside = (np.arange(len(best)) >= k - 1) & (self.text[first] == self.text[np.arange(len(best)) + width - 1])
+        cut = np.unique(best[inside])
+        same = self.text[cut[1:]] == self.text[cut[:-1]] if len(cut) else np.empty(0, bool)
+        left, right = cut[:-1][same], cut[1:][same]
+        return right, self.one(self.ends[left], self.ends[right]), best
+
+    def shared(self, bits: np.ndarray) -> np.ndarray:
+        """Stretches whose chunks may all occur again: those between the first and the last cut that belong to the stretch whatever stands around it."""
+        k, width = window(self.n)
+        m = len(self.least)
+        if not k or not m:
+            return self.whole
+        right, digest, best = self.chunks()
+        single = np.zeros(len(self.starts) + 1, np.int64)
+        single[right[~marked(bits, digest)] + 1] = 1
+        single = np.cumsum(single)  # chunks without a copy that end before each word
+        i = np.flatnonzero(self.whole)
+        out = np.zeros(m, bool)
+        out[i] = single[best[i + self.n - width] + 1] == single[best[i + k] + 1]
+        return out
 
     def anchors(self) -> np.ndarray:
         """Stretches whose sign is at their first or last place: one of any n / 2 + 1 neighbours is, and equal stretches are so alike."""
@@ -139,27 +163,21 @@ class Grams:
         return self.one(a, b), Hashes(self.data, 1)(a, b)
 
 
-def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which hashes have their bit set in a packed bitmap."""
-    i = h % np.uint64(8 * len(bits))
-    return (bits[(i >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (i & np.uint64(7))).astype(np.uint8)) & 1 == 1
-
-
-def signs(docs: DataFrame, n: int) -> DataFrame:
-    """h1: the signs of all stretches of ``n`` words, one row for each place."""
+def chunk_digests(docs: DataFrame, n: int) -> DataFrame:
+    """h1: the digests of all chunks, one row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(Grams(texts_of(batch, "text"), n).signs().view(np.int64))], ["h1"])
+                yield pa.RecordBatch.from_arrays([pa.array(Grams(texts_of(batch, "text"), n).chunks()[1].view(np.int64))], ["h1"])
 
     return docs.select("text").mapInArrow(run, "h1 bigint")
 
 
 def grams(docs: DataFrame, n: int, kind: str, common: np.ndarray, also: np.ndarray | None = None) -> DataFrame:
-    """GRAM rows of stretches of ``n`` words whose sign passes the filter ``common``.
+    """GRAM rows of stretches of ``n`` words whose chunks all pass the filter ``common``.
 
-    Of kind ``anchors``, of kind ``edges`` (beside anchors that do not repeat: their sign is single or they pass ``also``, a filter of single
+    Of kind ``anchors``, of kind ``edges`` (beside anchors that do not repeat: one of their chunks is single or they pass ``also``, a filter of single
     ones), of kind ``others`` (no anchors, and pass ``also``) or of kind ``all`` (pass ``also``).
     """
     shared = docs.sparkSession.sparkContext.broadcast((common, also))
@@ -174,7 +192,7 @@ def grams(docs: DataFrame, n: int, kind: str, common: np.ndarray, also: np.ndarr
                 g = Grams(texts_of(batch, "text"), n)
                 own = g.anchors() & g.whole
                 at = np.flatnonzero(g.whole)
-                at = at[marked(signed, g.least[at])]
+                at = at[g.shared(signed)[at]]
                 if kind in ("anchors", "others"):
                     at = at[own[at] == (kind == "anchors")]
                 h1, h2 = g.digests(at) if len(at) else (np.empty(0, np.uint64), np.empty(0, np.uint64))
@@ -196,22 +214,6 @@ def grams(docs: DataFrame, n: int, kind: str, common: np.ndarray, also: np.ndarr
     return docs.mapInArrow(run, GRAM)
 
 
-def digest_filter(repeats: DataFrame) -> np.ndarray:
-    """A bitmap of bounded size with the digests' bits set."""
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (8 * repeats.count()).bit_length()))
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(bits, bool)
-        for b in batches:
-            hit[b.column("h1").to_numpy().astype(np.uint64) % np.uint64(bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(hit).tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(bits // 8, np.uint8)
-    for r in repeats.select("h1").coalesce(8).mapInArrow(marks, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = WORDS) -> DataFrame:
     """One row per passage that occurs more than once: doc_id, start, end (characters), words, first_id, first.
 
@@ -222,8 +224,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated passage have no row; those of fewer words, null and empty ones have no stretches. A null id comes before all others. Repeated rows
     are copies of each other like any texts; other columns are not read.
 
-    Only stretches whose sign occurs twice are looked at, so single text costs one hash for about six words. Of them the anchors are counted,
-    about one in six, and then those that have a neighbouring anchor without a copy; between two repeated anchors all words are repeated, and
+    Texts are cut into chunks of at most nine words or so, whose digests are counted. Equal stretches have equal chunks, so only stretches whose chunks
+    all occur twice are looked at, and single text costs one digest for four or five words. Of such stretches the anchors are counted, about one in six, and then those that have a neighbouring anchor without a copy; between two repeated anchors all words are repeated, and
     count as first or later as the anchors do. So a passage of 1.5 times ``least_words`` is always marked by its own copies; a shorter one
     inside longer repeated text may have the mark of that text.
 
@@ -232,16 +234,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     n = max(1, least_words)
     lean = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    common = digest_filter(saved(signs(lean, n).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "signs"))
+    common = bitmap(saved(chunk_digests(lean, n).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "chunks"))
 
     def counted(rows: DataFrame, label: str) -> DataFrame:
         return saved(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "word")).alias("first")), label)
 
     anchors = counted(grams(lean, n, "anchors", common), "anchors")
-    edges = saved(grams(lean, n, "edges", common, digest_filter(anchors.where("n = 1"))).select("h1").distinct(), "edges")
-    others = counted(grams(lean, n, "others", common, digest_filter(edges)), "others")
+    edges = saved(grams(lean, n, "edges", common, bitmap(anchors.where("n = 1").select("h1"))).select("h1").distinct(), "edges")
+    others = counted(grams(lean, n, "others", common, bitmap(edges)), "others")
     repeats = anchors.unionByName(others).where("n > 1").drop("n")
-    copies = grams(lean, n, "all", common, digest_filter(repeats)).join(repeats, ["h1", "h2"])
+    copies = grams(lean, n, "all", common, bitmap(repeats.select("h1"))).join(repeats, ["h1", "h2"])
     later = ~(F.col("id").eqNullSafe(F.col("first.id")) & F.col("word").between(F.col("first.word"), F.col("first.word") + (n - 1)))
     marks = copies.select("id", "row", "word", "start", "end", later.alias("later"), F.col("first.id").alias("first_id"))
     w = Window.partitionBy("row", "later").orderBy("word")
@@ -256,9 +258,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = WORDS) -> DataFrame:
     """``docs`` with the later occurrences of repeated passages cut out of the text. Ids must tell the rows apart."""
     spans = repeated_passages(docs, id_col, text_col, least_words).where(~F.col("first"))
-    cut = saved(spans.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut")), "cut")
-    out = docs.join(cut, docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left")
+    own, cut_col = free(docs, "passage_id"), free(docs, "passage_cut")
+    cut = saved(spans.groupBy(F.col(id_col).alias(own)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut_col)), "cut")
+    out = docs.join(cut, docs[id_col].cast("long").eqNullSafe(F.col(own)), "left")
     text = F.col(text_col)
     step = lambda a, s: F.struct(F.concat(a["t"], F.substring(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int"))).alias("t"), s["end"].alias("at"))
-    done = F.aggregate("_cut", F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["t"], F.substring(text, a["at"].cast("int") + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.col("_cut").isNull(), text).otherwise(done)).select(*docs.columns)
+    done = F.aggregate(cut_col, F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["t"], F.substring(text, a["at"].cast("int") + 1, F.length(text))))
+    return out.withColumn(text_col, F.when(F.col(cut_col).isNull(), text).otherwise(done)).select(*docs.columns)
