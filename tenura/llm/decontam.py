@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import by_value
+from tenura.llm.common import by_value, free
 
 by_value(__name__)
 
@@ -18,7 +18,7 @@ by_value(__name__)
 BLOCK_CHARS = 4_000_000
 #: Characters an item allows one edit for.
 CHARS_PER_EDIT = 16
-#: Items with fewer characters after normalising say too little to be found by.
+#: Items with fewer characters after normalising are found only as they are, between word borders.
 LEAST_CHARS = 24
 WORD = re.compile(r"[^\W_]+")
 
@@ -80,23 +80,28 @@ class Pattern:
 
 
 class Matcher:
-    """Finds items in normalised texts."""
+    """Finds items in normalised texts.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    Items of LEAST_CHARS characters and more may differ by some edits. Shorter ones must stand there word for word, between the borders of
+    words. Items without a letter or digit are looked for in the text with its symbols, word for word between white space (``symbols``).
+    """
+
+    def __init__(self, items: list[tuple[int, str]], symbols: list[tuple[int, str]] = ()):
         import ahocorasick
 
-        self.items = [(i, t) for i, t in items if len(t) - 2 >= LEAST_CHARS]
-        self.patterns = [Pattern(t[1:-1]) for _, t in self.items]
-        self.backward = [Pattern(t[-2:0:-1]) for _, t in self.items]
+        self.items = [(i, t) for i, t in items if t.strip()]
+        self.patterns = [Pattern(t[1:-1]) if len(t) - 2 >= LEAST_CHARS else None for _, t in self.items]
+        self.backward = [p and Pattern(t[-2:0:-1]) for p, (_, t) in zip(self.patterns, self.items)]
         self.find = ahocorasick.Automaton()
         at: dict[str, list] = defaultdict(list)
         for n, (_, t) in enumerate(self.items):
-            for offset, piece in pieces(t[1:-1]):
+            for offset, piece in pieces(t[1:-1]) if self.patterns[n] else [(0, t)]:
                 at[piece].append((n, offset))
         for piece, places in at.items():
             self.find.add_word(piece, (len(piece), places))
         if at:
             self.find.make_automaton()
+        self.symbols = [(i, re.compile(r"(?<!\S)" + r"\s+".join(map(re.escape, t.split())) + r"(?!\S)")) for i, t in symbols]
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, distance) in the normalised text, the best place of each item."""
@@ -111,6 +116,9 @@ class Matcher:
                     continue
                 tried.add((n, start))
                 p = self.patterns[n]
+                if p is None:
+                    found[n] = (0, start + 1, end)
+                    continue
                 k = p.size // CHARS_PER_EDIT
                 low = max(0, start - k)
                 window = text[low : start + p.size + k]
@@ -120,6 +128,11 @@ class Matcher:
                     found[n] = (d, low + stop - back, low + stop)
         return [(self.items[n][0], a, b, d) for n, (d, a, b) in found.items()]
 
+    def symbol_matches(self, text: str) -> list[tuple[int, int, int]]:
+        """(item id, start, end) of the first place of each item of symbols, in the text itself."""
+        got = ((i, p.search(text)) for i, p in self.symbols)
+        return [(i, m.start(), m.end()) for i, m in got if m]
+
 
 def _places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of the normalised text as (first, end) characters of the text itself."""
@@ -139,13 +152,13 @@ def _places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks that hold about BLOCK_CHARS characters each. Items without text are left out."""
+    """(id, text) of the items in blocks that hold about BLOCK_CHARS characters each. Items without text are left out."""
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS) or 1
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)
-        yield [(r["id"], normal(r["text"])) for r in part.collect()]
+        yield [(r["id"], r["text"]) for r in part.collect()]
 
 
 MATCH = "array<struct<item_id:bigint,start:bigint,end:bigint,distance:int>>"
@@ -155,13 +168,15 @@ def _finder(items: list[tuple[int, str]]):
     from pyspark.sql.functions import arrow_udf
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher, table = Matcher(items), Spaced()
+        table = Spaced()
+        words = [(i, normal(t, table)) for i, t in items]
+        matcher = Matcher(words, [(i, t) for (i, t), (_, w) in zip(items, words) if t.strip() and not w.strip()])
         for column in columns:
             out = []
             for text in (x.as_py() or "" for x in column):
                 got = matcher.matches(normal(text, table))
                 places = _places(text, [(a, b) for _, a, b, _ in got]) if got else []
-                out.append([{"item_id": i, "start": s, "end": e, "distance": d} for (i, _, _, d), (s, e) in zip(got, places)])
+                out.append([{"item_id": i, "start": s, "end": e, "distance": d} for (i, _, _, d), (s, e) in zip(got, places)] + [{"item_id": i, "start": s, "end": e, "distance": 0} for i, s, e in matcher.symbol_matches(text)])
             yield pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())])))
 
     return arrow_udf(run, MATCH).asNondeterministic()
@@ -172,13 +187,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ou
 
     Both sides are lower-cased and reduced to words with one space between. An item is found where a part of the text is
     within one edit for each CHARS_PER_EDIT characters of it; of its places the one with the least distance, then the first
-    found, is given. Null and empty texts hold nothing; null items and items of under LEAST_CHARS characters find
-    nothing; repeated items and rows count as often as they are there. A column named ``out`` is replaced, others stay.
+    found, is given. Items of under LEAST_CHARS characters are found only word for word, items of symbols alone in the text with its symbols,
+    between white space. Null and empty texts hold nothing; null and blank items find nothing; repeated items and rows count as often as they are there. A column named ``out`` is replaced, others stay.
     Each pass over the texts holds one bounded block of items.
     """
     parts = []
     for n, items in enumerate(blocks(benchmark)):
-        parts.append(f"_items{n}")
+        parts.append(free(docs, f"items{n}", out))
         docs = docs.withColumn(parts[-1], _finder(items)(F.col(text_col).cast("string")))
     return docs.withColumn(out, F.concat(*parts)).drop(*parts)
 

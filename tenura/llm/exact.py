@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import by_value, lower_az, saved
+from tenura.llm.common import by_value, free, lower_az, saved
 
 by_value(__name__)
 
@@ -203,13 +203,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Ids that differ tell the rows apart. Only where ids repeat, rows are told apart by id and text (as
     the digest has it), and of rows that repeat both, one is taken.
     """
-    out = saved(exact_dedup(docs, id_col, text_col), "exact").withColumnRenamed(id_col, "_id").withColumnRenamed("text_sha256", "_sha")
-    gone = saved(out.where(~F.col("kept")).select("_id", "_sha"), "gone")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id"))
-    if out.groupBy("_id").count().where("count > 1").isEmpty():
-        return docs.join(gone.select("_id"), same, "left_anti")
-    same &= F.sha2(lower_az(docs[text_col]).cast("binary"), 256) == F.col("_sha")
-    stays = saved(out.where("kept").select("_id", "_sha"), "stays")
-    twins = saved(stays.alias("s").join(gone.distinct().alias("g"), F.col("s._id").eqNullSafe(F.col("g._id")) & (F.col("s._sha") == F.col("g._sha")), "left_semi"), "twins")
-    alike = docs.join(twins, same, "left_semi").withColumn("_as_id", F.col(id_col).cast("long")).withColumn("_as_text", F.sha2(lower_az(F.col(text_col)).cast("binary"), 256))
-    return docs.join(gone.unionByName(twins).distinct(), same, "left_anti").unionByName(alike.dropDuplicates(["_as_id", "_as_text"]).drop("_as_id", "_as_text"))
+    own, sha, as_id, as_text = (free(docs, c) for c in ("found_id", "found_sha", "as_id", "as_text"))
+    out = saved(exact_dedup(docs, id_col, text_col), "exact").select(F.col(id_col).alias(own), F.col("text_sha256").alias(sha), F.col("kept").alias("stays"))
+    gone = saved(out.where(~F.col("stays")).select(own, sha), "gone")
+    same = docs[id_col].cast("long").eqNullSafe(F.col(own))
+    if out.groupBy(own).count().where("count > 1").isEmpty():
+        return docs.join(gone.select(own), same, "left_anti")
+    same &= F.sha2(lower_az(docs[text_col]).cast("binary"), 256) == F.col(sha)
+    stays = saved(out.where("stays").select(own, sha), "stays")
+    twins = saved(stays.alias("s").join(gone.distinct().alias("g"), F.col(f"s.{own}").eqNullSafe(F.col(f"g.{own}")) & (F.col(f"s.{sha}") == F.col(f"g.{sha}")), "left_semi"), "twins")
+    alike = docs.join(twins, same, "left_semi").withColumn(as_id, F.col(id_col).cast("long")).withColumn(as_text, F.sha2(lower_az(F.col(text_col)).cast("binary"), 256))
+    return docs.join(gone.unionByName(twins).distinct(), same, "left_anti").unionByName(alike.dropDuplicates([as_id, as_text]).drop(as_id, as_text))

@@ -86,19 +86,25 @@ class Held:
     words: dict[int, int] = field(default_factory=dict)
     labelled: dict[int, int] = field(default_factory=dict)
     exact: dict[int, bool] = field(default_factory=dict)
+    around: dict[int, int] = field(default_factory=dict)  # the next such element around each, 0 if none
     total: int = 0
     outside: int = 0
 
-    def add(self, words: int, around: tuple, around_labelled: tuple | None) -> None:
+    def add(self, words: int, inner: int, inner_labelled: int | None) -> None:
+        """Count words for the innermost marked element around them; those around that one get them in the end."""
         self.total += words
-        for k in around:
-            self.words[k] += words
-        if around_labelled == ():
+        if inner:
+            self.words[inner] += words
+        if inner_labelled == 0:
             self.outside += words
-        for k in around_labelled or ():
-            self.labelled[k] += words
+        elif inner_labelled:
+            self.labelled[inner_labelled] += words
 
     def wrappers(self) -> frozenset:
+        for k in sorted(self.around, reverse=True):  # inner elements have greater numbers
+            if self.around[k]:
+                self.words[self.around[k]] += self.words[k]
+                self.labelled[self.around[k]] += self.labelled[k]
         return frozenset(
             k for k, exact in self.exact.items()
             if (self.words[k] > 0.9 * self.total or (self.labelled[k] and not self.outside) if exact else 2 * self.words[k] > self.total or self.labelled[k] > self.outside)
@@ -108,10 +114,16 @@ class Held:
 def parse(page: str, held: Held, free: frozenset) -> Page:
     """``read`` with the elements numbered in ``free`` taken as unmarked; what marked elements hold is added to ``held``."""
     out = Page()
-    # name, region, inside a labelled element, dropped, in a boilerplate element, marked elements around, marked elements around the labelled one
-    stack: list[tuple] = [("", "", False, False, False, (), None)]
+    # name, region, inside a labelled element, dropped, in a boilerplate element, marked element around (0: none), the same for the labelled one
+    stack: list[tuple] = [("", "", False, False, False, 0, None)]
+    opened: dict[str, int] = defaultdict(int)  # how many elements of each name are open: what is not open is not looked for
     at, raw, number = 0, "", 0
 
+    def cut(i: int) -> None:
+        for e in stack[i:]:
+            opened[e[0]] -= 1
+        del stack[i:]
+
     def event(key: str, words: int, text: str, top: tuple) -> None:
         out.keys.append(key)
         out.words.append(words)
@@ -143,24 +155,24 @@ def parse(page: str, held: Held, free: frozenset) -> Page:
             raw = ""
             if name in VOID and name != "br":
                 continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    cut(i)
                     break
             event(f"/ {top[1]} {name}", 0, "" if name in INLINE else " ", stack[-1])
             continue
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] not in INLINE:
                     break
         if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in same) else ():
                 if stack[i][0] in same:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i][0] not in INLINE and stack[i][0] != "p":
                     break
@@ -176,8 +188,8 @@ def parse(page: str, held: Held, free: frozenset) -> Page:
         if suspect:
             number += 1
             freed = number in free
-            held.exact[number], held.words[number], held.labelled[number] = exact and mark.startswith("!"), 0, 0
-            around = (*around, number)
+            held.exact[number], held.words[number], held.labelled[number], held.around[number] = exact and mark.startswith("!"), 0, 0, around
+            around = number
         if freed and mark.startswith("!"):
             mark = ""
         named = (name in BOILERPLATE and not freed) or site_header
@@ -190,6 +202,7 @@ def parse(page: str, held: Held, free: frozenset) -> Page:
         event(f"< {region} {name}", 0, "" if name in INLINE else " ", entry)
         if name not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(entry)
+            opened[name] += 1
             raw = name if name in RAW and name not in ("svg", "math") else ""
     else:
         text(page[at:])

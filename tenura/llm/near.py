@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import BASE, by_value, flat_bytes, mix, saved, slices, texts_of, word_hashes
+from tenura.llm.common import BASE, by_value, flat_bytes, free, mix, saved, slices, texts_of, word_hashes
 
 by_value(__name__)
 
@@ -213,7 +213,7 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = [np.bincount(x.values.to_numpy(), minlength=PARTS).astype("<u2").tobytes() for x in b.column("parts")]
+            size = [np.bincount(x.values.to_numpy(), minlength=PARTS).astype("<u4").tobytes() for x in b.column("parts")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pc.list_value_length(b.column("parts")).cast(pa.int64()), pa.array(size, pa.binary())], ["id", "all", "shared"])
 
     return found.mapInArrow(counted, "id bigint, all bigint, shared binary")
@@ -256,7 +256,7 @@ def remaining(posted: DataFrame, classes: DataFrame, roots: DataFrame, sets: Dat
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         ids, root, part, n = (table.column(c).to_numpy() for c in ("id", "root", "part", "n"))
-        shared = np.frombuffer(b"".join(table.column("shared").to_pylist()), "<u2").reshape(len(ids), -1)
+        shared = np.frombuffer(b"".join(table.column("shared").to_pylist()), "<u4").reshape(len(ids), -1)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         token, tokens = key[0].as_py(), table.column("tokens").combine_chunks()
         size = np.diff(tokens.offsets.to_numpy())
@@ -322,5 +322,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is its component's, with all their columns. Rows without an id stay."""
     out = near_duplicates(docs, id_col, text_col)
-    gone = saved(out.where(~F.col("kept")).select(F.col(id_col).alias("_id")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_id"), "left_anti")
+    name = free(docs, "gone_id")
+    gone = saved(out.where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct(), "gone")
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")

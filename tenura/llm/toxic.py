@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -175,13 +176,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     """
     from pyspark.sql.functions import arrow_udf
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))  # plain arrays: executors need not know the class
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = SimpleNamespace(**dict(zip(("bias", "w", "v"), shared.value)))
         for column in columns:
             done = [np.empty(0)]
             for batch in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
-                z = margins(*terms(texts_of(batch, "text")), shared.value)
+                z = margins(*terms(texts_of(batch, "text")), m)
                 done.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.array(np.concatenate(done), pa.float64())
 
