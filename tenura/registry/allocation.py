@@ -9,7 +9,7 @@ from tenura.config import ACTIONS, Limits
 from tenura.errors import InfeasibleError
 from tenura.functions import round_dec
 from tenura.operators import allocate
-from tenura.registry.base import R, query
+from tenura.registry.base import R, once, query
 
 LIMITS = Limits(total_budget=20_000.0)
 #: Budgets of the uniform baseline at which every location runs out of money.
@@ -78,14 +78,18 @@ def solution_row(t, s):
                                    "value double, cost double, bound double, gap double, members_targeted bigint")
 
 
+def solved(t):
+    return once(t, "solved", lambda: allocate.solve(cands(t), LIMITS))
+
+
 @query("opt4_solve")
 def _(t):
-    return allocate.solve(cands(t), LIMITS).allocation
+    return solved(t).allocation
 
 
 @query("opt4_solution_quality")
 def _(t):
-    return solution_row(t, allocate.solve(cands(t), LIMITS))
+    return solution_row(t, solved(t))
 
 
 @query("opt4_dual_value", f"""SELECT {R("0.4::DOUBLE * 20000 + (SELECT SUM((p - 0.4) * 2000 + v * 1200) FROM pr) + SUM(best)", 4)} AS bound FROM
@@ -113,7 +117,7 @@ def checked(t, s, limit: float, floor: bool):
 
 @query("opt4_violations", nothing_broken(0.005), *CAND)
 def _(t):
-    return checked(t, allocate.solve(cands(t), LIMITS), 0.005, False)
+    return checked(t, solved(t), 0.005, False)
 
 
 @query("opt5_uniform_baseline", f"SELECT member_id, location_id, action, cost, minutes, {R('value', 6)} AS value FROM ua", *CAND, uniform("ua", BUDGET))
@@ -122,8 +126,7 @@ def _(t):
 
 
 def stochastic(t):
-    rows = allocate.stochastic_rows(valued(t), t.cate, SCENARIOS)
-    return allocate.solve_stochastic(rows, SCENARIOS, RISK, LIMITS)
+    return once(t, "stochastic", lambda: allocate.solve_stochastic(allocate.stochastic_rows(valued(t), t.cate, SCENARIOS), SCENARIOS, RISK, LIMITS))
 
 
 @query("opt6_stochastic")
@@ -182,16 +185,18 @@ def _(t):
     return allocate.compare_allocations(allocate.uniform_baseline(c, BUDGET), allocate.uniform_baseline(c, SMALL), scenarios(t), valued(t))
 
 
+def frontier(t):
+    return once(t, "frontier", lambda: allocate.efficient_frontier(allocate.stochastic_rows(valued(t), t.cate, SCENARIOS, seed=99), SCENARIOS, limits=LIMITS))
+
+
 @query("opt10_efficient_frontier")
 def _(t):
-    rows = allocate.stochastic_rows(valued(t), t.cate, SCENARIOS, seed=99)
-    return allocate.efficient_frontier(rows, SCENARIOS, limits=LIMITS)
+    return frontier(t)
 
 
 @query("opt10_frontier_properties", "SELECT r AS risk_aversion, TRUE AS gap_within, TRUE AS within_budget, TRUE AS worst_below_expected, TRUE AS worst_never_falls FROM (SELECT UNNEST([0, 0.1, 0.2, 0.3, 0.5, 0.8, 1]::DOUBLE[]) AS r)")
 def _(t):
-    rows = allocate.stochastic_rows(valued(t), t.cate, SCENARIOS, seed=99)
-    found = allocate.efficient_frontier(rows, SCENARIOS, limits=LIMITS)
+    found = frontier(t)
     before = Window.orderBy("risk_aversion").rowsBetween(Window.unboundedPreceding, -1)  # one row per level
     return found.select("risk_aversion", F.col("gap").between(-1e-9, 0.005).alias("gap_within"), (F.col("total_cost") <= LIMITS.total_budget + 1e-6).alias("within_budget"),
                         (F.col("worst_case_mrr") <= F.col("expected_mrr")).alias("worst_below_expected"),

@@ -80,3 +80,14 @@ def member_360(t: Tables) -> DataFrame:
 
 def location_kpis(t: Tables) -> DataFrame:
     return gold.location_kpis(member_360(t))
+
+
+_ONCE: dict = {}
+
+
+def once(t: Tables, name: str, make):
+    """What ``make`` gives, made once for each application and folder: for results of a long fit that several queries report on."""
+    at = (t.spark.sparkContext.applicationId, t.dir, name)
+    if at not in _ONCE:
+        _ONCE[at] = make()
+    return _ONCE[at]

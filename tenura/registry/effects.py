@@ -8,7 +8,7 @@ from tenura.config import TENURE_LABELS, CausalSpec
 from tenura.functions import round_dec
 from tenura.operators import causal, features
 from tenura.operators.forest import fit_effect_forest, leaf_effects
-from tenura.registry.base import ACT, R, TREF, VIS, query, silver_actions, silver_visits
+from tenura.registry.base import ACT, R, TREF, VIS, once, query, silver_actions, silver_visits
 from tenura.registry.views import REF
 
 X = ("visit_frequency", "tenure_months", "plan_price", "location_churn_rate", "enrollment_month", "payment_delay_flag")
@@ -135,16 +135,10 @@ FOREST = ["visit_frequency", "tenure_months", "plan_price", "location_churn_rate
           "contract_source_code", "plan_type_code"]
 
 
-FITTED: dict = {}
-
-
 def forest(t):
-    """The forest at its default settings, fitted once for each application and folder, as three queries read it."""
+    """The forest at its default settings."""
     df = features.category_codes(cframe(t), ["contract_source", "plan_type"])
-    at = (t.spark.sparkContext.applicationId, t.dir)
-    if at not in FITTED:
-        FITTED[at] = fit_effect_forest(df, "member_id", SPEC, FOREST)
-    return df, FITTED[at]
+    return df, once(t, "forest", lambda: fit_effect_forest(df, "member_id", SPEC, FOREST))
 
 
 @query("cau15_effect_forest")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tenura.functions import days_between, flag, round_dec
 from tenura.operators import features, gold, ltv, survival
-from tenura.registry.base import ACT, M360, R, TREF, VIS, member_360, normal_p, query, silver_visits
+from tenura.registry.base import ACT, M360, R, TREF, VIS, member_360, normal_p, once, query, silver_visits
 from tenura.registry.views import REF
 
 FRAME = f"""sf AS (SELECT * FROM (SELECT *, CAST(cancel_date IS NOT NULL AS BIGINT) AS event,
@@ -109,7 +109,7 @@ def cox_frame(t):
 
 def fitted(t):
     df = cox_frame(t)
-    return df, survival.fit_cox(df, COX, penalizer=0.1)
+    return df, once(t, "cox", lambda: survival.fit_cox(df, COX, penalizer=0.1))
 
 
 @query("srv7_cox_coefficients")
@@ -133,7 +133,7 @@ def two_frame(t):
 
 def two_fitted(t):
     df = two_frame(t)
-    return df, survival.fit_cox(df, TWO, penalizer=PENALTY, tol=1e-10)
+    return df, once(t, "cox of two", lambda: survival.fit_cox(df, TWO, penalizer=PENALTY, tol=1e-10))
 
 
 def newton_ctes() -> tuple[str, ...]:
