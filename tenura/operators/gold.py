@@ -97,7 +97,7 @@ GRAINS = {"daily": "day", "weekly": "week", "monthly": "month"}
 
 def member_numbers(members: DataFrame, key: str = "member_id", location: str = "location_id") -> DataFrame:
     """(key, number): members numbered from 0, those of a location next to each other, so that bitmaps of a location's members are dense."""
-    one = members.select(key, location).dropDuplicates([key]).withColumn("_one", F.lit(1))
+    one = members.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(location).alias(location)).withColumn("_one", F.lit(1))
     inside = prefix_sums(one, hash_unit(key, seed=0), ["_one"], [location], tie=[key])
     sizes = one.groupBy(location).agg(F.sum("_one").alias("_one"))
     starts = prefix_sums(sizes, hash_unit(location, seed=0), ["_one"], tie=[location]).select(F.col(location).alias("_at"), (F.col("cum__one") - F.col("_one")).alias("_start"))
@@ -133,9 +133,11 @@ def location_activity(visits: DataFrame, grains: Sequence[str] = tuple(GRAINS),
     """Visits and visiting members per location by day, ISO week and month.
 
     Members count through bitmaps of their numbers: the integer ``member_id`` itself, or ``numbers`` (member_id, number) for
-    ids of another kind.
+    ids of another kind, made from the visits where none are given.
     """
     member = F.col("member_id")
+    if numbers is None and dict(visits.dtypes)["member_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        numbers = member_numbers(visits)
     if numbers is not None:
         visits, member = visits.join(numbers, "member_id", "left"), F.col("number")
     return merge_activity(daily_activity(visits, member.cast("bigint")), grains)

@@ -183,3 +183,30 @@ def test_pipeline_and_incremental_bronze(spark, tmp_path):
     assert spark.read.parquet(paths["silver/visits"]).count() == 271  # copies and durations above 300 are gone
     assert spark.read.parquet(paths["gold/member_360"]).filter("last_action_type = 'pt_session'").count() == 1
     assert spark.read.parquet(paths["gold/locations"]).first()["total_members"] == 60
+
+
+def test_activity_counts_members_of_any_id_and_merges_states(spark):
+    rows = [(f"m{i % 37}" if i % 50 else None, "ab"[i % 3 == 0], f"2024-01-{1 + i % 28:02d} 10:00:00", 30 + i % 5) for i in range(900)] + [("m1", None, "2024-01-05 10:00:00", 10)]
+    visits = spark.createDataFrame(rows, "member_id string, location_id string, d string, visit_duration_minutes int").withColumn("visit_date", F.col("d").cast("timestamp_ntz")).drop("d")
+    got = {(r["grain"], r["location_id"], str(r["period_start"])[:10]): (r["visits"], r["visiting_members"], r["total_minutes"]) for r in gold.location_activity(visits).collect()}
+    known = visits.where("location_id is not null")
+    for grain, unit in gold.GRAINS.items():
+        want = known.groupBy("location_id", F.date_trunc(unit, "visit_date").alias("p")).agg(F.count("*").alias("n"), F.count_distinct("member_id").alias("m"), F.sum("visit_duration_minutes").alias("t")).collect()
+        for r in want:
+            assert got[grain, r["location_id"], str(r["p"])[:10]] == (r["n"], r["m"], r["t"])
+    numbers = gold.member_numbers(visits)
+    assert sorted(r["number"] for r in numbers.collect()) == list(range(37))
+    # states of two days' loads, made apart, merge to what one load gives; sketches come close
+    joined = known.join(numbers, "member_id", "left")
+    early, late = (gold.daily_activity(joined.where(c), F.col("number")) for c in ("visit_date < '2024-01-10'", "visit_date >= '2024-01-10'"))
+    merged = {(r["grain"], r["location_id"], str(r["period_start"])[:10]): r["visiting_members"] for r in gold.merge_activity(early.unionByName(late)).collect()}
+    assert merged == {k: v[1] for k, v in got.items()}
+    rough = gold.merge_activity(gold.daily_activity(joined, F.col("number"), sketch=True), ["monthly"], sketch=True).collect()
+    assert all(abs(r["visiting_members"] - got["monthly", r["location_id"], "2024-01-01"][1]) <= 1 for r in rough)
+
+
+def test_last_row_keeps_its_attributes_and_the_merged_membership(spark):
+    rows = [("a", "2024-01-01", "2024-06-01", "basic", 1), ("a", "2024-06-20", None, "premium", 2), ("b", "2023-01-01", "2023-02-01", "basic", 3), ("b", "2024-01-01", None, "standard", 4), ("c", "nonsense", None, "basic", 5)]
+    raw = spark.createDataFrame(rows, "member_id string, join_date string, cancel_date string, plan_type string, load_id int").withColumns({"contract_source": F.lit("regular"), "churned": F.lit(False)})
+    got = {r["member_id"]: (str(r["join_date"])[:10], r["cancel_date"], r["plan_type"], r["churned"]) for r in clean.clean_members(raw, ["load_id"]).collect()}
+    assert got == {"a": ("2024-01-01", None, "premium", False), "b": ("2024-01-01", None, "standard", False), "c": ("None", None, "basic", False)}
