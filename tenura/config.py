@@ -38,6 +38,7 @@ DRIFT_FEATURES = ["visit_frequency_30d", "days_since_last_visit", "tenure_months
                   "payment_delay_flag"]
 
 
+# Cleaning rules, retention actions with cost and minutes, and budget limits.
 @dataclass(frozen=True)
 class MemberRules:
     reenrollment_window_days: int = 30
@@ -72,19 +73,16 @@ class Limits:
     staff_hours: float = 20.0
 
 
+# The columns of the treatment frame by their part in the causal model, and treatments a segment cannot get.
 @dataclass(frozen=True)
 class CausalSpec:
     """Treatment, outcome and adjustment set; frozen so a fit cannot change it."""
 
     treatment: str = "retention_action_taken"
-    outcome: str = "churned_30d_post"
-    confounders: tuple[str, ...] = ("visit_frequency_30d", "days_since_last_visit", "payment_delay_flag",
-                                    "tenure_months", "plan_price", "location_churn_rate", "enrollment_month")
-    modifiers: tuple[str, ...] = ("tenure_months", "contract_source", "visit_frequency_trend", "plan_type",
-                                  "age_group")
+    outcome: str = "churned_30d"
+    confounders: tuple[str, ...] = ("visit_frequency", "tenure_months", "plan_price", "location_churn_rate", "enrollment_month", "payment_delay_flag")
+    modifiers: tuple[str, ...] = ("tenure_months", "contract_source", "plan_type")
     instruments: tuple[str, ...] = ()
-    segment_confounders: dict[str, tuple[str, ...]] = field(default_factory=lambda: {
-        "regular": ("upgrade_history", "discount_received_30d"),
-        "aggregator": ("aggregator_platform",)})
+    segment_confounders: dict[str, tuple[str, ...]] = field(default_factory=dict)
     excluded_treatments: dict[str, tuple[str, ...]] = field(default_factory=lambda: {
         "aggregator": ("discount_offer", "plan_upgrade")})
