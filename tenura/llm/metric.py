@@ -2,8 +2,8 @@
 
 The distance is 1 - intersection / union, a metric. Documents first meet under *parts*: the shingle space is cut into parts
 by a hash, and two similar sets differ in at most as many parts as shingles, so they agree on one of any larger number of parts.
-Documents that agree on a part form a region around a pivot. Regions that hold more than one component after the distances to the pivot are known
-are cut again around pivots of their own, until they fit a task, where all their distances come from a product of matrices.
+Documents that agree on a part form a region around a pivot. Regions that hold more than one component and do not fit a task are cut again
+around pivots of their own; in a task all distances come from a product of matrices.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import BASE, by_value, flat_bytes, mix, saved, slices, texts_of, word_hashes
+from tenura.llm.common import BASE, bitmap, by_value, flat_bytes, marked, may_be_in, mix, slices, texts_of, word_hashes
+from tenura.llm.common import written as saved
 from tenura.llm.near import components
 
 by_value(__name__)
@@ -36,8 +37,6 @@ LEAF_ROWS, LEAF_SHINGLES = 1024, 1 << 20
 PIVOTS, LEVELS = 16, 4
 #: Shingles per column block of a leaf's matrix.
 COLUMNS = 8192
-#: Bits of the filter that picks the documents whose sets are needed, at most.
-FILTER_BITS = 1 << 26
 
 
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
@@ -195,60 +194,43 @@ def first_pivots(posted: DataFrame) -> DataFrame:
     return saved(posted.join(heads, "token").where("cls != pivot").select("pivot", "cls").distinct(), "pivots")
 
 
-def picked_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(cls, n, set) of the classes in ``wanted``: a filter of bounded size picks documents by id where they are read, joins on the set digest make it exact."""
-    spark = docs.sparkSession
-    need = saved(classes.join(wanted, "cls", "left_semi").select("cls", "id", "digest", "n"), "wanted")
-    count = need.count()
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
+def one_of_each(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """The row of each class that stands for it (its least): (cls, id, digest, n, parts, held).
+
+    Rows whose digest is no copy's need no join: a bitmap of the digests that occur twice tells them. Only the others are moved to leave out the copies.
+    """
+    twice = saved(reps.where("n > 1").select(F.xxhash64("digest").alias("h")), "twice")
+    sure = rows.where("n > 0").withColumn("copy", may_be_in(twice, F.xxhash64("digest")))
+    some = sure.where("copy").join(reps.select(F.col("cls").alias("row")), "row", "left_semi")
+    return saved(sure.where("NOT copy").unionByName(some).drop("copy").withColumnRenamed("row", "cls"), "members")
 
-    def places(column: pa.Array) -> np.ndarray:
-        return (mix(pc.fill_null(column, 0).to_numpy().astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(bits, bool)
-        for b in batches:
-            hit[places(b.column("id"))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(hit).tobytes()], pa.binary())], ["bits"])
+def picked_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(cls, n, set) of the classes in ``wanted``: a bitmap picks documents by id where they are read, a join on id and digest makes it exact.
 
-    found = np.zeros(bits // 8, np.uint8)
-    for r in need.coalesce(8).mapInArrow(marks, "bits binary").toLocalIterator():
-        found |= np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(found)
+    Rows that repeat an id and its text give their set as often; what is made of sets does not change by that.
+    """
+    need = saved(classes.join(wanted, "cls", "left_semi").select("cls", "id", "digest", "n"), "wanted")
+    bits = bitmap(need.select(F.coalesce("id", F.lit(0)).alias("id")))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.unpackbits(shared.value).astype(bool)
         for whole in batches:
-            some = whole.filter(pa.array(hit[places(whole.column("id"))], pa.bool_()))
+            ids = pc.fill_null(whole.column("id"), 0).to_numpy()
+            some = whole.filter(pa.array(marked(shared.value, ids), pa.bool_()))
             for b in slices(some, "text"):
                 sets = shingles(texts_of(b, "text"), words)
-                yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["digest", "set"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["_id", "_digest", "set"])
 
     lean = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = lean.mapInArrow(run, "digest binary, set binary").join(need.select("cls", "n", "digest"), "digest")
-    return saved(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set")), "sets")
+    found = lean.mapInArrow(run, "_id bigint, _digest binary, set binary")
+    return saved(found.join(need, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("id"))).select("cls", "n", "set"), "sets")
 
 
 def _set(x: pa.Scalar) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), "<u8")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(pivot, cls, similar): pairs with whether their whole sets are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = _set(x), _set(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(100 * both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("cls"), pa.array(near, pa.bool_())], ["pivot", "cls", "similar"])
-
-    x, y = sets.select(F.col("cls").alias("pivot"), F.col("set").alias("x")), sets.select("cls", F.col("set").alias("y"))
-    return saved(pairs.join(x, "pivot").join(y, "cls").select("pivot", "cls", "x", "y").mapInArrow(run, "pivot bigint, cls bigint, similar boolean"), "measured")
-
-
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sets: products of their incidence matrices, COLUMNS shingles at a time."""
     out = np.zeros((len(left), len(right)), np.float32 if max(map(len, left + right), default=0) < 1 << 24 else np.float64)
@@ -331,7 +313,7 @@ def around_pivots(members: DataFrame, sets: DataFrame, least: int, level: int) -
     these are no farther from that pivot than from their nearest one by twice the greatest distance of similar sets:
     such members come to the region as guests (``cell`` without ``home``).
     """
-    rank = F.xxhash64("cls", F.lit(level))
+    rank = F.when(F.col("cls") == F.col("region"), -(1 << 63)).otherwise(F.xxhash64("cls", F.lit(level)))  # the one that a first region is named after
     first = members.where("home").groupBy("region", F.pmod(rank, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(rank.alias("rank"), "cls")).alias("p"))
     parts = F.greatest(F.ceil(F.col("size") / (LEAF_ROWS // 2)), F.ceil(F.col("shingles") / LEAF_SHINGLES)).cast("int")
     regions = members.groupBy("region").agg(F.max(parts).alias("parts"))
@@ -362,14 +344,15 @@ def around_pivots(members: DataFrame, sets: DataFrame, least: int, level: int) -
     return saved(both.applyInArrow(run, "region bigint, cls bigint, pivot bigint, linked boolean, cell boolean, home boolean, n bigint"), "cells")
 
 
-def region_join(open_: DataFrame, sets: DataFrame, nodes: DataFrame, links: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+def region_join(open_: DataFrame, sets: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """(id, root) after all pairs of home members, and of home members and guests, of the regions (region, cls, home) are compared where needed.
 
     A region whose members are all in one component needs nothing more. One that fits a task is a leaf. A larger one is
     cut around pivots; where that makes no more than twice its rows, its cells are the regions of the next level, else (and after LEVELS levels) it is
     compared in pairs of blocks.
     """
-    level = 0
+    level, roots = 0, nodes.withColumn("root", F.col("id"))
+    links = nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
     while True:
         known = open_.join(roots.select(F.col("id").alias("cls"), "root"), "cls").join(sets.select("cls", "n"), "cls")
         facts = known.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").drop("r0", "r1")
@@ -405,19 +388,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id stay, each with its own set. Only id and text are read, so other columns may have any name. An empty table gives no rows.
 
     The join is exact: no pair is lost to a signature, a cap or a sample. Equal sets are one class from the start. What is
-    compared are classes that agree on a part (see the module), first each with the pivots of its parts, then inside regions that still hold several components.
+    compared are classes that agree on a part (see the module), inside the region of a pivot that both have.
     """
     rows = set_rows(docs, id_col, text_col, least, words)
     known = rows.where("n > 0")
-    reps = saved(known.groupBy("digest").agg(F.min("row").alias("cls"), F.min("id").alias("least_id")), "classes")
-    classes = saved(known.join(reps.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls"), "members")
+    reps = saved(known.groupBy("digest").agg(F.min("row").alias("cls"), F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = one_of_each(rows, reps)
     pairs = first_pivots(lists(classes, least))
     nodes = saved(pairs.select("cls").union(pairs.select("pivot")).distinct().withColumnRenamed("cls", "id"), "nodes")
     sets = picked_sets(docs, classes, nodes.withColumnRenamed("id", "cls"), id_col, text_col, words)
-    links = saved(measured(pairs, sets, least).where("similar").select(F.col("pivot").alias("a"), F.col("cls").alias("b")), "links")
-    roots = saved(components(nodes, links), "roots")
-    # a region is the classes around one pivot; their distances to it are known, so the pivot itself is done
-    roots = region_join(pairs.select(F.col("pivot").alias("region"), "cls", F.lit(True).alias("home")), sets, nodes, links, roots, least)
+    # a first region is a pivot and the classes that it leads
+    around = pairs.select(F.col("pivot").alias("region"), "cls").union(pairs.select("pivot", "pivot").distinct())
+    roots = region_join(around.withColumn("home", F.lit(True)), sets, nodes, least)
     of = reps.join(roots.select(F.col("id").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = saved(of.join(ids, "root").select("digest", "component_id"), "components")
