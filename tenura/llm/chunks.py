@@ -7,6 +7,7 @@ around that place only, so an insertion moves the borders next to it and no othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,10 @@ def gear(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def least_places(v: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` places, the last of its least ones."""
-    m = max(0, len(v) - width + 1)
-    best = np.arange(m)
-    for j in range(1, width):
-        at = np.arange(j, m + j)
-        best = np.where(v[at] <= v[best], at, best)
-    return best
+    """For each window of ``width`` places, the last of its least ones (by the upper 32 bits); hash and place are one number, so one running minimum gives both."""
+    last = np.uint64(0xFFFFFFFF)
+    key = (v & ~last) | (last - np.arange(len(v), dtype=np.uint64))
+    return (last - (sliding(key, width, np.minimum) & last)).astype(np.int64) if len(v) >= width else np.empty(0, np.int64)
 
 
 class Hashes:
@@ -74,12 +72,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def sliding(x: np.ndarray, width: int, take) -> np.ndarray:
-    """``take`` (np.minimum or np.maximum) over every ``width`` neighbours."""
-    n = len(x) - width + 1
-    out = x[:n].copy()
-    for i in range(1, width):
-        take(out, x[i : i + n], out=out)
-    return out
+    """``take`` (np.minimum or np.maximum) over every ``width`` neighbours, in as many steps as ``width`` has bits: spans double, and the last two overlap."""
+    span = 1
+    while 2 * span <= width:
+        x = take(x[:-span], x[span:])
+        span *= 2
+    rest = width - span
+    return take(x[: len(x) - rest], x[rest:]) if rest else x
 
 
 class Grams:
@@ -96,15 +95,21 @@ class Grams:
         self.starts, self.ends = turn[0::2], turn[1::2]
         self.text = np.searchsorted(edges, self.starts, side="right")
         self.first_word = np.searchsorted(self.text, np.arange(len(texts)))
-        self.from_byte, self.n, short = np.concatenate(([0], edges)), n, max(1, n // 2)
-        self.least = np.empty(0, np.uint64)
-        if len(self.starts) >= n:
-            self.one = Hashes(self.data, 0)
-            self.short = self.one(self.starts[: len(self.starts) - short + 1], self.ends[short - 1 :])
-            self.wide = n - short + 1
-            self.least = sliding(self.short, self.wide, np.minimum)
-        m = len(self.least)
-        self.whole = self.text[:m] == self.text[n - 1 : n - 1 + m]  # within one text
+        self.from_byte, self.n = np.concatenate(([0], edges)), n
+        self.m = max(0, len(self.starts) - n + 1)
+        self.whole = self.text[: self.m] == self.text[n - 1 : n - 1 + self.m]  # within one text
+        self.one = Hashes(self.data, 0)
+
+    @cached_property
+    def short(self) -> np.ndarray:
+        """Hashes of all stretches of about n / 2 words."""
+        size = max(1, self.n // 2)
+        return self.one(self.starts[: len(self.starts) - size + 1], self.ends[size - 1 :])
+
+    @cached_property
+    def least(self) -> np.ndarray:
+        """The sign of each stretch."""
+        return sliding(self.short, self.n - max(1, self.n // 2) + 1, np.minimum) if self.m else np.empty(0, np.uint64)
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Last words of the chunks that lie between two cuts of a text, their digests, and the cut of each window of places.
@@ -122,7 +127,8 @@ class Grams:
         best = least_places(v, width)  # window j: places j .. j + width - 1
         first = np.maximum(np.arange(len(best)) - (k - 1), 0)
         inside = (np.arange(len(best)) >= k - 1) & (self.text[first] == self.text[np.arange(len(best)) + width - 1])
-        cut = np.unique(best[inside])
+        cut = best[inside]
+        cut = cut[np.concatenate(([True], cut[1:] != cut[:-1]))] if len(cut) else cut  # windows move on, and so do their cuts
         same = self.text[cut[1:]] == self.text[cut[:-1]] if len(cut) else np.empty(0, bool)
         left, right = cut[:-1][same], cut[1:][same]
         return right, self.one(self.ends[left], self.ends[right]), best
@@ -130,7 +136,7 @@ class Grams:
     def shared(self, bits: np.ndarray) -> np.ndarray:
         """Stretches whose chunks may all occur again: those between the first and the last cut that belong to the stretch whatever stands around it."""
         k, width = window(self.n)
-        m = len(self.least)
+        m = self.m
         if not k or not m:
             return self.whole
         right, digest, best = self.chunks()
