@@ -123,7 +123,7 @@ class Tally:
         for i in range(self.shards):
             a, b = edges[i], edges[i + 1]
             if b > a:
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([squeeze(k[a:b], True)], pa.binary()), pa.array([squeeze(c[a:b].astype("<u4"))], pa.binary())], ["shard", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([squeeze(k[a:b], True)], pa.binary()), pa.array([squeeze(c[a:b])], pa.binary())], ["shard", "keys", "counts"])
 
 
 BLOBS = "shard int, keys binary, counts binary"
@@ -131,7 +131,7 @@ BLOBS = "shard int, keys binary, counts binary"
 
 def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = [spread(x, "<u8", True) for x in table.column("keys").to_pylist()]
-    counts = [spread(x, "<u4").astype("<u8") for x in table.column("counts").to_pylist()]
+    counts = [spread(x, "<u8") for x in table.column("counts").to_pylist()]
     return tally(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     def keep_pairs(key: tuple, table: pa.Table) -> pa.Table:
         k, c = merged(table)
         put(f"{folder}/pairs-{key[0].as_py()}", k)
-        put(f"{folder}/times-{key[0].as_py()}", c.astype("<u4"))
+        put(f"{folder}/times-{key[0].as_py()}", c)
         word, context = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rows = []  # of five facts: per word the pairs it ends; per context its tokens, and its pairs seen once, twice and more
         for ids, values in ((word, [np.ones(len(k), "<u8"), None, None, None, None]), (context, [None, c, c == 1, c == 2, c >= 3])):
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 
     for i in range(pair_shards):
         put(f"{folder}/pairs-{i}", np.empty(0, "<u8"))
-        put(f"{folder}/times-{i}", np.empty(0, "<u4"))
+        put(f"{folder}/times-{i}", np.empty(0, "<u8"))
     for i in range(word_shards):
         put(f"{folder}/facts-{i}", np.zeros((int(sizes[i]) + (i == word_shards - 1), 5), "<u8"))
     partial = saved(lean.mapInArrow(count_pairs, BLOBS).groupBy("shard").applyInArrow(keep_pairs, "shard int, ids binary, facts binary, ones array<bigint>"), "facts")
@@ -289,7 +289,7 @@ class Scorer:
         self.counts = [mapped(f"{m.folder}/counts-{i}", "<u8") for i in range(len(m.offsets) - 1)]
         self.facts = [mapped(f"{m.folder}/facts-{i}", "<u8").reshape(-1, 5) for i in range(len(m.offsets) - 1)]
         self.pairs = [mapped(f"{m.folder}/pairs-{i}", "<u8") for i in range(m.pair_shards)]
-        self.times = [mapped(f"{m.folder}/times-{i}", "<u4") for i in range(m.pair_shards)]
+        self.times = [mapped(f"{m.folder}/times-{i}", "<u8") for i in range(m.pair_shards)]
 
     def _of_words(self, arrays: list, ids: np.ndarray, width: tuple = ()) -> np.ndarray:
         """Rows of per-word arrays for sorted ids, zeros for -1."""
