@@ -23,6 +23,9 @@ by_value(__name__)
 
 #: Words in a row that make a passage when they repeat.
 WORDS = 20
+#: Longest run of powers of a base that a task keeps from one batch to the next.
+KEPT = 4 << 20
+
 GRAM = "h1 bigint, h2 bigint, id bigint, row bigint, word bigint, start bigint, end bigint"
 
 
@@ -54,11 +57,18 @@ def least_places(v: np.ndarray, width: int) -> np.ndarray:
 class Hashes:
     """64-bit hashes of any byte ranges of one array, equal ranges alike wherever they stand (from sums of the bytes before each place)."""
 
-    def __init__(self, data: np.ndarray, seed: int):
-        base = (BASE + 2 * seed) | 1
+    def __init__(self, data: np.ndarray, seed: int, known: dict | None = None):
+        base, n = (BASE + 2 * seed) | 1, len(data)
         table = mix(np.arange(256, dtype=np.uint64) + np.uint64(256 * seed + 1))
-        self.back = powers(pow(base, -1, 1 << 64), len(data) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * powers(base, len(data)), dtype=np.uint64)))
+        known = {} if known is None else known
+        if len(known.get(seed, ((), ()))[0]) <= n:
+            known[seed] = powers(base, n + 1), powers(pow(base, -1, 1 << 64), n + 1)
+        ahead, self.back = known[seed]
+        if n > KEPT:
+            del known[seed]
+        self.sums = np.empty(n + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(table[data] * ahead[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -88,7 +98,8 @@ class Grams:
     repeat. Words are split at white space; stretches are equal if their bytes are, white space between the words included.
     """
 
-    def __init__(self, texts: list[str], n: int):
+    def __init__(self, texts: list[str], n: int, known: dict | None = None):
+        self.known = {} if known is None else known
         self.data, edges = flat_bytes(texts)
         white = SPACE[self.data]
         turn = np.flatnonzero(np.diff(np.concatenate(([True], white, [True])).view(np.int8)))
@@ -98,7 +109,7 @@ class Grams:
         self.from_byte, self.n = np.concatenate(([0], edges)), n
         self.m = max(0, len(self.starts) - n + 1)
         self.whole = self.text[: self.m] == self.text[n - 1 : n - 1 + self.m]  # within one text
-        self.one = Hashes(self.data, 0)
+        self.one = Hashes(self.data, 0, self.known)
 
     @cached_property
     def short(self) -> np.ndarray:
@@ -166,16 +177,17 @@ class Grams:
 
     def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.starts[at], self.ends[at + self.n - 1]
-        return self.one(a, b), Hashes(self.data, 1)(a, b)
+        return self.one(a, b), Hashes(self.data, 1, self.known)(a, b)
 
 
 def chunk_digests(docs: DataFrame, n: int) -> DataFrame:
     """h1: the digests of all chunks, one row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for whole in batches:
             for batch in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(Grams(texts_of(batch, "text"), n).chunks()[1].view(np.int64))], ["h1"])
+                yield pa.RecordBatch.from_arrays([pa.array(Grams(texts_of(batch, "text"), n, known).chunks()[1].view(np.int64))], ["h1"])
 
     return docs.select("text").mapInArrow(run, "h1 bigint")
 
@@ -192,10 +204,10 @@ def grams(docs: DataFrame, n: int, kind: str, common: np.ndarray, also: np.ndarr
         from pyspark import TaskContext
 
         signed, bits = shared.value
-        seen = TaskContext.get().partitionId() << 33
+        seen, known = TaskContext.get().partitionId() << 33, {}
         for whole in batches:
             for batch in slices(whole, "text"):
-                g = Grams(texts_of(batch, "text"), n)
+                g = Grams(texts_of(batch, "text"), n, known)
                 own = g.anchors() & g.whole
                 at = np.flatnonzero(g.whole)
                 at = at[g.shared(signed)[at]]
