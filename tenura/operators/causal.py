@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,12 +211,16 @@ def linear_ate(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
 
 
 def propensity(df: DataFrame, treatment: str, confounders: Sequence[str], out: str = "propensity", ridge: float = 1e-6) -> DataFrame:
-    """Add the treatment probability from a logistic regression on the confounders."""
+    """Add the treatment probability from a logistic regression on the confounders.
+
+    The model's own ``transform`` would send its training summary to the tasks, and with it the session, which cannot
+    travel once it has seen an ``Observation`` or a job tag. So only the coefficients are used.
+    """
     rows = df.dropna(subset=[treatment, *confounders])
     x = VectorAssembler(inputCols=list(confounders), outputCol="_x").transform(rows).withColumn("_t", F.col(treatment).cast("double"))
     model = LogisticRegression(featuresCol="_x", labelCol="_t", regParam=ridge, maxIter=100, standardization=True).fit(x)
-    model.setProbabilityCol("_prob").setRawPredictionCol("").setPredictionCol("")
-    return model.transform(x).withColumn(out, vector_to_array("_prob")[1]).drop("_x", "_t", "_prob")
+    margin = sum((F.col(c).cast("double") * float(b) for c, b in zip(confounders, model.coefficients)), F.lit(0.0)) + float(model.intercept)
+    return rows.withColumn(out, 1 - 1 / (1 + F.exp(margin)))
 
 
 def weighted_ate(scored: DataFrame, treatment: str, outcome: str, score: str = "propensity", clip: float = 0.01) -> Effect:

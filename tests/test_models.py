@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tenura.config import Action, CausalSpec, Limits
@@ -313,6 +314,29 @@ def test_refutation_report(study, method):
     assert got["bootstrap"]["original_effect"] == pytest.approx(causal.estimate_ate(study, SPEC, method).effect, abs=2e-3)
 
 
+@pytest.fixture
+def observed(spark, study):
+    """The study in a session that has seen an observation, which cannot be sent to tasks any more."""
+    session = spark.newSession()
+    session.range(3).observe(Observation(), F.count(F.lit(1)).alias("n")).collect()
+    return session.createDataFrame([tuple(r) for r in study.collect()], study.schema)
+
+
+def test_weighting_in_an_observed_session(observed):
+    """Scores and effect against Newton's method in NumPy."""
+    a, t, y = (np.array([tuple(r) for r in observed.select(*c).collect()]) for c in (["x", "w"], ["t"], ["y"]))
+    a, t, y = np.column_stack([np.ones(len(a)), a]), t[:, 0], y[:, 0]
+    beta = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-a @ beta))
+        beta += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a, a.T @ (t - p))
+    got = np.array([r[0] for r in causal.propensity(observed, "t", ["x", "w"]).select("propensity").collect()])
+    assert np.allclose(got, p, atol=1e-4)
+    q = np.clip(p, 0.01, 0.99)
+    one, two = t / q, (1 - t) / (1 - q)
+    assert causal.estimate_ate(observed, SPEC).effect == pytest.approx((one @ y) / one.sum() - (two @ y) / two.sum(), abs=1e-3)
+
+
 def test_replicated_fits_match_plain_ones(spark):
     """Propensity models and effects of weighted replicates against Newton's method and matching in plain NumPy."""
     rng = np.random.default_rng(4)
