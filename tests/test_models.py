@@ -337,6 +337,22 @@ def test_weighting_in_an_observed_session(observed):
     assert causal.estimate_ate(observed, SPEC).effect == pytest.approx((one @ y) / one.sum() - (two @ y) / two.sum(), abs=1e-3)
 
 
+def test_matching_in_an_observed_session(observed, study):
+    """The scores are the same as in a session that has seen nothing, and matching on them gives what brute force gives."""
+    scored = causal.propensity(observed, "t", ["x", "w"])
+    rows = np.array([tuple(r) for r in scored.select("t", "y", "propensity").collect()])
+    effects = []
+    for t, y, p in rows:
+        other = rows[rows[:, 0] != t]
+        gap = np.abs(other[:, 2] - p)
+        near = other[gap == gap.min()]
+        near = near[near[:, 2] == near[:, 2].min()]  # the lower score on equal distance
+        effects.append((1 if t else -1) * (y - near[:, 1].mean()))
+    got = causal.matched_ate(scored, "t", "y").first()
+    assert got["effect"] == pytest.approx(np.mean(effects), abs=1e-6) and got["n"] == len(rows)
+    assert got["effect"] == pytest.approx(causal.estimate_ate(study, SPEC, "propensity_score_matching").effect, abs=1e-6)
+
+
 def test_replicated_fits_match_plain_ones(spark):
     """Propensity models and effects of weighted replicates against Newton's method and matching in plain NumPy."""
     rng = np.random.default_rng(4)
