@@ -262,11 +262,12 @@ def _nearest(points: DataFrame, ranges: int | None, by: Sequence[str] = ()) -> D
     carried = ends.select(*by, "_b", *[F.last(f"_last{arm}", ignorenulls=True).over(before).alias(f"_below{arm}") for arm in "10"],
                           *[F.first(f"_first{arm}", ignorenulls=True).over(after).alias(f"_above{arm}") for arm in "10"])
     own = Window.partitionBy(*by, "_b").orderBy("g")
+    back = Window.partitionBy(*by, "_b").orderBy(F.desc("g"))  # a frame to the end of the range would be summed anew for every row
     out = cut.join(carried if by else F.broadcast(carried), [*by, "_b"])  # at most one row per range (and group)
 
     def closest(arm: str, strict: int) -> Column:
         a = F.coalesce(F.last(point(arm), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -strict)), F.col(f"_below{arm}"))
-        b = F.coalesce(F.first(point(arm), ignorenulls=True).over(own.rowsBetween(strict, Window.unboundedFollowing)), F.col(f"_above{arm}"))
+        b = F.coalesce(F.last(point(arm), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -strict)), F.col(f"_above{arm}"))
         return F.when(a.isNull() | (b["g"] - F.col("g") < F.col("g") - a["g"]), b).otherwise(a)
 
     return out.select(*points.columns, *[closest(arm, strict).alias(f"{name}{arm}") for arm in "10" for name, strict in (("m", 0), ("o", 1))])
