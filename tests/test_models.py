@@ -353,6 +353,14 @@ def test_matching_in_an_observed_session(observed, study):
     assert got["effect"] == pytest.approx(causal.estimate_ate(study, SPEC, "propensity_score_matching").effect, abs=1e-6)
 
 
+@pytest.mark.parametrize("method", refute.METHODS[1:])
+def test_refutation_report_in_an_observed_session(observed, study, method):
+    """The placebo test fits a model of its own; its row is that of a session that has seen nothing."""
+    a, b = (refute.refute(df, "member_id", SPEC, method, tests=["placebo_treatment"]).first() for df in (observed, study))
+    assert a["refuted_effect"] == pytest.approx(b["refuted_effect"], abs=1e-6) and abs(a["refuted_effect"]) < 0.25
+    assert a["p_value"] == pytest.approx(b["p_value"], abs=1e-4) and a["details"] == b["details"]
+
+
 def test_replicated_fits_match_plain_ones(spark):
     """Propensity models and effects of weighted replicates against Newton's method and matching in plain NumPy."""
     rng = np.random.default_rng(4)
