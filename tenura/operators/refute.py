@@ -132,7 +132,10 @@ class Scores:
                 if not b.num_rows:
                     continue
                 z, t, y, w = batch(b)
-                p = 1 / (1 + np.exp(-np.clip(z @ beta.T, -500, 500)))
+                at = np.zeros((len(z), r))
+                for i in range(z.shape[1]):  # a matrix product adds in an order of its own for each batch size, and equal rows must have equal scores
+                    at += z[:, [i]] * beta[:, i]
+                p = 1 / (1 + np.exp(-np.clip(at, -500, 500)))
                 for k in range(r):
                     some = w[:, k] > 0
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), k, np.int32)), pa.array(p[some, k]), pa.array(t[some]), pa.array(y[some]), pa.array(w[some, k])], ["rep", "g", "t", "y", "w"])

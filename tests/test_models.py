@@ -396,6 +396,37 @@ def test_replicated_fits_match_plain_ones(spark):
             assert match[k] == pytest.approx(total / w.sum(), abs=1e-9)
 
 
+def test_members_with_equal_covariates_match_as_one_score(spark):
+    """Members with equal covariates are averaged together, also those alone in a batch, whose matrix product sums in another order."""
+    rng = np.random.default_rng(11)
+    n, r = 2001, 4
+    x = rng.integers(0, 2, size=(n, 6)) * [1.0, 30.0, 0.3, 7.0, 0.01, 1.0]
+    t = (rng.random(n) < 1 / (1 + np.exp(x[:, 0] - 0.5))).astype(float)
+    y = (rng.random(n) < 0.3 + 0.2 * x[:, 0]).astype(float)
+    names = [f"x{i}" for i in range(6)]
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    df = session.createDataFrame([(i, *map(float, v)) for i, v in enumerate(np.column_stack([x, t, y]))], "member_id long, " + ", ".join(f"{c} double" for c in (*names, "t", "y")))
+    hashes = np.array([v[0] for v in df.orderBy("member_id").select(causal.row_hash("member_id")).collect()])
+    weight = causal.replicate_weights(hashes, r, "bootstrap", 0.8, 42)
+    cells, cell = np.unique(x, axis=0, return_inverse=True)
+    scores = refute.Scores(df.repartition(40), "member_id", "t", "y", names, r, "bootstrap", 0.8, 42)
+    beta = scores.fit()
+    got = scores.matched_effects(beta)
+    scores.close()
+    p = 1 / (1 + np.exp(-(np.column_stack([np.ones(len(cells)), (cells - x.mean(0)) / x.std(0)]) @ beta.T)))
+    for k in range(r):
+        w, total = weight[:, k], 0.0
+        arm = {a: (np.bincount(cell, w * (t == a), len(cells)), np.bincount(cell, w * (t == a) * y, len(cells))) for a in (0, 1)}
+        for a, sign in ((1, 1), (0, -1)):
+            own, other = arm[a], arm[1 - a]
+            some = np.flatnonzero(other[0])
+            for c in np.flatnonzero(own[0]):
+                at = some[np.abs(p[some, k] - p[c, k]).argmin()]
+                total += sign * (own[1][c] - own[0][c] * other[1][at] / other[0][at])
+        assert got[k] == pytest.approx(total / w.sum(), abs=1e-9)
+
+
 def test_a_test_that_cannot_run_is_a_failed_row(spark):
     df = spark.createDataFrame([(i, float(i % 2), 1.0, 0.0) for i in range(10)], "member_id long, x double, t double, y double")
     with pytest.raises(DataError):
