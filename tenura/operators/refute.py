@@ -23,6 +23,7 @@ from tenura.errors import DataError
 from tenura.functions import hash_normal, hash_unit
 from tenura.functions.ordered import prefix_sums
 from tenura.operators.causal import Effect, _nearest, _ols, centered, check_spec, estimate_ate, gram, linear_ate, replicate_weights, row_hash
+from tenura.session import checkpointed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
@@ -198,16 +199,13 @@ def refute(df: DataFrame, key: str, spec: CausalSpec, method: str = "propensity_
     if method not in METHODS:
         raise DataError(f"unknown method {method!r}")
     t, y, x = spec.treatment, spec.outcome, list(spec.confounders)
-    used = df.select(key, *dict.fromkeys([t, y, *x])).dropna().persist()
+    used = checkpointed(df.select(key, *dict.fromkeys([t, y, *x])).dropna())  # every plan of the report starts here, not at the tables
     e0 = float(replicate_effects(used, key, spec, method, 1, "all", seed=seed)[0])
     change = lambda e: abs(e - e0) / max(abs(e0), 1e-6)
 
     def placebo():
-        moved = permuted(used, key, t, seed).persist()
-        try:
-            e: Effect = linear_ate(moved, t, y, x) if method == "linear_regression" else estimate_ate(moved, spec, method)
-        finally:
-            moved.unpersist()
+        moved = checkpointed(permuted(used, key, t, seed))
+        e: Effect = linear_ate(moved, t, y, x) if method == "linear_regression" else estimate_ate(moved, spec, method)
         p = None if math.isnan(e.p_value) else e.p_value
         return abs(e.effect) < placebo_limit, e.effect, p, f"placebo effect {e.effect:.4f}, limit {placebo_limit}"
 
@@ -234,5 +232,4 @@ def refute(df: DataFrame, key: str, spec: CausalSpec, method: str = "propensity_
             rows.append((name, bool(passed), e0, float(e), p, text))
         except (DataError, np.linalg.LinAlgError) as error:  # the report must show the failed test; Spark's errors end it
             rows.append((name, False, e0, None, None, f"failed with {type(error).__name__}: {error}"))
-    used.unpersist()
     return df.sparkSession.createDataFrame(rows, "test_name string, passed boolean, original_effect double, refuted_effect double, p_value double, details string")
