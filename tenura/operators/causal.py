@@ -96,10 +96,11 @@ def naive_difference(df: DataFrame, treatment: str, outcome: str) -> DataFrame:
 # ---- sums of products ------------------------------------------------------------------------
 
 
-def _uniforms(hashes: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """Uniform values per (row, replicate) from a 64-bit row hash by an integer mixing function."""
+def _uniforms(hashes: np.ndarray, replicates: int | np.ndarray, seed: int) -> np.ndarray:
+    """Uniform values per (row, replicate) from a 64-bit row hash by an integer mixing function; some replicates may be given by number, from 1."""
     with np.errstate(over="ignore"):
-        x = hashes.astype(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed * 1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+        which = np.arange(1, replicates + 1, dtype=np.uint64) if isinstance(replicates, int) else replicates.astype(np.uint64)
+        x = hashes.astype(np.uint64)[:, None] + (which + np.uint64(seed * 1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x = x ^ (x >> np.uint64(31))

@@ -10,22 +10,18 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.config import CausalSpec
 from tenura.errors import DataError
 from tenura.functions.ordered import count_percentiles
+from tenura.operators.boost import PART_ROWS, Boost
 from tenura.operators.causal import _uniforms, check_spec, row_hash
 from tenura.operators.features import fit_percentiles, impute
 from tenura.session import checkpointed
@@ -33,7 +29,7 @@ from tenura.session import checkpointed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 #: Bins per feature, rows a task routes at once, and bytes of sums it keeps at once.
-BINS, ROWS, SUMS = 32, 1024, 32 << 20
+BINS, ROWS, SUMS = 32, 8192, 32 << 20
 
 
 @dataclass
@@ -97,11 +93,25 @@ class EffectForest:
     def predict(self, df: DataFrame, key: str = "member_id") -> DataFrame:
         """Effect per row with a 95 % interval; every row of ``df`` is returned, rows that repeat a key once.
 
-        Leaves meet the leaf table by a join and are averaged where they are, so that one row per member moves. Trees share the
-        estimation rows, so the variance of their mean is bounded by the mean of the leaf variances, which is used.
+        The leaf table has a row for each leaf of the shape the driver holds, so tasks have it whole, and a row gives out two sums over its
+        trees. Trees share the estimation rows, so the variance of their mean is bounded by the mean of the leaf variances, which is used.
         """
-        each = self.placed(df, key).select(key, F.posexplode("leaf").alias("tree", "leaf"))
-        means = each.join(self.leaves.select("tree", "leaf", "effect", "variance"), ["tree", "leaf"]).groupBy(key).agg(F.avg("effect").alias("cate_mean"), F.sqrt(F.avg("variance")).alias("cate_std"))
+        table = np.full((2, *self.shape.feature.shape), np.nan)
+        for r in self.leaves.select("tree", "leaf", "effect", "variance").collect():
+            table[:, r["tree"], r["leaf"]] = r["effect"], r["variance"]
+        shared, trees, kind = df.sparkSession.sparkContext.broadcast(table), np.arange(len(self.shape.feature)), dict(df.dtypes)[key]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    leaf = b.column("leaf").flatten().to_numpy().reshape(b.num_rows, -1)
+                    effect, variance = shared.value[:, trees, leaf]
+                    known = ~np.isnan(effect)
+                    yield pa.RecordBatch.from_arrays([b.column(key), pa.array(known.sum(1)), *[pa.array(np.where(known, v, 0.0).sum(1)) for v in (effect, variance)]], [key, "n", "effect", "variance"])
+
+        sums = self.placed(df, key).mapInArrow(run, f"`{key}` {kind}, n bigint, effect double, variance double")
+        mean = lambda c: F.sum(c) / F.sum("n")
+        means = sums.where("n > 0").groupBy(key).agg(mean("effect").alias("cate_mean"), F.sqrt(mean("variance")).alias("cate_std"))
         return means.withColumns({"cate_lower": F.col("cate_mean") - 1.96 * F.col("cate_std"), "cate_upper": F.col("cate_mean") + 1.96 * F.col("cate_std")})
 
     def importance(self, spark) -> DataFrame:
@@ -117,31 +127,17 @@ def residuals(df: DataFrame, key: str, treatment: str, outcome: str, features: S
               depth: int = 4, min_leaf: int = 20, seed: int = 42) -> DataFrame:
     """Outcome and treatment minus cross-fitted boosted-tree predictions: key, features, ``ry``, ``rt``.
 
-    Folds follow the key's hash, so a row is always predicted by models that never saw it. The models of all folds are fitted at the same
-    time. Features must not be null; rows without treatment or outcome are left out.
+    Folds follow the key's hash, so a row is always predicted by models that never saw it. The models of all folds are grown together, a
+    level of all their trees by one scan. Features must not be null; rows without treatment or outcome are left out.
     """
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.dropna(subset=[treatment, outcome]))
-    rows = rows.select(key, *features, F.col(outcome).cast("double").alias("_y"), F.col(treatment).cast("double").alias("_t"), "_x",
-                       F.pmod(row_hash(key) + F.lit(seed), F.lit(folds)).cast("int").alias("_fold")).persist()
-    shared = dict(featuresCol="_x", maxIter=rounds, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed)
-
-    def fit(task: tuple[int, bool]):
-        k, outcome_model = task
-        given = rows.filter(F.col("_fold") != k)
-        return GBTRegressor(labelCol="_y", predictionCol="_py", **shared).fit(given) if outcome_model else GBTClassifier(labelCol="_t", **shared).fit(given)
-
+    rows = df.dropna(subset=[treatment, outcome])
+    rows = rows.select(key, *features, F.col(outcome).cast("double").alias("_y"), F.col(treatment).cast("double").alias("_t"), row_hash(key).alias("_h"),
+                       *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(features)])
+    rows = rows.withColumn("_fold", F.pmod(F.col("_h") + F.lit(seed), F.lit(folds)).cast("int")).persist()
     try:
-        rows.count()
-        tasks = [(k, of) for k in range(folds) for of in (True, False)]
-        with ThreadPoolExecutor(len(tasks)) as pool:
-            models = dict(zip(tasks, pool.map(fit, tasks)))
-        out = None
-        for k in range(folds):
-            mt = models[k, False].setProbabilityCol("_pt").setRawPredictionCol("").setPredictionCol("")
-            scored = mt.transform(models[k, True].transform(rows.filter(F.col("_fold") == k)))
-            part = scored.select(key, *features, (F.col("_y") - F.col("_py")).alias("ry"), (F.col("_t") - vector_to_array("_pt")[1]).alias("rt"))
-            out = part if out is None else out.unionByName(part)
-        return checkpointed(out)
+        models = Boost(len(features), folds, rounds, depth, min_leaf)
+        models.fit(rows, rows.count(), seed)
+        return checkpointed(models.predicted(rows, [key, *features]))
     finally:
         rows.unpersist()
 
@@ -193,20 +189,20 @@ class Grower:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "rows"}  # tasks get the settings, not the table
 
-    def halves(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which rows of a batch choose the splits of each tree, and which estimate its effects."""
-        u = _uniforms(h, self.trees, self.seed)
+    def halves(self, h: np.ndarray, trees: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows of a batch choose the splits of each of some trees, and which estimate its effects."""
+        u = _uniforms(h, trees + 1, self.seed)
         if not self.honest:
             return u < self.fraction, u < self.fraction
         return u < self.fraction / 2, (u >= self.fraction / 2) & (u < self.fraction)
 
-    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def batches(self, batches: Iterator[pa.RecordBatch], trees: np.ndarray) -> Iterator[tuple]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
                 col = lambda c: b.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 rt, ry = col("rt"), col("ry")
-                yield binned(b, self.p, self.edges), rt * ry, rt * rt, self.halves(col("h"))
+                yield binned(b, self.p, self.edges), rt * ry, rt * rt, self.halves(col("h"), trees)
 
     def level(self, shape: Shape, nodes: dict[int, list[int]], min_leaf: int) -> list:
         """The best splits of the given nodes (tree: its nodes of one level), for as many trees at once as their sums fit a task."""
@@ -230,21 +226,21 @@ class Grower:
         some = Shape(shape.feature[trees], shape.bin[trees])
 
         def partial(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            acc = np.zeros((len(slots) * p * BINS, 3))
+            acc = np.zeros((p, 3, len(slots) * BINS))
             seen = np.zeros(len(slots), bool)
-            for bins, ty, tt, (grow, _) in batches(given):
+            for bins, ty, tt, (grow, _) in batches(given, trees):
                 slot = place[np.arange(len(trees)), some.route(bins)]
-                row, tree = np.nonzero(grow[:, trees] & (slot >= 0))
+                row, tree = np.nonzero(grow & (slot >= 0))
                 s = slot[row, tree]
                 seen[s] = True
                 for j in range(p):
-                    at = (s * p + j) * BINS + bins[row, j]
+                    at = s * BINS + bins[row, j]
                     for c, v in enumerate((None, ty, tt)):
-                        acc[:, c] += np.bincount(at, None if v is None else v[row], len(acc))
+                        acc[j, c] += np.bincount(at, None if v is None else v[row], acc.shape[2])
             got = np.flatnonzero(seen)
             if len(got):
-                per = acc.reshape(len(slots), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(got), pa.array([per[s].tobytes() for s in got], pa.binary())], ["slot", "sums"])
+                per = acc.reshape(p, 3, len(slots), BINS)
+                yield pa.RecordBatch.from_arrays([pa.array(got), pa.array([per[:, :, s].transpose(0, 2, 1).tobytes() for s in got], pa.binary())], ["slot", "sums"])
 
         def choose(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -265,7 +261,7 @@ class Grower:
 
         def partial(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             acc = np.zeros((6, count * width))
-            for bins, ty, tt, (_, rest) in batches(given):
+            for bins, ty, tt, (_, rest) in batches(given, np.arange(count)):
                 row, tree = np.nonzero(rest)
                 at = tree * width + shape.route(bins)[row, tree]
                 for c, v in enumerate((np.ones(len(ty)), tt, ty, ty * ty, ty * tt, tt * tt)):
@@ -305,6 +301,7 @@ def fit_effect_forest(df: DataFrame, key: str, spec: CausalSpec, features: Seque
     column's median.
     """
     check_spec(spec, df)
+    df = checkpointed(df.select(*dict.fromkeys((key, spec.treatment, spec.outcome, *features))))  # read many times
     fills = {c: 0.0 if v is None else v for c, v in fit_percentiles(df, list(features), 0.5).items()}
     fills = {c: fills.get(c, 0.0) for c in features}
     res = residuals(impute(df, fills), key, spec.treatment, spec.outcome, features, folds, rounds, seed=seed)
@@ -314,12 +311,13 @@ def fit_effect_forest(df: DataFrame, key: str, spec: CausalSpec, features: Seque
 def grow_forest(res: DataFrame, key: str, features: Sequence[str], trees: int = 200, depth: int = 8, min_leaf: int = 50, honest: bool = True,
                 fraction: float = 0.5, seed: int = 42, fills: dict[str, float] | None = None) -> EffectForest:
     """The forest from given residuals ``ry`` and ``rt`` beside the key and the features."""
-    total = res.agg(F.sum(F.col("rt") * F.col("ry")).alias("ty"), F.sum(F.col("rt") * F.col("rt")).alias("tt")).first()
+    total = res.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rt") * F.col("ry")).alias("ty"), F.sum(F.col("rt") * F.col("rt")).alias("tt")).first()
     if not total["tt"]:
         raise DataError("the treatment does not vary beyond the confounders")
     width = 2 ** (depth + 1) - 1
     shape = Shape(np.full((trees, width), -1, np.int64), np.zeros((trees, width), np.int64))
-    grower = Grower(res, key, features, trees, fraction, honest, seed)
+    cores = res.sparkSession.sparkContext.defaultParallelism
+    grower = Grower(res.coalesce(cores * -(-total["n"] // (PART_ROWS * cores))), key, features, trees, fraction, honest, seed)  # a part gives out sums for every node
     try:
         gains, nodes = np.zeros(len(features)), {t: [0] for t in range(trees)}
         for _ in range(depth):

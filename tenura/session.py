@@ -25,13 +25,12 @@ def local_session(cores: str = "8", app: str = "tenura") -> SparkSession:
     return spark
 
 
-def checkpointed(df):
-    """Cut the lineage of an iterative input through the shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Give the session a checkpoint folder.
 
     The folder the cluster names in ``spark.checkpoint.dir`` is used as it is. Only a session
     that names none (tests on one machine) gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +39,11 @@ def checkpointed(df):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="tenura-checkpoint-")
         sc.setCheckpointDir(folder)
+
+
+def checkpointed(df):
+    """Cut the lineage of an iterative input through the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -511,6 +511,35 @@ def test_missing_features_keep_their_members(spark, study):
         forest.grow_forest(study.select("member_id", "x", F.lit(0.0).alias("rt"), F.col("y").alias("ry")), "member_id", ["x"], trees=2)
 
 
+def test_cross_fitted_trees_are_sparks_and_grow_together(spark, study):
+    """Residuals equal those of Spark's boosted trees fold by fold, and all folds share a job per level (before: some jobs per level and model)."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor
+
+    df = study.withColumn("t", F.col("t").cast("double")).cache()
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    got = {r["member_id"]: r for r in forest.residuals(df, "member_id", "t", "y", ["x", "w"], folds=3, rounds=4, depth=3, min_leaf=10, seed=1).collect()}
+    assert jobs() - before <= 4 * 3 + 12  # rounds times levels
+    rows = VectorAssembler(inputCols=["x", "w"], outputCol="v").transform(df).withColumn("fold", F.pmod(causal.row_hash("member_id") + F.lit(1), F.lit(3)))
+    shared = dict(featuresCol="v", maxIter=4, maxDepth=3, minInstancesPerNode=10, seed=1)
+    for k in range(3):
+        given = rows.where(F.col("fold") != k)
+        y, t = GBTRegressor(labelCol="y", predictionCol="py", **shared).fit(given), GBTClassifier(labelCol="t", predictionCol="c", **shared).fit(given).setProbabilityCol("pt").setRawPredictionCol("raw")
+        for r in t.transform(y.transform(rows.where(F.col("fold") == k))).select("member_id", (F.col("y") - F.col("py")).alias("ry"), (F.col("t") - vector_to_array("pt")[1]).alias("rt")).collect():
+            assert got[r["member_id"]]["ry"] == pytest.approx(r["ry"], abs=1e-9) and got[r["member_id"]]["rt"] == pytest.approx(r["rt"], abs=1e-9)
+    assert len(got) == df.count()
+
+
+def test_a_forest_predicts_a_repeated_or_null_key_once(spark, study):
+    m = forest.fit_effect_forest(study, "member_id", SPEC, ["x", "w"], trees=3, depth=2, min_leaf=30, folds=2, rounds=3)
+    odd = study.unionByName(study.where("member_id < 5")).unionByName(study.where("member_id < 2").withColumn("member_id", F.lit(None).cast("long")))
+    got = m.predict(odd)
+    assert got.count() == study.count() + 1 and got.where("cate_mean is null or cate_std is null").count() == 0
+
+
 def test_tenure_zero_belongs_to_no_group(spark):
     df = spark.createDataFrame([(0.0,), (3.0,), (3.1,), (24.0,), (25.0,)], "m double")
     assert [r[0] for r in df.select(causal.tenure_group(F.col("m"))).collect()] == [None, "0-3m", "3-6m", "12-24m", "24m+"]
