@@ -14,12 +14,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.config import ACTIONS, Action, Limits
 from tenura.errors import DataError, InfeasibleError
 from tenura.functions import hash_normal, hash_unit, round_dec, safe_div
+from tenura.functions.md5 import normals
 from tenura.functions.ordered import prefix_sums
 from tenura.session import checkpointed
 
@@ -27,6 +29,8 @@ from tenura.session import checkpointed
 CELLS = 1_000_000
 #: Random mixtures of allocations that are tried in one job.
 MIXTURES = 64
+#: Members whose values are drawn at once in a task.
+DRAWN = 16384
 
 # ---- candidates and scenarios ----------------------------------------------------------------
 
@@ -68,11 +72,14 @@ def sample_scenarios(cate: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
     return rows.withColumn("cate_realized", F.greatest(F.lit(0.0), F.least(F.lit(1.0), drawn)))
 
 
+def _draw(member, action, scenario, mean, std, seed: int) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean + F.greatest(std, F.lit(1e-6)) * hash_normal(member, action, scenario, seed=seed)))
+
+
 def scenario_arrays(cate: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
-    """The same draws as one array per (member, action), without multiplying rows."""
-    draws = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cate_mean") + F.greatest(F.col("cate_std"), F.lit(1e-6))
-                                            * hash_normal("member_id", "action", F.lit(s), seed=seed))) for s in range(n)]
-    return cate.select("member_id", "action", F.array(*draws).alias("draws"))
+    """The same draws as one array per (member, action), without multiplying rows. One expression makes them all: with one each the code is too long to be compiled."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: _draw("member_id", "action", s, F.col("cate_mean"), F.col("cate_std"), seed))
+    return cate.select("member_id", "action", draws.alias("draws"))
 
 
 # ---- baseline --------------------------------------------------------------------------------
@@ -121,12 +128,67 @@ def _small(table: DataFrame, numbers: int) -> DataFrame:
     return F.broadcast(table) if numbers * 16 <= 32 * 2**20 else table
 
 
-def _evaluate(rows: DataFrame, prices: DataFrame, expand, locations: int) -> DataFrame:
+def _per_location(parts: DataFrame, finish, kind: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of kind ``kind`` from the sums of the arrays ``net`` of each location and its values in the columns ``keep``.
+
+    ``finish`` turns (locations, sums, kept columns) into the arrays of the columns; a plan has no expression for each entry of the arrays.
+    """
+    names = [c.strip().split()[0] for c in kind.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict = {}
+        sums, kept = [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = b.column("net").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            rows = np.where(np.isnan(rows), 0.0, rows)  # an unknown value adds nothing
+            codes = b.column("location_id").dictionary_encode()
+            loc = codes.indices.to_numpy()
+            first = np.unique(loc, return_index=True)[1]
+            part = np.zeros((len(first), rows.shape[1]))
+            np.add.at(part, loc, rows)
+            others = np.column_stack([b.column(c).to_numpy()[first] for c in keep]) if keep else np.empty((len(first), 0))
+            for i, name in enumerate(codes.dictionary.to_pylist()):
+                if name in at:
+                    sums[at[name]] += part[i]
+                else:
+                    at[name] = len(sums)
+                    sums.append(part[i])
+                    kept.append(others[i])
+        if sums:
+            found = finish(np.array(sums), np.array(kept))
+            yield pa.RecordBatch.from_arrays([pa.array(list(at), b.column("location_id").type), *found], names)
+
+    return parts.select("location_id", "net", *keep).repartition("location_id").mapInArrow(run, kind)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.array(list(x), pa.list_(pa.float64()))
+
+
+def _total(rows: DataFrame, column: str) -> np.ndarray | None:
+    """The sum of an array column over all rows: one array for each task returns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = 0
+        for b in batches:
+            if b.num_rows:
+                acc = acc + b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).sum(0)
+        if np.ndim(acc):
+            yield pa.RecordBatch.from_arrays([_lists([acc])], ["v"])
+
+    parts = [np.array(r["v"]) for r in rows.select(column).mapInArrow(run, "v array<double>").toLocalIterator()]
+    return sum(parts) if parts else None
+
+
+def _evaluate(rows: DataFrame, prices: DataFrame, expand, locations: int, keep: Sequence[str] = ()) -> DataFrame:
     """Partial sums (location_id, net, cost, minutes): for each price point of a location, an array entry with the dual
     value, the cost and the minutes of its members' best choices.
 
     ``prices`` has four numbers a, b, c, d per location; ``expand`` turns an array of these into points (location, point,
-    2) of cost and minute prices. A task gives out sums for the locations of a batch only, so nothing grows with all locations.
+    2) of cost and minute prices. A task gives out sums for the locations of a batch only, so nothing grows with all locations. Columns
+    ``keep`` of the prices are given out too.
     """
     kind = dict(rows.dtypes)["location_id"]
 
@@ -158,10 +220,11 @@ def _evaluate(rows: DataFrame, prices: DataFrame, expand, locations: int) -> Dat
                 take = best > 0
                 for k, part in enumerate((best, np.take_along_axis(cost[at], pick, axis=1), np.take_along_axis(minutes[at], pick, axis=1))):
                     np.add.at(sums[k], loc[at], np.where(take, part, 0.0))
-            yield pa.RecordBatch.from_arrays([codes.dictionary, *[pa.array(list(x), pa.list_(pa.float64())) for x in sums]], ["location_id", "net", "cost", "minutes"])
+            yield pa.RecordBatch.from_arrays([codes.dictionary, *map(_lists, sums), *[batch.column(c).take(pa.array(first)) for c in keep]], ["location_id", "net", "cost", "minutes", *keep])
 
-    joined = rows.select("location_id", "options").join(_small(prices.select("location_id", "a", "b", "c", "d"), 5 * locations), "location_id")
-    return joined.mapInArrow(partial, f"location_id {kind}, net array<double>, cost array<double>, minutes array<double>")
+    columns = list(dict.fromkeys(("a", "b", "c", "d", *keep)))
+    joined = rows.select("location_id", "options").join(_small(prices.select("location_id", *columns), (1 + len(columns)) * locations), "location_id")
+    return joined.mapInArrow(partial, f"location_id {kind}, net array<double>, cost array<double>, minutes array<double>" + "".join(f", {c} double" for c in keep))
 
 
 def _square(points: int):
@@ -210,21 +273,23 @@ def location_prices(rows: DataFrame, ceiling: DataFrame, limits: Limits, locatio
         (pm, ph), (vm, vh) = near("p", top_p, low), near("v", top_v, F.lit(0.0))
         box = box.select("location_id", F.coalesce(F.greatest(low, pm - ph), low).alias("a"), F.coalesce(pm + ph, top_p).alias("b"),
                          F.coalesce(F.greatest(F.lit(0.0), vm - vh), F.lit(0.0)).alias("c"), F.coalesce(vm + vh, top_v).alias("d"))
-    box = checkpointed(box.withColumn("best", F.struct(F.lit(math.inf).alias("dual"), low.alias("p"), F.lit(0.0).alias("v"))))
+    box = checkpointed(box.withColumns({"dual": F.lit(math.inf), "p": low, "v": F.lit(0.0)}))
+    kind, expand, common = dict(rows.dtypes)["location_id"], _square(points), float(common)
+    names = ["a", "b", "c", "d", "dual", "p", "v"]
+
+    def move(sums: np.ndarray, now: np.ndarray) -> list[pa.Array]:
+        grid = expand(now)
+        dual = sums + (grid[:, :, 0] - common) * limits.max_per_location + grid[:, :, 1] * minutes
+        tried = np.concatenate([now[:, None, 4:], np.concatenate([dual[:, :, None], grid], axis=2)], axis=1)  # dual, p, v of the best so far and of all points
+        at = np.lexsort((tried[:, :, 2], tried[:, :, 1], tried[:, :, 0]), axis=1)[:, 0]
+        best = tried[np.arange(len(tried)), at]
+        near = lambda x, lo, hi: (x - (now[:, hi] - now[:, lo]) * 1.1 / (points - 1), x + (now[:, hi] - now[:, lo]) * 1.1 / (points - 1))
+        (p0, p1), (v0, v1) = near(best[:, 1], 0, 1), near(best[:, 2], 2, 3)
+        return [pa.array(x) for x in (np.maximum(common, p0), p1, np.maximum(0.0, v0), v1, *best.T)]
+
     for _ in range(passes):
-        sums = _evaluate(rows, box, _square(points), locations).groupBy("location_id").agg(*[F.sum(F.col("net")[k]).alias(f"n{k}") for k in range(points * points)])
-        share = lambda lo, hi, i: F.col(lo) + (F.col(hi) - F.col(lo)) * F.lit(i / (points - 1))
-        found = []
-        for k in range(points * points):
-            p, v = share("a", "b", k // points), share("c", "d", k % points)
-            dual = F.col(f"n{k}") + (p - low) * F.lit(limits.max_per_location) + v * F.lit(minutes)
-            found.append(F.struct(dual.alias("dual"), p.alias("p"), v.alias("v")))
-        wide = lambda lo, hi: (F.col(hi) - F.col(lo)) * F.lit(1.1 / (points - 1))
-        p, v = F.col("now")["p"], F.col("now")["v"]
-        moved = box.join(sums, "location_id").withColumn("now", F.array_min(F.array("best", *found)))
-        box = checkpointed(moved.select("location_id", F.greatest(low, p - wide("a", "b")).alias("a"), (p + wide("a", "b")).alias("b"),
-                                        F.greatest(F.lit(0.0), v - wide("c", "d")).alias("c"), (v + wide("c", "d")).alias("d"), F.col("now").alias("best")))
-    return box.select("location_id", "best.p", "best.v")
+        box = checkpointed(_per_location(_evaluate(rows, box, expand, locations, names), move, f"location_id {kind}, " + ", ".join(f"{c} double" for c in names), names))
+    return box.select("location_id", "p", "v")
 
 
 def _grid(low: float, high: float, n: int) -> list[float]:
@@ -432,15 +497,36 @@ class StochasticSolution(Solution):
 
 
 def stochastic_rows(members: DataFrame, cate: DataFrame, n: int = 50, seed: int = 42, actions: Sequence[Action] = ACTIONS) -> DataFrame:
-    """Member rows whose options carry one value per scenario as an array."""
+    """Member rows whose options carry one value per scenario as an array.
+
+    Rows move with the mean and the deviation of their effects; the draws are made where the members are. They are those of ``scenario_arrays``.
+    """
     cands = candidates(members, cate, actions)
     ltv = members.select("member_id", "ltv")
-    draws = scenario_arrays(cate, n, seed)
-    full = cands.drop("value").join(draws, ["member_id", "action"], "left").join(ltv, "member_id")
-    zeros = F.array(*[F.lit(0.0) for _ in range(n)])
-    values = F.transform(F.coalesce("draws", zeros), lambda d: d * F.col("ltv"))
-    rows = full.groupBy("member_id", "location_id").agg(F.collect_list(F.struct("action", "cost", "minutes", values.alias("values"))).alias("options"))
-    return checkpointed(rows)
+    effects = cate.select("member_id", "action", "cate_mean", "cate_std", F.lit(True).alias("known"))
+    full = cands.drop("value").join(effects, ["member_id", "action"], "left").join(ltv, "member_id")
+    text = F.concat_ws("|", F.col("member_id").cast("string"), "action").alias("text")
+    lean = full.groupBy("member_id", "location_id").agg(F.collect_list(F.struct("action", "cost", "minutes", "cate_mean", "cate_std", "known", "ltv", text)).alias("options"))
+    kinds, scenarios = dict(lean.dtypes), range(n)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, DRAWN):
+                b = whole.slice(at, DRAWN)
+                lists = b.column("options")
+                o = lists.flatten()
+                number = lambda c: o.field(c).to_numpy(zero_copy_only=False)[:, None]  # noqa: B023, E731
+                std = np.maximum(pc.fill_null(o.field("cate_std"), 0.0).to_numpy(zero_copy_only=False)[:, None], 1e-6)
+                draws = np.fmax(0.0, np.fmin(1.0, number("cate_mean") + std * normals(o.field("text").to_pylist(), scenarios, seed)))
+                known = pc.fill_null(o.field("known"), False).to_numpy(zero_copy_only=False)[:, None]
+                values = np.where(known, draws, 0.0) * number("ltv")
+                unknown = np.repeat(pc.is_null(o.field("ltv")).to_numpy(zero_copy_only=False), n)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(o) + 1) * n, pa.int32()), pa.array(values.ravel(), mask=unknown))
+                made = pa.StructArray.from_arrays([o.field("action"), o.field("cost"), o.field("minutes"), values], ["action", "cost", "minutes", "values"])
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                yield pa.RecordBatch.from_arrays([b.column("member_id"), b.column("location_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)], ["member_id", "location_id", "options"])
+
+    return checkpointed(lean.mapInArrow(drawn, f"member_id {kinds['member_id']}, location_id {kinds['location_id']}, options array<struct<action:string,cost:double,minutes:double,values:array<double>>>"))
 
 
 class Bundle:
@@ -453,7 +539,7 @@ class Bundle:
 
     def __init__(self, rows: DataFrame, n: int, limits: Limits, use_floor: bool, passes: int, points: int):
         self.rows, self.n, self.limits, self.use_floor, self.passes, self.points = rows, n, limits, use_floor, passes, points
-        self.found: list[tuple[DataFrame, float, np.ndarray, DataFrame]] = []  # allocation, cost, totals, totals per location
+        self.found: list[tuple[DataFrame, float, np.ndarray, DataFrame]] = []  # allocation, cost, totals, and per location the sums of cost and totals
         self.bounds: list[tuple[np.ndarray, float]] = []
         self.start: tuple[float, DataFrame] | None = None
 
@@ -473,11 +559,14 @@ class Bundle:
         return max(range(len(self.found)), key=lambda i: self.worth(self.found[i][2], risk))
 
     def add(self, allocation: DataFrame) -> None:
-        chosen = allocation.select("member_id", "action").join(
-            self.rows.select("member_id", "location_id", F.explode("options").alias("_o")).select("member_id", "location_id", "_o.action", "_o.cost", "_o.values"), ["member_id", "action"])
-        per = checkpointed(chosen.groupBy("location_id").agg(F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("values")[s]) for s in range(self.n)]).alias("totals")))
-        one = per.agg(F.sum("cost"), *[F.sum(F.col("totals")[s]) for s in range(self.n)]).first()
-        self.found.append((allocation, float(one[0] or 0.0), np.array([x or 0.0 for x in one[1:]]), per))
+        options = self.rows.select("member_id", "location_id", F.explode("options").alias("_o")).select("member_id", "location_id", "_o.action", "_o.cost", "_o.values")
+        chosen = options.join(_small(allocation.select("member_id", "action"), 3 * allocation.count()), ["member_id", "action"])
+        kind = dict(self.rows.dtypes)["location_id"]
+        parts = chosen.select("location_id", F.concat(F.array("cost"), "values").alias("net"))
+        per = checkpointed(_per_location(parts, lambda sums, _: [_lists(sums)], f"location_id {kind}, sums array<double>"))
+        total = _total(per, "sums")
+        total = np.zeros(1 + self.n) if total is None else total
+        self.found.append((allocation, float(total[0]), total[1:], per))
 
     def solve(self, w: np.ndarray, risk: float) -> None:
         """Price the problem at scenario weights w and keep its cut and its bound."""
@@ -519,23 +608,33 @@ class Bundle:
         use = [i for i in np.argsort(-mixture) if mixture[i] > 0.01][:8]
         if len(use) < 2:
             return
-        edges = np.cumsum(mixture[use] / mixture[use].sum())
+        edges, width = np.cumsum(mixture[use] / mixture[use].sum())[:-1], 1 + self.n
         plans = None
         for k, i in enumerate(use):
-            one = self.found[i][3].select("location_id", F.lit(k).alias("plan"), "cost", "totals")
+            one = self.found[i][3].select("location_id", F.lit(k).alias("plan"), "sums")
             plans = one if plans is None else plans.unionByName(one)
-        draw = lambda s: sum([F.when(hash_unit("location_id", s, seed=seed) > F.lit(float(e)), 1).otherwise(0) for e in edges[:-1]], F.lit(0))
-        taken = plans.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(MIXTURES - 1)))).where(F.col("plan") == draw(F.col("draw")))
-        sums = taken.groupBy("draw").agg(F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("totals")[s]) for s in range(self.n)]).alias("totals")).collect()
-        fits = [r for r in sums if r["cost"] <= self.limits.total_budget + 1e-9]
+        draw = lambda s: sum([F.when(hash_unit("location_id", s, seed=seed) > F.lit(float(e)), 1).otherwise(0) for e in edges], F.lit(0))
+        drawn = plans.select("plan", "sums", F.transform(F.sequence(F.lit(0), F.lit(MIXTURES - 1)), lambda s: hash_unit("location_id", s, seed=seed)).alias("u"))
+
+        def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            acc = np.zeros((MIXTURES, width))
+            for b in batches:
+                if b.num_rows:
+                    u, sums = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("u", "sums"))
+                    mine = np.searchsorted(edges, u, side="left") == b.column("plan").to_numpy()[:, None]  # how many edges lie below the draw
+                    acc += mine.T.astype(float) @ sums
+            yield pa.RecordBatch.from_arrays([_lists([acc.ravel()])], ["sums"])
+
+        sums = _total(drawn.mapInArrow(taken, "sums array<double>"), "sums").reshape(MIXTURES, width)
+        fits = [s for s in range(MIXTURES) if sums[s, 0] <= self.limits.total_budget + 1e-9]
         if not fits:
             return
-        top = max(fits, key=lambda r: self.worth(np.array(r["totals"]), risk))
-        if self.worth(np.array(top["totals"]), risk) <= self.worth(self.found[self.best(risk)][2], risk):
+        top = max(fits, key=lambda s: self.worth(sums[s, 1:], risk))
+        if self.worth(sums[top, 1:], risk) <= self.worth(self.found[self.best(risk)][2], risk):
             return
         picked = None
         for k, i in enumerate(use):
-            one = self.found[i][0].where(draw(F.lit(top["draw"])) == k)
+            one = self.found[i][0].where(draw(F.lit(top)) == k)
             picked = one if picked is None else picked.unionByName(one)
         self.add(checkpointed(picked))
 

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -636,6 +637,32 @@ def test_scenarios(spark):
     assert arrays.join(a, ["member_id", "action", "scenario"]).filter("abs(d - cate_realized) > 1e-12").count() == 0
 
 
+def test_hashes_of_many_keys_are_those_of_the_column(spark):
+    """Also across block borders and for texts beyond one block; before, no code made the draws of a task at once."""
+    from tenura.functions import hash_normal
+    from tenura.functions.md5 import normals, units
+
+    texts = ["", "7|x", "\u00e9|\u00fc", *["b" * k for k in range(44, 72)], *[f"{i}|call" for i in range(90, 111)]]
+    u = units(texts, ["|3|42", "|49|7961"])
+    assert all(u[i, j] == (int(hashlib.md5((t + e).encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, t in enumerate(texts) for j, e in enumerate(["|3|42", "|49|7961"]))
+    keys = spark.range(95, 105).select("id", F.lit("call").alias("a"), *[hash_normal("id", F.lit("call"), F.lit(s), seed=5).alias(f"s{s}") for s in range(3)])
+    for r in keys.collect():
+        assert list(normals([f"{r['id']}|call"], range(3), 5)[0]) == pytest.approx([r["s0"], r["s1"], r["s2"]], abs=1e-12)
+
+
+def test_scenario_values_of_odd_members(spark):
+    """Values are draws times ltv: 0 for an effect that is not known, null without an ltv; a repeated member keeps its rows. No draw has an expression of its own."""
+    members = spark.createDataFrame([(1, 1, "regular", 10.0), (1, 1, "regular", 10.0), (2, 1, "regular", None), (3, 2, "regular", 5.0)], "member_id long, location_id long, contract_source string, ltv double")
+    cate = spark.createDataFrame([(1, "low", 0.5, 0.1), (2, "low", 0.5, 0.1), (1, "mid", None, 0.1), (1, "high", 0.5, None)], "member_id long, action string, cate_mean double, cate_std double")
+    acts = (Action("low", 1.0, 1.0, ("regular",)), Action("mid", 1.0, 1.0, ("regular",)), Action("high", 1.0, 1.0, ("regular",)))
+    rows = allocate.stochastic_rows(members, cate, 4, 3, acts)
+    got = {(r["member_id"], o["action"]): (o["values"], sum(x["action"] == o["action"] for x in r["options"])) for r in rows.collect() for o in r["options"]}
+    draws = {(r["member_id"], r["action"], r["scenario"]): r["cate_realized"] for r in allocate.sample_scenarios(cate, 4, 3).collect()}
+    for action in ("low", "mid", "high"):
+        assert got[1, action][0] == pytest.approx([10.0 * draws[1, action, s] for s in range(4)], abs=1e-9) and got[1, action][1] == 4
+    assert got[2, "low"][0] == [None] * 4 and got[3, "low"][0] == [0.0] * 4
+
+
 def test_stochastic_values_are_consistent(spark):
     members, cate = market(spark, 60, 9)
     limits = Limits(total_budget=40.0, min_per_location=2.0, max_per_location=30.0, staff_hours=1.0)
