@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenura.llm.common import BASE, SPACE, bitmap, by_value, flat_bytes, free, marked, mix, slices, texts_of
+from tenura.llm.common import BASE, SPACE, SharedBits, by_value, flat_bytes, free, marked, mix, slices, texts_of
 from tenura.llm.common import written as saved
 
 by_value(__name__)
@@ -192,18 +192,16 @@ def chunk_digests(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h1 bigint")
 
 
-def grams(docs: DataFrame, n: int, kind: str, common: np.ndarray, also: np.ndarray | None = None) -> DataFrame:
-    """GRAM rows of stretches of ``n`` words whose chunks all pass the filter ``common``.
+def grams(docs: DataFrame, n: int, kind: str, common: SharedBits, also: SharedBits | None = None) -> DataFrame:
+    """GRAM rows of stretches of ``n`` words whose chunks all pass the filter ``common`` (a bitmap the workers read).
 
     Of kind ``anchors``, of kind ``edges`` (beside anchors that do not repeat: one of their chunks is single or they pass ``also``, a filter of single
     ones), of kind ``others`` (no anchors, and pass ``also``) or of kind ``all`` (pass ``also``).
     """
-    shared = docs.sparkSession.sparkContext.broadcast((common, also))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        signed, bits = shared.value
+        signed, bits = common.value, None if also is None else also.value
         seen, known = TaskContext.get().partitionId() << 33, {}
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -252,16 +250,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     n = max(1, least_words)
     lean = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    common = bitmap(saved(chunk_digests(lean, n).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "chunks"))
+    common = SharedBits(saved(chunk_digests(lean, n).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "chunks"), "common")
 
     def counted(rows: DataFrame, label: str) -> DataFrame:
         return saved(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "word")).alias("first")), label)
 
     anchors = counted(grams(lean, n, "anchors", common), "anchors")
-    edges = saved(grams(lean, n, "edges", common, bitmap(anchors.where("n = 1").select("h1"))).select("h1").distinct(), "edges")
-    others = counted(grams(lean, n, "others", common, bitmap(edges)), "others")
+    single = SharedBits(anchors.where("n = 1").select("h1"), "single")
+    edges = saved(grams(lean, n, "edges", common, single).select("h1").distinct(), "edges")
+    single.drop()
+    beside = SharedBits(edges, "beside")
+    others = counted(grams(lean, n, "others", common, beside), "others")
+    beside.drop()
     repeats = anchors.unionByName(others).where("n > 1").drop("n")
-    copies = grams(lean, n, "all", common, bitmap(repeats.select("h1"))).join(repeats, ["h1", "h2"])
+    copies = grams(lean, n, "all", common, SharedBits(repeats.select("h1"), "repeats")).join(repeats, ["h1", "h2"])
     later = ~(F.col("id").eqNullSafe(F.col("first.id")) & F.col("word").between(F.col("first.word"), F.col("first.word") + (n - 1)))
     marks = copies.select("id", "row", "word", "start", "end", later.alias("later"), F.col("first.id").alias("first_id"))
     w = Window.partitionBy("row", "later").orderBy("word")

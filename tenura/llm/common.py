@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,22 +173,71 @@ def bitmap(hashes: DataFrame, per: int = 16, most: int = 1 << 30) -> np.ndarray:
 
     Tasks set the bits, the driver joins eight bitmaps of bounded size.
     """
-    name = hashes.columns[0]
-    bits = min(most, max(1 << 16, 1 << (per * hashes.count() - 1).bit_length()))
+    bits = bits_for(hashes, per, most)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            i = b.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
-            np.bitwise_or.at(hit, (i >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (i & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([hit.tobytes()], pa.binary())], ["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([marks_of(batches, bits).tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in hashes.select(F.col(name).cast("long")).coalesce(8).mapInArrow(marks, "bits binary").toLocalIterator():
+    for r in hashes.select(F.col(hashes.columns[0]).cast("long")).coalesce(8).mapInArrow(marks, "bits binary").toLocalIterator():
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def bits_for(hashes: DataFrame, per: int, most: int) -> int:
+    return min(most, max(1 << 16, 1 << (per * hashes.count() - 1).bit_length()))
+
+
+def marks_of(batches: Iterator[pa.RecordBatch], bits: int) -> np.ndarray:
+    hit = np.zeros(bits // 8, np.uint8)
+    for b in batches:
+        i = b.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
+        np.bitwise_or.at(hit, (i >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (i & np.uint64(7)).astype(np.uint8))
+    return hit
+
+
+class SharedBits:
+    """The ``bitmap`` of ``hashes`` for tasks to read. Where the folder of ``spark.checkpoint.dir`` is mounted (``file:`` or a plain path) it is a file
+    there: tasks write eight bitmaps, the driver joins them slice by slice, workers map the file into memory, and neither the driver's Python
+    nor its JVM ever holds a bitmap. Any other folder takes a broadcast."""
+
+    def __init__(self, hashes: DataFrame, label: str, per: int = 16, most: int = 1 << 30):
+        spark = hashes.sparkSession
+        folder = scratch_folder(spark, label)
+        self.path = self.sent = None
+        if not folder.startswith(("/", "file:")):
+            self.sent = spark.sparkContext.broadcast(bitmap(hashes, per, most))
+            return
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+        os.makedirs(folder, exist_ok=True)
+        bits = bits_for(hashes, per, most)
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            path = f"{folder}/part-{uuid.uuid4().hex}"
+            marks_of(batches, bits).tofile(path)  # a task that is repeated writes another file, and only files of finished tasks are read
+            yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+        parts = [r["path"] for r in hashes.select(F.col(hashes.columns[0]).cast("long")).coalesce(8).mapInArrow(put, "path string").collect()]
+        self.path = f"{folder}/bits"
+        with open(self.path, "wb") as f:
+            for at in range(0, bits // 8, SLICE_BYTES):
+                out = np.zeros(min(SLICE_BYTES, bits // 8 - at), np.uint8)
+                for p in parts:
+                    out |= np.fromfile(p, np.uint8, len(out), offset=at)
+                f.write(out.tobytes())
+        for p in parts:
+            os.remove(p)
+
+    @property
+    def value(self) -> np.ndarray:
+        return np.memmap(self.path, np.uint8, "r") if self.path else self.sent.value
+
+    def drop(self) -> None:
+        """The driver's blocks go, if there are any; files stay like other intermediate tables."""
+        if self.sent is not None:
+            self.sent.destroy()
+
+
 def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which 64-bit hashes have their bit set in a packed bitmap."""
     i = h.astype(np.uint64) % np.uint64(8 * len(bits))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html as entities
 import math
+import os
 import random
 import re
 import zlib
@@ -714,3 +715,19 @@ def test_exact_dedup_odd_texts(spark, odd, none):
 def test_keep_one_takes_one_of_rows_that_repeat_id_and_normalised_text(spark):
     docs = spark.createDataFrame([(1, "Abc"), (1, "aBC"), (2, None), (2, ""), (3, "abc d"), (3, "other"), (None, "n"), (None, "N")], DOC)
     assert sorted((r.doc_id or 0, low(r.text)) for r in exact.keep_one(docs).collect()) == [(0, "n"), (1, "abc"), (2, ""), (3, "abc d"), (3, "other")]
+
+
+def test_bitmaps_reach_the_workers_as_files(spark, monkeypatch):
+    """The same bits as ``bitmap`` with no bitmap collected or broadcast by the driver (before, it did both); repeated passages find them there."""
+    from tenura.llm import chunks, common
+
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    want = common.bitmap(hashes)
+    monkeypatch.setattr(common, "bitmap", None)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("the driver sent a bitmap"))
+    got = common.SharedBits(hashes.repartition(5), "bits")
+    assert (np.asarray(got.value) == want).all() and os.listdir(os.path.dirname(got.path)) == ["bits"]
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"one two {words}"), (2, f"three {words} four"), (3, "other")], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["words"], r["first"]) for r in chunks.repeated_passages(docs).collect())
+    assert found == [(1, 40, True), (2, 40, False)]
