@@ -385,6 +385,7 @@ def _accept(rows: DataFrame, prices: DataFrame, locations: int, limits: Limits,
             dc(o).alias("cost"), dm(o).alias("minutes"), F.struct(o["action"].alias("action"), o["cost"].alias("cost"), o["minutes"].alias("minutes"), o["value"].alias("value")).alias("new")))
         pick = state.join(_small(left, 5 * locations), "location_id").select("member_id", "location_id", "_cap", "_min", F.array_max(scored).alias("_b")).filter(
             "_b is not null").select("member_id", "location_id", "_cap", "_min", "_b.*")
+        pick = checkpointed(pick)  # read for the ranges, their totals and the rows
         run = prefix_sums(pick, -F.col("ratio"), ["cost", "minutes"], ["location_id"], tie=["member_id"], null_keys=False)
         local = run.filter((F.col("cum_cost") <= F.col("_cap")) & (F.col("cum_minutes") <= F.col("_min"))).select(
             "member_id", "location_id", "cost", "minutes", "new", "ratio",
@@ -398,7 +399,7 @@ def _accept(rows: DataFrame, prices: DataFrame, locations: int, limits: Limits,
             spend = local.agg(F.count("*").alias("n"), F.sum("cost").alias("c")).first()
         if not spend["n"]:
             break
-        state = checkpointed(state.join(local.select("member_id", "new"), "member_id", "left").withColumn("cur", F.coalesce("new", "cur")).drop("new"))
+        state = checkpointed(state.join(_small(local.select("member_id", "new"), 8 * spend["n"]), "member_id", "left").withColumn("cur", F.coalesce("new", "cur")).drop("new"))
         used = local.groupBy("location_id").agg(F.sum("cost").alias("_uc"), F.sum("minutes").alias("_um"))
         left = checkpointed(left.join(used, "location_id", "left").select(
             "location_id", "_p", "_v", (F.col("_cap") - F.coalesce("_uc", F.lit(0.0))).alias("_cap"), (F.col("_min") - F.coalesce("_um", F.lit(0.0))).alias("_min")))
@@ -506,7 +507,8 @@ def stochastic_rows(members: DataFrame, cate: DataFrame, n: int = 50, seed: int
     effects = cate.select("member_id", "action", "cate_mean", "cate_std", F.lit(True).alias("known"))
     full = cands.drop("value").join(effects, ["member_id", "action"], "left").join(ltv, "member_id")
     text = F.concat_ws("|", F.col("member_id").cast("string"), "action").alias("text")
-    lean = full.groupBy("member_id", "location_id").agg(F.collect_list(F.struct("action", "cost", "minutes", "cate_mean", "cate_std", "known", "ltv", text)).alias("options"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the draws are many times what moves here, so parts are not joined by its size
+    lean = full.repartition(parts, "member_id", "location_id").groupBy("member_id", "location_id").agg(F.collect_list(F.struct("action", "cost", "minutes", "cate_mean", "cate_std", "known", "ltv", text)).alias("options"))
     kinds, scenarios = dict(lean.dtypes), range(n)
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -661,6 +661,7 @@ def test_scenario_values_of_odd_members(spark):
     for action in ("low", "mid", "high"):
         assert got[1, action][0] == pytest.approx([10.0 * draws[1, action, s] for s in range(4)], abs=1e-9) and got[1, action][1] == 4
     assert got[2, "low"][0] == [None] * 4 and got[3, "low"][0] == [0.0] * 4
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # before, as few as the rows that moved allowed
 
 
 def test_stochastic_values_are_consistent(spark):
